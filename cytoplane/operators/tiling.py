@@ -1,0 +1,182 @@
+"""Adaptive tiles for groups too large for one task.
+
+A group's bounding square is cut into fine bins. Counts are rolled up a quadtree, and a bin's tile is its
+coarsest ancestor that still fits the bound, so dense spots get small tiles and no tile depends on how
+large the whole group is. The same counts give each bin a radius that surely holds enough targets, which
+fixes the halo a tile needs to answer a nearest-neighbour question exactly.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+EXTRA_DEPTH = 4
+ROOT_TWO = math.sqrt(2.0)
+
+
+def _up(code: Column, levels: Column) -> Column:
+    return F.floor(code / F.pow(F.lit(2.0), levels)).cast("long")
+
+
+def fine_bins(points: DataFrame, keys: list[str], tile_cells: int) -> DataFrame:
+    """Adds the group's origin (x0, y0), side, depth and the fine bin (fx, fy) of every point."""
+    square = points.groupBy(*keys).agg(
+        F.min("x").alias("x0"),
+        F.min("y").alias("y0"),
+        F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.lit(1e-9)).alias("side"),
+        F.ceil(F.log(F.greatest(F.count("*") / float(tile_cells), F.lit(1.0))) / math.log(4.0)).alias("base"),
+    )
+    square = square.withColumn("depth", F.least(F.col("base") + EXTRA_DEPTH, F.lit(26)).cast("int")).drop("base")
+    cells_per_axis = F.pow(F.lit(2.0), F.col("depth"))
+
+    def code(axis: str, origin: str) -> Column:
+        raw = F.floor((F.col(axis) - F.col(origin)) / F.col("side") * cells_per_axis)
+        return F.least(raw, cells_per_axis - 1).cast("long")
+
+    return points.join(square, keys).withColumn("fx", code("x", "x0")).withColumn("fy", code("y", "y0"))
+
+
+def assign_tiles(binned: DataFrame, keys: list[str], tile_cells: int, need: int) -> DataFrame:
+    """Bin table (keys, fx, fy) with its tile (up, tx, ty) and the radius holding ``need`` targets."""
+    bins = binned.groupBy(*keys, "x0", "y0", "side", "depth", "fx", "fy").agg(
+        F.count("*").alias("n"), F.count_if("is_target").alias("n_target")
+    )
+    climbs = bins.withColumn("up", F.explode(F.sequence(F.lit(0), F.col("depth")))).select(
+        *keys, "x0", "y0", "side", "depth", "fx", "fy", "n", "n_target", "up",
+        _up(F.col("fx"), F.col("up")).alias("ax"),
+        _up(F.col("fy"), F.col("up")).alias("ay"),
+    )
+    nodes = climbs.groupBy(*keys, "up", "ax", "ay").agg(
+        F.sum("n").alias("node_n"), F.sum("n_target").alias("node_targets")
+    )
+    chosen = (
+        climbs.join(nodes, [*keys, "up", "ax", "ay"])
+        .groupBy(*keys, "x0", "y0", "side", "depth", "fx", "fy")
+        .agg(
+            F.coalesce(F.max(F.when(F.col("node_n") <= tile_cells, F.col("up"))), F.lit(0)).alias("tile_up"),
+            F.coalesce(F.min(F.when(F.col("node_targets") >= need, F.col("up"))), F.max("depth")).alias("need_up"),
+            F.max("n").alias("n"),
+        )
+    )
+    width = F.col("side") / F.pow(F.lit(2.0), F.col("depth"))
+    return chosen.select(
+        *keys, "x0", "y0", "side", "depth", "fx", "fy", "n", "tile_up",
+        _up(F.col("fx"), F.col("tile_up")).alias("tx"),
+        _up(F.col("fy"), F.col("tile_up")).alias("ty"),
+        (width * F.pow(F.lit(2.0), F.col("need_up")) * ROOT_TWO * (1 + 1e-9)).alias("reach"),
+    )
+
+
+def tile_table(bins: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per tile: its box, its size and the reach its halo must have."""
+    width = F.col("side") / F.pow(F.lit(2.0), F.col("depth")) * F.pow(F.lit(2.0), F.col("tile_up"))
+    return (
+        bins.groupBy(*keys, "x0", "y0", "side", "depth", "tile_up", "tx", "ty")
+        .agg(F.sum("n").alias("tile_n"), F.max("reach").alias("reach"))
+        .withColumn("w", width)
+        .withColumn("left", F.col("x0") + F.col("tx") * F.col("w"))
+        .withColumn("bottom", F.col("y0") + F.col("ty") * F.col("w"))
+    )
+
+
+def tile_neighbours(tiles: DataFrame, keys: list[str]) -> DataFrame:
+    """Ordered pairs (tile, other) where ``other`` lies within the reach of ``tile``; itself included.
+
+    Each tile covers its enlarged box with at most 3 x 3 quadtree nodes no narrower than its reach. Another
+    tile meets the box if it lies below one of those nodes (join on its ancestors) or above one (join on
+    the nodes' ancestors). Both joins are equi-joins on the node.
+    """
+    unit = F.col("side") / F.pow(F.lit(2.0), F.col("depth"))
+    level = F.least(
+        F.greatest(F.ceil(F.log2(F.greatest(F.col("reach"), F.col("w")) / unit)), F.col("tile_up")), F.col("depth")
+    ).cast("int")
+    node_w = unit * F.pow(F.lit(2.0), F.col("lv"))
+    last = F.pow(F.lit(2.0), F.col("depth") - F.col("lv")) - 1
+
+    def span(low: Column, origin: str) -> Column:
+        first = F.greatest(F.floor((low - F.col("reach") - F.col(origin)) / node_w), F.lit(0))
+        final = F.least(F.floor((low + F.col("w") + F.col("reach") - F.col(origin)) / node_w), last)
+        return F.sequence(first.cast("long"), F.greatest(first, final).cast("long"))
+
+    here = tiles.select(
+        *keys, "x0", "y0", "side", "depth", "reach", "w", "left", "bottom",
+        F.col("tile_up").alias("up_a"), F.col("tx").alias("tx_a"), F.col("ty").alias("ty_a"),
+        "tile_up", level.alias("lv"),
+    )
+    cover = (
+        here.withColumn("ax", F.explode(span(F.col("left"), "x0")))
+        .withColumn("ay", F.explode(span(F.col("bottom"), "y0")))
+    )
+    there = tiles.select(
+        *keys, "depth", F.col("tile_up").alias("up_b"), F.col("tx").alias("tx_b"), F.col("ty").alias("ty_b"),
+        F.col("w").alias("w_b"), F.col("left").alias("left_b"), F.col("bottom").alias("bottom_b"),
+        F.col("tile_n").alias("n_b"),
+    )
+    lifted = there.withColumn("lv", F.explode(F.sequence(F.col("up_b"), F.col("depth")))).select(
+        *keys, "lv",
+        _up(F.col("tx_b"), F.col("lv") - F.col("up_b")).alias("ax"),
+        _up(F.col("ty_b"), F.col("lv") - F.col("up_b")).alias("ay"),
+        "up_b", "tx_b", "ty_b", "w_b", "left_b", "bottom_b", "n_b",
+    )
+    below = cover.join(lifted, [*keys, "lv", "ax", "ay"])
+    climbing = cover.where(F.col("lv") < F.col("depth")).withColumn(
+        "up_b", F.explode(F.sequence(F.col("lv") + 1, F.col("depth")))
+    )
+    above = (
+        climbing.withColumn("tx_b", _up(F.col("ax"), F.col("up_b") - F.col("lv")))
+        .withColumn("ty_b", _up(F.col("ay"), F.col("up_b") - F.col("lv")))
+        .join(there.drop("depth"), [*keys, "up_b", "tx_b", "ty_b"])
+    )
+    wanted = [
+        *keys, "up_a", "tx_a", "ty_a", "reach", "w", "left", "bottom",
+        "up_b", "tx_b", "ty_b", "w_b", "left_b", "bottom_b", "n_b",
+    ]
+    gap_x = F.greatest(F.col("left_b") - F.col("left") - F.col("w"), F.col("left") - F.col("left_b") - F.col("w_b"), F.lit(0.0))
+    gap_y = F.greatest(
+        F.col("bottom_b") - F.col("bottom") - F.col("w"), F.col("bottom") - F.col("bottom_b") - F.col("w_b"), F.lit(0.0)
+    )
+    near = gap_x * gap_x + gap_y * gap_y <= F.col("reach") * F.col("reach")
+    return below.select(*wanted).unionByName(above.select(*wanted)).where(near).dropDuplicates(
+        [*keys, "up_a", "tx_a", "ty_a", "up_b", "tx_b", "ty_b"]
+    )
+
+
+def with_halo(binned: DataFrame, bins: DataFrame, keys: list[str], halo_rows: int) -> DataFrame:
+    """Every point once per tile that needs it, in blocks of bounded size.
+
+    Rows carry the tile (up_a, tx_a, ty_a) and a block number. A tile's own query points go to all of its
+    blocks; every candidate goes to exactly one block.
+    """
+    tiles = tile_table(bins, keys)
+    pairs = tile_neighbours(tiles, keys)
+    here = [*keys, "up_a", "tx_a", "ty_a"]
+    blocks = pairs.groupBy(*here).agg(F.ceil(F.sum("n_b") / float(halo_rows)).cast("int").alias("blocks"))
+    pairs = pairs.join(blocks, here)
+    placed = binned.join(
+        bins.select(
+            *keys, "fx", "fy", F.col("tile_up").alias("up_b"), F.col("tx").alias("tx_b"), F.col("ty").alias("ty_b")
+        ),
+        [*keys, "fx", "fy"],
+    )
+    own = (F.col("up_a") == F.col("up_b")) & (F.col("tx_a") == F.col("tx_b")) & (F.col("ty_a") == F.col("ty_b"))
+    gap_x = F.greatest(F.col("left") - F.col("x"), F.col("x") - F.col("left") - F.col("w"), F.lit(0.0))
+    gap_y = F.greatest(F.col("bottom") - F.col("y"), F.col("y") - F.col("bottom") - F.col("w"), F.lit(0.0))
+    home = F.pmod(F.xxhash64("cell_id"), F.col("blocks")).cast("int")
+    rows = (
+        placed.join(pairs, [*keys, "up_b", "tx_b", "ty_b"])
+        .where(gap_x * gap_x + gap_y * gap_y <= F.col("reach") * F.col("reach"))
+        .withColumn("asks", own & F.col("is_query"))
+        .withColumn("home", home)
+        .withColumn(
+            "block",
+            F.explode(F.when(F.col("asks"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("home"))),
+        )
+    )
+    return rows.select(
+        *here, "block", "cell_id", "x", "y",
+        F.col("asks").alias("is_query"),
+        (F.col("is_target") & (F.col("block") == F.col("home"))).alias("is_target"),
+    )
