@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cytoplane.functions import columns as C
 from cytoplane.operators import neighbors as N
 from cytoplane.operators.quantiles import exact_percentiles
+from cytoplane.session import measured
 from cytoplane.settings import BOUNDS, ROLE_TERMS, SizeBounds
 
 
@@ -45,9 +46,10 @@ def proportions(cells: DataFrame, column: str, prefix: str) -> DataFrame:
 
 def median_spacing(cells: DataFrame, bounds: SizeBounds = BOUNDS) -> DataFrame:
     """Median distance to the five nearest neighbours over all cells of the region; 1 where undefined."""
+    bounds = measured(cells, bounds)
     lists = N.neighbour_lists(cells, 5, bounds=bounds)
     distances = lists.select("region_id", F.explode("dist").alias("d"))
-    medians = exact_percentiles(distances, ["region_id"], "d", {"m": 0.5}, bounds)
+    medians = exact_percentiles(distances, ["region_id"], "d", {"m": 0.5}, bounds, per_cell=5)
     scale = F.when((F.col("m") > 0) & ~F.isnan("m"), F.col("m")).otherwise(1.0)
     return (
         cells.select("region_id").distinct().join(medians, "region_id", "left")
@@ -106,6 +108,7 @@ def distance_summary(
     bounds: SizeBounds = BOUNDS,
 ) -> DataFrame:
     """Min, mean and median of the nearest-target distances; zero where a side is empty."""
+    bounds = measured(cells, bounds)
     mins = role_distances(cells, source, targets, role_terms, bounds)
     basic = mins.groupBy("region_id", "pair").agg(F.min("dist").alias("min"), F.avg("dist").alias("mean"))
     median = exact_percentiles(mins, ["region_id", "pair"], "dist", {"median": 0.5}, bounds)

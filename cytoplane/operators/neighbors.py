@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cytoplane.operators.tiling import assign_tiles, fine_bins, with_halo
-from cytoplane.session import largest_group
+from cytoplane.session import group_size
 from cytoplane.settings import BOUNDS, SizeBounds
 
 MATRIX_ENTRIES = 2_000_000
@@ -104,7 +104,7 @@ def neighbour_lists(
     keys = keys or ["region_id"]
     marked = _flagged(points, keys)
     kernel, schema = _list_kernel(keys, k, False), _schema(points, keys)
-    if largest_group(points, keys) <= bounds.tile_cells:
+    if group_size(points, keys, bounds) <= bounds.tile_cells:
         return spread_groups(marked, keys).groupBy(*keys).applyInArrow(kernel, schema)
     sizes = marked.groupBy(*keys).agg((F.count("*") > bounds.tile_cells).alias("is_large"))
     sized = marked.join(sizes, keys)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cytoplane.session import largest_group
+from cytoplane.session import group_size
 from cytoplane.settings import BOUNDS, SizeBounds
 
 SLICES = 512
@@ -17,17 +17,18 @@ def exact_percentiles(
     value: str,
     named: dict[str, float],
     bounds: SizeBounds = BOUNDS,
-    largest: int | None = None,
+    per_cell: int = 1,
 ) -> DataFrame:
     """One row per group with the named percentiles of ``value`` (nulls ignored).
 
+    ``per_cell`` is how many rows a cell contributes at most.
+
     The built-in exact aggregate keeps a group's distinct values in one buffer, so it serves only while every
     group is within bounds. Larger groups are cut into slices by approximate split points; slice counts tell which
     slices hold the wanted ranks, and only those are ordered.
     """
     rows = rows.where(F.col(value).isNotNull())
-    size = largest_group(rows, keys) if largest is None else largest
-    if size <= bounds.percentile_rows:
+    if group_size(rows, keys, bounds, per_cell) <= bounds.percentile_rows:
         return rows.groupBy(*keys).agg(*[F.percentile(value, p).alias(name) for name, p in named.items()])
     return _sliced_percentiles(rows, keys, value, named)
 

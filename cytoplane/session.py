@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cytoplane.settings import BOUNDS, SizeBounds
 
 
 def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -35,7 +39,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def largest_group(df: DataFrame, keys: list[str]) -> int:
     """Rows in the biggest group: one narrow scan with map-side counts, used to pick a plan."""
-    from pyspark.sql import functions as F
-
     row = df.groupBy(*keys).count().agg(F.max("count").alias("n")).first()
     return int(row["n"] or 0)
+
+
+def measured(cells: DataFrame, bounds: SizeBounds = BOUNDS) -> SizeBounds:
+    """Bounds that also know the biggest region, so that later steps need not count again."""
+    if bounds.largest_region is not None:
+        return bounds
+    return replace(bounds, largest_region=largest_group(cells, ["region_id"]))
+
+
+def group_size(rows: DataFrame, keys: list[str], bounds: SizeBounds, per_cell: int = 1) -> int:
+    """Upper bound of rows per group: from the measured region size where known, else counted."""
+    if bounds.largest_region is not None and "region_id" in keys:
+        return bounds.largest_region * per_cell
+    return largest_group(rows, keys)

@@ -91,6 +91,7 @@ class SizeBounds:
     percentile_rows: int = 1_000_000
     triangulation_cells: int = 4096
     diagram_points: int = 2048
+    largest_region: int | None = None  # cells in the biggest region, once measured
 
 
 BOUNDS = SizeBounds()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cytoplane.operators import composition
+from cytoplane.session import measured
 from workload import views as V
 from workload.q_ingest import r6, role_sql
 from workload.registry import query, with_views
@@ -72,7 +73,9 @@ ROLE_MINS_SQL = "mins AS (" + " UNION ALL ".join(
     with_views(V.CELLS_SQL, PAIRS_SQL, SPACING_SQL, ROLE_MINS_SQL, "SELECT region_id, pair, src, round(dist, 6) AS dist FROM mins"),
 )
 def nearest_of_role(spark, sf):
-    rows = composition.role_distances(composition.normalize(V.cells(spark, sf)))
+    cells = V.cells(spark, sf)
+    bounds = measured(cells)
+    rows = composition.role_distances(composition.normalize(cells, bounds=bounds), bounds=bounds)
     return rows.select("region_id", "pair", "src", F.round("dist", 6).alias("dist"))
 
 
@@ -90,4 +93,6 @@ distance_rows AS (SELECT region_id, pair || '_' || stat AS name, coalesce(CASE s
     ),
 )
 def distance_summary(spark, sf):
-    return long_form(composition.distance_summary(composition.normalize(V.cells(spark, sf))))
+    cells = V.cells(spark, sf)
+    bounds = measured(cells)
+    return long_form(composition.distance_summary(composition.normalize(cells, bounds=bounds), bounds=bounds))
