@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cytoplane.functions import columns as C
 from cytoplane.operators import neighbors as N
 from cytoplane.operators.quantiles import exact_percentiles
-from cytoplane.session import measured
+from cytoplane.session import cut_lineage, measured
 from cytoplane.settings import BOUNDS, ROLE_TERMS, SizeBounds
 
 
@@ -58,8 +58,11 @@ def median_spacing(cells: DataFrame, bounds: SizeBounds = BOUNDS) -> DataFrame:
 
 
 def normalize(cells: DataFrame, spacing: DataFrame | None = None, bounds: SizeBounds = BOUNDS) -> DataFrame:
-    """Coordinates divided by the region's median spacing, which is kept as ``scale``."""
-    spacing = median_spacing(cells, bounds) if spacing is None else spacing
+    """Coordinates divided by the region's median spacing, which is kept as ``scale``.
+
+    The spacing is one number per region but costs a neighbour search, so it is written once.
+    """
+    spacing = cut_lineage(median_spacing(cells, bounds)) if spacing is None else spacing
     return (
         cells.join(spacing, "region_id")
         .withColumn("x", F.col("x") / F.col("scale"))

@@ -17,14 +17,15 @@ SETTINGS = RegionGraphSettings()
 def scale_coordinates(cells: DataFrame, k: int = 6, bounds: SizeBounds = BOUNDS) -> DataFrame:
     """Median-centred coordinates over the median of positive mean k-NN distances (at least 1e-3).
 
-    Adds ``mean_nn`` in the same unit; a lone cell keeps scale 1 and mean 1.
+    Adds ``mean_nn`` in the same unit; a lone cell keeps scale 1 and mean 1. The means are written once, since
+    they serve both the scale and the column.
     """
     region, bounds = ["region_id"], measured(cells, bounds)
     mid_x = exact_percentiles(cells, region, "x", {"mid_x": 0.5}, bounds)
     mid_y = exact_percentiles(cells, region, "y", {"mid_y": 0.5}, bounds)
     lists = N.neighbour_lists(cells, k, bounds=bounds)
     total = F.aggregate("dist", F.lit(0.0), lambda a, d: a + d)
-    means = lists.where(F.size("dist") > 0).select("region_id", F.col("src").alias("cell_id"), (total / F.size("dist")).alias("raw_nn"))
+    means = cut_lineage(lists.where(F.size("dist") > 0).select("region_id", F.col("src").alias("cell_id"), (total / F.size("dist")).alias("raw_nn")))
     scale = exact_percentiles(means.where(F.col("raw_nn") > 0), region, "raw_nn", {"s": 0.5}, bounds)
     unit = F.greatest(F.coalesce(F.col("s"), F.lit(1.0)), F.lit(1e-3))
     return (
@@ -68,11 +69,14 @@ def _median_of_first(dist: Column, count: Column) -> Column:
 
 
 def neighbour_table(points: DataFrame, s: RegionGraphSettings = SETTINGS, bounds: SizeBounds = BOUNDS) -> DataFrame:
-    """Neighbour lists long enough for every scale, with each cell's list sizes and own thresholds."""
+    """Neighbour lists long enough for every scale, with each cell's list sizes and own thresholds.
+
+    Written once: every scale reads them, and whether any list is too short decides the plan.
+    """
     reach = 2 * s.knn_k + max(s.global_max_neighbors, s.knn_k * s.global_knn_multiplier)
     size = F.size("dist")
     base = F.least(F.lit(s.knn_k), size)
-    return (
+    table = (
         N.neighbour_lists(points, reach, bounds=bounds)
         .where(size > 0)
         .withColumn("base_k", base)
@@ -82,6 +86,7 @@ def neighbour_table(points: DataFrame, s: RegionGraphSettings = SETTINGS, bounds
         .withColumn("own_median", _median_of_first(F.col("dist"), F.col("expanded_k")))
         .withColumn("list_full", size >= reach)
     )
+    return cut_lineage(table)
 
 
 def _edges(table: DataFrame, scale: str, hits: Column) -> DataFrame:
@@ -103,6 +108,8 @@ def base_graph(
     within = F.size(F.filter("dist", lambda d: d <= F.col("near_limit")))
     short = F.col("list_full") & (F.element_at("dist", -1) <= F.col("near_limit"))
     listed = _edges(table.where(~short), "base", F.slice(pairs, F.lit(1), F.greatest(F.col("base_k"), within)))
+    if table.where(short).isEmpty():
+        return listed
     rest = _wider(points, table.where(short).withColumn("radius", F.col("near_limit")), "base", None)
     return listed.unionByName(rest)
 
@@ -151,15 +158,17 @@ def global_graph(
     single = F.slice(F.arrays_zip("dst", "dist"), F.col("global_k"), F.lit(1))
     hits = F.when(F.size("far") > 0, F.col("far")).otherwise(single)
     listed = _edges(limited.where(~short), "global", hits)
+    if limited.where(short).isEmpty():
+        return listed
     searched = _wider(points, limited.where(short), "global", s.global_max_neighbors)
     nothing = limited.where(short).join(searched.select("region_id", "src").distinct(), ["region_id", "src"], "left_anti")
     return listed.unionByName(searched).unionByName(_edges(nothing, "global", single))
 
 
 def multiscale_graphs(points: DataFrame, s: RegionGraphSettings = SETTINGS, bounds: SizeBounds = BOUNDS) -> DataFrame:
-    """Edges of all three scales. The lists are written once, as every scale reads them."""
+    """Edges of all three scales."""
     bounds = measured(points, bounds)
-    table = cut_lineage(neighbour_table(points, s, bounds))
+    table = neighbour_table(points, s, bounds)
     return (
         base_graph(points, table, s.mode, bounds)
         .unionByName(expanded_graph(table))

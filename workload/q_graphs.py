@@ -8,7 +8,7 @@ from cytoplane.operators import composition, graphs, ingest
 from cytoplane.operators import neighbors as N
 from cytoplane.operators import region_graphs as R
 from cytoplane.operators.triangulation import delaunay_edges
-from cytoplane.session import measured
+from cytoplane.session import cut_lineage, measured
 from workload import views as V
 from workload.q_composition import PAIRS_SQL, SPACING_SQL, long_form
 from workload.q_ingest import r6
@@ -295,7 +295,7 @@ def components(spark, sf):
 )
 def clustering(spark, sf):
     cells, bounds = normalized(spark, sf)
-    rows = graphs.clustering(delaunay_edges(cells, bounds), cells)
+    rows = graphs.clustering(cut_lineage(delaunay_edges(cells, bounds)), cells)
     return rows.select("region_id", r6(F.col("graph_clustering_mean"), "graph_clustering_mean"))
 
 
@@ -340,7 +340,7 @@ b2 AS (SELECT region_id, b || '|' || c AS "row", a || '|' || b || '|' || c AS co
 
 
 def boundaries(spark, sf):
-    edges = undirected(spark, sf).select("region_id", "src", "dst")
+    edges = cut_lineage(undirected(spark, sf).select("region_id", "src", "dst"))
     return graphs.node_boundary(edges), graphs.edge_boundary(graphs.triangles(edges))
 
 
@@ -523,7 +523,7 @@ def structural_vectors(spark, sf):
         """got AS (SELECT r.region_id, r.src, avg(c.marker_k) AS marker_k, avg(c.marker_v) AS marker_v
              FROM ranked r JOIN cells c ON c.cell_id = r.dst WHERE r.rank <= 6 GROUP BY 1, 2),
            l AS (SELECT region_id, 'marker_k' AS name, marker_k AS value FROM got UNION ALL SELECT region_id, 'marker_v', marker_v FROM got)
-           SELECT region_id, name, round(avg(value), 8) AS mean, round(max(value), 6) AS max, round(var_pop(value), 5) AS variance,
+           SELECT region_id, name, round(avg(value), 9) AS mean, round(max(value), 6) AS max, round(var_pop(value), 5) AS variance,
                   round(ln(1 + count(*)), 6) AS log_count FROM l GROUP BY 1, 2""",
     ),
 )
@@ -532,6 +532,6 @@ def region_pooling(spark, sf):
     state = graphs.neighbour_mean(N.knn(cells, 6), cells, STATE)
     rows = composition.pool(state.unpivot(["region_id", "cell_id"], STATE, "name", "value"))
     return rows.select(
-        "region_id", "name", F.round("mean", 8).alias("mean"), F.round("max", 6).alias("max"),
+        "region_id", "name", F.round("mean", 9).alias("mean"), F.round("max", 6).alias("max"),
         F.round("variance", 5).alias("variance"), F.round("log_count", 6).alias("log_count"),
     )
