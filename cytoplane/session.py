@@ -52,6 +52,14 @@ def measured(cells: DataFrame, bounds: SizeBounds = BOUNDS) -> SizeBounds:
 
 def group_size(rows: DataFrame, keys: list[str], bounds: SizeBounds, per_cell: int = 1) -> int:
     """Upper bound of rows per group: from the measured region size where known, else counted."""
-    if bounds.largest_region is not None and "region_id" in keys:
-        return bounds.largest_region * per_cell
+    known = bounds.largest_region if "region_id" in keys else bounds.largest_scores
+    if known is not None:
+        return known * per_cell
     return largest_group(rows, keys)
+
+
+def measured_scores(scores: DataFrame, keys: list[str], bounds: SizeBounds = BOUNDS) -> SizeBounds:
+    """Bounds that also know the biggest score group."""
+    if bounds.largest_scores is not None:
+        return bounds
+    return replace(bounds, largest_scores=largest_group(scores, keys))

@@ -92,6 +92,7 @@ class SizeBounds:
     triangulation_cells: int = 4096
     diagram_points: int = 2048
     largest_region: int | None = None  # cells in the biggest region, once measured
+    largest_scores: int | None = None  # rows in the biggest score group, once measured
 
 
 BOUNDS = SizeBounds()

@@ -74,6 +74,9 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("quality").cast("int").alias("y"),
         (F.log(F.col("n_chars") + 1.0) - 6.0).alias("main_logit"),
         ((F.col("doc_id") % 17) / 4.0 - 2.0).alias("aux_logit"),
+        ((F.col("doc_id") * 7 % 13) / 3.0 - 2.0).alias("topo_logit"),
+        F.round(1.0 / (1.0 + F.exp(6.0 - F.log(F.col("n_chars") + 1.0))), 6).alias("main_p"),
+        F.round(1.0 / (1.0 + F.exp(2.0 - (F.col("doc_id") % 17) / 4.0)), 6).alias("aux_p"),
         F.col("source").alias("patient_id"),
         F.col("lang").alias("run"),
         (F.col("doc_id") % 4).cast("int").alias("fold"),
@@ -114,7 +117,9 @@ PIXELS_SQL = """pixels AS (
 
 SCORES_SQL = """scores AS (
   SELECT l.doc_id AS row_id, CAST(l.quality AS INTEGER) AS y, ln(d.n_chars + 1.0::DOUBLE) - 6.0::DOUBLE AS main_logit,
-         (l.doc_id % 17) / 4.0::DOUBLE - 2.0::DOUBLE AS aux_logit, d.source AS patient_id, d.lang AS run,
+         (l.doc_id % 17) / 4.0::DOUBLE - 2.0::DOUBLE AS aux_logit, (l.doc_id * 7 % 13) / 3.0::DOUBLE - 2.0::DOUBLE AS topo_logit,
+         round(1.0 / (1.0 + exp(6.0::DOUBLE - ln(d.n_chars + 1.0::DOUBLE))), 6) AS main_p,
+         round(1.0 / (1.0 + exp(2.0::DOUBLE - (l.doc_id % 17) / 4.0::DOUBLE)), 6) AS aux_p, d.source AS patient_id, d.lang AS run,
          CAST(l.doc_id % 4 AS INTEGER) AS fold
   FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"""
 
