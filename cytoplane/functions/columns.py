@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cytoplane.settings import IMMUNE_TYPES, ROLE_TERMS, TUMOR_STROMA_TYPES, VASCULAR_TYPES
+from cytoplane.settings import IMMUNE_TYPES, TUMOR_STROMA_TYPES, VASCULAR_TYPES
 
 
 def patient_id(value: Column) -> Column:
@@ -54,12 +54,6 @@ def has_role(cell_type: Column, terms: Iterable[str]) -> Column:
     return reduce(lambda a, b: a | b, [lowered.contains(term) for term in terms])
 
 
-def roles(cell_type: Column, role_terms: Mapping[str, Iterable[str]] = ROLE_TERMS) -> Column:
-    """Array of every role a type plays."""
-    named = [F.when(has_role(cell_type, terms), F.lit(role)) for role, terms in role_terms.items()]
-    return F.array_compact(F.array(*named))
-
-
 def slug(value: Column) -> Column:
     return F.replace(F.lower(value.cast("string")), F.lit(" "), F.lit("_"))
 

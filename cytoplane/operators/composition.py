@@ -113,11 +113,13 @@ def distance_summary(
     """Min, mean and median of the nearest-target distances; zero where a side is empty."""
     bounds = measured(cells, bounds)
     mins = role_distances(cells, source, targets, role_terms, bounds)
-    basic = mins.groupBy("region_id", "pair").agg(F.min("dist").alias("min"), F.avg("dist").alias("mean"))
-    median = exact_percentiles(mins, ["region_id", "pair"], "dist", {"median": 0.5}, bounds)
+    keys = ["region_id", "pair"]
+    found = exact_percentiles(
+        mins, keys, "dist", {"median": 0.5}, bounds, also={"min": F.min("dist"), "mean": F.avg("dist")}
+    )
     pairs = F.array(*[F.lit(f"{source}_to_{t}") for t in targets])
     every = cells.select("region_id").distinct().withColumn("pair", F.explode(pairs))
-    wide = every.join(basic, ["region_id", "pair"], "left").join(median, ["region_id", "pair"], "left")
+    wide = every.join(found, keys, "left")
     stats = F.array(*[F.struct(F.lit(s).alias("s"), F.coalesce(F.col(s), F.lit(0.0)).alias("v")) for s in ("min", "mean", "median")])
     return wide.select("region_id", "pair", F.explode(stats).alias("e")).select(
         *feature(F.concat("pair", F.lit("_"), "e.s"), F.col("e.v"))
@@ -129,14 +131,15 @@ def patch_rollup(rows: DataFrame, prefix: str = "patch", bounds: SizeBounds = BO
 
     ``rows`` is (region_id, patch..., name, value).
     """
-    basic = rows.groupBy("region_id", "name").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
-    quartiles = exact_percentiles(rows, ["region_id", "name"], "value", {"q25": 0.25, "q75": 0.75}, bounds)
+    rolled = exact_percentiles(
+        rows, ["region_id", "name"], "value", {"q25": 0.25, "q75": 0.75}, bounds,
+        also={"mean": F.avg("value"), "std": F.stddev_pop("value")},
+    )
     stats = F.array(
         *[F.struct(F.lit(s).alias("s"), C.finite_or(F.col(s)).alias("v")) for s in ("mean", "std", "q25", "q75")]
     )
     return (
-        basic.join(quartiles, ["region_id", "name"])
-        .select("region_id", "name", F.explode(stats).alias("e"))
+        rolled.select("region_id", "name", F.explode(stats).alias("e"))
         .select(*feature(F.concat(F.lit(f"{prefix}_"), "name", F.lit("_"), "e.s"), F.col("e.v")))
     )
 

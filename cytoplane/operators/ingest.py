@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cytoplane.functions import columns as C
-from cytoplane.settings import NON_MARKER_COLUMNS, REQUIRED_CELL_COLUMNS
+from cytoplane.settings import NON_MARKER_COLUMNS, REQUIRED_CELL_COLUMNS, ROLE_TERMS
 
 
 def require_columns(df: DataFrame, required: tuple[str, ...] = REQUIRED_CELL_COLUMNS) -> DataFrame:
@@ -102,6 +105,16 @@ def marker_rows(cells: DataFrame, skip: tuple[str, ...] = NON_MARKER_COLUMNS) ->
     return marker_matrix(cells, skip).unpivot(["region_id", "cell_id"], names, "marker", "value")
 
 
+def role_rows(cells: DataFrame, role_terms: dict = ROLE_TERMS) -> DataFrame:
+    """One row per cell and role it plays (region_id, cell_id, role). The type is lowered once, in its own projection."""
+    lowered = cells.select("region_id", "cell_id", F.lower(F.coalesce("cell_type", F.lit(""))).alias("kind"))
+    named = [
+        F.when(reduce(or_, [F.col("kind").contains(t) for t in terms]), F.lit(role)) for role, terms in role_terms.items()
+    ]
+    listed = lowered.select("region_id", "cell_id", F.explode(F.array(*named)).alias("role"))
+    return listed.where(F.col("role").isNotNull())
+
+
 def vocabulary(df: DataFrame, column: str, code: str) -> DataFrame:
     """Distinct values in order with dense numbers from 0; the window runs over the distinct values only."""
     distinct = df.select(column).where(F.col(column).isNotNull()).distinct()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cytoplane.session import group_size
@@ -18,19 +18,37 @@ def exact_percentiles(
     named: dict[str, float],
     bounds: SizeBounds = BOUNDS,
     per_cell: int = 1,
+    also: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """One row per group with the named percentiles of ``value`` (nulls ignored).
+    """One row per group with the named percentiles of ``value`` (nulls ignored) and further aggregates ``also``.
 
-    ``per_cell`` is how many rows a cell contributes at most.
-
-    The built-in exact aggregate keeps a group's distinct values in one buffer, so it serves only while every
-    group is within bounds. Larger groups are cut into slices by approximate split points; slice counts tell which
+    ``per_cell`` is how many rows a cell contributes at most. Groups within bounds are ordered whole, in one shuffle
+    and a sort that can spill. Larger groups are cut into slices by approximate split points; slice counts tell which
     slices hold the wanted ranks, and only those are ordered.
     """
     rows = rows.where(F.col(value).isNotNull())
     if group_size(rows, keys, bounds, per_cell) <= bounds.percentile_rows:
-        return rows.groupBy(*keys).agg(*[F.percentile(value, p).alias(name) for name, p in named.items()])
-    return _sliced_percentiles(rows, keys, value, named)
+        return _sorted_percentiles(rows, keys, value, named, also or {})
+    found = _sliced_percentiles(rows, keys, value, named)
+    if not also:
+        return found
+    return found.join(rows.groupBy(*keys).agg(*[a.alias(n) for n, a in also.items()]), keys)
+
+
+def _sorted_percentiles(
+    rows: DataFrame, keys: list[str], value: str, named: dict[str, float], also: dict[str, Column]
+) -> DataFrame:
+    group = Window.partitionBy(*keys)
+    seated = rows.withColumn("seat", F.row_number().over(group.orderBy(value)) - 1).withColumn(
+        "last_seat", F.count("*").over(group) - 1
+    )
+    chosen = []
+    for name, p in named.items():
+        place = F.lit(float(p)) * F.col("last_seat")
+        low = F.max(F.when(F.col("seat") == F.floor(place), F.col(value)))
+        high = F.max(F.when(F.col("seat") == F.ceil(place), F.col(value)))
+        chosen.append((low + (high - low) * F.max(place - F.floor(place))).alias(name))
+    return seated.groupBy(*keys).agg(*chosen, *[a.alias(n) for n, a in also.items()])
 
 
 def _sliced_percentiles(rows: DataFrame, keys: list[str], value: str, named: dict[str, float]) -> DataFrame:

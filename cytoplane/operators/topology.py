@@ -5,9 +5,12 @@ A group is (region_id, scope, subset): scope ``region`` or a patch, subset a rol
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cytoplane.functions import columns as C
@@ -23,21 +26,23 @@ SUMMARY_STATS = (
 )
 
 
-def subsets_of(cell_type: Column, role_terms: dict = ROLE_TERMS) -> Column:
-    """Names of the subsets a cell belongs to; a union holds cells of either role."""
-    named = []
-    for subset, roles in SUBSET_ROLES.items():
-        member = C.has_role(cell_type, [t for role in roles for t in role_terms[role]])
-        named.append(F.when(member, F.lit(subset)))
-    return F.array_compact(F.array(*named))
-
-
 def subset_points(cells: DataFrame, role_terms: dict = ROLE_TERMS) -> DataFrame:
-    """Cells once per subset (region_id, scope?, subset, cell_id, x, y)."""
+    """Cells once per subset they belong to (region_id, scope, subset, cell_id, x, y); a union holds either role.
+
+    Types are lowered, roles tested and subsets listed in three projections, so no test is repeated.
+    """
     scope = [F.col("scope")] if "scope" in cells.columns else [F.lit("region").alias("scope")]
-    return cells.select(
-        "region_id", *scope, F.explode(subsets_of(F.col("cell_type"), role_terms)).alias("subset"), "cell_id", "x", "y"
+    roles = sorted({role for needed in SUBSET_ROLES.values() for role in needed})
+    lowered = cells.select("region_id", *scope, "cell_id", "x", "y", F.lower(F.coalesce("cell_type", F.lit(""))).alias("kind"))
+    flagged = lowered.select(
+        "region_id", "scope", "cell_id", "x", "y",
+        *[reduce(or_, [F.col("kind").contains(t) for t in role_terms[r]]).alias(f"is_{r}") for r in roles],
     )
+    named = [
+        F.when(reduce(or_, [F.col(f"is_{role}") for role in needed]), F.lit(subset)) for subset, needed in SUBSET_ROLES.items()
+    ]
+    listed = flagged.select("region_id", "scope", F.explode(F.array(*named)).alias("subset"), "cell_id", "x", "y")
+    return listed.where(F.col("subset").isNotNull())
 
 
 def assign_patches(cells: DataFrame, patch_size: float = 12.0, minimum: int = 6) -> DataFrame:
@@ -51,61 +56,78 @@ def assign_patches(cells: DataFrame, patch_size: float = 12.0, minimum: int = 6)
     return placed.join(kept, ["region_id", "scope"], "left_semi")
 
 
-def _spanning_lengths(dist: np.ndarray) -> np.ndarray:
-    """Edge lengths of a minimum spanning tree (one vertex joins per step)."""
-    n = dist.shape[0]
-    reach = dist[0].copy()
-    outside = np.ones(n, dtype=bool)
-    outside[0] = False
-    lengths = np.empty(max(n - 1, 0))
-    for step in range(n - 1):
-        nearest = int(np.argmin(np.where(outside, reach, np.inf)))
-        lengths[step] = reach[nearest]
-        outside[nearest] = False
-        np.minimum(reach, dist[nearest], out=reach)
-    return np.sort(lengths)
-
-
-def _loop_bars(dist: np.ndarray) -> list[tuple[float, float]]:
-    """Birth and death of one-dimensional classes of the Rips filtration.
-
-    Triangles enter in the order of their longest edge; each reduced boundary, kept as the bit set of edge ranks,
-    closes the loop born with its highest edge. Past the enclosing radius every loop is closed.
+def _edge_ranks(dist: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All pairs in (length, i, j) order."""
+    i, j = np.triu_indices(dist.shape[0], 1)
+    lengths = dist[i, j]
+    order = np.lexsort((j, i, lengths))
+    return i[order], j[order], lengths[order]
+
+
+def _tree_edges(n: int, i: np.ndarray, j: np.ndarray) -> list[int]:
+    """Positions of the ordered edges that join two parts: the minimum spanning tree."""
+    part = np.arange(n)
+    tree: list[int] = []
+    e = 0
+    while len(tree) < n - 1:
+        a, b = part[i[e]], part[j[e]]
+        if a != b:
+            part[part == b] = a
+            tree.append(e)
+        e += 1
+        if a == b:  # skip ahead over edges inside a part
+            ahead = np.flatnonzero(part[i[e:]] != part[j[e:]])
+            e += int(ahead[0]) if ahead.size else 0
+    return tree
+
+
+def _loop_bars(dist: np.ndarray, i: np.ndarray, j: np.ndarray, lengths: np.ndarray, tree: list[int]) -> list[tuple[float, float]]:
+    """Birth and death of one-dimensional classes of the Rips filtration, by cohomology over Z2.
+
+    A triangle is named by its longest edge and the vertex opposite. An edge that is the longest of some triangle
+    dies at once with the first of them. Only edges that are the longest of none, and not in the tree, start a loop;
+    from the longest down, their set of triangles is reduced until its first triangle belongs to no other edge, which
+    ends the loop. Past the enclosing radius every loop is closed, so longer edges are left out.
     """
     n = dist.shape[0]
     if n < 4:
         return []
-    i, j = np.triu_indices(n, 1)
-    lengths = dist[i, j]
-    radius = dist.max(axis=1).min()
-    keep = lengths <= radius
-    i, j, lengths = i[keep], j[keep], lengths[keep]
-    order = np.lexsort((j, i, lengths))
-    i, j, lengths = i[order], j[order], lengths[order]
-    rank = np.full((n, n), lengths.size)
-    rank[i, j] = rank[j, i] = np.arange(lengths.size)
-    np.fill_diagonal(rank, lengths.size)
-    loops_left = lengths.size - (n - 1)
-    owner: dict[int, int] = {}
+    kept = int(np.searchsorted(lengths, dist.max(axis=1).min(), side="right"))
+    i, j = i[:kept], j[:kept]
+    rank = np.full((n, n), kept)
+    rank[i, j] = rank[j, i] = np.arange(kept)
+    apex = np.full(kept, -1)
+    for start in range(0, kept, max(1, 1_000_000 // n)):
+        span = slice(start, min(kept, start + max(1, 1_000_000 // n)))
+        inside = np.maximum(rank[i[span]], rank[j[span]]) < np.arange(span.start, span.stop)[:, None]
+        apex[span] = np.where(inside.any(axis=1), inside.argmax(axis=1), -1)
+    everyone = np.arange(n)
+
+    def triangles_on(e: int) -> set[int]:
+        a, b = i[e], j[e]
+        longest = np.maximum(np.maximum(rank[a], rank[b]), e)
+        opposite = np.where(longest == e, everyone, np.where(longest == rank[a], b, a))
+        usable = longest < kept
+        usable[a] = usable[b] = False
+        return set((longest[usable] * n + opposite[usable]).tolist())
+
+    starts = np.flatnonzero(apex < 0)
+    starts = starts[~np.isin(starts, tree)]
+    owner: dict[int, set[int]] = {}
     bars = []
-    for e in range(lengths.size):
-        if loops_left == 0:
-            break
-        a, b = int(i[e]), int(j[e])
-        thirds = np.flatnonzero(np.maximum(rank[a], rank[b]) < e)
-        for c in thirds.tolist():
-            column = (1 << e) | (1 << int(rank[a, c])) | (1 << int(rank[b, c]))
-            while column:
-                top = column.bit_length() - 1
-                other = owner.get(top)
-                if other is None:
-                    owner[top] = column
-                    loops_left -= 1
-                    if lengths[e] > lengths[top]:
-                        bars.append((float(lengths[top]), float(lengths[e])))
-                    break
-                column ^= other
-            if loops_left == 0:
+    for e in starts[::-1].tolist():
+        chain = triangles_on(e)
+        while chain:
+            first = min(chain)
+            edge, opposite = divmod(first, n)
+            if apex[edge] == opposite:
+                chain ^= triangles_on(edge)
+            elif first in owner:
+                chain ^= owner[first]
+            else:
+                owner[first] = chain
+                if lengths[edge] > lengths[e]:
+                    bars.append((float(lengths[e]), float(lengths[edge])))
                 break
     return bars
 
@@ -123,11 +145,13 @@ def _diagram_kernel(dims: tuple[int, ...]):
             rows = rows[np.argsort(ids[rows], kind="stable")]
             dx, dy = x[rows, None] - x[None, rows], y[rows, None] - y[None, rows]
             dist = np.sqrt(dx * dx + dy * dy)
+            ends = _edge_ranks(dist)
+            tree = _tree_edges(rows.size, ends[0], ends[1])
             bars = []
             if 0 in dims:
-                bars += [(0, 0.0, d) for d in _spanning_lengths(dist).tolist()] + [(0, 0.0, None)]
+                bars += [(0, 0.0, d) for d in ends[2][tree].tolist()] + [(0, 0.0, None)]
             if 1 in dims:
-                bars += [(1, b, d) for b, d in _loop_bars(dist)]
+                bars += [(1, b, d) for b, d in _loop_bars(dist, *ends, tree)]
             subset += [name] * len(bars)
             dim += [b[0] for b in bars]
             birth += [b[1] for b in bars]
@@ -188,7 +212,7 @@ def persistence_entropy(lives: DataFrame, totals: DataFrame) -> DataFrame:
 
 
 def curve_stats(lives: DataFrame, totals: DataFrame, grid_size: int = 32) -> DataFrame:
-    """Betti curve (area, peak, mean) and silhouette (mean, peak) on an even grid over the diagram's range.
+    """Betti curve (area, peak, mean), silhouette (mean, peak) on an even grid over the range, and the entropy.
 
     Bars are spread over the grid and summed per grid point, so a diagram of any size aggregates map-side.
     """
@@ -207,7 +231,8 @@ def curve_stats(lives: DataFrame, totals: DataFrame, grid_size: int = 32) -> Dat
     tent = F.greatest(F.lit(0.0), F.least(F.col("t") - F.col("birth"), F.col("death") - F.col("t")))
     weight = F.col("life") / F.greatest(F.col("total_persistence"), F.lit(1e-12))
     curve = on_grid.groupBy(*DIAGRAM, "i", "step").agg(
-        F.count_if(alive).cast("double").alias("betti"), F.sum(weight * tent).alias("silhouette")
+        F.count_if(alive).cast("double").alias("betti"), F.sum(weight * tent).alias("silhouette"),
+        F.sum(F.when(F.col("i") == 0, C.entropy_term(F.col("life") / F.col("total_persistence")))).alias("entropy"),
     )
     at_end = (F.col("i") == 0) | (F.col("i") == grid_size - 1)
     trapezoid = F.col("betti") * F.col("step") * F.when(at_end, 0.5).otherwise(1.0)
@@ -217,6 +242,7 @@ def curve_stats(lives: DataFrame, totals: DataFrame, grid_size: int = 32) -> Dat
         F.avg("betti").alias("betti_mean"),
         F.avg("silhouette").alias("silhouette_mean"),
         F.max("silhouette").alias("silhouette_peak"),
+        F.max("entropy").alias("entropy"),
     )
 
 
@@ -244,8 +270,7 @@ def diagram_summary(
         *[F.max(F.when(F.col("rank") == i + 1, F.col("life"))).alias(f"top_lifetime_{i + 1}") for i in range(k)]
     )
     found = (
-        totals.join(persistence_entropy(lives, totals), DIAGRAM, "left")
-        .join(curve_stats(lives, totals, grid_size), DIAGRAM, "left")
+        totals.join(curve_stats(lives, totals, grid_size), DIAGRAM, "left")
         .join(top, DIAGRAM, "left")
     )
     every = (

@@ -180,7 +180,7 @@ ROLE_ROWS_SQL = "role_rows AS (" + " UNION ALL ".join(
 
 @query("p8_role_rows", with_views(TYPED_SQL, ROLE_ROWS_SQL, "SELECT region_id, cell_id, role FROM role_rows"))
 def role_rows(spark, sf):
-    return typed_cells(spark, sf).select("region_id", "cell_id", F.explode(C.roles(F.col("cell_type"))).alias("role"))
+    return ingest.role_rows(typed_cells(spark, sf))
 
 
 @query("p9_slugs", "SELECT DISTINCT replace(lower(c_name || ' ' || c_mktsegment), ' ', '_') AS slug FROM customer")
