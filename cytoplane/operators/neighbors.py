@@ -188,8 +188,9 @@ def within_radius(
 ) -> DataFrame:
     """Directed edges (keys, src, dst, dist) to every target within the query's own radius.
 
-    ``radius`` is a column expression over ``points``. Two cells can only meet in the same or an adjacent square
-    of the group's grid whose side is the group's largest radius, so the join is an equi-join on the square.
+    ``radius`` is a column expression over ``points``. Each query looks at the 3 x 3 squares around it in a grid whose
+    side is its own radius rounded up to a power of two, and targets enter every grid in use in their group. So the
+    join is an equi-join on the square, and what it compares grows with what it returns, not with the widest query.
     """
     keys = keys or ["region_id"]
     have = set(points.columns)
@@ -197,30 +198,29 @@ def within_radius(
     marked = _flagged(marked, keys, "radius")
     asks = marked.where("is_query") if "is_query" in have else marked
     offers = marked.where("is_target") if "is_target" in have else marked
-    side = asks.groupBy(*keys).agg(F.greatest(F.max("radius"), F.lit(1e-9)).alias("side"))
-    square = lambda axis: F.floor(F.col(axis) / F.col("side")).cast("long")
-    near = F.sequence(F.lit(-1), F.lit(1))
-    left = asks.join(side, keys).select(
-        *keys, F.col("cell_id").alias("src"), F.col("x").alias("sx"), F.col("y").alias("sy"), "radius",
-        square("x").alias("gx"), square("y").alias("gy"),
-    )
-    right = (
-        offers.join(side, keys)
-        .select(
-            *keys, F.col("cell_id").alias("dst"), F.col("x").alias("dx"), F.col("y").alias("dy"),
-            square("x").alias("hx"), square("y").alias("hy"), F.explode(near).alias("ox"),
+    level = F.ceil(F.log2(F.greatest(F.col("radius"), F.lit(1e-9)))).cast("int")
+    asks = asks.withColumn("level", level)
+    levels = asks.select(*keys, "level").distinct()
+    square = lambda axis: F.floor(F.col(axis) / F.pow(F.lit(2.0), F.col("level"))).cast("long")
+    around = lambda axis: F.explode(F.sequence(square(axis) - 1, square(axis) + 1))
+    left = (
+        asks.select(
+            *keys, F.col("cell_id").alias("src"), F.col("x").alias("sx"), F.col("y").alias("sy"), "radius", "level",
+            around("x").alias("gx"), square("y").alias("hy"),
         )
-        .withColumn("oy", F.explode(near))
-        .withColumn("gx", F.col("hx") + F.col("ox"))
-        .withColumn("gy", F.col("hy") + F.col("oy"))
-        .drop("hx", "hy", "ox", "oy")
+        .withColumn("gy", F.explode(F.sequence(F.col("hy") - 1, F.col("hy") + 1)))
+        .drop("hy")
+    )
+    right = offers.join(levels, keys).select(
+        *keys, F.col("cell_id").alias("dst"), F.col("x").alias("dx"), F.col("y").alias("dy"), "level",
+        square("x").alias("gx"), square("y").alias("gy"),
     )
     dist = F.sqrt(
         (F.col("sx") - F.col("dx")) * (F.col("sx") - F.col("dx"))
         + (F.col("sy") - F.col("dy")) * (F.col("sy") - F.col("dy"))
     )
     return (
-        left.hint("merge").join(right, [*keys, "gx", "gy"])
+        left.hint("merge").join(right, [*keys, "level", "gx", "gy"])
         .where(F.col("src") != F.col("dst"))
         .withColumn("dist", dist)
         .where(F.col("dist") <= F.col("radius"))

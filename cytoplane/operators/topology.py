@@ -16,9 +16,11 @@ from pyspark.sql import functions as F
 from cytoplane.functions import columns as C
 from cytoplane.operators.composition import patch_rollup
 from cytoplane.operators.neighbors import spread_groups
+from cytoplane.operators.triangulation import delaunay_pairs
 from cytoplane.session import cut_lineage, largest_group, measured
 from cytoplane.settings import BOUNDS, ROLE_TERMS, SUBSET_ROLES, FeatureSettings, SizeBounds
 
+DENSE_POINTS = 2048
 GROUP = ["region_id", "scope", "subset"]
 DIAGRAM = [*GROUP, "dim"]
 SUMMARY_STATS = (
@@ -81,6 +83,32 @@ def _tree_edges(n: int, i: np.ndarray, j: np.ndarray) -> list[int]:
     return tree
 
 
+def _sparse_tree_lengths(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Spanning-tree lengths of many points: the tree lies inside the Delaunay edges, so only those are joined."""
+    spots = np.unique(np.stack([x, y], axis=1), axis=0)
+    copies = np.zeros(x.size - len(spots))
+    sx, sy = spots[:, 0], spots[:, 1]
+    pairs = np.array(sorted(delaunay_pairs(sx, sy)), dtype=np.int64).reshape(-1, 2) if len(spots) > 2 else np.zeros((0, 2), np.int64)
+    if len(pairs) == 0:  # on one line, neighbours in order are the tree
+        pairs = np.stack([np.arange(len(spots) - 1), np.arange(1, len(spots))], axis=1)
+    lengths = np.hypot(sx[pairs[:, 0]] - sx[pairs[:, 1]], sy[pairs[:, 0]] - sy[pairs[:, 1]])
+    parent = list(range(len(spots)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    kept = []
+    for e in np.argsort(lengths, kind="stable").tolist():
+        a, b = root(int(pairs[e, 0])), root(int(pairs[e, 1]))
+        if a != b:
+            parent[b] = a
+            kept.append(lengths[e])
+    return np.concatenate([copies, np.array(kept)])
+
+
 def _loop_bars(dist: np.ndarray, i: np.ndarray, j: np.ndarray, lengths: np.ndarray, tree: list[int]) -> list[tuple[float, float]]:
     """Birth and death of one-dimensional classes of the Rips filtration, by cohomology over Z2.
 
@@ -143,6 +171,13 @@ def _diagram_kernel(dims: tuple[int, ...]):
             if rows.size < 2:
                 continue
             rows = rows[np.argsort(ids[rows], kind="stable")]
+            if dims == (0,) and rows.size > DENSE_POINTS:
+                deaths = [*_sparse_tree_lengths(x[rows], y[rows]).tolist(), None]
+                subset += [name] * len(deaths)
+                dim += [0] * len(deaths)
+                birth += [0.0] * len(deaths)
+                death += deaths
+                continue
             dx, dy = x[rows, None] - x[None, rows], y[rows, None] - y[None, rows]
             dist = np.sqrt(dx * dx + dy * dy)
             ends = _edge_ranks(dist)
@@ -174,12 +209,13 @@ def _diagram_kernel(dims: tuple[int, ...]):
 def diagrams(points: DataFrame, dims: tuple[int, ...] = (0, 1), bounds: SizeBounds = BOUNDS) -> DataFrame:
     """Persistence bars (region_id, scope, subset, dim, birth, death) of the Rips filtration; death null = never.
 
-    One task holds the distance matrix of one subset of one scope, so the largest subset is checked first; points
-    are never thinned.
+    One task holds one scope's subsets, so the largest subset is checked first: loops need the matrix of all distances,
+    connected parts alone only the Delaunay edges. Points are never thinned.
     """
     biggest = largest_group(points, GROUP)
-    if biggest > bounds.diagram_points:
-        raise ValueError(f"a subset has {biggest} points, more than the {bounds.diagram_points} one task may hold")
+    most = bounds.diagram_points if 1 in dims else bounds.tree_points
+    if biggest > most:
+        raise ValueError(f"a subset has {biggest} points, more than the {most} one task may hold")
     kind = dict(points.dtypes)["region_id"]
     schema = f"region_id {kind}, scope string, subset string, dim int, birth double, death double"
     rows = points.select(*GROUP, "cell_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))

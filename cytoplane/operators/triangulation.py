@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import deque
 
 import numpy as np
@@ -13,13 +14,80 @@ from cytoplane.session import group_size
 from cytoplane.settings import BOUNDS, SizeBounds
 
 
-def delaunay_pairs(x: np.ndarray, y: np.ndarray) -> set[tuple[int, int]]:
+class _Buckets:
+    """Points of one region in square buckets of about four, to look near a spot only."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray):
+        self.left, self.bottom = float(x.min()), float(y.min())
+        self.right, self.top = float(x.max()), float(y.max())
+        spread = max((self.right - self.left) * (self.top - self.bottom), 1e-300)
+        longest = max(self.right - self.left, self.top - self.bottom)
+        self.side = max(math.sqrt(4.0 * spread / x.size), longest / 4096, 1e-300)
+        self.rows = int((self.top - self.bottom) / self.side) + 1
+        self.columns = int((self.right - self.left) / self.side) + 1
+        bucket = self._column(x).astype(np.int64) * self.rows + self._row(y).astype(np.int64)
+        self.order = np.argsort(bucket, kind="stable")
+        self.starts = np.searchsorted(bucket[self.order], np.arange(self.rows * self.columns + 1))
+
+    def _column(self, x):
+        return np.clip(np.floor((x - self.left) / self.side), 0, self.columns - 1)
+
+    def _row(self, y):
+        return np.clip(np.floor((y - self.bottom) / self.side), 0, self.rows - 1)
+
+    def covers(self, x0: float, x1: float, y0: float, y1: float) -> bool:
+        return x0 <= self.left and x1 >= self.right and y0 <= self.bottom and y1 >= self.top
+
+    def within(self, x0: float, x1: float, y0: float, y1: float) -> np.ndarray:
+        """Positions, ascending, of a superset of the points in the box."""
+        first, last = int(self._row(y0)), int(self._row(y1))
+        parts = []
+        for column in range(int(self._column(x0)), int(self._column(x1)) + 1):
+            base = column * self.rows
+            parts.append(self.order[self.starts[base + first] : self.starts[base + last + 1]])
+        return np.sort(np.concatenate(parts))
+
+
+def delaunay_pairs(x: np.ndarray, y: np.ndarray, all_pairs_below: int = 400) -> set[tuple[int, int]]:
     """Edges of the Delaunay triangulation of distinct points, found by growing triangles over open edges.
 
-    For an oriented edge the next vertex is the point on its left whose circle reaches least far to the left;
-    of points on one circle the first wins. Empty for collinear input.
+    For an oriented edge the next vertex is the point on its left whose circle reaches least far to the left; of
+    points on one circle the first wins. Larger sets look in a window around the edge, and again in the box of the
+    circle found if that sticks out, as only a point inside the circle could be better. Empty for collinear input.
     """
     flat = 1e-12 * max(float(np.ptp(x)), float(np.ptp(y)), 1e-300) ** 2
+    everyone = np.arange(x.size)
+    buckets = _Buckets(x, y) if x.size > all_pairs_below else None
+
+    def best(a: int, b: int, among: np.ndarray) -> tuple[int, float]:
+        ax, ay, bx, by = x[among] - x[a], y[among] - y[a], x[among] - x[b], y[among] - y[b]
+        left = (x[b] - x[a]) * ay - (y[b] - y[a]) * ax
+        ahead = np.flatnonzero(left > flat)
+        if ahead.size == 0:
+            return -1, 0.0
+        reach = (ax[ahead] * bx[ahead] + ay[ahead] * by[ahead]) / left[ahead]
+        at = int(np.argmin(reach))
+        return int(among[ahead[at]]), float(reach[at])
+
+    def third(a: int, b: int) -> int:
+        if buckets is None:
+            return best(a, b, everyone)[0]
+        mx, my = (x[a] + x[b]) / 2, (y[a] + y[b]) / 2
+        half = max(2.0 * math.hypot(x[b] - x[a], y[b] - y[a]), 2.0 * buckets.side)
+        while True:
+            window = (mx - half, mx + half, my - half, my + half)
+            c, reach = best(a, b, buckets.within(*window))
+            if c >= 0:
+                break
+            if buckets.covers(*window):
+                return -1
+            half *= 4.0
+        cx, cy = mx - reach / 2 * (y[b] - y[a]), my + reach / 2 * (x[b] - x[a])
+        r = math.hypot(cx - x[a], cy - y[a]) * (1 + 1e-9)
+        if cx - r >= window[0] and cx + r <= window[1] and cy - r >= window[2] and cy + r <= window[3]:
+            return c
+        return best(a, b, buckets.within(cx - r, cx + r, cy - r, cy + r))[0]
+
     near = (x[1:] - x[0]) ** 2 + (y[1:] - y[0]) ** 2
     start = (0, int(np.argmin(near)) + 1)
     waiting = deque([start, start[::-1]])
@@ -29,14 +97,10 @@ def delaunay_pairs(x: np.ndarray, y: np.ndarray) -> set[tuple[int, int]]:
         a, b = waiting.popleft()
         if (a, b) in closed:
             continue
-        ax, ay, bx, by = x - x[a], y - y[a], x - x[b], y - y[b]
-        left = (x[b] - x[a]) * ay - (y[b] - y[a]) * ax
-        ahead = np.flatnonzero(left > flat)
-        if ahead.size == 0:
+        c = third(a, b)
+        if c < 0:
             closed.add((a, b))
             continue
-        reach = (ax[ahead] * bx[ahead] + ay[ahead] * by[ahead]) / left[ahead]
-        c = int(ahead[np.argmin(reach)])
         for u, v in ((a, b), (b, c), (c, a)):
             closed.add((u, v))
             pairs.add((min(u, v), max(u, v)))
@@ -46,6 +110,24 @@ def delaunay_pairs(x: np.ndarray, y: np.ndarray) -> set[tuple[int, int]]:
 
 
 def _mutual_pairs(x: np.ndarray, y: np.ndarray, k: int) -> set[tuple[int, int]]:
+    """Mutual k-NN pairs of a collinear set. Along the line the k nearest lie among the k next on either side."""
+    if x.size > 2000:
+        order = np.lexsort((np.arange(x.size), y, x))
+        gaps, ends = [], []
+        for shift in range(-k, k + 1):
+            if shift:
+                other = np.roll(order, -shift)
+                d = np.hypot(x[order] - x[other], y[order] - y[other])
+                wrapped = np.arange(x.size) + shift
+                d[(wrapped < 0) | (wrapped >= x.size)] = np.inf
+                gaps.append(d)
+                ends.append(other)
+        gap, end = np.stack(gaps, 1), np.stack(ends, 1)
+        by_id = np.argsort(end, axis=1, kind="stable")
+        gap, end = np.take_along_axis(gap, by_id, 1), np.take_along_axis(end, by_id, 1)
+        rows, cols, _ = _nearest_rows(gap, k)
+        directed = set(zip(order[rows].tolist(), end[rows, cols].tolist()))
+        return {(i, j) for i, j in directed if i < j and (j, i) in directed}
     dist = np.sqrt((x[:, None] - x[None, :]) ** 2 + (y[:, None] - y[None, :]) ** 2)
     np.fill_diagonal(dist, np.inf)
     rows, cols, _ = _nearest_rows(dist, k)

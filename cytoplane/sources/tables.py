@@ -68,7 +68,7 @@ def make_study(cells: DataFrame, dataset: str, meta: dict[str, str]) -> Study:
 
 def read_channel_names(spark: SparkSession, path: str) -> list[str]:
     """Non-blank lines of a channel list in file order; a list of names, one per image channel."""
-    lines = spark.read.option("wholetext", True).text(path).first()
+    lines = spark.read.text(path, wholetext=True).first()
     text = lines["value"] if lines else ""
     return [line.strip() for line in text.splitlines() if line.strip()]
 
@@ -76,7 +76,7 @@ def read_channel_names(spark: SparkSession, path: str) -> list[str]:
 def read_type_dictionary(spark: SparkSession, path: str) -> DataFrame:
     """(cell_type_id, cell_type) from a text of the form {0: 'Tumor', 1: 'Stroma', ...}."""
     pair = r"""(-?\d+)['"]?\s*:\s*['"]([^'"]*)['"]"""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     ids = F.regexp_extract_all("value", F.lit(pair), F.lit(1))
     names = F.regexp_extract_all("value", F.lit(pair), F.lit(2))
     return whole.select(F.explode(F.arrays_zip(ids.alias("i"), names.alias("n"))).alias("p")).select(

@@ -71,3 +71,14 @@ def test_diagrams_and_summary(spark):
     assert values["tumor_h0_entropy"] == pytest.approx(math.log(3))
     assert values["tumor_h1_top_lifetime_1"] == pytest.approx(math.sqrt(2) - 1)
     assert values["tumor_h0_betti_peak"] == 3 and values["tumor_h0_betti_area"] == pytest.approx(3.0)
+
+
+def test_tree_of_many_points_from_delaunay_edges():
+    rng = np.random.default_rng(3)
+    points = np.concatenate([rng.random((150, 2)), np.full((5, 2), 0.5)])
+    dist = np.sqrt(((points[:, None] - points[None]) ** 2).sum(-1))
+    ends = topology._edge_ranks(dist)
+    want = ends[2][topology._tree_edges(len(points), ends[0], ends[1])]
+    assert np.sort(topology._sparse_tree_lengths(points[:, 0], points[:, 1])) == pytest.approx(np.sort(want))
+    line = np.arange(20.0)
+    assert topology._sparse_tree_lengths(line, 2 * line) == pytest.approx(np.full(19, math.sqrt(5)))
