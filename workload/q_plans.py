@@ -22,7 +22,7 @@ from workload.q_composition import DISTANCE_SQL, EXTENT_SQL, ROLE_MINS_SQL, long
 from workload.q_graphs import DELAUNAY, MUTUAL_SQL, NORM, STATE, TRIANGLES_SQL, pairs_of
 from workload.q_ingest import r6
 from workload.q_scoring import MEANS_SQL, METRICS_SQL, metric_means, metric_rows
-from workload.q_topology import POINTS_SQL, SCOPES_SQL, SUMMARY_SQL, tree_sql
+from workload.q_topology import BOTH_SCOPES, POINTS_SQL, SCOPES_SQL, SUMMARY_SQL, tree_sql
 from workload.registry import query, with_views
 
 F0_SQL = (
@@ -68,6 +68,22 @@ def baseline_features(spark, sf):
     return long_form(P.baseline_features(V.cells(spark, sf)))
 
 
+@query(
+    "t13_connected_feature_table",
+    recursive(
+        with_views(
+            *F0_SQL, *BOTH_SCOPES, V.REGIONS_SQL,
+            """families AS (SELECT region_id, 'F0' AS feature_family, name, value FROM f0 UNION ALL SELECT region_id, 'F1', name, value FROM f1)
+               SELECT region_id, sample_id, patient_id, label, 'unassigned' AS split, feature_family, name, round(value, 6) + 0.0::DOUBLE AS value
+               FROM families JOIN regions USING (region_id)""",
+        )
+    ),
+)
+def connected_feature_table(spark, sf):
+    table = P.feature_table(V.cells(spark, sf), V.regions(spark, sf), dims=(0,))
+    return table.withColumn("value", F.round("value", 6) + 0.0)
+
+
 @query("t13_feature_table")
 def feature_table(spark, sf):
     table = P.feature_table(V.cells(spark, sf), V.regions(spark, sf))
@@ -249,6 +265,32 @@ def annotation_tsv(spark, sf):
     return tables.read_annotations(spark, folder)
 
 
+@query("s4_channel_names", "SELECT event_type AS channel, CAST(row_number() OVER (ORDER BY event_type) - 1 AS INTEGER) AS position FROM (SELECT DISTINCT event_type FROM events)")
+def channel_names(spark, sf):
+    folder = scratch(spark)
+    kinds = V.table(spark, sf, "events").select("event_type").distinct().agg(F.sort_array(F.collect_list("event_type")).alias("k"))
+    kinds.select(F.concat(F.lit(" "), F.array_join("k", " \n\n "))).coalesce(1).write.text(folder)
+    names = tables.read_channel_names(spark, folder)
+    return spark.createDataFrame(list(enumerate(names)), "position int, channel string")
+
+
+@query("s5_type_dictionary", "SELECT CAST(row_number() OVER (ORDER BY event_type) - 1 AS INTEGER) AS cell_type_id, event_type AS cell_type FROM (SELECT DISTINCT event_type FROM events)")
+def type_dictionary(spark, sf):
+    folder = scratch(spark)
+    kinds = V.table(spark, sf, "events").select("event_type").distinct().agg(F.sort_array(F.collect_list("event_type")).alias("k"))
+    entries = F.transform("k", lambda v, i: F.concat(i.cast("string"), F.lit(": '"), v, F.lit("'")))
+    kinds.select(F.concat(F.lit("{"), F.array_join(entries, ", "), F.lit("}"))).coalesce(1).write.text(folder)
+    return tables.read_type_dictionary(spark, folder)
+
+
+@query(
+    "w4_sorted_region_table",
+    with_views(V.CELLS_SQL, V.REGIONS_SQL, "SELECT region_id, sample_id, patient_id, label, count(*) AS n_cells FROM cells JOIN regions USING (region_id) GROUP BY ALL ORDER BY region_id"),
+)
+def sorted_region_table(spark, sf):
+    return tables.make_study(labelled_cells(spark, sf), "events", {"source": sf}).regions.orderBy("region_id")
+
+
 @query(
     "s7_s8_study_round_trip",
     with_views(V.CELLS_SQL, V.REGIONS_SQL, "SELECT region_id, sample_id, patient_id, label, count(*) AS n_cells, round(sum(x), 8) AS total_x FROM cells JOIN regions USING (region_id) GROUP BY ALL"),

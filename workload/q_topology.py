@@ -188,7 +188,7 @@ def diagram_summary(spark, sf):
 
 
 ROLLUP_SQL = """rolled AS (SELECT region_id, name, avg(value) AS mean, stddev_pop(value) AS std, quantile_cont(value, 0.25) AS q25,
-  quantile_cont(value, 0.75) AS q75 FROM summary_rows GROUP BY 1, 2),
+  quantile_cont(value, 0.75) AS q75 FROM summary_rows WHERE scope <> 'region' GROUP BY 1, 2),
 rollup_rows AS (SELECT region_id, 'patch_' || name || '_' || s AS name, CASE s WHEN 'mean' THEN mean WHEN 'std' THEN std WHEN 'q25' THEN q25 ELSE q75 END AS value
   FROM rolled CROSS JOIN (VALUES ('mean'), ('std'), ('q25'), ('q75')) t(s))"""
 
@@ -208,6 +208,25 @@ def patch_rollup(spark, sf):
     return long_form(composition.patch_rollup(rows, bounds=bounds))
 
 
+BOTH_SCOPES = (
+    PATCH_SQL,
+    "region_points AS (" + POINTS_SQL.split("AS (", 1)[1],
+    "patch_points AS (" + PATCH_POINTS_SQL.split("AS (", 1)[1],
+    "subset_points AS (SELECT * FROM region_points UNION ALL SELECT * FROM patch_points)",
+    tree_sql(),
+    "scopes AS (SELECT DISTINCT region_id, 'region' AS scope FROM norm UNION ALL SELECT DISTINCT region_id, scope FROM patches)",
+    SUMMARY_SQL, ROLLUP_SQL,
+    "f1 AS (SELECT region_id, name, value FROM summary_rows WHERE scope = 'region' UNION ALL SELECT region_id, name, value FROM rollup_rows)",
+)
+
+
+@query("t12_connected_features", with_views(*NORM, *BOTH_SCOPES, "SELECT region_id, name, round(value, 6) + 0.0::DOUBLE AS value FROM f1"))
+def connected_topology_features(spark, sf):
+    """The part of the topology family that SQL can check: connected components, without loops."""
+    cells, bounds = normalized(spark, sf)
+    return long_form(topology.topology_features(cells, bounds=bounds, dims=(0,)))
+
+
 @query("t12_topology_features")
 def topology_features(spark, sf):
     cells, bounds = normalized(spark, sf)
