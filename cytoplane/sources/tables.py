@@ -68,8 +68,8 @@ def make_study(cells: DataFrame, dataset: str, meta: dict[str, str]) -> Study:
 
 def read_channel_names(spark: SparkSession, path: str) -> list[str]:
     """Non-blank lines of a channel list in file order; a list of names, one per image channel."""
-    texts = [r["value"] for r in spark.read.text(path, wholetext=True).limit(2).collect()]
-    return [line.strip() for text in texts for line in text.splitlines() if line.strip()]
+    whole = spark.read.text(path, wholetext=True).first()
+    return [line.strip() for line in whole["value"].splitlines() if line.strip()] if whole else []
 
 
 def read_type_dictionary(spark: SparkSession, path: str) -> DataFrame:

@@ -27,8 +27,8 @@ from workload.registry import query, with_views
 
 F0_SQL = (
     *DELAUNAY, EXTENT_SQL, ROLE_MINS_SQL, DISTANCE_SQL, pairs_of("norm", "n"), MUTUAL_SQL, TRIANGLES_SQL.format(e="delaunay"),
-    """corner AS (SELECT region_id, unnest([a, b, c]) AS cell_id FROM tri),
-closed AS (SELECT region_id, cell_id, count(*) AS t FROM corner GROUP BY 1, 2),
+    """tri_corner AS (SELECT region_id, unnest([a, b, c]) AS cell_id FROM tri),
+closed AS (SELECT region_id, cell_id, count(*) AS t FROM tri_corner GROUP BY 1, 2),
 reach AS (SELECT region_id, cell_id, cell_id AS other FROM cells
   UNION SELECT r.region_id, r.cell_id, w.dst FROM reach r JOIN ways w ON r.region_id = w.region_id AND r.other = w.src),
 component AS (SELECT region_id, cell_id, min(other) AS component FROM reach GROUP BY 1, 2),
