@@ -79,10 +79,10 @@ def nearest_of_role(spark, sf):
     return rows.select("region_id", "pair", "src", F.round("dist", 6).alias("dist"))
 
 
-DISTANCE_SQL = """summary AS (SELECT region_id, pair, min(dist) AS min, avg(dist) AS mean, quantile_cont(dist, 0.5) AS median FROM mins GROUP BY 1, 2),
-scaffold AS (SELECT DISTINCT region_id, unnest(['tumor_to_immune', 'tumor_to_cd8', 'tumor_to_macrophage']) AS pair FROM cells),
+DISTANCE_SQL = """distance_stats AS (SELECT region_id, pair, min(dist) AS min, avg(dist) AS mean, quantile_cont(dist, 0.5) AS median FROM mins GROUP BY 1, 2),
+distance_scaffold AS (SELECT DISTINCT region_id, unnest(['tumor_to_immune', 'tumor_to_cd8', 'tumor_to_macrophage']) AS pair FROM cells),
 distance_rows AS (SELECT region_id, pair || '_' || stat AS name, coalesce(CASE stat WHEN 'min' THEN min WHEN 'mean' THEN mean ELSE median END, 0) AS value
-  FROM scaffold LEFT JOIN summary USING (region_id, pair) CROSS JOIN (VALUES ('min'), ('mean'), ('median')) t(stat))"""
+  FROM distance_scaffold LEFT JOIN distance_stats USING (region_id, pair) CROSS JOIN (VALUES ('min'), ('mean'), ('median')) t(stat))"""
 
 
 @query(
