@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,26 +84,16 @@ def role_distances(
 
     A cell that plays both roles is its own nearest target, at distance zero.
     """
-    is_source = C.has_role(F.col("cell_type"), role_terms[source])
+    lowered = cells.select("region_id", "cell_id", "x", "y", F.lower(F.coalesce("cell_type", F.lit(""))).alias("kind"))
+    plays = {role: reduce(or_, [F.col("kind").contains(t) for t in role_terms[role]]) for role in {source, *targets}}
+    flagged = lowered.select("region_id", "cell_id", "x", "y", *[test.alias(f"is_{role}") for role, test in plays.items()])
     pairs = F.array(
-        *[
-            F.struct(
-                F.lit(f"{source}_to_{target}").alias("pair"),
-                C.has_role(F.col("cell_type"), role_terms[target]).alias("is_target"),
-            )
-            for target in targets
-        ]
-    )
-    points = (
-        cells.select("region_id", "cell_id", "x", "y", is_source.alias("is_query"), F.explode(pairs).alias("p"))
-        .select("region_id", "cell_id", "x", "y", "is_query", F.col("p.pair").alias("pair"), F.col("p.is_target").alias("is_target"))
-        .where(F.col("is_query") | F.col("is_target"))
-    )
-    both = points.where(F.col("is_query") & F.col("is_target")).select(
-        "region_id", "pair", F.col("cell_id").alias("src"), F.col("cell_id").alias("dst"), F.lit(0.0).alias("dist")
+        *[F.struct(F.lit(f"{source}_to_{t}").alias("pair"), F.col(f"is_{t}").alias("is_target")) for t in targets]
     )
-    searching = points.withColumn("is_query", F.col("is_query") & ~F.col("is_target"))
-    return N.nearest_distance(searching, ["region_id", "pair"], bounds).select(*both.columns).unionByName(both)
+    points = flagged.select(
+        "region_id", "cell_id", "x", "y", F.col(f"is_{source}").alias("is_query"), F.inline(pairs)
+    ).where(F.col("is_query") | F.col("is_target"))
+    return N.nearest_distance(points, ["region_id", "pair"], bounds, with_self=True)
 
 
 def distance_summary(

@@ -28,7 +28,7 @@ def _nearest_rows(dist: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.
     return rows[keep], cols[keep], values[keep]
 
 
-def _list_kernel(keys: list[str], k: int, radius: bool):
+def _list_kernel(keys: list[str], k: int, with_self: bool = False):
     """Arrow kernel for one bounded group: neighbour lists of its query points."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -37,7 +37,6 @@ def _list_kernel(keys: list[str], k: int, radius: bool):
         x, y = (table[c].to_numpy()[order] for c in ("x", "y"))
         asks = np.flatnonzero(table["is_query"].to_numpy()[order])
         offered = np.flatnonzero(table["is_target"].to_numpy()[order])
-        reach = table["radius"].to_numpy()[order] if radius else None
         found_rows, found_cols, found_dist = [], [], []
         step = max(1, MATRIX_ENTRIES // max(offered.size, 1))
         for start in range(0, asks.size, step):
@@ -47,10 +46,9 @@ def _list_kernel(keys: list[str], k: int, radius: bool):
             dx = x[part, None] - x[None, offered]
             dy = y[part, None] - y[None, offered]
             dist = np.sqrt(dx * dx + dy * dy)
-            dist[part[:, None] == offered[None, :]] = np.inf
-            if radius:
-                dist[dist > reach[part, None]] = np.inf
-            rows, cols, values = _nearest_rows(dist, k if k else offered.size)
+            if not with_self:
+                dist[part[:, None] == offered[None, :]] = np.inf
+            rows, cols, values = _nearest_rows(dist, k)
             found_rows.append(rows + start)
             found_cols.append(offered[cols])
             found_dist.append(values)
@@ -94,26 +92,28 @@ def _flagged(points: DataFrame, keys: list[str], *extra: str) -> DataFrame:
 
 
 def neighbour_lists(
-    points: DataFrame, k: int, keys: list[str] | None = None, bounds: SizeBounds = BOUNDS
+    points: DataFrame, k: int, keys: list[str] | None = None, bounds: SizeBounds = BOUNDS, with_self: bool = False
 ) -> DataFrame:
     """One row per query point with its k nearest targets, as parallel arrays ``dst`` and ``dist``.
 
+    A point that is both is not its own neighbour unless ``with_self``.
+
     ``points`` has the group keys, ``cell_id``, ``x``, ``y`` and optionally ``is_query`` / ``is_target``. Groups
     that fit one task are solved there; if any group is larger, the tiled plan is used for those groups.
     """
     keys = keys or ["region_id"]
     marked = _flagged(points, keys)
-    kernel, schema = _list_kernel(keys, k, False), _schema(points, keys)
+    kernel, schema = _list_kernel(keys, k, with_self), _schema(points, keys)
     if group_size(points, keys, bounds) <= bounds.tile_cells:
         return spread_groups(marked, keys).groupBy(*keys).applyInArrow(kernel, schema)
     sizes = marked.groupBy(*keys).agg((F.count("*") > bounds.tile_cells).alias("is_large"))
     sized = marked.join(sizes, keys)
     small = sized.where(~F.col("is_large")).drop("is_large").groupBy(*keys).applyInArrow(kernel, schema)
-    large = _tiled_lists(sized.where("is_large").drop("is_large"), k, keys, bounds)
+    large = _tiled_lists(sized.where("is_large").drop("is_large"), k, keys, bounds, with_self)
     return small.unionByName(large)
 
 
-def _tiled_lists(points: DataFrame, k: int, keys: list[str], bounds: SizeBounds) -> DataFrame:
+def _tiled_lists(points: DataFrame, k: int, keys: list[str], bounds: SizeBounds, with_self: bool = False) -> DataFrame:
     """Lists for groups beyond one task.
 
     Of cells at one and the same spot only the first k + 1 can ever be someone's neighbour, so only they
@@ -151,14 +151,16 @@ def _tiled_lists(points: DataFrame, k: int, keys: list[str], bounds: SizeBounds)
     bins = assign_tiles(binned, keys, bounds.tile_cells, k + 1)
     tile_keys = [*keys, "up_a", "tx_a", "ty_a", "block"]
     spread = with_halo(binned, bins, keys, bounds.halo_rows)
-    partial = spread.groupBy(*tile_keys).applyInArrow(_list_kernel(tile_keys, k, False), _schema(spread, tile_keys))
+    partial = spread.groupBy(*tile_keys).applyInArrow(
+        _list_kernel(tile_keys, k, with_self), _schema(spread, tile_keys)
+    )
     return merge_lists(partial, k, keys).unionByName(surplus)
 
 
 def merge_lists(partial: DataFrame, k: int, keys: list[str]) -> DataFrame:
     """Joins the lists a point got from several blocks: at most k entries from each block."""
     ordered = F.array_sort(F.flatten(F.collect_list(F.arrays_zip("dist", "dst"))))
-    best = F.slice(ordered, 1, k) if k else ordered
+    best = F.slice(ordered, 1, k)
     return (
         partial.groupBy(*keys, "src")
         .agg(best.alias("best"))
@@ -252,9 +254,9 @@ def undirected(edges: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
 
 def nearest_distance(
-    points: DataFrame, keys: list[str] | None = None, bounds: SizeBounds = BOUNDS
+    points: DataFrame, keys: list[str] | None = None, bounds: SizeBounds = BOUNDS, with_self: bool = False
 ) -> DataFrame:
     """Distance from every query point to its nearest target."""
     keys = keys or ["region_id"]
-    lists = neighbour_lists(points, 1, keys, bounds)
+    lists = neighbour_lists(points, 1, keys, bounds, with_self)
     return lists.where(F.size("dist") > 0).select(*keys, "src", F.get("dst", 0).alias("dst"), F.get("dist", 0).alias("dist"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +37,14 @@ def exact_percentiles(
     return found.join(rows.groupBy(*keys).agg(*[a.alias(n) for n, a in also.items()]), keys)
 
 
+def exact_medians(rows: DataFrame, keys: list[str], named: dict[str, str], bounds: SizeBounds = BOUNDS) -> DataFrame:
+    """Medians of several columns (name -> column) per group; one aggregate while every group is within bounds."""
+    if group_size(rows, keys, bounds) <= bounds.percentile_rows:
+        return rows.groupBy(*keys).agg(*[F.percentile(c, 0.5).alias(n) for n, c in named.items()])
+    parts = [_sliced_percentiles(rows.where(F.col(c).isNotNull()), keys, c, {n: 0.5}) for n, c in named.items()]
+    return reduce(lambda a, b: a.join(b, keys), parts)
+
+
 def _sorted_percentiles(
     rows: DataFrame, keys: list[str], value: str, named: dict[str, float], also: dict[str, Column]
 ) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cytoplane.operators import neighbors as N
-from cytoplane.operators.quantiles import exact_percentiles
+from cytoplane.operators.quantiles import exact_medians, exact_percentiles
 from cytoplane.operators.ranking import positions
 from cytoplane.session import cut_lineage, measured
 from cytoplane.settings import BOUNDS, RegionGraphSettings, SizeBounds
@@ -21,8 +21,7 @@ def scale_coordinates(cells: DataFrame, k: int = 6, bounds: SizeBounds = BOUNDS)
     they serve both the scale and the column.
     """
     region, bounds = ["region_id"], measured(cells, bounds)
-    mid_x = exact_percentiles(cells, region, "x", {"mid_x": 0.5}, bounds)
-    mid_y = exact_percentiles(cells, region, "y", {"mid_y": 0.5}, bounds)
+    middle = exact_medians(cells, region, {"mid_x": "x", "mid_y": "y"}, bounds)
     lists = N.neighbour_lists(cells, k, bounds=bounds)
     total = F.aggregate("dist", F.lit(0.0), lambda a, d: a + d)
     means = cut_lineage(lists.where(F.size("dist") > 0).select("region_id", F.col("src").alias("cell_id"), (total / F.size("dist")).alias("raw_nn")))
@@ -31,8 +30,7 @@ def scale_coordinates(cells: DataFrame, k: int = 6, bounds: SizeBounds = BOUNDS)
     return (
         cells.join(means, ["region_id", "cell_id"], "left")
         .join(scale, "region_id", "left")
-        .join(mid_x, "region_id")
-        .join(mid_y, "region_id")
+        .join(middle, "region_id")
         .withColumn("scale", unit)
         .withColumn("x", (F.col("x") - F.col("mid_x")) / F.col("scale"))
         .withColumn("y", (F.col("y") - F.col("mid_y")) / F.col("scale"))

@@ -331,9 +331,8 @@ def topology_features(
     """
     bounds = measured(normalized, bounds)
     core = normalized.select("region_id", "cell_id", "cell_type", "x", "y")
-    scoped = core.withColumn("scope", F.lit("region")).unionByName(
-        assign_patches(core, settings.patch_size, settings.min_patch_cells)
-    )
+    patches = assign_patches(core, settings.patch_size, settings.min_patch_cells)
+    scoped = cut_lineage(core.withColumn("scope", F.lit("region")).unionByName(patches))
     bars = diagrams(subset_points(scoped, settings.role_terms), dims, bounds)
     rows = cut_lineage(
         diagram_summary(bars, scoped.select("region_id", "scope"), settings.grid_size, settings.top_k_lifetimes, dims)
