@@ -109,11 +109,14 @@ def neighbour_lists(
     sizes = marked.groupBy(*keys).agg((F.count("*") > bounds.tile_cells).alias("is_large"))
     sized = marked.join(sizes, keys)
     small = sized.where(~F.col("is_large")).drop("is_large").groupBy(*keys).applyInArrow(kernel, schema)
-    large = _tiled_lists(sized.where("is_large").drop("is_large"), k, keys, bounds, with_self)
+    apart = "is_target" in points.columns
+    large = _tiled_lists(sized.where("is_large").drop("is_large"), k, keys, bounds, with_self, apart)
     return small.unionByName(large)
 
 
-def _tiled_lists(points: DataFrame, k: int, keys: list[str], bounds: SizeBounds, with_self: bool = False) -> DataFrame:
+def _tiled_lists(
+    points: DataFrame, k: int, keys: list[str], bounds: SizeBounds, with_self: bool, apart: bool
+) -> DataFrame:
     """Lists for groups beyond one task.
 
     Of cells at one and the same spot only the first k + 1 can ever be someone's neighbour, so only they
@@ -150,7 +153,7 @@ def _tiled_lists(points: DataFrame, k: int, keys: list[str], bounds: SizeBounds,
     binned = fine_bins(searching, keys, bounds.tile_cells)
     bins = assign_tiles(binned, keys, bounds.tile_cells, k + 1)
     tile_keys = [*keys, "up_a", "tx_a", "ty_a", "block"]
-    spread = with_halo(binned, bins, keys, bounds.halo_rows)
+    spread = with_halo(binned, bins, keys, bounds.halo_rows, k + 1, apart)
     partial = spread.groupBy(*tile_keys).applyInArrow(
         _list_kernel(tile_keys, k, with_self), _schema(spread, tile_keys)
     )

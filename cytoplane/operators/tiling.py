@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EXTRA_DEPTH = 4
+COARSE_LEVELS = 5
 ROOT_TWO = math.sqrt(2.0)
 
 
@@ -58,12 +59,12 @@ def assign_tiles(binned: DataFrame, keys: list[str], tile_cells: int, need: int)
         .agg(
             F.coalesce(F.max(F.when(F.col("node_n") <= tile_cells, F.col("up"))), F.lit(0)).alias("tile_up"),
             F.coalesce(F.min(F.when(F.col("node_targets") >= need, F.col("up"))), F.max("depth")).alias("need_up"),
-            F.max("n").alias("n"),
+            F.max("n_target").alias("n_target"),
         )
     )
     width = F.col("side") / F.pow(F.lit(2.0), F.col("depth"))
     return chosen.select(
-        *keys, "x0", "y0", "side", "depth", "fx", "fy", "n", "tile_up",
+        *keys, "x0", "y0", "side", "depth", "fx", "fy", "n_target", "tile_up",
         _up(F.col("fx"), F.col("tile_up")).alias("tx"),
         _up(F.col("fy"), F.col("tile_up")).alias("ty"),
         (width * F.pow(F.lit(2.0), F.col("need_up")) * ROOT_TWO * (1 + 1e-9)).alias("reach"),
@@ -71,17 +72,47 @@ def assign_tiles(binned: DataFrame, keys: list[str], tile_cells: int, need: int)
 
 
 def tile_table(bins: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per tile: its box, its size and the reach its halo must have."""
+    """One row per tile: its box, its number of targets and the reach its halo must have."""
     width = F.col("side") / F.pow(F.lit(2.0), F.col("depth")) * F.pow(F.lit(2.0), F.col("tile_up"))
     return (
         bins.groupBy(*keys, "x0", "y0", "side", "depth", "tile_up", "tx", "ty")
-        .agg(F.sum("n").alias("tile_n"), F.max("reach").alias("reach"))
+        .agg(F.sum("n_target").alias("tile_targets"), F.max("reach").alias("reach"))
         .withColumn("w", width)
         .withColumn("left", F.col("x0") + F.col("tx") * F.col("w"))
         .withColumn("bottom", F.col("y0") + F.col("ty") * F.col("w"))
     )
 
 
+def tighten_reach(tiles: DataFrame, bins: DataFrame, keys: list[str], need: int) -> DataFrame:
+    """Shorter reach for tiles whose targets lie elsewhere.
+
+    Where askers and targets keep apart, the smallest square around a tile that holds enough targets can be the whole
+    group. Any square with enough targets bounds the reach too, by the farthest distance between it and the tile; the
+    up to 32 x 32 squares of one coarse level are tried.
+    """
+    up = F.greatest(F.col("depth") - COARSE_LEVELS, F.lit(0))
+    squares = (
+        bins.withColumn("up", up)
+        .groupBy(*keys, "x0", "y0", "side", "depth", "up", _up(F.col("fx"), F.col("up")).alias("cx"), _up(F.col("fy"), F.col("up")).alias("cy"))
+        .agg(F.sum("n_target").alias("held"))
+        .where(F.col("held") >= need)
+    )
+    width = F.col("side") / F.pow(F.lit(2.0), F.col("depth")) * F.pow(F.lit(2.0), F.col("up"))
+    squares = squares.withColumn("cw", width).select(
+        *keys, "cw", (F.col("x0") + F.col("cx") * F.col("cw")).alias("cl"), (F.col("y0") + F.col("cy") * F.col("cw")).alias("cb")
+    )
+    far_x = F.greatest(F.col("left") + F.col("w"), F.col("cl") + F.col("cw")) - F.least("left", "cl")
+    far_y = F.greatest(F.col("bottom") + F.col("w"), F.col("cb") + F.col("cw")) - F.least("bottom", "cb")
+    bound = (
+        tiles.select(*keys, "tile_up", "tx", "ty", "left", "bottom", "w")
+        .join(squares, keys)
+        .groupBy(*keys, "tile_up", "tx", "ty")
+        .agg((F.min(F.sqrt(far_x * far_x + far_y * far_y)) * (1 + 1e-9)).alias("bound"))
+    )
+    joined = tiles.join(bound, [*keys, "tile_up", "tx", "ty"], "left")
+    return joined.withColumn("reach", F.least("reach", "bound")).drop("bound")
+
+
 def tile_neighbours(tiles: DataFrame, keys: list[str]) -> DataFrame:
     """Ordered pairs (tile, other) where ``other`` lies within the reach of ``tile``; itself included.
 
@@ -113,7 +144,7 @@ def tile_neighbours(tiles: DataFrame, keys: list[str]) -> DataFrame:
     there = tiles.select(
         *keys, "depth", F.col("tile_up").alias("up_b"), F.col("tx").alias("tx_b"), F.col("ty").alias("ty_b"),
         F.col("w").alias("w_b"), F.col("left").alias("left_b"), F.col("bottom").alias("bottom_b"),
-        F.col("tile_n").alias("n_b"),
+        F.col("tile_targets").alias("n_b"),
     )
     lifted = there.withColumn("lv", F.explode(F.sequence(F.col("up_b"), F.col("depth")))).select(
         *keys, "lv",
@@ -144,16 +175,18 @@ def tile_neighbours(tiles: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def with_halo(binned: DataFrame, bins: DataFrame, keys: list[str], halo_rows: int) -> DataFrame:
+def with_halo(binned: DataFrame, bins: DataFrame, keys: list[str], halo_rows: int, need: int, apart: bool) -> DataFrame:
     """Every point once per tile that needs it, in blocks of bounded size.
 
     Rows carry the tile (up_a, tx_a, ty_a) and a block number. A tile's own query points go to all of its
-    blocks; every candidate goes to exactly one block.
+    blocks; every target goes to exactly one block. ``apart`` says that askers and targets are different cells.
     """
     tiles = tile_table(bins, keys)
+    if apart:
+        tiles = tighten_reach(tiles, bins, keys, need)
     pairs = tile_neighbours(tiles, keys)
     here = [*keys, "up_a", "tx_a", "ty_a"]
-    blocks = pairs.groupBy(*here).agg(F.ceil(F.sum("n_b") / float(halo_rows)).cast("int").alias("blocks"))
+    blocks = pairs.groupBy(*here).agg(F.greatest(F.ceil(F.sum("n_b") / float(halo_rows)), F.lit(1)).cast("int").alias("blocks"))
     pairs = pairs.join(blocks, here)
     placed = binned.join(
         bins.select(
@@ -169,6 +202,7 @@ def with_halo(binned: DataFrame, bins: DataFrame, keys: list[str], halo_rows: in
         placed.join(pairs, [*keys, "up_b", "tx_b", "ty_b"])
         .where(gap_x * gap_x + gap_y * gap_y <= F.col("reach") * F.col("reach"))
         .withColumn("asks", own & F.col("is_query"))
+        .where(F.col("asks") | F.col("is_target"))
         .withColumn("home", home)
         .withColumn(
             "block",

@@ -49,6 +49,8 @@ def test_knn_matches_brute_force(spark, cap, halo):
 @pytest.mark.parametrize("cap", [8])
 def test_nearest_of_a_role(spark, cap):
     rows = [(r, i, x, y, i % 3 == 0, i % 3 == 1) for r, i, x, y in clumpy(5)]
+    rows += [("apart", 1000 + i, i * 0.7 % 11, 90.0 + i % 9, True, False) for i in range(40)]
+    rows += [("apart", 2000 + i, 80.0 + i * 0.3 % 17, 1.0 + i % 7, False, True) for i in range(40)]
     points = spark.createDataFrame(
         rows, "region_id string, cell_id long, x double, y double, is_query boolean, is_target boolean"
     )
