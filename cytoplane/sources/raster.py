@@ -17,6 +17,10 @@ from cytoplane.sources import tables
 
 ROWS_PER_BATCH = 200_000
 
+# File names of the image folder layout.
+CHANNELS_FILE = "channels_codex_CRC_celltune.txt"
+DICTIONARY_FILE = "mapping_id_to_cell_type_name.txt"
+
 
 def _array(content: bytes) -> np.ndarray:
     with np.load(io.BytesIO(content)) as archive:
@@ -104,11 +108,11 @@ def cells_from_raster(
 
 def load_raster_study(
     spark: SparkSession, root: str, annotations: DataFrame | None = None, dataset: str = "raster",
-    settings: PrepareSettings = PrepareSettings(),
+    settings: PrepareSettings = PrepareSettings(), channels_file: str = CHANNELS_FILE, dictionary_file: str = DICTIONARY_FILE,
 ) -> tables.Study:
     """Study from a folder of segmented images; labels are clinical where known, else the regions' proxy labels."""
-    channels = tables.read_channel_names(spark, f"{root}/channels_codex_CRC_celltune.txt")
-    dictionary = tables.read_type_dictionary(spark, f"{root}/mapping_id_to_cell_type_name.txt")
+    channels = tables.read_channel_names(spark, f"{root}/{channels_file}")
+    dictionary = tables.read_type_dictionary(spark, f"{root}/{dictionary_file}")
     cells = cells_from_raster(*read_raster(spark, root), dictionary, channels, settings)
     regions = cells.groupBy("region_id").agg(
         F.min_by("sample_id", "cell_id").alias("sample_id"), F.min_by("patient_id", "cell_id").alias("patient_id"),
