@@ -18,7 +18,7 @@ UNDETERMINED = "und"
 BUCKETS, GRAM = 1 << 16, 4
 #: Bound of the training sample: expected number of documents of each language.
 MOST_DOCUMENTS = 1000
-_LETTER = re.compile(r"[^\W\d_]")
+_WORDLIKE = re.compile(r"[^\W\d_]")  # letters, and numbers such as fractions
 
 
 @dataclass
@@ -152,7 +152,7 @@ def _judge(column: pa.Array, model: Model) -> tuple[list[str], list[float], list
     shares_out: list[list[float]] = []
     sets: list[list[str]] = []
     texts = text_column(column)
-    lettered = [t is not None and bool(_LETTER.search(t)) for t in column.to_pylist()]
+    lettered = [t is not None and any(m[0].isalpha() for m in _WORDLIKE.finditer(t)) for t in column.to_pylist()]
     for row, end, data, bounds in text_slices(texts, 1 << 18):
         starts, ends, first = word_bounds(data, bounds, spaces())
         if len(starts) and model.languages:

@@ -92,8 +92,14 @@ def _pieces(path: str, size: int, id_at: int, text_at: int):
 def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, ...], int]]:
     """Patterns (lengths, times) that use up ``counts`` of pieces by length, each summing to ``size`` at most.
 
-    Longest first: its gap is filled exactly by one, two or three available lengths (largest first), as often as the
-    counts allow at once. Lengths without an exact complement are placed by best fit, longest first, again by counts:
+    Complements of up to three, of up to two and of one piece are each tried; the plan with the fewest sequences is kept.
+    """
+    return min((_plan(counts, size, most) for most in (3, 2, 1)), key=lambda p: sum(n for _, n in p))
+
+
+def _plan(counts: dict[int, int], size: int, most_parts: int) -> list[tuple[tuple[int, ...], int]]:
+    """Longest first: its gap is filled exactly by up to ``most_parts`` available lengths (fewest and largest first), as
+    often as the counts allow at once. Lengths without an exact complement are placed by best fit, longest first, again by counts:
     all equal gaps take all equal lengths in one step. Time depends on ``size`` only, not on the number of pieces.
     """
     left = Counter({k: n for k, n in counts.items() if n})
@@ -124,13 +130,13 @@ def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, ...]
             return (length,), left[length]
         if n := times((length, gap)):
             return (length, gap), n
-        found = two(gap, gap)
+        found = two(gap, gap) if most_parts > 1 else 0
         while found:
             a = found.bit_length() - 1
             if n := times(p := (length, a, gap - a)):
                 return p, n
             found ^= 1 << a
-        firsts = have & ((1 << max(gap - 1, 0)) - 1)
+        firsts = have & ((1 << max(gap - 1, 0)) - 1) if most_parts > 2 else 0
         while firsts and 3 * (a := firsts.bit_length() - 1) >= gap:
             found = two(gap - a, a)
             while found:

@@ -146,13 +146,12 @@ def _filter_in_parts(urls: DataFrame, listed: DataFrame, lengths: list[int], par
     part = F.pmod(F.xxhash64("rule"), F.lit(parts)).alias("part")
     asked = rows.select(F.explode("keys").alias("rule")).distinct().select("rule", part)
 
-    def probe(_, left: Iterator[pa.RecordBatch], right: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = DigestArray([(r, v) for b in right for r, v in zip(b.column("rule").to_pylist(), b.column("value").to_pylist())])
-        for batch in left:
-            keys = batch.column("rule").to_pylist()
-            values = index.probe([k.encode() for k in keys])
-            found = np.flatnonzero(values >= 0)
-            yield pa.RecordBatch.from_arrays([pa.array([keys[k] for k in found], pa.string()), pa.array(values[found])], ["rule", "value"])
+    def probe(left: pa.Table, right: pa.Table) -> pa.Table:
+        index = DigestArray([*zip(right["rule"].to_pylist(), right["value"].to_pylist())])
+        keys = left["rule"].to_pylist()
+        values = index.probe([k.encode() for k in keys])
+        found = np.flatnonzero(values >= 0)
+        return pa.table({"rule": pa.array([keys[k] for k in found], pa.string()), "value": pa.array(values[found])})
 
     held = listed.select("rule", "value", part)
     matched = stored(asked.groupBy("part").cogroup(held.groupBy("part")).applyInArrow(probe, "rule string, value long"))
