@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import partial
 
@@ -224,10 +225,10 @@ def keep_first(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     groups = near_duplicates(documents, id_col, text_col)
     stay = stored(groups.where("doc_id <=> component_id").groupBy("doc_id").agg(F.count("*").alias("n")))
-    kept = documents.join(
-        stay.select(F.col("doc_id").alias("_stay"), "n"), F.col(id_col).cast("long").eqNullSafe(F.col("_stay")), "inner"
-    )
+    kept = documents.join(stay.hint("merge"), documents[id_col].cast("long").eqNullSafe(stay["doc_id"]))
+    kept = kept.select(*[documents[c] for c in documents.columns])
     if stay.where("n > 1").isEmpty():
-        return kept.select(*[documents[c] for c in documents.columns])
+        return kept
+    turn = f"_{uuid.uuid4().hex}"
     first = Window.partitionBy(id_col, text_col).orderBy(text_col)
-    return kept.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*documents.columns)
+    return kept.withColumn(turn, F.row_number().over(first)).where(F.col(turn) == 1).drop(turn)
