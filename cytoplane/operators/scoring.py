@@ -165,6 +165,18 @@ def gate_heads(
     return scored.join(best, keys).select(*keys, "head", "auroc", eligible.alias("eligible"))
 
 
+def no_loss(
+    scores: DataFrame, keys: list[str], safe: str, other: str, tolerance: float, bounds: SizeBounds = BOUNDS
+) -> DataFrame:
+    """(keys, keep): whether the AUROC of ``other`` is at least that of ``safe`` minus ``tolerance``; one class: not."""
+    bounds = measured_scores(scores, keys, bounds)
+    a = auroc(scores, keys, safe, bounds).withColumnRenamed("auroc", "safe_auroc")
+    b = auroc(scores, keys, other, bounds).withColumnRenamed("auroc", "other_auroc")
+    classes = scores.groupBy(*keys).agg((F.min("y") < F.max("y")).alias("two"))
+    keep = F.col("two") & (F.col("other_auroc") >= F.col("safe_auroc") - tolerance)
+    return a.join(b, keys).join(classes, keys).select(*keys, keep.alias("keep"))
+
+
 def keep_if_no_loss(
     scores: DataFrame, keys: list[str], safe: str, other: str, tolerance: float, out: str = "p", bounds: SizeBounds = BOUNDS
 ) -> DataFrame:
@@ -172,13 +184,7 @@ def keep_if_no_loss(
 
     With 0.01 this keeps a calibration, with 0.005 a blend. Groups of one class stay on ``safe``.
     """
-    bounds = measured_scores(scores, keys, bounds)
-    a = auroc(scores, keys, safe, bounds).withColumnRenamed("auroc", "safe_auroc")
-    b = auroc(scores, keys, other, bounds).withColumnRenamed("auroc", "other_auroc")
-    classes = scores.groupBy(*keys).agg((F.min("y") < F.max("y")).alias("two"))
-    verdict = a.join(b, keys).join(classes, keys).select(
-        *keys, (F.col("two") & (F.col("other_auroc") >= F.col("safe_auroc") - tolerance)).alias("keep")
-    )
+    verdict = no_loss(scores, keys, safe, other, tolerance, bounds)
     return scores.join(verdict, keys).withColumn(out, F.when(F.col("keep"), F.col(other)).otherwise(F.col(safe))).drop("keep")
 
 

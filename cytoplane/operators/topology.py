@@ -91,7 +91,8 @@ def _sparse_tree_lengths(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     pairs = np.array(sorted(delaunay_pairs(sx, sy)), dtype=np.int64).reshape(-1, 2) if len(spots) > 2 else np.zeros((0, 2), np.int64)
     if len(pairs) == 0:  # on one line, neighbours in order are the tree
         pairs = np.stack([np.arange(len(spots) - 1), np.arange(1, len(spots))], axis=1)
-    lengths = np.hypot(sx[pairs[:, 0]] - sx[pairs[:, 1]], sy[pairs[:, 0]] - sy[pairs[:, 1]])
+    dx, dy = sx[pairs[:, 0]] - sx[pairs[:, 1]], sy[pairs[:, 0]] - sy[pairs[:, 1]]
+    lengths = np.sqrt(dx * dx + dy * dy)
     parent = list(range(len(spots)))
 
     def root(i: int) -> int:
@@ -106,6 +107,8 @@ def _sparse_tree_lengths(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         if a != b:
             parent[b] = a
             kept.append(lengths[e])
+    if len(kept) != len(spots) - 1:
+        raise AssertionError(f"{len(spots)} spots are joined by {len(kept)} edges")
     return np.concatenate([copies, np.array(kept)])
 
 

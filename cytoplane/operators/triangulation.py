@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import deque
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -48,45 +49,115 @@ class _Buckets:
         return np.sort(np.concatenate(parts))
 
 
+def _left_of(x: np.ndarray, y: np.ndarray, a: int, b: int, c: int) -> Fraction:
+    """Exactly twice the area of a, b, c: positive where c is left of the line from a to b."""
+    ax, ay, bx, by, cx, cy = (Fraction(float(v)) for k in (a, b, c) for v in (x[k], y[k]))
+    return (bx - ax) * (cy - ay) - (by - ay) * (cx - ax)
+
+
+def _inside(x: np.ndarray, y: np.ndarray, a: int, b: int, c: int, d: int) -> Fraction:
+    """Exactly the in-circle determinant: positive where d is inside the circle of a, b, c (in left turn), 0 on it."""
+    dx, dy = Fraction(float(x[d])), Fraction(float(y[d]))
+    rows = []
+    for k in (a, b, c):
+        u, v = Fraction(float(x[k])) - dx, Fraction(float(y[k])) - dy
+        rows.append((u, v, u * u + v * v))
+    (a1, a2, a3), (b1, b2, b3), (c1, c2, c3) = rows
+    return a1 * (b2 * c3 - b3 * c2) - a2 * (b1 * c3 - b3 * c1) + a3 * (b1 * c2 - b2 * c1)
+
+
 def delaunay_pairs(x: np.ndarray, y: np.ndarray, all_pairs_below: int = 400) -> set[tuple[int, int]]:
     """Edges of the Delaunay triangulation of distinct points, found by growing triangles over open edges.
 
-    For an oriented edge the next vertex is the point on its left whose circle reaches least far to the left; of
-    points on one circle the first wins. Larger sets look in a window around the edge, and again in the box of the
-    circle found if that sticks out, as only a point inside the circle could be better. Empty for collinear input.
+    For an oriented edge the next vertex is the point on its left whose circle reaches least far to the left. Signs and
+    comparisons that lie within the rounding error of their floats are settled exactly. Points on one circle are joined
+    as a fan from the first of them, seen alike from every edge. Larger sets look in a window around the edge, and again
+    in the box of the circle found if that sticks out, as only a point inside the circle could be better. Empty for
+    collinear input.
     """
-    flat = 1e-12 * max(float(np.ptp(x)), float(np.ptp(y)), 1e-300) ** 2
     everyone = np.arange(x.size)
     buckets = _Buckets(x, y) if x.size > all_pairs_below else None
+    unit = 16 * np.finfo(float).eps
 
-    def best(a: int, b: int, among: np.ndarray) -> tuple[int, float]:
+    def best(a: int, b: int, among: np.ndarray) -> tuple[int, float, bool]:
+        """Vertex, its reach, and whether others share its circle."""
         ax, ay, bx, by = x[among] - x[a], y[among] - y[a], x[among] - x[b], y[among] - y[b]
-        left = (x[b] - x[a]) * ay - (y[b] - y[a]) * ax
-        ahead = np.flatnonzero(left > flat)
+        ex, ey = x[b] - x[a], y[b] - y[a]
+        left = ex * ay - ey * ax
+        slack = unit * (np.abs(ex * ay) + np.abs(ey * ax))
+        sure = left > slack
+        for k in np.flatnonzero((np.abs(left) <= slack) & (among != a) & (among != b)):
+            sure[k] = _left_of(x, y, a, b, int(among[k])) > 0
+        ahead = np.flatnonzero(sure)
         if ahead.size == 0:
-            return -1, 0.0
-        reach = (ax[ahead] * bx[ahead] + ay[ahead] * by[ahead]) / left[ahead]
-        at = int(np.argmin(reach))
-        return int(among[ahead[at]]), float(reach[at])
+            return -1, math.nan, False
+        wide = left[ahead] > 2 * slack[ahead]
+        area = np.where(wide, left[ahead], 1.0)
+        reach = (ax[ahead] * bx[ahead] + ay[ahead] * by[ahead]) / area
+        error = (unit * (np.abs(ax[ahead] * bx[ahead]) + np.abs(ay[ahead] * by[ahead])) + np.abs(reach) * slack[ahead]) / area * 2
+        low, high = np.where(wide, reach - error, -np.inf), np.where(wide, reach + error, np.inf)
+        close = np.flatnonzero(low <= high.min())
+        at = int(close[np.argmin(high[close])])
+        tied = [at]
+        for k in close.tolist():
+            if k != at:
+                sign = _inside(x, y, a, b, int(among[ahead[at]]), int(among[ahead[k]]))
+                if sign > 0:
+                    at, tied = k, [k]
+                elif sign == 0:
+                    tied.append(k)
+        at = min(tied, key=lambda k: among[ahead[k]])
+        return int(among[ahead[at]]), float(reach[at]) if wide[at] else math.nan, len(tied) > 1
+
+    def fan(a: int, b: int, c: int, among: np.ndarray) -> int:
+        """The vertex left of a, b in the fan of the points on the circle of a, b, c."""
+        cx, cy = centre(a, b, c)
+        square = (x[a] - cx) ** 2 + (y[a] - cy) ** 2
+        near = np.abs((x[among] - cx) ** 2 + (y[among] - cy) ** 2 - square) <= 1e-6 * square
+        ring = {a, b, c, *(k for k in among[near].tolist() if k not in (a, b, c) and _inside(x, y, a, b, c, k) == 0)}
+        first = min(ring)
+        if first not in (a, b):
+            return first
+        left = [k for k in ring if k not in (a, b) and _left_of(x, y, a, b, k) > 0]
+        k = left[0]  # next along the circle to the end that is not the fan's first: no other lies between
+        for j in left[1:]:
+            if (_left_of(x, y, b, k, j) if first == a else _left_of(x, y, k, a, j)) < 0:
+                k = j
+        return k
+
+    def centre(a: int, b: int, c: int) -> tuple[float, float]:
+        ux, uy, vx, vy = (Fraction(float(v)) for v in (x[b], y[b], x[c], y[c]))
+        ax, ay = Fraction(float(x[a])), Fraction(float(y[a]))
+        ux, uy, vx, vy = ux - ax, uy - ay, vx - ax, vy - ay
+        d, u, v = 2 * (ux * vy - uy * vx), ux * ux + uy * uy, vx * vx + vy * vy
+        return float(ax + (vy * u - uy * v) / d), float(ay + (ux * v - vx * u) / d)
+
+    def within_circle(a: int, b: int, c: int) -> np.ndarray:
+        if buckets is None:
+            return everyone
+        cx, cy = centre(a, b, c)
+        r = math.hypot(cx - x[a], cy - y[a]) * (1 + 1e-6)
+        return buckets.within(cx - r, cx + r, cy - r, cy + r)
 
     def third(a: int, b: int) -> int:
         if buckets is None:
-            return best(a, b, everyone)[0]
+            c, _, tied = best(a, b, everyone)
+            return fan(a, b, c, everyone) if tied else c
         mx, my = (x[a] + x[b]) / 2, (y[a] + y[b]) / 2
         half = max(2.0 * math.hypot(x[b] - x[a], y[b] - y[a]), 2.0 * buckets.side)
         while True:
             window = (mx - half, mx + half, my - half, my + half)
-            c, reach = best(a, b, buckets.within(*window))
+            c, reach, tied = best(a, b, buckets.within(*window))
             if c >= 0:
                 break
             if buckets.covers(*window):
                 return -1
             half *= 4.0
-        cx, cy = mx - reach / 2 * (y[b] - y[a]), my + reach / 2 * (x[b] - x[a])
+        cx, cy = (mx - reach / 2 * (y[b] - y[a]), my + reach / 2 * (x[b] - x[a])) if math.isfinite(reach) else centre(a, b, c)
         r = math.hypot(cx - x[a], cy - y[a]) * (1 + 1e-9)
-        if cx - r >= window[0] and cx + r <= window[1] and cy - r >= window[2] and cy + r <= window[3]:
-            return c
-        return best(a, b, buckets.within(cx - r, cx + r, cy - r, cy + r))[0]
+        if not (cx - r >= window[0] and cx + r <= window[1] and cy - r >= window[2] and cy + r <= window[3]):
+            c, _, tied = best(a, b, within_circle(a, b, c))
+        return fan(a, b, c, within_circle(a, b, c)) if tied else c
 
     near = (x[1:] - x[0]) ** 2 + (y[1:] - y[0]) ** 2
     start = (0, int(np.argmin(near)) + 1)

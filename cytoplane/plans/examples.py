@@ -30,11 +30,11 @@ def region_examples(
     settings: RegionGraphSettings = RegionGraphSettings(),
     bounds: SizeBounds = BOUNDS,
 ) -> RegionExamples:
-    """Scale, thin regions above ``max_cells``, rescale, build the graphs and attach label, patient, features."""
+    """Scale, thin regions above ``max_cells`` where that is set, rescale, build the graphs and attach label, patient, features."""
     base = cells.drop("sample_id", "patient_id", "label")
     bounds = measured(cells, bounds)
     scaled = R.scale_coordinates(base, settings.knn_k, bounds)
-    if bounds.largest_region > settings.max_cells:
+    if settings.max_cells is not None and bounds.largest_region > settings.max_cells:
         kept = R.subsample(scaled, settings.max_cells, bounds).drop("scale", "mean_nn")
         scaled = R.scale_coordinates(kept, settings.knn_k, bounds)
     scaled = cut_lineage(scaled)

@@ -56,7 +56,7 @@ class FeatureSettings:
 class RegionGraphSettings:
     knn_k: int = 6
     mode: str = "adaptive_knn"
-    max_cells: int = 160
+    max_cells: int | None = None
     adaptive_factor: float = 1.5
     global_knn_multiplier: int = 4
     global_distance_multiplier: float = 2.5

@@ -46,6 +46,43 @@ def test_bucketed_delaunay_equals_the_plain_one():
     assert delaunay_pairs(x, y) == delaunay_pairs(x, y, all_pairs_below=10_000)
 
 
+def hull_size(points):
+    """Points on the convex hull, those on its sides included, in exact arithmetic."""
+    from fractions import Fraction
+
+    p = sorted((Fraction(float(x)), Fraction(float(y))) for x, y in points)
+
+    def chain(seq):
+        out = []
+        for q in seq:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (q[1] - out[-2][1]) < (out[-1][1] - out[-2][1]) * (q[0] - out[-2][0]):
+                out.pop()
+            out.append(q)
+        return out
+
+    return len({*chain(p), *chain(p[::-1])})
+
+
+def difficult_points():
+    rng = np.random.default_rng(0)
+    grid = np.stack(np.meshgrid(np.arange(18.0), np.arange(18.0)), -1).reshape(-1, 2)
+    turn = np.array([[np.cos(0.7), -np.sin(0.7)], [np.sin(0.7), np.cos(0.7)]])
+    circle = [(3, 4), (4, 3), (5, 0), (4, -3), (3, -4), (0, -5), (-3, -4), (-4, -3), (-5, 0), (-4, 3), (-3, 4), (0, 5)]
+    yield grid
+    yield grid @ turn
+    yield np.concatenate([rng.normal(0, 1e-5, (250, 2)), rng.uniform(-0.5, 0.5, (60, 2))])
+    yield np.concatenate([rng.uniform(0, 1, (200, 2)), [[1e6, 3.0]]])
+    yield np.array(circle, float)[rng.permutation(12)]
+
+
+@pytest.mark.parametrize("below", [400, 0])
+def test_delaunay_is_planar_and_full_on_difficult_points(below):
+    for points in difficult_points():
+        pairs = delaunay_pairs(points[:, 0], points[:, 1], below)
+        assert len(pairs) == 3 * len(points) - 3 - hull_size(points)
+        assert {v for pair in pairs for v in pair} == set(range(len(points)))
+
+
 def test_delaunay_of_small_and_flat_regions(spark):
     rows = [("two", i, float(i), 0.0) for i in range(2)] + [("one", 5, 0.0, 0.0)]
     rows += [("line", 10 + i, float(i), 2.0 * i) for i in range(5)]

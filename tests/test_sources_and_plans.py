@@ -7,7 +7,8 @@ from cytoplane.plans import features as P
 from cytoplane.plans import report
 from cytoplane.plans.examples import region_examples
 from cytoplane.plans.study import Head, cross_validate
-from cytoplane.settings import PrepareSettings, StudySettings
+from cytoplane.plans import study
+from cytoplane.settings import BOUNDS, PrepareSettings, StudySettings
 from cytoplane.sources import raster, tables
 from tests import fixture
 
@@ -23,9 +24,9 @@ def test_cell_study_round_trip_and_errors(spark, tmp_path):
     study = tables.load_cell_study(spark, f"{tmp_path}/cells.parquet", f"{tmp_path}/regions.csv", "demo")
     tables.save_study(study, f"{tmp_path}/study")
     back = tables.load_study(spark, f"{tmp_path}/study")
-    assert back.cells.count() == 128 and back.meta.first().dataset_name == "demo"
+    assert back.cells.count() == 60 and back.meta.first().dataset_name == "demo"
     assert {(r.region_id, r.n_cells, r.label) for r in back.regions.collect()} == {
-        (f"r{i + 1}", 16, "CLR" if (i // 2) % 2 == 0 else "DII") for i in range(8)
+        (f"region{i}", fixture.CELLS_IN_REGION, fixture.label_of(i)) for i in range(fixture.REGIONS)
     }
     assert "n_cells" not in back.tasks.columns
 
@@ -37,26 +38,30 @@ def test_translated_regions_have_equal_features(spark, tmp_path):
     spread = table.groupBy("feature_family", "name").agg(
         F.count("*").alias("n"), (F.max("value") - F.min("value")).alias("d"), F.first("value").alias("v")
     ).collect()
-    assert all(r.n == 8 and r.d == pytest.approx(0, abs=1e-6) for r in spread)
+    assert all(r.n == fixture.REGIONS and r.d == pytest.approx(0, abs=1e-6) for r in spread)
     value = {r.name: r.v for r in spread}
-    assert value["cell_count"] == 16 and value["prop_celltype_tumor"] == 0.25
-    assert value["prop_compartment_stroma"] == 0.75 and value["graph_components"] == 1
-    assert value["tumor_to_cd8_min"] > 0 and value["treg_h0_count"] == 0
-    assert value["union_tumor_cd8_h0_count"] == 7
+    assert value["cell_count"] == 10 and value["prop_celltype_tumor"] == 0.4
+    assert value["prop_compartment_stroma"] == 0.6
+    assert value["tumor_to_cd8_min"] == 0.75 and value["treg_h0_count"] == 0
+    assert value["union_tumor_cd8_h0_count"] == 6 and value["tumor_h1_count"] == 1
     tables.save_features(table, f"{tmp_path}/features")
     long = tables.load_feature_csv(spark, f"{tmp_path}/features/feature_table_csv")
     assert long.count() == table.count()
     wide, names = P.engineered_features(tables.load_features(spark, f"{tmp_path}/features"))
-    assert wide.count() == 8 and set(names) == set(value)
+    assert wide.count() == fixture.REGIONS and set(names) == set(value)
+    more = table
+    for family in ("A1", "B2", "G7"):
+        more = more.unionByName(table.where("feature_family = 'F0'").withColumn("feature_family", F.lit(family)))
+    assert sorted(P.engineered_features(more)[1]) == sorted(names)
 
 
 def test_region_examples(spark):
     cells = fixture.cells(spark)
     regions = cells.groupBy("region_id").agg(*[F.first(c).alias(c) for c in ("patient_id", "label")])
-    example = region_examples(cells, regions, sorted(fixture.BASE))
-    assert example.cells.count() == 128 and {"near_tumor", "label", "marker_cd8"} <= set(example.cells.columns)
+    example = region_examples(cells, regions, sorted(fixture.SHAPES))
+    assert example.cells.count() == 60 and {"near_tumor", "label", "marker_cd8"} <= set(example.cells.columns)
     assert {r["scale"] for r in example.edges.select("scale").distinct().collect()} == {"base", "expanded", "global"}
-    shares = example.cells.select(sum(F.col(f"near_{t}") for t in sorted(fixture.BASE)).alias("s")).agg(F.min("s"), F.max("s")).first()
+    shares = example.cells.select(sum(F.col(f"near_{t}") for t in sorted(fixture.SHAPES)).alias("s")).agg(F.min("s"), F.max("s")).first()
     assert shares[0] == pytest.approx(1) and shares[1] == pytest.approx(1)
 
 
@@ -90,6 +95,13 @@ def test_raster_study(spark, tmp_path):
     assert {(r.label, r.label_mode) for r in named.regions.collect()} == {("DII", "clinical_patient_label")}
 
 
+def test_guard_is_not_turned_by_a_tied_row(spark):
+    rows = [(0, "val", 1, 0.9, 0.1), (0, "val", 1, 0.8, 0.5), (0, "val", 0, 0.5, 0.5), (0, "val", 0, 0.2, 0.9), (0, "test", 1, 0.7, 0.3)]
+    frame = spark.createDataFrame(rows, "fold int, role string, y int, main double, mix double")
+    guarded = study._safe(frame, F.col("role") == "val", ["fold"], "main", "mix", 0.005, "p", BOUNDS)
+    assert all(r.p == r.main for r in guarded.collect())
+
+
 def test_study_and_report(spark, tmp_path):
     rng = np.random.default_rng(0)
     rows = [

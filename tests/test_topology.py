@@ -80,5 +80,11 @@ def test_tree_of_many_points_from_delaunay_edges():
     ends = topology._edge_ranks(dist)
     want = ends[2][topology._tree_edges(len(points), ends[0], ends[1])]
     assert np.sort(topology._sparse_tree_lengths(points[:, 0], points[:, 1])) == pytest.approx(np.sort(want))
+    half = np.concatenate([rng.normal(0, 1e-5, (1100, 2)), rng.uniform(-0.5, 0.5, (1100, 2))])  # above the bound
+    dist = np.sqrt(((half[:, None] - half[None]) ** 2).sum(-1))
+    ends = topology._edge_ranks(dist)
+    want = ends[2][topology._tree_edges(len(half), ends[0], ends[1])]
+    got = topology._sparse_tree_lengths(half[:, 0], half[:, 1])
+    assert len(got) == len(half) - 1 and np.sort(got) == pytest.approx(np.sort(want))
     line = np.arange(20.0)
     assert topology._sparse_tree_lengths(line, 2 * line) == pytest.approx(np.full(19, math.sqrt(5)))

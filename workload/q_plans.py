@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -14,7 +13,7 @@ from cytoplane.operators.ingest import attach_metadata, encode
 from cytoplane.plans import features as P
 from cytoplane.plans import report
 from cytoplane.plans.study import Head, cross_validate
-from cytoplane.session import cut_lineage, measured
+from cytoplane.session import cut_lineage, measured, shared_folder
 from cytoplane.settings import StudySettings
 from cytoplane.sources import tables
 from workload import views as V
@@ -216,8 +215,7 @@ def cross_validated_study(spark, sf):
 
 def scratch(spark) -> str:
     """A fresh folder in the cluster's shared scratch space."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{base or tempfile.mkdtemp(prefix='spark-cytoplane-')}/round-trip-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/round-trip-{uuid.uuid4().hex}"
 
 
 STUDY_SQL = """SELECT CAST(cell_id AS VARCHAR) AS cell_id, CAST(region_id AS VARCHAR) AS region_id, sample_id, patient_id, cell_type, compartment,
