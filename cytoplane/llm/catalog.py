@@ -68,7 +68,9 @@ def op3_fixity(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages")
     altered = F.when(F.col("page_id") % 97 == 3, F.translate("html", "e", "x")).otherwise(F.col("html"))
     replica = fixity.warc_records(pages.withColumn("html", altered)).where("record_id is null or record_id % 101 <> 7")
-    return fixity.audit(fixity.warc_records(pages), replica)
+    found = fixity.audit(fixity.warc_records(pages), replica)
+    name = F.coalesce("record_id", "replica_record_id").alias("record_id")
+    return found.select("archive", "offset", "kind", name, "digest", "replica_digest")
 
 
 OP3_SQL = """
@@ -83,8 +85,7 @@ records AS (
             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset"
     FROM bodies)
 SELECT archive, "offset", CASE WHEN page_id % 101 = 7 THEN 'missing' ELSE 'altered' END AS kind, page_id AS record_id,
-    CASE WHEN page_id % 101 <> 7 THEN page_id END AS replica_record_id, digest,
-    CASE WHEN page_id % 101 <> 7 THEN other_digest END AS replica_digest
+    digest, CASE WHEN page_id % 101 <> 7 THEN other_digest END AS replica_digest
 FROM records WHERE page_id % 101 = 7 OR digest <> other_digest
 """
 
