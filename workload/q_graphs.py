@@ -29,8 +29,8 @@ NORM_SQL = """norm AS (SELECT c.region_id, cell_id, x / scale AS x, y / scale AS
   FROM cells c JOIN spacing USING (region_id))"""
 NORM = (*BASE, SPACING_SQL, NORM_SQL)
 
-MUTUAL_SQL = """mutual AS (SELECT a.region_id, a.src, a.dst, a.dist FROM nranked a JOIN nranked b
-  ON a.region_id = b.region_id AND a.src = b.dst AND a.dst = b.src WHERE a.rank <= 10 AND b.rank <= 10 AND a.src < a.dst)"""
+MUTUAL_SQL = """mutual AS (SELECT region_id, least(src, dst) AS src, greatest(src, dst) AS dst, min(dist) AS dist
+  FROM nranked WHERE rank <= 10 GROUP BY 1, 2, 3 HAVING count(*) = 2)"""
 
 TRIANGULATION_SQL = """sides AS (SELECT a.region_id, a.cell_id AS src, b.cell_id AS dst,
     (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) AS turn,
