@@ -73,10 +73,12 @@ class DigestArray:
         return out
 
 
-def keys_of(host: str, path: str, lengths: list[int]) -> list[str]:
-    """The listed strings that could fit: host and its parent domains, each with the path's prefixes of given lengths."""
-    parts = host.split(".")
-    hosts = [".".join(parts[k:]) for k in range(len(parts))] if host else []
+def keys_of(host: str, path: str, lengths: list[int], labels: int) -> list[str]:
+    """The listed strings that could fit: host and its parent domains of up to ``labels`` labels, each with the path's
+    prefixes of given lengths."""
+    parts = host.rsplit(".", labels)
+    tails = parts[1:] if len(parts) > labels else parts  # the first part may hold several labels
+    hosts = [".".join(tails[k:]) for k in range(len(tails))] if host else []
     return [h + path[:n] for h in hosts for n in lengths if n <= len(path)]
 
 
@@ -102,11 +104,14 @@ def filter_urls(
     listed = entries.where("rule is not null and verdict in ('allow', 'block')").select(F.col("rule").cast("string").alias("rule"), value)
     listed = stored(listed.groupBy("rule").agg(F.max("value").alias("value")))
     path_length = F.when(F.instr("rule", "/") > 0, F.length("rule") - F.instr("rule", "/") + 1).otherwise(0)
-    facts = listed.agg(F.sum(F.octet_length("rule") + 24).alias("size"), F.collect_set(path_length).alias("lengths")).first()
-    lengths = sorted(facts["lengths"])
+    labels = F.size(F.split(F.split_part("rule", F.lit("/"), F.lit(1)), r"\."))
+    facts = listed.agg(
+        F.sum(F.octet_length("rule") + 24).alias("size"), F.collect_set(path_length).alias("lengths"), F.max(labels).alias("labels")
+    ).first()
+    lengths, labels = sorted(facts["lengths"]), facts["labels"] or 0
     size = facts["size"] or 0
     if size > most_list_bytes:
-        return _filter_in_parts(urls, listed, lengths, -(-size // most_list_bytes), id_col, url_col, default)
+        return _filter_in_parts(urls, listed, lengths, labels, -(-size // most_list_bytes), id_col, url_col, default)
     every = spark.sparkContext.broadcast([(r.rule, r.value) for r in listed.toLocalIterator()])
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +120,7 @@ def filter_urls(
             for begin in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(begin, ROWS)
                 split = [split_url(u) for u in batch.column(1).to_pylist()]
-                asked = [[k.encode() for k in keys_of(h, p, lengths)] for h, p in split]
+                asked = [[k.encode() for k in keys_of(h, p, lengths, labels)] for h, p in split]
                 values = index.probe([k for keys in asked for k in keys])
                 rules, priorities, verdicts, at = [], [], [], 0
                 for keys in asked:
@@ -132,12 +137,12 @@ def filter_urls(
     return _judged(urls, url_col, id_col).mapInArrow(kernel, "page_id long, host string, path string, rule string, priority long, verdict string")
 
 
-def _filter_in_parts(urls: DataFrame, listed: DataFrame, lengths: list[int], parts: int, id_col: str, url_col: str, default: str) -> DataFrame:
+def _filter_in_parts(urls: DataFrame, listed: DataFrame, lengths: list[int], labels: int, parts: int, id_col: str, url_col: str, default: str) -> DataFrame:
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [split_url(u) for u in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([h for h, _ in found]), pa.array([p for _, p in found]), pa.array([keys_of(h, p, lengths) for h, p in found], pa.list_(pa.string()))],
+                [batch.column(0), pa.array([h for h, _ in found]), pa.array([p for _, p in found]), pa.array([keys_of(h, p, lengths, labels) for h, p in found], pa.list_(pa.string()))],
                 ["page_id", "host", "path", "keys"],
             )
 
