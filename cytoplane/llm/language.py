@@ -16,6 +16,8 @@ from cytoplane.llm.shared import text_column, text_slices, word_bounds, spaces
 UNDETERMINED = "und"
 #: n-grams are hashed into this many buckets; counts of two to ``GRAM`` bytes of a space-edged, lower-cased word.
 BUCKETS, GRAM = 1 << 16, 4
+#: Words whose n-grams are formed at once.
+WORDS = 1 << 14
 #: Bound of the training sample: expected number of documents of each language.
 MOST_DOCUMENTS = 1000
 _WORDLIKE = re.compile(r"[^\W\d_]")  # letters, and numbers such as fractions
@@ -71,12 +73,11 @@ def train(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 starts, ends, first = word_bounds(data, bounds, spaces())
                 if not len(starts):
                     continue
-                bucket, word = grams(data, starts, ends)
-                owner = np.searchsorted(first, word, "right") - 1
                 for k in range(row, end):
                     c = counts.setdefault(langs[k], np.zeros(BUCKETS, np.int64))
-                    mine = bucket[owner == k - row]
-                    c += np.bincount(mine, minlength=BUCKETS)
+                    for a in range(first[k - row], first[k - row + 1], WORDS):
+                        part = slice(a, min(a + WORDS, first[k - row + 1]))
+                        c += np.bincount(grams(data, starts[part], ends[part])[0], minlength=BUCKETS)
         for lang, c in counts.items():
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at), pa.array(c[at])], ["lang", "bucket", "n"])
@@ -156,10 +157,12 @@ def _judge(column: pa.Array, model: Model) -> tuple[list[str], list[float], list
     for row, end, data, bounds in text_slices(texts, 1 << 18):
         starts, ends, first = word_bounds(data, bounds, spaces())
         if len(starts) and model.languages:
-            bucket, word = grams(data, starts, ends)
             scores = np.empty((len(starts), len(model.languages)))
-            for k in range(len(model.languages)):
-                scores[:, k] = np.bincount(word, model.table[k][bucket], minlength=len(starts))
+            for a in range(0, len(starts), WORDS):
+                part = slice(a, a + WORDS)
+                bucket, word = grams(data, starts[part], ends[part])
+                for k in range(len(model.languages)):
+                    scores[part, k] = np.bincount(word, model.table[k][bucket], minlength=len(starts[part]))
             shares, chosen = mixtures(scores, first)
         else:
             shares = np.zeros((end - row, len(model.languages)))
