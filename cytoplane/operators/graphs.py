@@ -218,30 +218,25 @@ def component_count(edges: DataFrame, cells: DataFrame, bounds: SizeBounds = BOU
     return found.groupBy("region_id").agg(F.count_if(F.col("cell_id") == F.col("component")).cast("double").alias("graph_components"))
 
 
-def edge_key(a: Column, b: Column) -> Column:
-    return F.concat_ws("|", a.cast("string"), b.cast("string"))
-
-
-def triangle_key(a: Column, b: Column, c: Column) -> Column:
-    return F.concat_ws("|", a.cast("string"), b.cast("string"), c.cast("string"))
-
-
 def _entry(row: Column, col: Column, value: float) -> Column:
     return F.struct(row.alias("row"), col.alias("col"), F.lit(value).alias("value"))
 
 
 def node_boundary(edges: DataFrame) -> DataFrame:
-    """B1 as rows (region_id, row = cell, col = edge, value): -1 at the edge's first end, +1 at its second."""
-    key = edge_key(F.col("src"), F.col("dst"))
-    ends = F.array(_entry(F.col("src").cast("string"), key, -1.0), _entry(F.col("dst").cast("string"), key, 1.0))
+    """B1 as rows (region_id, row = cell, col = edge, value): -1 at the edge's first end, +1 at its second.
+
+    Cells, edges and triangles are named by the array of their one, two or three cell ids.
+    """
+    src, dst = F.col("src"), F.col("dst")
+    ends = F.array(_entry(F.array(src), F.array(src, dst), -1.0), _entry(F.array(dst), F.array(src, dst), 1.0))
     return edges.select("region_id", F.inline(ends))
 
 
 def edge_boundary(triangle_rows: DataFrame) -> DataFrame:
     """B2 as rows (region_id, row = edge, col = triangle, value): [b,c] - [a,c] + [a,b]."""
     a, b, c = F.col("a"), F.col("b"), F.col("c")
-    key = triangle_key(a, b, c)
-    sides = F.array(_entry(edge_key(b, c), key, 1.0), _entry(edge_key(a, c), key, -1.0), _entry(edge_key(a, b), key, 1.0))
+    key = F.array(a, b, c)
+    sides = F.array(_entry(F.array(b, c), key, 1.0), _entry(F.array(a, c), key, -1.0), _entry(F.array(a, b), key, 1.0))
     return triangle_rows.select("region_id", F.inline(sides))
 
 

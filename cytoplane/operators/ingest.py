@@ -10,12 +10,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cytoplane.functions import columns as C
+from cytoplane.session import cut_lineage
 from cytoplane.settings import NON_MARKER_COLUMNS, REQUIRED_CELL_COLUMNS, ROLE_TERMS
 
 
+def missing_columns(df: DataFrame, required: tuple[str, ...] = REQUIRED_CELL_COLUMNS) -> list[str]:
+    return sorted(set(required) - set(df.columns))
+
+
 def require_columns(df: DataFrame, required: tuple[str, ...] = REQUIRED_CELL_COLUMNS) -> DataFrame:
-    missing = sorted(set(required) - set(df.columns))
-    if missing:
+    if missing := missing_columns(df, required):
         raise ValueError(f"cell table is missing required columns: {missing}")
     return df
 
@@ -116,9 +120,16 @@ def role_rows(cells: DataFrame, role_terms: dict = ROLE_TERMS) -> DataFrame:
 
 
 def vocabulary(df: DataFrame, column: str, code: str) -> DataFrame:
-    """Distinct values in order with dense numbers from 0; the window runs over the distinct values only."""
-    distinct = df.select(column).where(F.col(column).isNotNull()).distinct()
-    return distinct.withColumn(code, (F.row_number().over(Window.orderBy(column)) - 1).cast("int"))
+    """Distinct values in order with dense numbers from 0.
+
+    The distinct values are range-partitioned; only the sizes of the partitions are added up in one place.
+    """
+    ordered = df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column)
+    row = F.monotonically_increasing_id()  # the partition's number above 33 bits of the place in it
+    placed = cut_lineage(ordered.select(column, F.shiftright(row, 33).alias("part"), row.bitwiseAND((1 << 33) - 1).alias("place")))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    return placed.join(sizes, "part").select(column, (F.col("base") + F.col("place")).cast("int").alias(code))
 
 
 def encode(df: DataFrame, column: str, code: str) -> DataFrame:
@@ -145,9 +156,9 @@ def lift(df: DataFrame, statistics: dict[str, tuple[float, float]]) -> DataFrame
 
 
 def attach_metadata(features: DataFrame, regions: DataFrame, family: str) -> DataFrame:
-    """Region metadata on feature rows, with the fixed split marker and the family."""
+    """Region metadata on feature rows, with the fixed split marker and the family; null where a region has none."""
     meta = regions.select("region_id", "sample_id", "patient_id", "label")
-    return features.join(meta, "region_id").withColumns(
+    return features.join(meta, "region_id", "left").withColumns(
         {"split": F.lit("unassigned"), "feature_family": F.lit(family)}
     )
 

@@ -6,10 +6,14 @@ its scope that does not test it. Shuffles are orders of a seeded hash, so any ru
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cytoplane.operators.quantiles import exact_percentiles
+from cytoplane.operators.ranking import positions
+from cytoplane.session import cut_lineage, largest_group
 from cytoplane.settings import BOUNDS, SizeBounds
 
 
@@ -18,12 +22,20 @@ def shuffle_key(seed: Column | int, value: Column) -> Column:
     return F.md5(F.concat(seed.cast("string"), F.lit(":"), value.cast("string")))
 
 
+def _counted(regions: DataFrame, scope: list[str]) -> DataFrame:
+    """Regions per patient and label: all that folds are planned from."""
+    return regions.groupBy(*scope, "patient_id", "label").agg(F.count("*").alias("n"))
+
+
+def _labels_of(counted: DataFrame, scope: list[str]) -> DataFrame:
+    best = F.min_by("label", F.struct(-F.col("n"), "label"))
+    return counted.groupBy(*scope, "patient_id").agg(best.alias("label"), (F.count("*") == 1).alias("pure"))
+
+
 def patient_labels(regions: DataFrame, scope: list[str] | None = None) -> DataFrame:
     """Per patient: the most frequent label (ties to the first) and whether it is the only one."""
     scope = scope or []
-    counted = regions.groupBy(*scope, "patient_id", "label").agg(F.count("*").alias("n"))
-    best = F.min_by("label", F.struct(-F.col("n"), "label"))
-    return counted.groupBy(*scope, "patient_id").agg(best.alias("label"), (F.count("*") == 1).alias("pure"))
+    return _labels_of(_counted(regions, scope), scope)
 
 
 def pure_patients(regions: DataFrame) -> DataFrame:
@@ -41,7 +53,8 @@ def leave_one_patient_out(regions: DataFrame, seed: int = 42) -> DataFrame:
 
 
 def grouped_splits(
-    regions: DataFrame, n_splits: int | None = 4, n_repeats: int = 1, seed: int = 42, scope: list[str] | None = None
+    regions: DataFrame, n_splits: int | None = 4, n_repeats: int = 1, seed: int = 42, scope: list[str] | None = None,
+    bounds: SizeBounds = BOUNDS,
 ) -> DataFrame:
     """Patient-grouped folds within each scope.
 
@@ -49,15 +62,24 @@ def grouped_splits(
     the f-th shuffled patient of each label. Otherwise patients, ordered by label and shuffled, are dealt to the folds
     back and forth. Each scope chooses for itself, so nested folds are one plan.
     """
+    scope = scope or []
+    return _folds(_counted(regions, scope), n_splits, n_repeats, seed, scope, bounds)
+
+
+def _folds(counted: DataFrame, n_splits: int | None, n_repeats: int, seed: int, scope: list[str], bounds: SizeBounds) -> DataFrame:
+    """Folds from patients and their labels. Seats of a label come from positions that split large groups; a patient's
+    place among all labels follows from its seat and the number of patients of each label."""
     if not scope:
-        whole = grouped_splits(regions.withColumn("study", F.lit(0)), n_splits, n_repeats, seed, ["study"])
-        return whole.drop("study")
-    patients = patient_labels(regions, scope)
-    per_label = patients_per_label(regions, scope).groupBy(*scope).agg(
+        return _folds(counted.withColumn("study", F.lit(0)), n_splits, n_repeats, seed, ["study"], bounds).drop("study")
+    counted = cut_lineage(counted)
+    bounds = replace(bounds, largest_scores=largest_group(counted, scope))
+    patients = _labels_of(counted, scope)
+    per_label = counted.groupBy(*scope, "label").agg(F.count("*").alias("patients")).groupBy(*scope).agg(
         F.count("*").alias("labels"), F.min("patients").alias("fewest")
     )
-    shape = patients.groupBy(*scope).agg(
-        F.count("*").alias("patients"), F.min(F.col("pure").cast("int")).alias("all_pure")
+    sides = patients.groupBy(*scope, "label").agg(F.count("*").alias("n"), F.min(F.col("pure").cast("int")).alias("pure"))
+    shape = sides.groupBy(*scope).agg(
+        F.sum("n").alias("patients"), F.min("pure").alias("all_pure"), F.collect_list(F.struct("label", "n")).alias("sides")
     )
     shape = shape.join(per_label, scope)
     asked = F.col("patients") if n_splits is None else F.lit(int(n_splits))
@@ -71,13 +93,25 @@ def grouped_splits(
         (F.col("mode") != "single") | (F.col("repeat") == 0)
     )
     planned = planned.withColumn("key", shuffle_key(F.col("repeat") + seed, F.col("patient_id")))
-    within = Window.partitionBy(*scope, "repeat", "label").orderBy("key", "patient_id")
-    planned = planned.withColumn("seat", F.row_number().over(within) - 1)
-    alternating = F.when(F.col("all_pure") == 1, F.col("seat")).otherwise(F.lit(0))
-    tie = F.when(F.col("all_pure") == 1, F.col("label")).otherwise(F.lit(""))
-    single = F.row_number().over(Window.partitionBy(*scope, "repeat").orderBy(alternating, tie, "key", "patient_id")) - 1
-    order = F.row_number().over(Window.partitionBy(*scope, "repeat").orderBy("label", "key", "patient_id")) - 1
-    planned = planned.withColumn("single", single).withColumn("order", order)
+    planned = planned.withColumns(
+        {
+            "lead": F.conv(F.substring("key", 1, 12), 16, 10).cast("long"), "tie": F.struct("key", "patient_id"),
+            "side": F.struct("label"),  # a missing label is a side too, also in joins
+        }
+    )
+    planned = positions(planned, [*scope, "repeat", "side"], "lead", "tie", "seat", bounds)
+    planned = positions(planned, [*scope, "repeat"], "lead", "tie", "shuffled", bounds)
+    label = F.col("label")
+
+    def earlier(s):
+        return F.coalesce(s["label"] < label, s["label"].isNull() & label.isNotNull())
+
+    def total(name: str, of):
+        return F.aggregate(name, F.lit(0).cast("long"), lambda n, s: n + of(s))
+
+    order = F.col("seat") + total("sides", lambda s: F.when(earlier(s), s["n"]).otherwise(F.lit(0)))
+    around = total("sides", lambda s: F.least(s["n"], F.col("seat") + F.when(earlier(s), 1).otherwise(0)))
+    planned = planned.withColumn("order", order).withColumn("single", F.when(F.col("all_pure") == 1, around).otherwise(F.col("shuffled")))
     turn, place = F.floor(F.col("order") / F.col("folds")), F.col("order") % F.col("folds")
     dealt = F.when(turn % 2 == 0, place).otherwise(F.col("folds") - 1 - place)
     fold = (
@@ -88,43 +122,49 @@ def grouped_splits(
     return planned.select(*scope, "repeat", fold.cast("int").alias("fold"), "patient_id").where(F.col("fold").isNotNull())
 
 
-def assign_roles(regions: DataFrame, folds: DataFrame) -> DataFrame:
-    """Every region once per (repeat, fold) as ``train`` or ``test``. Folds count from 0 alike in every repeat."""
+def _every_fold(rows: DataFrame, folds: DataFrame, repeat: str = "repeat", fold: str = "fold") -> DataFrame:
+    """Each row once per (repeat, fold). Folds count from 0 alike in every repeat."""
     last = folds.agg(F.max("repeat").alias("repeat"), F.max("fold").alias("fold")).first()
-    tested = folds.select("repeat", "fold", "patient_id", F.lit("test").alias("role"))
-    every = regions.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(last["repeat"])))).withColumn(
-        "fold", F.explode(F.sequence(F.lit(0), F.lit(last["fold"])))
+    return rows.withColumn(repeat, F.explode(F.sequence(F.lit(0), F.lit(last["repeat"])))).withColumn(
+        fold, F.explode(F.sequence(F.lit(0), F.lit(last["fold"])))
     )
-    return every.join(tested, ["repeat", "fold", "patient_id"], "left").withColumn(
+
+
+def assign_roles(regions: DataFrame, folds: DataFrame) -> DataFrame:
+    """Every region once per (repeat, fold) as ``train`` or ``test``."""
+    tested = folds.select("repeat", "fold", "patient_id", F.lit("test").alias("role"))
+    return _every_fold(regions, folds).join(tested, ["repeat", "fold", "patient_id"], "left").withColumn(
         "role", F.coalesce("role", F.lit("train"))
     )
 
 
+OUTER = ["outer_repeat", "outer_fold"]
+
+
+def _training(counted: DataFrame, folds: DataFrame) -> DataFrame:
+    """Patients and labels each outer fold trains on; regions are never repeated per fold."""
+    tested = folds.select(F.col("repeat").alias("outer_repeat"), F.col("fold").alias("outer_fold"), "patient_id")
+    return _every_fold(counted, folds, *OUTER).join(tested, [*OUTER, "patient_id"], "left_anti")
+
+
 def nested_splits(
-    regions: DataFrame, outer_splits: int = 5, inner_splits: int = 3, n_repeats: int = 1, seed: int = 42
+    regions: DataFrame, outer_splits: int = 5, inner_splits: int = 3, n_repeats: int = 1, seed: int = 42, bounds: SizeBounds = BOUNDS
 ) -> tuple[DataFrame, DataFrame]:
     """Outer folds, and inner folds drawn from each outer fold's training patients only."""
-    outer = grouped_splits(regions, outer_splits, n_repeats, seed)
-    training = (
-        assign_roles(regions, outer).where(F.col("role") == "train").drop("role")
-        .withColumnsRenamed({"repeat": "outer_repeat", "fold": "outer_fold"})
-    )
-    inner = grouped_splits(training, inner_splits, n_repeats, seed, ["outer_repeat", "outer_fold"])
-    return outer, inner
+    counted = cut_lineage(_counted(regions, []))
+    outer = cut_lineage(_folds(counted, outer_splits, n_repeats, seed, [], bounds))
+    return outer, _folds(_training(counted, outer), inner_splits, n_repeats, seed, OUTER, bounds)
 
 
-def validation_patients(regions: DataFrame, folds: DataFrame, seed: int = 42) -> DataFrame:
+def validation_patients(regions: DataFrame, folds: DataFrame, seed: int = 42, bounds: SizeBounds = BOUNDS) -> DataFrame:
     """(repeat, fold, patient_id) of the first fold of a four-way split of each fold's training patients.
 
     Folds with fewer than four training patients have none.
     """
-    training = (
-        assign_roles(regions, folds).where(F.col("role") == "train").drop("role")
-        .withColumnsRenamed({"repeat": "outer_repeat", "fold": "outer_fold"})
-    )
-    scope = ["outer_repeat", "outer_fold"]
-    enough = training.groupBy(*scope).agg(F.count_distinct("patient_id").alias("n")).where(F.col("n") >= 4)
-    picked = grouped_splits(training.join(enough.select(*scope), scope, "left_semi"), 4, 1, seed, scope)
+    folds = cut_lineage(folds)
+    training = _training(_counted(regions, []), folds)
+    enough = training.groupBy(*OUTER).agg(F.count_distinct("patient_id").alias("n")).where(F.col("n") >= 4)
+    picked = _folds(training.join(enough.select(*OUTER), OUTER, "left_semi"), 4, 1, seed, OUTER, bounds)
     return picked.where(F.col("fold") == 0).select(
         F.col("outer_repeat").alias("repeat"), F.col("outer_fold").alias("fold"), "patient_id"
     )

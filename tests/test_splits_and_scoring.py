@@ -38,6 +38,18 @@ def test_no_patient_on_both_sides(spark, mixed):
     assert clash.isEmpty()
 
 
+@pytest.mark.parametrize("splits_asked", [None, 4])
+@pytest.mark.parametrize("mixed", [False, True])
+def test_folds_of_split_groups_are_the_same(spark, mixed, splits_asked):
+    frame = regions(spark, {f"p{i}": (("A", "B") if mixed and i % 5 == 0 else "AB"[i % 3 == 0]) for i in range(23)})
+    whole, parted = (
+        sorted(map(tuple, splits.grouped_splits(frame, splits_asked, 2, bounds=b).collect())) for b in (SizeBounds(), TINY)
+    )
+    assert whole == parted and whole
+    if splits_asked is None:
+        assert sorted(r[1] for r in whole) == list(range(23))
+
+
 def test_nested_folds_stay_inside_training(spark):
     frame = regions(spark, {f"p{i}": "AB"[i % 2] for i in range(10)})
     outer, inner = splits.nested_splits(frame, 4, 3)
@@ -105,6 +117,15 @@ def test_platt_matches_newton_and_keeps_order(spark):
         a, b = np.array([a, b]) - np.linalg.solve([[1 + (h * z * z).sum(), (h * z).sum()], [(h * z).sum(), h.sum()]], g)
     assert fitted["main"].slope == pytest.approx(a, abs=1e-6) and fitted["main"].intercept == pytest.approx(b, abs=1e-6)
     assert fitted["aux"].slope < 0
+    keys, gaps = ["run", "head"], F.when(F.col("logit") < 2, F.col("logit")).alias("logit")  # some missing
+    long = long.select("run", "head", "y", gaps)
+    whole, parted = (
+        {r["head"]: (r.coefficients[0], r.intercept, r.converged) for r in learning.fit_logistic_groups(long, keys, ["logit"], bounds=b).collect()}
+        for b in (SizeBounds(), TINY)
+    )
+    assert set(whole) == set(parted) == {"main", "aux"}
+    for head, (slope, intercept, converged) in whole.items():
+        assert converged and parted[head] == (pytest.approx(slope), pytest.approx(intercept), True)
     calibrated, parameters = learning.calibrate(frame, ["run"], "main", fit=True)
     again, _ = learning.calibrate(frame, ["run"], "main", parameters=parameters)
     p1 = {r.i: r.p for r in calibrated.collect()}

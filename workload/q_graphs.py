@@ -347,7 +347,8 @@ def boundaries(spark, sf):
 @query("g13_boundary_matrices", with_views(*HODGE, B_SQL, """SELECT 'B1' AS matrix, * FROM b1 UNION ALL SELECT 'B2', * FROM b2"""))
 def boundary_matrices(spark, sf):
     b1, b2 = boundaries(spark, sf)
-    return b1.withColumn("matrix", F.lit("B1")).unionByName(b2.withColumn("matrix", F.lit("B2")))
+    rows = b1.withColumn("matrix", F.lit("B1")).unionByName(b2.withColumn("matrix", F.lit("B2")))
+    return rows.withColumns({c: F.array_join(F.col(c).cast("array<string>"), "|") for c in ("row", "col")})
 
 
 def product_sql(name: str, left: str, right: str) -> str:
@@ -401,9 +402,9 @@ def hodge_laplacians(spark, sf):
 )
 def polynomial_filter(spark, sf):
     b1 = graphs.node_boundary(undirected(spark, sf).select("region_id", "src", "dst"))
-    signal = V.cells(spark, sf).select("region_id", F.col("cell_id").cast("string").alias("key"), F.col("marker_v").alias("value"))
+    signal = V.cells(spark, sf).select("region_id", F.array("cell_id").alias("key"), F.col("marker_v").alias("value"))
     rows = graphs.polynomial_filter(b1, signal, [0.5, 0.3, 0.2], "row")
-    return rows.select("region_id", "key", (F.round("value", 5) + 0.0).alias("value"))
+    return rows.select("region_id", F.get("key", 0).cast("string").alias("key"), (F.round("value", 5) + 0.0).alias("value"))
 
 
 STATE = ["marker_k", "marker_v"]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cytoplane.functions import columns as C
@@ -42,16 +45,26 @@ def flagship(spark, sf):
     )
 
 
+RAW_TABLES = ("events", "customer", "lineitem")
+
+
 @query(
     "p1_required_columns",
-    """SELECT column_name AS missing FROM (VALUES ('cell_id'), ('cell_type'), ('patient_id'), ('region_id'), ('sample_id'), ('x'), ('y')) t(column_name)
-       WHERE column_name NOT IN (SELECT DISTINCT unnest(json_keys(to_json(e))) FROM events e)""",
+    " UNION ALL ".join(
+        f"""SELECT '{t}' AS table_name, column_name AS missing, (SELECT count(*) FROM {t}) AS row_count
+       FROM (VALUES ('cell_id'), ('cell_type'), ('patient_id'), ('region_id'), ('sample_id'), ('x'), ('y')) v(column_name)
+       WHERE column_name NOT IN (SELECT DISTINCT unnest(json_keys(to_json(e))) FROM {t} e)"""
+        for t in RAW_TABLES
+    ),
 )
 def required_columns(spark, sf):
-    """Which required columns the raw event table lacks, from its schema and rows."""
-    events = V.table(spark, sf, "events")
-    missing = sorted(set(ingest.REQUIRED_CELL_COLUMNS) - set(events.columns))
-    return events.groupBy().count().select(F.explode(F.lit(missing)).alias("missing"))
+    """Which required columns each raw table lacks, and its rows."""
+    parts = []
+    for name in RAW_TABLES:
+        rows = V.table(spark, sf, name)
+        counted = rows.agg(F.count("*").alias("row_count")).withColumn("table_name", F.lit(name))
+        parts.append(counted.select("table_name", F.explode(F.lit(ingest.missing_columns(rows))).alias("missing"), "row_count"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("p2_duplicate_cell_ids", "SELECT l_orderkey AS cell_id, count(*) AS copies FROM lineitem GROUP BY 1 HAVING count(*) > 1")

@@ -162,10 +162,10 @@ def platt_fit(spark, sf):
 
 @query("e9_calibrated_scores")
 def calibrated_scores(spark, sf):
-    """Parameters fitted on two folds of each run, applied to the other two."""
+    """Parameters fitted on two folds of each run, applied to all of them."""
     scores = V.scores(spark, sf)
     _, parameters = learning.calibrate(scores.where("fold < 2"), ["run"], "main_logit", fit=True)
-    applied, _ = learning.calibrate(scores.where("fold >= 2"), ["run"], "main_logit", parameters=parameters)
+    applied, _ = learning.calibrate(scores, ["run"], "main_logit", parameters=parameters)
     return applied.select("run", "row_id", F.round("p", 6).alias("p"))
 
 
