@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from cytoplane.functions import columns as C
 from cytoplane.operators import composition, ingest
-from cytoplane.settings import IMMUNE_TYPES, ROLE_TERMS, TUMOR_STROMA_TYPES, VASCULAR_TYPES
+from cytoplane.settings import IMMUNE_TYPES, PrepareSettings, ROLE_TERMS, TUMOR_STROMA_TYPES, VASCULAR_TYPES
+from cytoplane.sources import raster
 from workload import views as V
 from workload.registry import query, with_views
 
@@ -170,6 +171,38 @@ def pixels_to_cells(spark, sf):
     )
 
 
+RASTER_TYPES = ("Tumor", "Stroma", IMMUNE_TYPES[0], VASCULAR_TYPES[0], "Neuron")
+_RASTER_TYPE = " ".join(f"WHEN {k} THEN '{t}'" for k, t in enumerate(RASTER_TYPES))
+
+
+@query(
+    "s6_raster_cells",
+    with_views(
+        V.PIXELS_SQL, OBJECTS_SQL,
+        f"""named AS (SELECT *, CASE cell_no % 7 - 1 {_RASTER_TYPE} ELSE 'Unknown' END AS cell_type FROM objects WHERE cell_no % 7 - 1 >= 0),
+        raster AS (SELECT sample_id || '_cell_' || CAST(cell_no AS VARCHAR) AS cell_id, sample_id,
+          'P' || CASE WHEN length(sample_id) < 2 THEN '0' ELSE '' END || sample_id AS patient_id,
+          sample_id || '_patch_' || CAST(CAST(floor(x / 16) AS BIGINT) AS VARCHAR) || '_' || CAST(CAST(floor(y / 16) AS BIGINT) AS VARCHAR) AS region_id,
+          round(x, 6) AS x, round(y, 6) AS y, cell_type, CASE WHEN cell_type = 'Tumor' THEN 'tumor' WHEN cell_type = 'Stroma' THEN 'stroma'
+            WHEN cell_type IN ({names(IMMUNE_TYPES)}) THEN 'immune' WHEN cell_type IN ({names(VASCULAR_TYPES)}) THEN 'vascular'
+            WHEN cell_type = 'Neuron' THEN 'neural' ELSE 'other' END AS compartment,
+          round(price, 4) AS marker_price, round(discount, 6) AS marker_discount, round(tax, 6) AS marker_tax FROM named)
+        SELECT * FROM raster WHERE region_id IN (SELECT region_id FROM raster GROUP BY 1 HAVING count(*) >= 10)""",
+    ),
+)
+def raster_cells(spark, sf):
+    """Pixels with channels, labels of their objects and a dictionary as typed cells of large patches."""
+    channels = ["price", "discount", "tax"]
+    pixels = V.pixels(spark, sf)
+    objects = pixels.select("sample_id", "cell_no").distinct()
+    labels = objects.withColumn("cell_type_id", (F.col("cell_no") % 7 - 1).cast("int"))
+    dictionary = spark.createDataFrame([*enumerate(RASTER_TYPES)], "cell_type_id int, cell_type string")
+    cells = raster.cells_from_raster(
+        pixels.withColumn("channels", F.array(*[F.col(c).cast("double") for c in channels])), labels, dictionary, channels, PrepareSettings(16, 10)
+    )
+    return cells.withColumns({c: F.round(c, 4 if c == "marker_price" else 6) for c in ("x", "y", *[f"marker_{c}" for c in channels])})
+
+
 @query(
     "p7_drop_empty_cells",
     with_views(
@@ -324,7 +357,7 @@ def proxy_labels(spark, sf):
     with_views(
         TYPED_SQL, PROXY_SQL,
         f"""notes AS (SELECT {patient_sql("CASE WHEN c_custkey % 2 = 0 THEN 'p' ELSE '' END || CAST(c_nationkey AS VARCHAR)")} AS patient_id,
-             c_mktsegment AS label, c_custkey FROM customer WHERE c_nationkey < 15),
+             c_mktsegment AS label, c_custkey FROM customer),
            last_note AS (SELECT patient_id, arg_max(label, c_custkey) AS label FROM notes GROUP BY 1),
            named AS (SELECT region_id, 'P' || CASE WHEN patient_no < 10 THEN '0' ELSE '' END || CAST(patient_no AS VARCHAR) AS patient_id, proxy_label FROM proxy)
            SELECT region_id, patient_id, coalesce(label, proxy_label) AS label,
@@ -333,7 +366,7 @@ def proxy_labels(spark, sf):
     ),
 )
 def clinical_labels(spark, sf):
-    customer = V.table(spark, sf, "customer").where(F.col("c_nationkey") < 15)
+    customer = V.table(spark, sf, "customer")
     raw = F.concat(F.when(F.col("c_custkey") % 2 == 0, "p").otherwise(""), F.col("c_nationkey").cast("string"))
     notes = customer.select(raw.alias("patient_id"), F.col("c_mktsegment").alias("label"), "c_custkey")
     clinical = ingest.patient_labels(notes, F.col("c_custkey"))

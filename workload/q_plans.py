@@ -227,14 +227,15 @@ def labelled_cells(spark, sf):
     return V.cells(spark, sf).join(V.regions(spark, sf), "region_id")
 
 
-@query("s1_cell_csv", with_views(V.CELLS_SQL, V.REGIONS_SQL, STUDY_SQL))
+@query("s1_cell_csv", with_views(V.CELLS_SQL, V.REGIONS_SQL, STUDY_SQL.replace(" AS x, y FROM", " AS x, y, round(marker_k, 6) AS marker_k, round(marker_v, 6) AS marker_v FROM")))
 def cell_csv(spark, sf):
     folder = f"{scratch(spark)}/cells.csv"
-    cells = labelled_cells(spark, sf).select(*STUDY_COLUMNS, F.round("x", 6).alias("x"), "y")
+    measures = ("x", "y", "marker_k", "marker_v")
+    cells = labelled_cells(spark, sf).select(*STUDY_COLUMNS, *measures)
     cells.write.option("header", True).csv(folder)
-    schema = ", ".join(f"{c} string" for c in STUDY_COLUMNS) + ", x double, y double"
+    schema = ", ".join(f"{c} string" for c in STUDY_COLUMNS) + "".join(f", {c} double" for c in measures)
     study = tables.load_cell_study(spark, folder, schema=schema)
-    return study.cells.select(*STUDY_COLUMNS, "x", "y")
+    return study.cells.select(*STUDY_COLUMNS, "y", *[F.round(c, 6).alias(c) for c in measures if c != "y"])
 
 
 @query(
@@ -303,13 +304,13 @@ def study_round_trip(spark, sf):
 
 @query(
     "s9_feature_round_trip",
-    with_views(V.CELLS_SQL, V.REGIONS_SQL, EXTENT_SQL, "SELECT region_id, label, 'cell_count' AS name, cell_count AS value FROM extent JOIN regions USING (region_id)"),
+    with_views(V.CELLS_SQL, V.REGIONS_SQL, EXTENT_SQL, "SELECT region_id, label, name, round(value, 6) AS value FROM extent JOIN regions USING (region_id), LATERAL (VALUES ('cell_count', cell_count), ('bbox_area', bbox_area)) v(name, value)"),
 )
 def feature_round_trip(spark, sf):
     folder = scratch(spark)
-    counts = composition.melt(composition.extent(V.cells(spark, sf)), ["cell_count"])
+    counts = composition.melt(composition.extent(V.cells(spark, sf)), ["cell_count", "bbox_area"])
     tables.save_features(attach_metadata(counts, V.regions(spark, sf), "F0"), folder)
-    return tables.load_features(spark, folder).select("region_id", "label", "name", "value")
+    return tables.load_features(spark, folder).select("region_id", "label", "name", F.round("value", 6).alias("value"))
 
 
 @query(

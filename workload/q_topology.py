@@ -106,11 +106,15 @@ def patches(spark, sf):
 
 @query(
     "t3_connected_diagrams",
-    with_views(*TREE, "SELECT region_id, subset, CAST(dim AS INTEGER) AS dim, birth, round(death, 6) AS death FROM bars"),
+    with_views(
+        *TREE,
+        """SELECT region_id, subset, CAST(dim AS INTEGER) AS dim, birth, round(death, 6) AS death FROM bars
+           UNION ALL SELECT DISTINCT region_id, subset, 0::INTEGER, 0.0::DOUBLE, NULL::DOUBLE FROM subset_points""",
+    ),
 )
 def connected_diagrams(spark, sf):
     bars = topology.diagrams(whole_points(spark, sf), (0,))
-    return bars.where(F.col("death").isNotNull()).select("region_id", "subset", "dim", "birth", F.round("death", 6).alias("death"))
+    return bars.select("region_id", "subset", "dim", "birth", F.round("death", 6).alias("death"))
 
 
 VECTOR_TREE_SQL = "subset_points AS (SELECT region_id, 'region' AS scope, cell_type AS subset, cell_id, x, y FROM points)"
