@@ -38,6 +38,7 @@ def test_urls(spark, most):
         "http://badexample.com/de/", "http://w.org/fr/é?x", "x://spam-farm.example.org", "://a.b/xy", "http://A.b?x", "http://", "none", "", None, "http://É.org/é/1",
         "http://a.b:80/x", "http://x.net/a?b", "http://a://b.net/c",
     ]
+    urls += ["http://" + "a." * 20_000 + "example.net/en/x", "http://" + "." * 3000, "http://net/de/", "http://b.org/fr/" + "p" * 5000]
     rows = [(k % 7 if k != 9 else None, u) for k, u in enumerate(urls)] * 2
     pages = spark.createDataFrame(rows, "page_id long, url string").withColumns({"rule": F.lit("z"), "host": F.lit("z"), "keys": F.lit(1)})
     listed = spark.createDataFrame(entries + [(None, "block", 1), ("q.org", None, 1), ("net/", "allow", 0)], "rule string, verdict string, priority long")

@@ -202,6 +202,22 @@ def test_secrets(spark, texts):
     assert clean[501] == "[assign]\"" and clean[500].startswith("[assign] and [assign]'") and clean[508] is None and clean[3] == dict(texts)[3]
 
 
+def test_candidates_apart_from_findings():
+    r = random.Random(3)
+    for _ in range(2000):
+        cuts = sorted(r.sample(range(60), 8))
+        found = list(zip(cuts[::2], cuts[1::2]))
+        base = secrets.ordered([(r.choice(secrets.KINDS), a := r.randint(0, 55), a + r.randint(1, 9)) for _ in range(r.randint(0, 5))])
+        assert secrets.apart(found, base) == [not any(s < b and a < e for _, s, e in base) for a, b in found]
+
+
+def test_windows_hold_the_context_of_every_part():
+    text = "x" * 40 + "k9" * 50 + "y" * 40
+    first, second = secrets.windows(text, 40, 140)
+    assert first == "x" * 24 + text[40:104] + text[104:128]
+    assert second == text[80:104] + text[104:140].ljust(64, "\0") + "y" * 24
+
+
 def test_network_tells_keys_from_plain_codes(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     network = secrets.train(empty, most=1200)
