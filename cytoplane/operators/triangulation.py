@@ -8,10 +8,11 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from cytoplane.operators.neighbors import _nearest_rows, spread_groups
-from cytoplane.session import group_size
+from cytoplane.operators.neighbors import _nearest_rows, knn, mutual, spread_groups
+from cytoplane.session import cut_lineage, group_size, largest_group
 from cytoplane.settings import BOUNDS, SizeBounds
 
 
@@ -67,7 +68,15 @@ def _inside(x: np.ndarray, y: np.ndarray, a: int, b: int, c: int, d: int) -> Fra
 
 
 def delaunay_pairs(x: np.ndarray, y: np.ndarray, all_pairs_below: int = 400) -> set[tuple[int, int]]:
-    """Edges of the Delaunay triangulation of distinct points, found by growing triangles over open edges.
+    """Edges (smaller position first) of the Delaunay triangulation of distinct points; empty for collinear input."""
+    triangles, _ = delaunay_triangles(x, y, all_pairs_below)
+    return {(min(u, v), max(u, v)) for a, b, c in triangles for u, v in ((a, b), (b, c), (c, a))}
+
+
+def delaunay_triangles(
+    x: np.ndarray, y: np.ndarray, all_pairs_below: int = 400
+) -> tuple[list[tuple[int, int, int]], set[int]]:
+    """Triangles of distinct points and the points on their hull, found by growing triangles over open edges.
 
     For an oriented edge the next vertex is the point on its left whose circle reaches least far to the left. Signs and
     comparisons that lie within the rounding error of their floats are settled exactly. Points on one circle are joined
@@ -163,7 +172,8 @@ def delaunay_pairs(x: np.ndarray, y: np.ndarray, all_pairs_below: int = 400) ->
     start = (0, int(np.argmin(near)) + 1)
     waiting = deque([start, start[::-1]])
     closed: set[tuple[int, int]] = set()
-    pairs: set[tuple[int, int]] = set()
+    triangles: list[tuple[int, int, int]] = []
+    hull: set[int] = set()
     while waiting:
         a, b = waiting.popleft()
         if (a, b) in closed:
@@ -171,13 +181,14 @@ def delaunay_pairs(x: np.ndarray, y: np.ndarray, all_pairs_below: int = 400) ->
         c = third(a, b)
         if c < 0:
             closed.add((a, b))
+            hull.update((a, b))
             continue
+        triangles.append((a, b, c))
         for u, v in ((a, b), (b, c), (c, a)):
             closed.add((u, v))
-            pairs.add((min(u, v), max(u, v)))
             if (v, u) not in closed:
                 waiting.append((v, u))
-    return pairs
+    return triangles, hull
 
 
 def _mutual_pairs(x: np.ndarray, y: np.ndarray, k: int) -> set[tuple[int, int]]:
@@ -228,18 +239,167 @@ def _kernel(table: pa.Table) -> pa.Table:
     )
 
 
+_FOUND = (
+    "region_id {region}, kind int, a {cell}, b {cell}, c {cell}, sides array<double>, mixed array<boolean>, "
+    "x double, y double, owners array<long>"
+)
+SURE, OPEN, BORDER = 0, 1, 2
+
+
+def _sure(x: np.ndarray, y: np.ndarray, corners: np.ndarray, box: tuple[float, ...]) -> np.ndarray:
+    """Whether each triangle's circle lies within the box (left, right, bottom, top) for certain; slivers never do."""
+    a, b, c = corners.T
+    ux, uy, vx, vy = x[b] - x[a], y[b] - y[a], x[c] - x[a], y[c] - y[a]
+    area = 2 * (ux * vy - uy * vx)
+    wide = np.abs(area) > 2e-6 * (np.abs(ux * vy) + np.abs(uy * vx))
+    area = np.where(wide, area, 1.0)
+    u, v = ux * ux + uy * uy, vx * vx + vy * vy
+    px, py = (vy * u - uy * v) / area, (ux * v - vx * u) / area
+    lost = 1e-14 * ((np.abs(vy) + np.abs(vx)) * u + (np.abs(uy) + np.abs(ux)) * v) / np.abs(area)
+    lost += 1e-14 * max(np.abs(x).max(), np.abs(y).max())
+    r = np.hypot(px, py) * (1 + 1e-7) + 4 * lost
+    cx, cy = x[a] + px, y[a] + py
+    left, right, bottom, top = box
+    return wide & (cx - r > left) & (cx + r < right) & (cy - r > bottom) & (cy + r < top)
+
+
+def _triangle_kernel(whole: bool):
+    """Triangles of one group of distinct points as SURE or OPEN rows, and the BORDER points that others may still join.
+
+    A triangle is sure if its closed circle stays inside the tile, so no point elsewhere can touch it. With ``whole``
+    the group is the full set and everything is sure. ``mixed`` says, for each level of tiles, whether the corners come
+    from different ones.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        ids = table["cell_id"].combine_chunks()
+        order = np.argsort(table["cell_id"].to_numpy(), kind="stable")
+        x, y = (table[c].to_numpy()[order] for c in ("x", "y"))
+        owners = np.array(table["owners"].to_pylist(), np.int64).reshape(x.size, -1)[order]
+        triangles, hull = delaunay_triangles(x, y) if x.size > 2 else ([], set())
+        corners = np.sort(np.array(triangles, np.int64).reshape(-1, 3), axis=1)
+        a, b, c = corners.T
+        if whole:
+            sure, border = np.ones(len(corners), bool), np.zeros(0, np.int64)
+        else:
+            sure = _sure(x, y, corners, tuple(table[k][0].as_py() for k in ("x_from", "x_to", "y_from", "y_to")))
+            border = np.unique([*corners[~sure].ravel().tolist(), *hull]).astype(np.int64) if triangles else np.arange(x.size)
+
+        def padded(values: pa.Array) -> pa.Array:
+            return pa.concat_arrays([values, pa.nulls(len(border), values.type)])
+
+        def named(at: np.ndarray) -> pa.Array:
+            return ids.take(pa.array(order[at]))
+
+        def lists(values: np.ndarray, kind: pa.DataType) -> pa.Array:
+            offsets = np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]
+            return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.ravel(), kind))
+
+        sides = np.stack([np.sqrt((x[u] - x[v]) ** 2 + (y[u] - y[v]) ** 2) for u, v in ((a, b), (a, c), (b, c))], axis=1)
+        mixed = (owners[a] != owners[b]) | (owners[a] != owners[c])
+        none = len(corners)
+        return pa.table(
+            {
+                "region_id": pa.repeat(table["region_id"][0], none + len(border)),
+                "kind": pa.array(np.concatenate([np.where(sure, SURE, OPEN), np.full(len(border), BORDER)]), pa.int32()),
+                "a": pa.concat_arrays([named(a), named(border)]),
+                "b": padded(named(b)),
+                "c": padded(named(c)),
+                "sides": padded(lists(sides, pa.float64())),
+                "mixed": padded(lists(mixed, pa.bool_())),
+                "x": pa.concat_arrays([pa.nulls(none, pa.float64()), pa.array(x[border])]),
+                "y": pa.concat_arrays([pa.nulls(none, pa.float64()), pa.array(y[border])]),
+                "owners": pa.concat_arrays([pa.nulls(none, pa.list_(pa.int64())), lists(owners[border], pa.int64())]),
+            }
+        )
+
+    return run
+
+
+def _cut(points: DataFrame, keys: list[str], axis: str, parts: Column) -> DataFrame:
+    """Adds the slice of each point along the axis (``axis_part``) and its bounds; slices of a group hold about as many.
+
+    ``parts`` is the wanted number of slices of a group from its number of points ``n``. The cuts are approximate
+    percentiles at the resolution of the largest group; a slice runs from its cut, included, to the next.
+    """
+    wanted = points.groupBy(*keys).agg(F.count("*").alias("n")).select(*keys, parts.cast("int").alias("parts"))
+    most = wanted.agg(F.max("parts")).first()[0] or 1
+    if most == 1:
+        cuts = wanted.select(*keys, F.expr("cast(array() as array<double>)").alias("cuts"))
+    else:
+        found = points.groupBy(*keys).agg(F.percentile_approx(axis, [k / most for k in range(1, most)], 100 * most).alias("every"))
+        step = F.greatest(F.floor(F.lit(most) / F.col("parts")), F.lit(1))
+        cuts = found.join(wanted, keys).withColumn("step", step).select(
+            *keys, F.expr("array_distinct(filter(every, (v, i) -> (i + 1) % step = 0))").alias("cuts")
+        )
+    part = F.expr(f"size(filter(cuts, v -> {axis} >= v))")
+    return points.join(cuts, keys).withColumn(f"{axis}_part", part).withColumns(
+        {
+            f"{axis}_from": F.coalesce(F.get("cuts", F.col(f"{axis}_part") - 1), F.lit(-math.inf)),
+            f"{axis}_to": F.coalesce(F.get("cuts", F.col(f"{axis}_part")), F.lit(math.inf)),
+        }
+    ).drop("cuts")
+
+
+def _triangles(points: DataFrame, most: int, before: int | None = None) -> DataFrame:
+    """Triangles (region_id, a, b, c, sides, mixed) of distinct points (region_id, cell_id, x, y, owners).
+
+    Sets of more than ``most`` points are cut into tiles. A triangle whose circle stays inside its tile is final. The
+    corners of all others and of the tiles' hulls, some multiple of the tiles' circumference, are triangulated again as
+    one set: of its triangles those that join tiles are final, and those within one tile if that tile found them too. A
+    set that hardly shrinks this way (nearly all points on one line or curve) is triangulated as it is.
+    """
+    kind = dict(points.dtypes)
+    schema = _FOUND.format(region=kind["region_id"], cell=kind["cell_id"])
+    triangle = ["region_id", "a", "b", "c", "sides", "mixed"]
+    biggest = largest_group(points, ["region_id"])
+    if biggest <= most or before is not None and biggest > 0.9 * before:
+        return spread_groups(points, ["region_id"]).groupBy("region_id").applyInArrow(_triangle_kernel(True), schema).select(*triangle)
+    tiled = _cut(points, ["region_id"], "x", F.ceil(F.sqrt(F.col("n") / most)))
+    tiled = _cut(tiled, ["region_id", "x_part"], "y", F.ceil(F.col("n") / most))
+    tiled = tiled.withColumn("owners", F.concat("owners", F.array(F.shiftleft(F.col("x_part").cast("long"), 32) + F.col("y_part"))))
+    tile = ["region_id", "x_part", "y_part"]
+    found = cut_lineage(spread_groups(tiled, tile).groupBy(*tile).applyInArrow(_triangle_kernel(False), schema))
+    border = found.where(F.col("kind") == BORDER).select("region_id", F.col("a").alias("cell_id"), "x", "y", "owners")
+    again = cut_lineage(_triangles(border, most, biggest))
+    joining = again.where(F.element_at("mixed", -1))
+    agreed = again.where(~F.element_at("mixed", -1)).join(
+        found.where(F.col("kind") == OPEN).select("region_id", "a", "b", "c"), ["region_id", "a", "b", "c"], "left_semi"
+    )
+    final = found.where(F.col("kind") == SURE).select(*triangle).unionByName(joining).unionByName(agreed)
+    return final.withColumn("mixed", F.slice("mixed", F.lit(1), F.size("mixed") - 1))
+
+
+def spots_of(cells: DataFrame) -> DataFrame:
+    """The first cell of every spot."""
+    return cells.groupBy("region_id", "x", "y").agg(F.min("cell_id").alias("cell_id"))
+
+
+def tiled_edges(spots: DataFrame, most: int) -> DataFrame:
+    """Delaunay edges (region_id, src < dst, dist) of regions of any size; none for a collinear region."""
+    found = _triangles(spots.select("region_id", "cell_id", "x", "y", F.expr("cast(array() as array<bigint>)").alias("owners")), most)
+    ends = [F.struct(F.col(u).alias("src"), F.col(v).alias("dst"), F.get("sides", k).alias("dist")) for k, (u, v) in enumerate(("ab", "ac", "bc"))]
+    edges = found.select("region_id", F.inline(F.array(*ends)))
+    return edges.groupBy("region_id", "src", "dst").agg(F.min("dist").alias("dist"))
+
+
 def delaunay_edges(cells: DataFrame, bounds: SizeBounds = BOUNDS) -> DataFrame:
     """Undirected Delaunay edges per region (src < dst).
 
     Two cells are joined directly; a collinear region falls back to mutual 3-NN; of cells at one spot only the
-    first is triangulated. A region is one task, so its size is checked first.
+    first is triangulated. A region within the bound is one task; larger ones are cut into tiles, with the same edges.
     """
-    biggest = group_size(cells, ["region_id"], bounds)
-    if biggest > bounds.triangulation_cells:
-        raise ValueError(
-            f"a region has {biggest} cells, more than the {bounds.triangulation_cells} one task may triangulate"
-        )
     kind = dict(cells.dtypes)
     schema = f"region_id {kind['region_id']}, src {kind['cell_id']}, dst {kind['cell_id']}, dist double"
     points = cells.selectExpr("region_id", "cell_id", "cast(x as double) x", "cast(y as double) y")
-    return spread_groups(points, ["region_id"]).groupBy("region_id").applyInArrow(_kernel, schema)
+    if group_size(cells, ["region_id"], bounds) <= bounds.triangulation_cells:
+        return spread_groups(points, ["region_id"]).groupBy("region_id").applyInArrow(_kernel, schema)
+    sizes = points.groupBy("region_id").agg((F.count("*") > bounds.triangulation_cells).alias("is_large"))
+    sized = points.join(sizes, "region_id")
+    small = sized.where(~F.col("is_large")).drop("is_large")
+    large = sized.where("is_large").drop("is_large")
+    edges = cut_lineage(tiled_edges(spots_of(large), bounds.triangulation_cells))
+    flat = large.join(edges.select("region_id").distinct(), "region_id", "left_anti")
+    line = mutual(knn(flat, 3, bounds=bounds)).select("region_id", "src", "dst", "dist")
+    near = spread_groups(small, ["region_id"]).groupBy("region_id").applyInArrow(_kernel, schema)
+    return near.unionByName(edges).unionByName(line)

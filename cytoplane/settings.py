@@ -89,8 +89,8 @@ class SizeBounds:
     tile_cells: int = 2048
     halo_rows: int = 65536
     percentile_rows: int = 1_000_000
-    triangulation_cells: int = 1_000_000
-    tree_points: int = 1_000_000
+    triangulation_cells: int = 100_000
+    tree_points: int = 100_000
     diagram_points: int = 2048
     largest_region: int | None = None  # cells in the biggest region, once measured
     largest_scores: int | None = None  # rows in the biggest score group, once measured

@@ -94,8 +94,28 @@ def test_delaunay_of_small_and_flat_regions(spark):
     assert got["two"] == {(0, 1)} and "one" not in got
     assert {(10, 11), (11, 12), (12, 13), (13, 14)} <= got["line"]
     assert len(got["square"]) == 5 and not any(24 in e for e in got["square"])
-    with pytest.raises(ValueError):
-        delaunay_edges(frame, SizeBounds(triangulation_cells=3))
+    for bound in (3, 4):  # the same edges where regions count as large
+        cut = {(e.region_id, e.src, e.dst) for e in delaunay_edges(frame, SizeBounds(triangulation_cells=bound)).collect()}
+        assert cut == {(region, *e) for region, edges in got.items() for e in edges}
+
+
+def test_tiled_delaunay_equals_the_one_of_one_task(spark):
+    rng = np.random.default_rng(4)
+    grid = np.stack(np.meshgrid(np.arange(40.0), np.arange(40.0)), -1).reshape(-1, 2)
+    dense = np.concatenate([rng.normal(0, 1e-4, (700, 2)), rng.uniform(-0.5, 0.5, (900, 2)), [[1e5, 3.0]]])
+    sets = {"even": rng.random((2500, 2)), "grid": grid[rng.permutation(len(grid))], "dense": dense, "small": rng.random((50, 2))}
+    sets["copies"] = np.concatenate([rng.random((900, 2)), np.full((700, 2), 0.5)])
+    line = np.arange(600.0)
+    sets["line"] = np.stack([line, 2 * line], 1)
+    rows = [(name, i, float(a), float(b)) for name, points in sets.items() for i, (a, b) in enumerate(points)]
+    frame = spark.createDataFrame(rows, "region_id string, cell_id long, x double, y double")
+
+    def edges(bound):
+        found = delaunay_edges(frame, SizeBounds(triangulation_cells=bound)).collect()
+        assert len({(e.region_id, e.src, e.dst) for e in found}) == len(found)
+        return {(e.region_id, e.src, e.dst): e.dist for e in found}
+
+    assert edges(400) == edges(10_000)
 
 
 def random_edges(spark, seed=1, n=60, m=70):
