@@ -179,13 +179,13 @@ def components(edges: DataFrame, cells: DataFrame, bounds: SizeBounds = BOUNDS)
         left = spread_groups(nodes, ["region_id"]).groupBy("region_id")
         right = spread_groups(flat, ["region_id"]).groupBy("region_id")
         return left.cogroup(right).applyInArrow(_component_kernel, schema)
-    stars = _stars(flat)
+    stars = star_components(flat)
     return nodes.join(stars, ["region_id", "cell_id"], "left").withColumn(
         "component", F.coalesce("component", "cell_id")
     )
 
 
-def _stars(edges: DataFrame) -> DataFrame:
+def star_components(edges: DataFrame) -> DataFrame:
     """Node -> smallest node of its component, by alternating large-star and small-star steps.
 
     Each step is one grouped minimum and one join; the number of rounds grows with the logarithm of the graph.

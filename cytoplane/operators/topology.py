@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from cytoplane.functions import columns as C
 from cytoplane.operators.composition import patch_rollup
+from cytoplane.operators.graphs import star_components
 from cytoplane.operators.neighbors import spread_groups
-from cytoplane.operators.triangulation import delaunay_pairs
+from cytoplane.operators.triangulation import delaunay_pairs, spots_of, tiled_edges
 from cytoplane.session import cut_lineage, largest_group, measured
 from cytoplane.settings import BOUNDS, ROLE_TERMS, SUBSET_ROLES, FeatureSettings, SizeBounds
 
@@ -92,8 +93,15 @@ def _sparse_tree_lengths(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     if len(pairs) == 0:  # on one line, neighbours in order are the tree
         pairs = np.stack([np.arange(len(spots) - 1), np.arange(1, len(spots))], axis=1)
     dx, dy = sx[pairs[:, 0]] - sx[pairs[:, 1]], sy[pairs[:, 0]] - sy[pairs[:, 1]]
-    lengths = np.sqrt(dx * dx + dy * dy)
-    parent = list(range(len(spots)))
+    kept = _forest_lengths(pairs, np.sqrt(dx * dx + dy * dy), len(spots))
+    if len(kept) != len(spots) - 1:
+        raise AssertionError(f"{len(spots)} spots are joined by {len(kept)} edges")
+    return np.concatenate([copies, kept])
+
+
+def _forest_lengths(pairs: np.ndarray, lengths: np.ndarray, n: int) -> np.ndarray:
+    """Lengths of the edges of a minimum spanning forest over n nodes, shortest first."""
+    parent = list(range(n))
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -107,9 +115,65 @@ def _sparse_tree_lengths(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         if a != b:
             parent[b] = a
             kept.append(lengths[e])
-    if len(kept) != len(spots) - 1:
-        raise AssertionError(f"{len(spots)} spots are joined by {len(kept)} edges")
-    return np.concatenate([copies, np.array(kept)])
+    return np.array(kept, float)
+
+
+def _forest_kernel(table: pa.Table) -> pa.Table:
+    ends = pa.concat_arrays([table["src"].combine_chunks(), table["dst"].combine_chunks()]).to_numpy(zero_copy_only=False)
+    nodes, at = np.unique(ends, return_inverse=True)
+    kept = _forest_lengths(at.reshape(2, -1).T, table["dist"].to_numpy(), len(nodes))
+    return pa.table({"region_id": pa.repeat(table["region_id"][0], len(kept)), "dist": pa.array(kept)})
+
+
+def forest_lengths(edges: DataFrame, most: int) -> DataFrame:
+    """Lengths (region_id, dist) of a minimum spanning forest of each region's edges (src, dst, dist), of any number.
+
+    While a region has more than ``most`` edges, every part takes its shortest way out and joined parts become one node;
+    of edges between the same two parts the shortest stays. This at least halves the parts, and what is left then is
+    joined in one task a region.
+    """
+    kept = None
+    open_ = cut_lineage(edges.select("region_id", "src", "dst", "dist", F.col("src").alias("u"), F.col("dst").alias("v")))
+    while largest_group(open_, ["region_id"]) > most:
+        name = F.struct("dist", "src", "dst", "u", "v").alias("way")
+        ways = open_.select("region_id", F.col("u").alias("node"), name).unionByName(open_.select("region_id", F.col("v").alias("node"), name))
+        shortest = cut_lineage(ways.groupBy("region_id", "node").agg(F.min("way").alias("way")).select("region_id", "way.*").distinct())
+        taken = shortest.select("region_id", "dist")
+        kept = taken if kept is None else kept.unionByName(taken)
+        parts = star_components(shortest.select("region_id", F.col("u").alias("src"), F.col("v").alias("dst")))
+        for end in ("u", "v"):
+            named = parts.select("region_id", F.col("cell_id").alias(end), F.col("component").alias(f"{end}_part"))
+            open_ = open_.join(named, ["region_id", end], "left").withColumn(end, F.coalesce(f"{end}_part", end)).drop(f"{end}_part")
+        ordered = open_.where(F.col("u") != F.col("v")).select(
+            "region_id", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), F.struct("dist", "src", "dst").alias("way")
+        )
+        open_ = cut_lineage(ordered.groupBy("region_id", "u", "v").agg(F.min("way").alias("way")).select("region_id", "u", "v", "way.*"))
+    kind = dict(edges.dtypes)["region_id"]
+    rest = spread_groups(open_.select("region_id", F.col("u").alias("src"), F.col("v").alias("dst"), "dist"), ["region_id"])
+    rest = rest.groupBy("region_id").applyInArrow(_forest_kernel, f"region_id {kind}, dist double")
+    return rest if kept is None else kept.unionByName(rest)
+
+
+def _connected_bars(points: DataFrame, most: int) -> DataFrame:
+    """H0 bars of groups of any size: zeros for copies, the tree inside the Delaunay edges, and one that never ends."""
+    key = F.to_json(F.struct(*GROUP)).alias("region_id")
+    named = cut_lineage(points.select(key, *[F.col(k).alias(f"of_{k}") for k in GROUP], "cell_id", "x", "y"))
+    groups = named.groupBy("region_id", *[f"of_{k}" for k in GROUP]).agg(F.count("*").alias("n"))
+    spots = cut_lineage(spots_of(named))
+    edges = cut_lineage(tiled_edges(spots, most))
+    flat = spots.join(edges.select("region_id").distinct(), "region_id", "left_anti")
+    along = Window.partitionBy("region_id").orderBy("x", "y")  # on one line, neighbours in order are the tree
+    gap = F.sqrt((F.col("x") - F.lag("x").over(along)) ** 2 + (F.col("y") - F.lag("y").over(along)) ** 2)
+    line = flat.select("region_id", gap.alias("dist")).where(F.col("dist").isNotNull())
+    lengths = forest_lengths(edges, most).unionByName(line).select("region_id", F.col("dist").alias("death"))
+    copies = groups.join(spots.groupBy("region_id").agg(F.count("*").alias("spots")), "region_id").select(
+        "region_id", F.explode(F.array_repeat(F.lit(0.0), (F.col("n") - F.col("spots")).cast("int"))).alias("death")
+    )
+    never = groups.select("region_id", F.lit(None).cast("double").alias("death"))
+    deaths = lengths.unionByName(copies).unionByName(never)
+    return deaths.join(groups, "region_id").select(
+        *[F.col(f"of_{k}").alias(k) for k in GROUP], F.lit(0).alias("dim"), F.lit(0.0).alias("birth"), "death"
+    )
 
 
 def _loop_bars(dist: np.ndarray, i: np.ndarray, j: np.ndarray, lengths: np.ndarray, tree: list[int]) -> list[tuple[float, float]]:
@@ -212,19 +276,25 @@ def _diagram_kernel(dims: tuple[int, ...]):
 def diagrams(points: DataFrame, dims: tuple[int, ...] = (0, 1), bounds: SizeBounds = BOUNDS) -> DataFrame:
     """Persistence bars (region_id, scope, subset, dim, birth, death) of the Rips filtration; death null = never.
 
-    One task holds one scope's subsets, so the largest subset is checked first: loops need the matrix of all distances,
-    connected parts alone only the Delaunay edges. Points are never thinned.
+    One task holds one scope's subsets. Connected parts of larger subsets come from tiled Delaunay edges and joins. Loops
+    need the matrix of all distances, so their largest subset is checked first. Points are never thinned.
     """
     biggest = largest_group(points, GROUP)
-    most = bounds.diagram_points if 1 in dims else bounds.tree_points
-    if biggest > most:
-        raise ValueError(f"a subset has {biggest} points, more than the {most} one task may hold")
+    if 1 in dims and biggest > bounds.diagram_points:
+        raise ValueError(f"a subset has {biggest} points, more than the {bounds.diagram_points} one task may hold")
     kind = dict(points.dtypes)["region_id"]
     schema = f"region_id {kind}, scope string, subset string, dim int, birth double, death double"
     rows = points.select(*GROUP, "cell_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    return spread_groups(rows, ["region_id", "scope"]).groupBy("region_id", "scope").applyInArrow(
-        _diagram_kernel(dims), schema
-    )
+
+    def bounded(groups: DataFrame) -> DataFrame:
+        return spread_groups(groups, ["region_id", "scope"]).groupBy("region_id", "scope").applyInArrow(_diagram_kernel(dims), schema)
+
+    if biggest <= bounds.tree_points or dims != (0,):
+        return bounded(rows)
+    sizes = rows.groupBy(*GROUP).agg((F.count("*") > bounds.tree_points).alias("is_large"))
+    sized = rows.join(sizes, GROUP)
+    small, large = sized.where(~F.col("is_large")).drop("is_large"), sized.where("is_large").drop("is_large")
+    return bounded(small).unionByName(_connected_bars(large, bounds.tree_points))
 
 
 def lifetimes(bars: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from cytoplane.operators import topology
+from cytoplane.settings import SizeBounds
 
 
 def bars_by_triangle_columns(points):
@@ -88,3 +89,25 @@ def test_tree_of_many_points_from_delaunay_edges():
     assert len(got) == len(half) - 1 and np.sort(got) == pytest.approx(np.sort(want))
     line = np.arange(20.0)
     assert topology._sparse_tree_lengths(line, 2 * line) == pytest.approx(np.full(19, math.sqrt(5)))
+
+
+def test_connected_parts_of_large_subsets(spark):
+    """The same bars where subsets count as large: tiled edges and a tree by joins against one task."""
+    rng = np.random.default_rng(8)
+    cloud = np.concatenate([rng.normal(0, 1e-3, (500, 2)), rng.uniform(-0.5, 0.5, (700, 2)), np.full((4, 2), 0.25)])
+    grid = np.stack(np.meshgrid(np.arange(30.0), np.arange(30.0)), -1).reshape(-1, 2)
+    line = np.stack([np.arange(500.0), 3 * np.arange(500.0)], 1)
+    sets = {"cloud": cloud, "grid": grid, "line": line, "small": rng.random((30, 2)), "spot": np.full((450, 2), 2.0)}
+    rows = [("r", "region", name, i, float(a), float(b)) for name, p in sets.items() for i, (a, b) in enumerate(p)]
+    points = spark.createDataFrame(rows, "region_id string, scope string, subset string, cell_id long, x double, y double")
+
+    def bars(bound):
+        found = {name: [] for name in sets}
+        for b in topology.diagrams(points, (0,), SizeBounds(tree_points=bound)).collect():
+            assert (b.region_id, b.scope, b.dim, b.birth) == ("r", "region", 0, 0.0)
+            found[b.subset].append(math.inf if b.death is None else b.death)
+        return {k: sorted(v) for k, v in found.items()}
+
+    large, whole = bars(400), bars(10_000)
+    for name, p in sets.items():
+        assert len(large[name]) == len(p) and large[name] == pytest.approx(whole[name])
