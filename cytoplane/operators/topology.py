@@ -6,6 +6,7 @@ A group is (region_id, scope, subset): scope ``region`` or a patch, subset a rol
 from __future__ import annotations
 
 from functools import reduce
+from heapq import heappop, heappush
 from operator import or_
 
 import numpy as np
@@ -61,9 +62,9 @@ def assign_patches(cells: DataFrame, patch_size: float = 12.0, minimum: int = 6)
 
 def _edge_ranks(dist: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All pairs in (length, i, j) order."""
-    i, j = np.triu_indices(dist.shape[0], 1)
+    i, j = (ends.astype(np.int32) for ends in np.triu_indices(dist.shape[0], 1))
     lengths = dist[i, j]
-    order = np.lexsort((j, i, lengths))
+    order = np.argsort(lengths, kind="stable")
     return i[order], j[order], lengths[order]
 
 
@@ -71,16 +72,15 @@ def _tree_edges(n: int, i: np.ndarray, j: np.ndarray) -> list[int]:
     """Positions of the ordered edges that join two parts: the minimum spanning tree."""
     part = np.arange(n)
     tree: list[int] = []
-    e = 0
+    at = 0
     while len(tree) < n - 1:
-        a, b = part[i[e]], part[j[e]]
-        if a != b:
-            part[part == b] = a
-            tree.append(e)
-        e += 1
-        if a == b:  # skip ahead over edges inside a part
-            ahead = np.flatnonzero(part[i[e:]] != part[j[e:]])
-            e += int(ahead[0]) if ahead.size else 0
+        span = slice(at, at + 4 * n)
+        for e in (at + np.flatnonzero(part[i[span]] != part[j[span]])).tolist():
+            a, b = part[i[e]], part[j[e]]
+            if a != b:
+                part[part == b] = a
+                tree.append(e)
+        at += 4 * n
     return tree
 
 
@@ -176,57 +176,110 @@ def _connected_bars(points: DataFrame, most: int) -> DataFrame:
     )
 
 
+def _apexes(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """First vertex joined to both ends of each ordered edge by earlier edges, -1 where there is none."""
+    joined = [0] * n  # bit v of joined[u]: an edge u, v came before
+    apex = np.full(len(i), -1, np.int32)
+    for at in range(0, len(i), 65536):
+        found = []
+        for a, b in zip(i[at : at + 65536].tolist(), j[at : at + 65536].tolist()):
+            both = joined[a] & joined[b]
+            found.append((both & -both).bit_length() - 1)
+            joined[a] |= 1 << b
+            joined[b] |= 1 << a
+        apex[at : at + 65536] = found
+    return apex
+
+
 def _loop_bars(dist: np.ndarray, i: np.ndarray, j: np.ndarray, lengths: np.ndarray, tree: list[int]) -> list[tuple[float, float]]:
     """Birth and death of one-dimensional classes of the Rips filtration, by cohomology over Z2.
 
     A triangle is named by its longest edge and the vertex opposite. An edge that is the longest of some triangle
     dies at once with the first of them. Only edges that are the longest of none, and not in the tree, start a loop;
     from the longest down, their set of triangles is reduced until its first triangle belongs to no other edge, which
-    ends the loop. Past the enclosing radius every loop is closed, so longer edges are left out.
+    ends the loop. The set is never written out: sorted triangles of its edges wait in a heap, two alike cancel. Past the
+    enclosing radius every loop is closed, so longer edges are left out.
     """
     n = dist.shape[0]
     if n < 4:
         return []
     kept = int(np.searchsorted(lengths, dist.max(axis=1).min(), side="right"))
     i, j = i[:kept], j[:kept]
-    rank = np.full((n, n), kept)
-    rank[i, j] = rank[j, i] = np.arange(kept)
-    apex = np.full(kept, -1)
-    for start in range(0, kept, max(1, 1_000_000 // n)):
-        span = slice(start, min(kept, start + max(1, 1_000_000 // n)))
-        inside = np.maximum(rank[i[span]], rank[j[span]]) < np.arange(span.start, span.stop)[:, None]
-        apex[span] = np.where(inside.any(axis=1), inside.argmax(axis=1), -1)
+    apex = _apexes(n, i, j)
+    starts = np.flatnonzero(apex < 0)
+    starts = starts[~np.isin(starts, tree)]
+    if not starts.size:
+        return []
+    rank = np.full((n, n), kept, np.int32)
+    rank[i, j] = rank[j, i] = np.arange(kept, dtype=np.int32)
     everyone = np.arange(n)
 
-    def triangles_on(e: int) -> set[int]:
+    def triangles_on(e: int) -> np.ndarray:
         a, b = i[e], j[e]
         longest = np.maximum(np.maximum(rank[a], rank[b]), e)
         opposite = np.where(longest == e, everyone, np.where(longest == rank[a], b, a))
         usable = longest < kept
         usable[a] = usable[b] = False
-        return set((longest[usable] * n + opposite[usable]).tolist())
+        return np.sort(longest[usable].astype(np.int64) * n + opposite[usable])
 
-    starts = np.flatnonzero(apex < 0)
-    starts = starts[~np.isin(starts, tree)]
     owner: dict[int, set[int]] = {}
     bars = []
     for e in starts[::-1].tolist():
-        chain = triangles_on(e)
-        while chain:
-            first = min(chain)
+        edges = {e}
+        waiting = [_Run(triangles_on(e))]
+        while (first := _first(waiting)) is not None:
             edge, opposite = divmod(first, n)
             if apex[edge] == opposite:
-                chain ^= triangles_on(edge)
+                added = {edge}
             elif first in owner:
-                chain ^= owner[first]
+                added = owner[first]
             else:
-                owner[first] = chain
+                owner[first] = edges
                 if lengths[edge] > lengths[e]:
                     bars.append((float(lengths[e]), float(lengths[edge])))
                 break
+            edges = edges ^ added
+            for other in added:
+                heappush(waiting, _Run(triangles_on(other)))
     return bars
 
 
+class _Run:
+    """A sorted run of triangles in a heap, by the one it stands at."""
+
+    def __init__(self, triangles: np.ndarray):
+        self.triangles, self.at = triangles, 0
+        self.now = int(triangles[0]) if triangles.size else _PAST
+
+    def __lt__(self, other: _Run) -> bool:
+        return self.now < other.now
+
+    def step(self) -> None:
+        self.at += 1
+        self.now = int(self.triangles[self.at]) if self.at < self.triangles.size else _PAST
+
+
+_PAST = 2**63
+
+
+def _first(waiting: list[_Run]) -> int | None:
+    """The first triangle that the runs hold an odd number of times; the runs stay at it."""
+    while waiting:
+        now, held = waiting[0].now, []
+        if now == _PAST:
+            return None
+        while waiting and waiting[0].now == now:
+            held.append(heappop(waiting))
+        if len(held) % 2:
+            for run in held:
+                heappush(waiting, run)
+            return now
+        for run in held:
+            run.step()
+            heappush(waiting, run)
+    return None
+
+
 def _diagram_kernel(dims: tuple[int, ...]):
     def run(table: pa.Table) -> pa.Table:
         names = np.array(table["subset"].to_pylist(), dtype=object)

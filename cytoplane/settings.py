@@ -91,7 +91,7 @@ class SizeBounds:
     percentile_rows: int = 1_000_000
     triangulation_cells: int = 100_000
     tree_points: int = 100_000
-    diagram_points: int = 2048
+    diagram_points: int = 4096
     largest_region: int | None = None  # cells in the biggest region, once measured
     largest_scores: int | None = None  # rows in the biggest score group, once measured
 
