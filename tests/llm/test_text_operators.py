@@ -144,6 +144,44 @@ def test_longest_matches(spark):
     assert found[9, 0] == (40, 1, 0) and found[9, 10] == (30, 1, 10) and found[8, 0] == (25, 2, 6)
 
 
+def test_long_items_take_memory_by_their_words():
+    import tracemalloc
+
+    r = random.Random(2)
+    words = [f"w{r.randint(0, 900)}" for _ in range(20_000)]
+    tracemalloc.start()
+    t = contamination.tests([(1, " ".join(words)), (2, "a b")])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20 and len(t.windows) == len({tuple(words[i : i + 13]) for i in range(len(words) - 12)}) + 1
+    shard = contamination.Shard(contamination.pa.array([" ".join(words[50:90]), "b a b"]), t, contamination.WordHasher())
+    assert {(row, place) for row, place, _ in shard.occurrences()} == {(0, k) for k in range(28)} | {(1, 1)}
+
+
+def test_blocks_are_bounded_and_built_one_at_a_time(spark, monkeypatch):
+    import weakref
+
+    r = random.Random(3)
+    long = sentence(r, 600)
+    docs = spark.createDataFrame([(1, sentence(r, 30)), (2, " ".join(long.split()[290:330])), (None, long), (1, "x y")], "doc_id long, text string")
+    items = [(5, long), (6, "x, Y")] + [(k, sentence(r, 40)) for k in range(10, 30)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    made, plain = [], contamination.Blocks.__iter__
+
+    def watched(self):
+        for t in plain(self):
+            assert not any(x() for x in made) and len(t.flat) <= 1000
+            made.append(weakref.ref(t))
+            yield t
+            del t
+
+    monkeypatch.setattr(contamination.Blocks, "__iter__", watched)
+    kept = contamination.keep_clean(docs, bench, most_test_bytes=2000)
+    assert len(made) > 2 and [x.doc_id for x in kept.collect()] == [1] and kept.columns == docs.columns
+    found = contamination.contamination(docs, bench, most_test_bytes=2000).collect()
+    assert sorted((x.n_words, x.n_hit, *x.item_ids) for x in found) == [(2, 2, 6), (30, 0), (40, 40, 5), (600, 600, 5)]
+
+
 def test_packing(documents, texts):
     for size, group in ((2048, 50_000), (64, 3)):
         placed = packing.pack(documents, size=size, most_in_group=group)
