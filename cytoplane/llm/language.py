@@ -146,6 +146,10 @@ def mixtures(scores: np.ndarray, first: np.ndarray, steps: int = 16, penalty: fl
     return shares, chosen
 
 
+def _lettered(column: pa.Array) -> list[bool]:
+    return [t is not None and any(m[0].isalpha() for m in _WORDLIKE.finditer(t)) for t in column.to_pylist()]
+
+
 def _judge(column: pa.Array, model: Model) -> tuple[list[str], list[float], list[list[float]], list[list[str]]]:
     """Language, its share, all shares and the language set of each text."""
     names: list[str] = []
@@ -153,7 +157,7 @@ def _judge(column: pa.Array, model: Model) -> tuple[list[str], list[float], list
     shares_out: list[list[float]] = []
     sets: list[list[str]] = []
     texts = text_column(column)
-    lettered = [t is not None and any(m[0].isalpha() for m in _WORDLIKE.finditer(t)) for t in column.to_pylist()]
+    lettered = _lettered(column)
     for row, end, data, bounds in text_slices(texts, 1 << 18):
         starts, ends, first = word_bounds(data, bounds, spaces())
         if len(starts) and model.languages:
@@ -200,12 +204,18 @@ def identify(documents: DataFrame, model: Model, id_col: str = "doc_id", text_co
 
 
 def keep_identified(documents: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The documents whose language is determined, with their own columns."""
+    """The documents whose language is determined, with their own columns.
+
+    With an empty model (no row with a language to learn from) nothing can be told apart: every text with a letter stays.
+    """
     at = documents.columns.index(text_col)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = _judge(batch.column(at), model)[0]
-            yield batch.filter(pa.array([x != UNDETERMINED for x in names]))
+            if model.languages:
+                keep = [x != UNDETERMINED for x in _judge(batch.column(at), model)[0]]
+            else:
+                keep = _lettered(batch.column(at))
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
     return documents.mapInArrow(kernel, documents.schema)

@@ -303,6 +303,17 @@ def test_language(spark):
     assert {x.lang_pred for x in language.identify(sf.limit(5), none).collect()} == {"und"}
 
 
+def test_documents_without_any_language_label_stay(spark):
+    from corpus_pipeline import language_id
+
+    rows = [(1, "The house", None), (2, "12 34", None), (3, None, None), (4, "", None), (None, "das Haus", None)]
+    held = next(k for k in range(10, 99) if brute.held_out(k))
+    for more in ([], [(held, "la casa", "es")]):
+        docs = spark.createDataFrame(rows + more, "doc_id long, text string, lang string")
+        kept = language_id(spark, docs, "")
+        assert Counter(x.doc_id for x in kept.collect()) == Counter([1, None, *(x[0] for x in more)])
+
+
 def test_mixture_shares_against_plain_em():
     r = np.random.default_rng(3)
     scores = np.log(r.dirichlet(np.ones(3), 50))
