@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cytoplane.llm import contamination, fixity, language, packing, quality, secrets, simhash, substrings, topk, url_filter
+from cytoplane.llm import (
+    contamination, divergence, fixity, language, line_dedup, packing, periodic, quality, secrets, simhash, substrings, topk, url_filter,
+)
 
 #: Fixed rules of the URL query, and addresses it lists as unwanted: (rule, verdict, priority).
 RULES = [("net/", "block", 1), ("example.net/en/", "allow", 1), ("example.com/de/", "block", 1), ("org/fr/", "allow", 1)]
@@ -135,10 +137,100 @@ ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY dist
 SELECT query_id, vec_id, distance, rank FROM ranked WHERE rank <= 10
 """
 
+
+def op11_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, folder, "documents"))
+
+
+_CASES = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+OP11_SQL = f"""
+WITH docs AS (
+    SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        regexp_extract_all(translate(coalesce(text, ''), {_CASES}), '[a-z\\x{{80}}-\\x{{10FFFF}}]+') AS terms, row_number() OVER () AS n
+    FROM documents),
+words AS (SELECT lang, source, n, unnest(terms) AS term FROM docs),
+kept AS (SELECT lang, term FROM words GROUP BY lang, term HAVING count(DISTINCT n) >= 3),
+counts AS (SELECT lang, source, term, count(*) AS c FROM words JOIN kept USING (lang, term) GROUP BY ALL),
+langs AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+lang_counts AS (SELECT lang, term, sum(c) AS c FROM counts GROUP BY lang, term),
+lang_totals AS (SELECT lang, sum(c) AS n FROM lang_counts GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+totals AS (SELECT lang, source, coalesce(sum(c), 0) AS n FROM groups LEFT JOIN counts USING (lang, source) GROUP BY lang, source),
+shares AS (
+    SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c, 1 + (1000000000::HUGEINT * (coalesce(c.c, 0) + 1)) // (g.n + v) AS p
+    FROM totals g JOIN langs USING (lang) JOIN kept k USING (lang) LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+lang_shares AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (c + 1)) // (n + v) AS q FROM lang_counts JOIN lang_totals USING (lang) JOIN langs USING (lang)),
+apart AS (
+    SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+    FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+    FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN apart x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+terms AS (
+    SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q)) // q AS value FROM shares JOIN lang_shares USING (lang, term) WHERE c > 0 AND p > q),
+ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM (FROM pairs UNION ALL FROM terms))
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+
+def op12_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    kept = line_dedup.kept_lines(documents, line_dedup.keep_bitmaps(documents))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP12_SQL = f"""
+WITH docs AS (SELECT doc_id, row_number() OVER () AS n, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+lines AS (SELECT doc_id, n, unnest(lines) AS line, generate_subscripts(lines, 1) AS place FROM docs),
+keyed AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), {_CASES}) AS key FROM lines),
+often AS (SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT n) >= 10),
+marked AS (SELECT keyed.*, often.key IS NOT NULL AS gone FROM keyed LEFT JOIN often ON keyed.key = often.key)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY n
+"""
+
+
+def with_planted_periods(documents: DataFrame) -> DataFrame:
+    """doc_id and text; in a tenth of the documents (by crc32 of the id) the words from place a on repeat with period p."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0))
+
+    def planted(word):
+        n = F.size(word)
+        a = F.pmod(g, n).cast("int")
+        p = (F.floor((n - a) / (F.pmod(g, F.lit(8)) + 3)) + 1).cast("int")
+        place = lambda i: F.when(i < a, i).otherwise(a + F.pmod(i - a, p))
+        return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(word, place(i))), " ")).otherwise("")
+
+    chosen = F.pmod(h, F.lit(10)) == 0
+    return documents.select("doc_id", F.when(chosen, F.transform(F.array(words), planted)[0]).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic.periodic_runs(with_planted_periods(table(spark, folder, "documents")), texts=False)
+    better = lambda a, b: (  # noqa: E731  greatest length / period, then smallest start, then smallest period
+        F.when(a["length"] * b["period"] != b["length"] * a["period"], a["length"] * b["period"] > b["length"] * a["period"])
+        .when(a["start"] != b["start"], a["start"] < b["start"]).otherwise(a["period"] <= b["period"])
+    )
+    best = F.aggregate("runs", F.get("runs", F.lit(0)), lambda a, b: F.when(better(a, b), a).otherwise(b))
+    by_start = F.array_sort(F.transform("runs", lambda r: F.struct(r["start"], r["period"], r["length"])))
+    listed = F.transform(by_start, lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.call_function("div", F.col("best.length") * 1000, F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(listed, ""), 256).alias("runs_sha256"), "collapsed_sha256",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_url_filter, op2_quality, op3_fixity, op4_packing, op5_simhash, op6_substrings, op7_contamination, op8_secrets, op9_language, op10_topk,
+        op11_divergence, op12_line_dedup, op13_periodic,
     )
 }
-ORACLES: dict[str, str] = {"op1_url_filter": OP1_SQL, "op3_fixity": OP3_SQL, "op10_topk": OP10_SQL}
+ORACLES: dict[str, str] = {"op1_url_filter": OP1_SQL, "op3_fixity": OP3_SQL, "op10_topk": OP10_SQL, "op11_divergence": OP11_SQL, "op12_line_dedup": OP12_SQL}

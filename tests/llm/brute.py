@@ -5,7 +5,8 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
+from fractions import Fraction
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 LETTERS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -129,3 +130,89 @@ def pieces(rows, size=2048):
 
 def held_out(doc_id):
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 4 == 2
+
+
+def runs(words, min_length=24, min_exponent=3):
+    """(start, length, smallest period) of the maximal periodic stretches, every period tried."""
+    found = {}
+    for period in range(1, len(words) // min_exponent + 1):
+        start = 0
+        while start + period < len(words):
+            end = start
+            while end + period < len(words) and words[end] == words[end + period]:
+                end += 1
+            if end - start + period >= max(min_length, min_exponent * period):
+                found.setdefault((start, end - start + period), period)
+            start = max(end, start + 1)
+    return sorted((start, length, period) for (start, length), period in found.items())
+
+
+def planted_periods(doc_id, text):
+    words = WORDS.findall(text or "")
+    if doc_id is None or not words:
+        return words
+    h = zlib.crc32(str(doc_id).encode())
+    g, n = h // 10, len(words)
+    if h % 10:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [words[i] if i < a else words[a + (i - a) % p] for i in range(n)]
+
+
+def periodic(doc_id, text):
+    """The contract's row of one document."""
+    words = planted_periods(doc_id, text)
+    own = runs(words)
+    gone = {i for start, length, period in own for i in range(start + period, start + length)}
+    listed = "".join(f"{s},{n},{q}\n" for s, n, q in sorted(own, key=lambda r: (r[0], r[2])))
+    kept = " ".join(w for i, w in enumerate(words) if i not in gone)
+    best = min(own, key=lambda r: (-Fraction(r[1], r[2]), r[0], r[2]), default=None)
+    told = (None,) * 4 if best is None else (*best, 1000 * best[1] // best[2])
+    return (doc_id, len(own), *told, *(hashlib.sha256(x.encode()).hexdigest() for x in (listed, kept)))
+
+
+def kept_lines(rows, min_documents, keep_first=False, min_chars=1):
+    """(id, lines, dropped, kept text) of (id, text) rows."""
+    split = [(d, (t or "").split("\n")) for d, t in rows]
+    keys = [[ascii_lower(x.strip(" \t\n\v\f\r")) for x in lines] for _, lines in split]
+    documents = Counter(k for own in keys for k in set(own) if len(k) >= min_chars)
+    often = {k for k, n in documents.items() if n >= min_documents}
+    order = lambda i: (rows[i][0] is not None, rows[i][0] or 0, hashlib.md5((rows[i][1] or "").encode()).digest())
+    first = {}
+    for i in sorted(range(len(rows)), key=order, reverse=True):
+        for place in range(len(keys[i]) - 1, -1, -1):
+            first[keys[i][place]] = (order(i), place)
+    out = []
+    for i, (d, lines) in enumerate(split):
+        kept = [x for p, (x, k) in enumerate(zip(lines, keys[i])) if k not in often or (keep_first and first[k] == (order(i), p))]
+        out.append((d, len(lines), len(lines) - len(kept), "\n".join(kept)))
+    return out
+
+
+def divergence(rows, min_documents=3, top=200):
+    """(lang, source, part, item, value, rank) of (text, lang, source) rows, every word of every pair."""
+    terms = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+    counts, documents = defaultdict(Counter), defaultdict(Counter)
+    for text, lang, source in rows:
+        found = terms.findall(ascii_lower(text))
+        counts[lang or "", source or ""].update(found)
+        documents[lang or ""].update(set(found))
+    out = []
+    for lang in documents:
+        kept = [t for t, n in documents[lang].items() if n >= min_documents]
+        groups = {source: c for (of, source), c in counts.items() if of == lang}
+
+        def shares(c):
+            return {t: 1 + 10**9 * (c[t] + 1) // (sum(c[x] for x in kept) + len(kept)) for t in kept}
+
+        every = {source: shares(c) for source, c in groups.items()}
+        whole = shares(sum(groups.values(), Counter()))
+        f = lambda p, q: (p - q) ** 2 // q
+        for source, p in every.items():
+            pairs = [(sum(f(p[t], q[t]) for t in kept), item) for item, q in every.items() if item != source]
+            told = [(f(p[t], whole[t]), t) for t in kept if groups[source][t] and p[t] > whole[t]]
+            for part, found in (("pair", pairs), ("term", told)):
+                ranked = sorted(found, key=lambda x: (-x[0], x[1].encode()))
+                out += [(lang, source, part, item, value, k + 1) for k, (value, item) in enumerate(ranked) if part == "pair" or k < top]
+    return out
