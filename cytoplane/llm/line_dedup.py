@@ -75,7 +75,7 @@ def keep_bitmaps(
     lines = stored(keyed.select(F.unhex(F.md5("key")).alias("key"), "doc_id", "text_digest", "n_lines", "position"))
 
     # A key has at least as many lines as documents, so fewer lines settle it; partial sums spread the frequent ones.
-    often = lines.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= min_documents)
+    often = stored(lines.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= min_documents))
     groups = F.ceil(F.col("n") / most_in_group)
     wanted = lines.join(often, "key").withColumn("part", F.pmod(F.xxhash64("doc_id", "text_digest"), groups).cast("long"))
 
