@@ -8,7 +8,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cytoplane.llm.shared import NO_ID, connected, stored
@@ -45,7 +45,8 @@ def _fingerprints(size: int):
         for batch in batches:
             texts = batch.column(1).cast(pa.binary()).fill_null(b"").to_pylist()
             values = np.frombuffer(b"".join([fingerprint(t, size) for t in texts]), ">i8").astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(values)], ["doc_id", "fp"])
+            columns = [batch.column(0).cast(pa.int64()), pa.array(values), *batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", *batch.schema.names[2:]])
 
     return kernel
 
@@ -196,6 +197,19 @@ def links(fingerprints: DataFrame, bits: int = BITS, most_in_key: int = MOST_IN_
     return edges.unionByName(rest.select("a", "b"))
 
 
+def _groups(documents: DataFrame, id_col: str, text_col: str, size: int, most_in_key: int, digests: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, fp, with ``digests`` the digest of the text), and fingerprints (fp, part, component_id)."""
+    text = F.col(text_col).cast("string")
+    extra = [F.unhex(F.md5(F.coalesce(text, F.lit("")))).alias("digest")] if digests else []
+    rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), *extra)
+    rows = stored(rows.mapInArrow(_fingerprints(size), "doc_id long, fp long" + ", digest binary" * digests))
+    distinct = stored(rows.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("first")))
+    parts = connected(links(distinct, BITS, most_in_key))
+    named = distinct.join(parts, distinct.fp == parts.node, "left").select("fp", "first", F.coalesce("low", "fp").alias("part"))
+    lowest = named.groupBy("part").agg(F.min("first").alias("lowest"))
+    return rows, stored(named.join(lowest, "part").select("fp", "part", F.nullif("lowest", F.lit(NO_ID)).alias("component_id")))
+
+
 def near_duplicates(
     documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, most_in_key: int = MOST_IN_KEY
 ) -> DataFrame:
@@ -205,30 +219,31 @@ def near_duplicates(
     with one name. A null id counts as larger than any other and stays null. Other columns are not read. An empty table
     gives an empty one.
     """
-    rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = stored(rows.mapInArrow(_fingerprints(size), "doc_id long, fp long"))
-    distinct = stored(rows.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("first")))
-    parts = connected(links(distinct, BITS, most_in_key))
-    named = distinct.join(parts, distinct.fp == parts.node, "left").select(
-        "fp", "first", F.coalesce("low", "fp").alias("part")
-    )
-    lowest = named.groupBy("part").agg(F.min("first").alias("lowest"))
-    named = stored(named.join(lowest, "part").select("fp", F.nullif("lowest", F.lit(NO_ID)).alias("component_id")))
-    return rows.join(named, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rows, named = _groups(documents, id_col, text_col, size, most_in_key)
+    fingerprint = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
+    return rows.join(named, "fp").select("doc_id", "fp", fingerprint, "component_id")
 
 
-def keep_first(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that name their group of near duplicates, with their own columns.
+def keep_first(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, most_in_key: int = MOST_IN_KEY) -> DataFrame:
+    """One document of each group of near duplicates, with its own columns: the one with the smallest id.
 
-    Of rows with equal id and text one stays; rows that share an id are told apart by their whole text. A null id
-    stays where no document of its group has an id.
+    Among rows of a group that share this id the smallest digest of a text decides, and of rows equal in id and text one
+    stays. So rows that share an id are told apart by their texts: a copy goes even if another row of its id stays. A
+    null id is larger than any other: it stays where no document of its group has an id. A null text is an empty one. An
+    empty table gives an empty one.
     """
-    groups = near_duplicates(documents, id_col, text_col)
-    stay = stored(groups.where("doc_id <=> component_id").groupBy("doc_id").agg(F.count("*").alias("n")))
-    kept = documents.join(stay.hint("merge"), documents[id_col].cast("long").eqNullSafe(stay["doc_id"]))
-    kept = kept.select(*[documents[c] for c in documents.columns])
-    if stay.where("n > 1").isEmpty():
-        return kept
-    turn = f"_{uuid.uuid4().hex}"
-    first = Window.partitionBy(id_col, text_col).orderBy(text_col)
-    return kept.withColumn(turn, F.row_number().over(first)).where(F.col(turn) == 1).drop(turn)
+    rows, named = _groups(documents, id_col, text_col, size, most_in_key, digests=True)
+    name = F.coalesce("doc_id", F.lit(NO_ID)).alias("id")
+    alike = rows.groupBy("fp", name, "digest").agg(F.count("*").alias("n"))
+    first = alike.groupBy("fp").agg(F.min(F.struct("id", "digest", "n")).alias("first"))
+    firsts = first.join(named, "fp").groupBy("part").agg(F.min("first").alias("first"))
+    mark = uuid.uuid4().hex
+    by_id, by_digest = f"_id_{mark}", f"_digest_{mark}"
+    stay = stored(firsts.select(F.col("first.id").alias(by_id), F.col("first.digest").alias(by_digest), "first.n"))
+    keyed = documents.withColumns(
+        {by_id: F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), by_digest: F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))}
+    )
+    kept = keyed.join(stay.drop("n").hint("merge"), [by_id, by_digest], "left_semi")
+    if not stay.where("n > 1").isEmpty():
+        kept = kept.dropDuplicates([by_id, by_digest])
+    return kept.drop(by_id, by_digest)

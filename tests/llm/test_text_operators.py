@@ -93,6 +93,20 @@ def test_keep_first_keeps_one_of_each_group(documents, texts):
     assert Counter(r.doc_id for r in kept.collect()) == Counter(d for d, _ in want) | Counter({5: 2})
 
 
+def test_keep_first_tells_rows_of_one_id_apart(spark):
+    r = random.Random(9)
+    a, b, c = (sentence(r, 40) for _ in range(3))
+    near = " ".join([*b.split()[:-1], "x"])
+    rows_in = [(1, a), (7, a), (7, b), (7, b), (7, near), (9, near), (None, c), (None, c), (None, a), (3, ""), (8, None), (None, "")]
+    frame = spark.createDataFrame([(d, t, "en", "s", k) for k, (d, t) in enumerate(rows_in)], SCHEMA)
+    together = brute.components([(1, b), (2, near)])[1][2] == 1
+    kept = simhash.keep_first(frame.withColumn("digest", F.lit(1)).repartition(3))
+    got = Counter((x.doc_id, x.text) for x in kept.collect())
+    of_b = [t for t in (b, near) if got[7, t]]
+    assert len(of_b) == (1 if together else 2)
+    assert got - Counter((7, t) for t in of_b) == Counter([(1, a), (None, c), (3, "")])
+
+
 @pytest.mark.parametrize("gathered, often", [(1 << 21, 10_000), (50, 2)])
 def test_remove_repeats(documents, texts, gathered, often):
     found = substrings.remove_repeats(documents, most_gathered=gathered, most_in_minimizer=often)
