@@ -66,11 +66,11 @@ def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op3_fixity(spark: SparkSession, folder: str) -> DataFrame:
-    """The pages' archives against a replica in which some records are altered and some are lost."""
+    """The pages' archives against a replica written without some records (so later offsets shift) and with others altered."""
     pages = table(spark, folder, "pages")
     altered = F.when(F.col("page_id") % 97 == 3, F.translate("html", "e", "x")).otherwise(F.col("html"))
-    replica = fixity.warc_records(pages.withColumn("html", altered)).where("record_id is null or record_id % 101 <> 7")
-    found = fixity.audit(fixity.warc_records(pages), replica)
+    replica = pages.withColumn("html", altered).where("page_id is null or page_id % 101 <> 7")
+    found = fixity.audit(fixity.warc_records(pages), fixity.warc_records(replica))
     name = F.coalesce("record_id", "replica_record_id").alias("record_id")
     return found.select("archive", "offset", "kind", name, "digest", "replica_digest")
 

@@ -85,6 +85,76 @@ def test_fixity(spark):
     assert fixity.audit(a, b.limit(0)).where("kind = 'missing'").count() == fixity.audit(a.limit(0), a).where("kind = 'extra'").count() == len(rows) - 1
 
 
+@pytest.mark.parametrize("size, fanout, ids", [(1 << 16, 16, True), (500, 2, True), (500, 2, False)])
+def test_fixity_of_a_rewritten_replica(spark, size, fanout, ids):
+    """Lost, new and altered records at random places; every later offset shifts, and nothing else is reported."""
+    r = random.Random(size + fanout)
+    content = [[(a, k, r.randint(20, 400), f"digest {a} {k // 2 if k % 10 == 0 else k}") for k in range(300)] for a in range(5)]
+    content.append([(5, 0, 7, "same")] * 40)
+
+    def placed(archives):
+        out = []
+        for archive in archives:
+            at = 0
+            for a, k, length, digest in archive:
+                out.append((a, k if ids else None, at, length, digest))
+                at += length
+        return out
+
+    want, changed = Counter(), []
+    for archive in content:
+        offsets, at = [], 0
+        for x in archive:
+            offsets.append(at)
+            at += x[2]
+        touched = set(range(5, len(archive), 11)) & set(r.sample(range(len(archive)), len(archive) // 9))
+        new, shift = [], 0
+        for i, (a, k, length, digest) in enumerate(archive):
+            what = r.choice(["missing", "altered", "extra"]) if i in touched and a < 5 else None
+            if what == "missing":
+                want[a, offsets[i], "missing"] += 1
+                shift -= length
+                continue
+            if what == "extra":
+                new.append((a, 1000 + i, 33, f"new {a} {i}"))
+                want[a, offsets[i] + shift, "extra"] += 1
+                shift += 33
+            if what == "altered":
+                want[a, offsets[i], "altered"] += 1
+                new.append((a, k, length + 5, digest + "!"))
+                shift += 5
+            else:
+                new.append((a, k, length, digest))
+        changed.append(new)
+    changed[5] = changed[5][:-3]
+    want += Counter({(5, 7 * (37 + k), "missing"): 1 for k in range(3)})
+    schema = "archive long, record_id long, offset long, length long, digest string"
+    a, b = (spark.createDataFrame(placed(x), schema).repartition(3) for x in (content, changed))
+    found = [x for x in fixity.audit(a, b, size, fanout).collect()]
+    assert Counter((x.archive, x.offset, x.kind) for x in found) == want
+
+
+def test_moved_records_and_ranges(spark):
+    rows = [(0, k, 10 * k, 10, f"d{k}") for k in range(200)]
+    order = [*range(50), 51, 50, *range(52, 100), *range(150, 200), *range(100, 150)]
+    moved = [(0, k, 10 * i, 10, f"d{k}") for i, k in enumerate(order)]
+    a, b = (spark.createDataFrame(x, "archive long, record_id long, offset long, length long, digest string") for x in (rows, moved))
+    for size, fanout in ((1 << 20, 16), (100, 2)):
+        found = fixity.audit(a, b, size, fanout).collect()
+        assert {x.kind for x in found} == {"moved"} and 2 <= len(found) <= 8
+        assert fixity.audit(a, a.unionByName(a.limit(0)), size, fanout).count() == 0
+
+
+def test_only_differing_branches_are_read(spark):
+    rows = [(k // 1000, k, 10 * (k % 1000), 10, f"d{k}") for k in range(4000)]
+    other = [x for x in rows if x[1] != 1500]
+    a, b = (spark.createDataFrame(x, "archive long, record_id long, offset long, length long, digest string") for x in (rows, other))
+    both = a.withColumn("side", F.lit(0)).unionByName(b.withColumn("side", F.lit(1)))
+    ranged, levels = fixity.trees(both, 100, 4)
+    leaves = {s: Counter(x.hash for x in levels[0].where(F.col("side") == s).collect()) for s in (0, 1)}
+    assert sum((leaves[0] - leaves[1]).values()) <= 3 and sum(leaves[0].values()) > 250 and len(levels) > 2
+
+
 def test_records_of_pages_without_ids(spark):
     pages = spark.createDataFrame([(None, None, None), (None, "u", None), (1, "u", "é"), (1, "u", "é")], "page_id long, url string, html string")
     found = fixity.warc_records(pages).collect()
