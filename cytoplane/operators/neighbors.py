@@ -7,8 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cytoplane.operators.tiling import assign_tiles, fine_bins, with_halo
-from cytoplane.session import group_size
+from cytoplane.operators.kd_tiles import boxes, cuts, dealt, met_tiles, tiled
+from cytoplane.session import cut_lineage, group_size
 from cytoplane.settings import BOUNDS, SizeBounds
 
 MATRIX_ENTRIES = 2_000_000
@@ -109,18 +109,20 @@ def neighbour_lists(
     sizes = marked.groupBy(*keys).agg((F.count("*") > bounds.tile_cells).alias("is_large"))
     sized = marked.join(sizes, keys)
     small = sized.where(~F.col("is_large")).drop("is_large").groupBy(*keys).applyInArrow(kernel, schema)
-    apart = "is_target" in points.columns
-    large = _tiled_lists(sized.where("is_large").drop("is_large"), k, keys, bounds, with_self, apart)
+    large = _tiled_lists(sized.where("is_large").drop("is_large"), k, keys, bounds, with_self)
     return small.unionByName(large)
 
 
 def _tiled_lists(
-    points: DataFrame, k: int, keys: list[str], bounds: SizeBounds, with_self: bool, apart: bool
+    points: DataFrame, k: int, keys: list[str], bounds: SizeBounds, with_self: bool
 ) -> DataFrame:
     """Lists for groups beyond one task.
 
     Of cells at one and the same spot only the first k + 1 can ever be someone's neighbour, so only they
     enter the search; further copies have the first k as their neighbours at distance zero.
+
+    Queries are answered inside their tile first. The k-th distance found there is a circle that holds all nearer
+    targets, so only the other tiles that it meets are asked, and the lists are merged.
     """
     spot = [*keys, "x", "y"]
     first = F.row_number().over(Window.partitionBy(*spot).orderBy("cell_id"))
@@ -150,14 +152,45 @@ def _tiled_lists(
     searching = asking.join(full_spots.select(*spot, F.lit(True).alias("full")), spot, "left").where(
         F.col("is_target") | (F.col("is_query") & F.col("full").isNull())
     ).drop("full")
-    binned = fine_bins(searching, keys, bounds.tile_cells)
-    bins = assign_tiles(binned, keys, bounds.tile_cells, k + 1)
-    tile_keys = [*keys, "up_a", "tx_a", "ty_a", "block"]
-    spread = with_halo(binned, bins, keys, bounds.halo_rows, k + 1, apart)
-    partial = spread.groupBy(*tile_keys).applyInArrow(
-        _list_kernel(tile_keys, k, with_self), _schema(spread, tile_keys)
+    most = max(bounds.tile_cells, 2 * (k + 2))
+    cells = cut_lineage(searching.select(*keys, "cell_id", "x", "y", "is_query", "is_target"))
+    levels = cuts(cells, keys, most)
+    placed = tiled(cells, levels, keys)
+    tile_keys = [*keys, "tile", "block"]
+
+    def lists(rows: DataFrame) -> DataFrame:
+        groups = dealt(rows, keys, most)
+        return groups.groupBy(*tile_keys).applyInArrow(_list_kernel(tile_keys, k, with_self), _schema(groups, tile_keys))
+
+    near = cut_lineage(lists(placed))
+    circles = _circles(near, placed.where("is_query"), boxes(placed, keys), k, keys)
+    beyond = met_tiles(circles, levels, keys).where("tile <> own").join(boxes(placed, keys), [*keys, "tile"])
+    gap_x = F.greatest(F.col("left") - F.col("x"), F.col("x") - F.col("right"), F.lit(0.0))
+    gap_y = F.greatest(F.col("bottom") - F.col("y"), F.col("y") - F.col("top"), F.lit(0.0))
+    beyond = beyond.where(gap_x * gap_x + gap_y * gap_y <= F.col("radius") * F.col("radius"))
+    fields = [*keys, "tile", "cell_id", "x", "y"]
+    visits = beyond.select(*fields, F.lit(True).alias("is_query"), F.lit(False).alias("is_target"))
+    offers = placed.where("is_target").select(*fields, F.lit(False).alias("is_query"), "is_target")
+    far = lists(visits.unionByName(offers))
+    return merge_lists(near.unionByName(far), k, keys).unionByName(surplus)
+
+
+def _circles(near: DataFrame, asking: DataFrame, tiles: DataFrame, k: int, keys: list[str]) -> DataFrame:
+    """Queries with their tile (``own``) and a radius that surely holds their k nearest.
+
+    That is the k-th distance inside the tile, or, where the tile has too few targets, the farthest that any filled tile
+    of the group can be from the queries of the tile.
+    """
+    found = near.select(*keys, F.col("src").alias("cell_id"), F.get("dist", F.lit(k - 1)).alias("kth"))
+    rows = asking.select(*keys, "cell_id", "x", "y", F.col("tile").alias("own")).join(found, [*keys, "cell_id"])
+    short = rows.where("kth is null").groupBy(*keys, "own").agg(
+        *[f(a).alias(f"{n}_{a}") for a in "xy" for n, f in (("low", F.min), ("high", F.max))]
     )
-    return merge_lists(partial, k, keys).unionByName(surplus)
+    far_x = F.greatest(F.col("right"), F.col("high_x")) - F.least("left", "low_x")
+    far_y = F.greatest(F.col("top"), F.col("high_y")) - F.least("bottom", "low_y")
+    bound = short.join(tiles.where(F.col("n") > k), keys).groupBy(*keys, "own").agg(F.min(F.sqrt(far_x * far_x + far_y * far_y)).alias("bound"))
+    radius = F.coalesce("kth", "bound", F.lit(float("inf"))) * (1 + 1e-9) + 1e-300
+    return rows.join(bound, [*keys, "own"], "left").select(*keys, "cell_id", "x", "y", "own", radius.alias("radius"))
 
 
 def merge_lists(partial: DataFrame, k: int, keys: list[str]) -> DataFrame:
@@ -196,6 +229,8 @@ def within_radius(
     ``radius`` is a column expression over ``points``. Each query looks at the 3 x 3 squares around it in a grid whose
     side is its own radius rounded up to a power of two, and targets enter every grid in use in their group. So the
     join is an equi-join on the square, and what it compares grows with what it returns, not with the widest query.
+    Squares with more queries or targets than ``bounds.tile_cells`` are compared in blocks, each block of queries with
+    each block of targets.
     """
     keys = keys or ["region_id"]
     have = set(points.columns)
@@ -220,12 +255,16 @@ def within_radius(
         *keys, F.col("cell_id").alias("dst"), F.col("x").alias("dx"), F.col("y").alias("dy"), "level",
         square("x").alias("gx"), square("y").alias("gy"),
     )
+    square_keys = [*keys, "level", "gx", "gy"]
+    if group_size(points, keys, bounds) > bounds.tile_cells:
+        left, right = _in_blocks(left, right, square_keys, bounds.tile_cells)
+        square_keys += ["block_a", "block_b"]
     dist = F.sqrt(
         (F.col("sx") - F.col("dx")) * (F.col("sx") - F.col("dx"))
         + (F.col("sy") - F.col("dy")) * (F.col("sy") - F.col("dy"))
     )
     return (
-        left.hint("merge").join(right, [*keys, "level", "gx", "gy"])
+        left.hint("merge").join(right, square_keys)
         .where(F.col("src") != F.col("dst"))
         .withColumn("dist", dist)
         .where(F.col("dist") <= F.col("radius"))
@@ -233,6 +272,27 @@ def within_radius(
     )
 
 
+def _in_blocks(left: DataFrame, right: DataFrame, square: list[str], most: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with (block_a, block_b): a row goes to its own block of its side and to every block of the other.
+
+    Squares that only one side has are left out. A block holds about ``most`` / 2 rows, so few exceed ``most``.
+    """
+
+    def counted(rows: DataFrame, name: str) -> DataFrame:
+        blocks = F.when(F.count("*") <= most, F.lit(1)).otherwise(F.ceil(F.count("*") * 2 / most)).cast("int")
+        return rows.groupBy(*square).agg(blocks.alias(name))
+
+    sizes = counted(left, "blocks_a").join(counted(right, "blocks_b"), square)
+
+    def placed(rows: DataFrame, cell: str, own: str, other: str) -> DataFrame:
+        mine = F.pmod(F.xxhash64(cell), F.col(f"blocks_{own}")).cast("int")
+        each = F.explode(F.sequence(F.lit(0), F.col(f"blocks_{other}") - 1))
+        found = rows.join(sizes, square).withColumn(f"block_{own}", mine).withColumn(f"block_{other}", each)
+        return found.drop("blocks_a", "blocks_b")
+
+    return placed(left, "src", "a", "b"), placed(right, "dst", "b", "a")
+
+
 def mutual(edges: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Undirected edges (src < dst) present in both directions; one shuffle, no self-join."""
     keys = keys or ["region_id"]

@@ -108,7 +108,7 @@ def base_graph(
     listed = _edges(table.where(~short), "base", F.slice(pairs, F.lit(1), F.greatest(F.col("base_k"), within)))
     if table.where(short).isEmpty():
         return listed
-    rest = _wider(points, table.where(short).withColumn("radius", F.col("near_limit")), "base", None)
+    rest = _wider(points, table.where(short).withColumn("radius", F.col("near_limit")), "base", None, bounds)
     return listed.unionByName(rest)
 
 
@@ -116,12 +116,12 @@ def expanded_graph(table: DataFrame) -> DataFrame:
     return _edges(table, "expanded", F.slice(F.arrays_zip("dst", "dist"), F.lit(1), F.col("expanded_k")))
 
 
-def _wider(points: DataFrame, asking: DataFrame, scale: str, cap: int | None) -> DataFrame:
+def _wider(points: DataFrame, asking: DataFrame, scale: str, cap: int | None, bounds: SizeBounds) -> DataFrame:
     """Edges of the few cells whose neighbour list is too short: an exact radius search for them alone."""
     flagged = points.join(
         asking.select("region_id", F.col("src").alias("cell_id"), "radius", "own_median"), ["region_id", "cell_id"], "left"
     ).select("region_id", "cell_id", "x", "y", F.col("radius").isNotNull().alias("is_query"), F.lit(True).alias("is_target"), F.col("radius").alias("own_radius"))
-    found = N.within_radius(flagged, F.coalesce("own_radius", F.lit(0.0)))
+    found = N.within_radius(flagged, F.coalesce("own_radius", F.lit(0.0)), bounds=bounds)
     if cap is not None:
         found = found.join(asking.select("region_id", "src", "own_median"), ["region_id", "src"]).where(F.col("dist") > F.col("own_median"))
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("region_id", "src").orderBy("dist", "dst")))
@@ -158,7 +158,7 @@ def global_graph(
     listed = _edges(limited.where(~short), "global", hits)
     if limited.where(short).isEmpty():
         return listed
-    searched = _wider(points, limited.where(short), "global", s.global_max_neighbors)
+    searched = _wider(points, limited.where(short), "global", s.global_max_neighbors, bounds)
     nothing = limited.where(short).join(searched.select("region_id", "src").distinct(), ["region_id", "src"], "left_anti")
     return listed.unionByName(searched).unionByName(_edges(nothing, "global", single))
 

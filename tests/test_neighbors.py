@@ -1,9 +1,11 @@
 import math
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from cytoplane.operators import neighbors
+from cytoplane.operators import kd_tiles, neighbors
 from cytoplane.settings import SizeBounds
 
 
@@ -65,11 +67,75 @@ def test_nearest_of_a_role(spark, cap):
     assert got == want
 
 
+def sizes_of_groups(monkeypatch, module):
+    """Rows of every group that the kernel of the tiled search is given."""
+    found, deal = [], kd_tiles.dealt
+
+    def counted(rows, keys, most):
+        groups = deal(rows, keys, most)
+        found.append([r["count"] for r in groups.groupBy(*keys, "tile", "block").count().collect()])
+        return groups
+
+    monkeypatch.setattr(module, "dealt", counted)
+    return found
+
+
+SHAPES = {
+    "outlier": lambda r: [(r.uniform(0, 10), r.uniform(0, 10)) for _ in range(2999)] + [(1e6, 1e6)],
+    "dense spot": lambda r: [(r.gauss(5, 1e-4), r.gauss(5, 1e-4)) for _ in range(1500)] + [(r.uniform(0, 100), r.uniform(0, 100)) for _ in range(1500)],
+    "one line": lambda r: [(7.0, r.uniform(0, 100)) for _ in range(3000)],
+    "lattice": lambda r: [(float(i % 60), float(i // 60)) for i in range(3000)],
+}
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+def test_tiles_are_bounded_whatever_the_shape(spark, monkeypatch, shape):
+    sizes = sizes_of_groups(monkeypatch, neighbors)
+    spots = SHAPES[shape](random.Random(1))
+    points = spark.createDataFrame([("a", k, x, y) for k, (x, y) in enumerate(spots)], "region_id string, cell_id long, x double, y double")
+    lists = neighbors.neighbour_lists(points, 5, bounds=SizeBounds(tile_cells=64)).collect()
+    assert max(n for step in sizes for n in step) <= 128
+    assert sum(n for step in sizes for n in step) < 4 * len(spots)
+    place = np.array(spots)
+    assert len(lists) == len(spots)
+    for row in lists:
+        dist = np.sqrt(((place - place[row.src]) ** 2).sum(axis=1))
+        dist[row.src] = np.inf
+        assert row.dst == np.lexsort((np.arange(len(spots)), dist))[:5].tolist()
+
+
+def test_many_askers_around_few_targets(spark, monkeypatch):
+    sizes = sizes_of_groups(monkeypatch, neighbors)
+    r = random.Random(6)
+    rows = [("a", k, r.uniform(0, 9), r.uniform(0, 9), True, False) for k in range(1500)]
+    rows += [("a", 5000 + k, 90 + k % 7 / 7, 90 + k / 40, False, True) for k in range(150)] + [("a", 9000, -500.0, 3.0, False, True)]
+    points = spark.createDataFrame(rows, "region_id string, cell_id long, x double, y double, is_query boolean, is_target boolean")
+    got = {x.src: x.dst for x in neighbors.neighbour_lists(points, 3, bounds=SizeBounds(tile_cells=64)).collect()}
+    targets = [(i, x, y) for _, i, x, y, _, t in rows if t]
+    for _, i, x, y, asks, _ in rows:
+        if asks:
+            assert got[i] == [j for _, j in sorted((math.sqrt((x - u) * (x - u) + (y - v) * (y - v)), j) for j, u, v in targets)[:3]]
+    assert max(n for step in sizes for n in step) <= 128
+
+
+def test_dense_squares_are_compared_in_blocks(spark):
+    r = random.Random(2)
+    spots = [(r.uniform(0, 1), r.uniform(0, 1)) for _ in range(700)] + [(5.0, 5.0), (5.2, 5.0)]
+    points = spark.createDataFrame([("a", k, x, y) for k, (x, y) in enumerate(spots)], "region_id string, cell_id long, x double, y double")
+    got = sorted((e.src, e.dst) for e in neighbors.within_radius(points, F.lit(0.9), bounds=SizeBounds(tile_cells=50)).collect())
+    place = np.array(spots)
+    apart = np.sqrt(((place[:, None] - place[None]) ** 2).sum(axis=2))
+    assert got == [(i, j) for i, j in np.argwhere(apart <= 0.9).tolist() if i != j]
+    whole = spark.range(3000).selectExpr("'a' as region_id", "id as src", "1 as level", "id % 3 as gx", "0 as gy")
+    other = whole.selectExpr("region_id", "src as dst", "level", "gx div 2 as gx", "gy")
+    square = ["region_id", "level", "gx", "gy"]
+    for side in neighbors._in_blocks(whole, other, square, 100):
+        assert side.groupBy(*square, "block_a", "block_b").count().agg(F.max("count")).first()[0] <= 100
+
+
 def test_within_radius(spark):
     rows = clumpy(7)
     points = spark.createDataFrame(rows, "region_id string, cell_id long, x double, y double")
-    from pyspark.sql import functions as F
-
     got = {(e.src, e.dst) for e in neighbors.within_radius(points, F.lit(0.5) + F.col("cell_id") % 7).collect()}
     want = {
         (i, j)

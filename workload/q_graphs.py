@@ -88,6 +88,28 @@ def knn(spark, sf):
     return N.knn(V.cells(spark, sf), 10).withColumn("dist", F.round("dist", 6))
 
 
+SKEWED_SQL = """cells AS (SELECT cell_id, if(region_id % 2 = 0, 0, region_id) AS region_id, if(cell_id % 4999 = 7, x + 1000000, x) AS x, y FROM single)"""
+SKEWED = (V.CELLS_SQL.replace("cells AS", "single AS", 1), SKEWED_SQL, PAIRS_SQL)
+
+
+def skewed_cells(spark, sf):
+    """Half of all regions as one, with few cells far away."""
+    cells = V.cells(spark, sf)
+    region = F.when(F.col("region_id") % 2 == 0, F.lit(0).cast("long")).otherwise(F.col("region_id"))
+    far = F.when(F.col("cell_id") % 4999 == 7, F.col("x") + 1e6).otherwise(F.col("x"))
+    return cells.select("cell_id", region.alias("region_id"), far.alias("x"), "y")
+
+
+@query("g1_knn_skewed", with_views(*SKEWED, "SELECT region_id, src, dst, round(dist, 6) AS dist, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 5"))
+def knn_skewed(spark, sf):
+    return N.knn(skewed_cells(spark, sf), 5).withColumn("dist", F.round("dist", 6))
+
+
+@query("j5_pairs_skewed", with_views(*SKEWED, "SELECT region_id, src, dst, round(dist, 6) AS dist FROM pairs WHERE dist <= 0.6"))
+def pairs_skewed(spark, sf):
+    return edge_rows(N.within_radius(skewed_cells(spark, sf), F.lit(0.6)))
+
+
 @query("w1_k_smallest", with_views(*BASE, "SELECT region_id, src, round(max(dist), 6) AS kth FROM ranked WHERE rank <= 6 GROUP BY 1, 2"))
 def k_smallest(spark, sf):
     lists = N.neighbour_lists(V.cells(spark, sf), 6)
