@@ -177,11 +177,11 @@ def three_roles(regions: DataFrame, folds: DataFrame, seed: int = 42) -> DataFra
     return rows.withColumn("role", F.when(F.col("held"), "val").otherwise(F.col("role"))).drop("held")
 
 
-def usable_folds(assigned: DataFrame, y: str = "y") -> DataFrame:
-    """Folds whose training and test rows both hold two classes."""
-    classes = assigned.where(F.col("role") != "val").groupBy("repeat", "fold", "role").agg(F.count_distinct(y).alias("classes"))
-    return classes.groupBy("repeat", "fold").agg(F.min("classes").alias("fewest"), F.count("*").alias("roles")).where(
-        (F.col("fewest") >= 2) & (F.col("roles") == 2)
+def usable_folds(assigned: DataFrame, y: str = "y", tested: bool = True) -> DataFrame:
+    """Folds whose training rows, and unless ``tested`` is false also test rows, hold two classes; both must exist."""
+    counts = [F.count_distinct(F.when(F.col("role") == role, F.col(y))).alias(role) for role in ("train", "test")]
+    return assigned.groupBy("repeat", "fold").agg(*counts).where(
+        (F.col("train") >= 2) & (F.col("test") >= (2 if tested else 1))
     ).select("repeat", "fold")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from cytoplane.operators import neighbors as N
 from cytoplane.operators.ingest import attach_metadata, encode
 from cytoplane.plans import features as P
 from cytoplane.plans import report
-from cytoplane.plans.study import Head, cross_validate
+from cytoplane.plans.study import Head, compare_families, cross_validate
 from cytoplane.session import cut_lineage, measured, shared_folder
 from cytoplane.settings import StudySettings
 from cytoplane.sources import tables
@@ -187,14 +188,59 @@ def light_features(spark, sf):
     return P.widen(rows, names).na.fill(0.0), names
 
 
+def engineered_rows(spark, sf):
+    wide, names = light_features(spark, sf)
+    return cut_lineage(wide.join(encode(V.used_regions(spark, sf), "label", "y"), "region_id")), names
+
+
 @query("e14_engineered_classifier")
 def engineered_classifier(spark, sf):
-    wide, names = light_features(spark, sf)
-    rows = cut_lineage(wide.join(encode(V.used_regions(spark, sf), "label", "y"), "region_id"))
-    scored = learning.score_engineered(learning.fit_engineered(rows, names), rows, names)
+    rows, names = engineered_rows(spark, sf)
+    scored = learning.score_engineered(learning.fit_engineered(rows, [], names), rows, [], names)
     return scored.select("region_id", "y", F.round("logit", 5).alias("logit"))
 
 
+_BALANCE = "CASE WHEN y = 1 THEN n / (2.0 * positives) ELSE n / (2.0 * (n - positives)) END"
+_LIGHT = ["cell_count", "bbox_area", "cell_density", *[f"prop_celltype_{t}" for t in V.CELL_TYPES]]
+
+
+@query(
+    "e14_optimality",
+    with_views(
+        V.CELLS_SQL, V.USED_REGIONS_SQL, EXTENT_SQL,
+        """long_rows AS (SELECT region_id, 'cell_count' AS feature, cell_count::DOUBLE AS value FROM extent
+             UNION ALL SELECT region_id, 'bbox_area', bbox_area FROM extent UNION ALL SELECT region_id, 'cell_density', cell_count / bbox_area FROM extent
+             UNION ALL SELECT region_id, 'prop_celltype_' || cell_type, count(*) / sum(count(*)) OVER (PARTITION BY region_id) FROM cells GROUP BY region_id, cell_type),
+           coded AS (SELECT region_id, CASE WHEN label = 'DII' THEN 1 ELSE 0 END AS y FROM used_regions),
+           shape AS (SELECT count(*) AS n, sum(y) AS positives FROM coded),
+           weighed AS (SELECT region_id, y, """ + _BALANCE + """ AS w FROM coded, shape)
+           SELECT feature, round(sum(w * value), 3) AS weighted, round(sum(w * (0.5 - y) * value), 3) + 0.0::DOUBLE AS start_slope, 0.0::DOUBLE AS residual
+           FROM long_rows JOIN weighed USING (region_id) GROUP BY 1""",
+    ),
+)
+def optimality(spark, sf):
+    """For each feature its weighted sum, the slope of the loss at zero, and how far the fit is from its optimality condition
+    (relative to the weighted sum)."""
+    rows, names = engineered_rows(spark, sf)
+    model = learning.fit_engineered(rows, [], names)
+    balance = learning.class_balance(rows, [])
+    weight = F.when(F.col("y") == 1, F.col("weight_1")).otherwise(F.col("weight_0"))
+    scored = learning.score_engineered(model, rows, [], names).crossJoin(F.broadcast(balance)).withColumn("w", weight)  # one row
+    scored = scored.withColumn("error", C.sigmoid(F.col("logit")) - F.col("y"))
+    long = scored.select("w", "y", "error", *names).unpivot(["w", "y", "error"], names, "feature", "value")
+    sums = long.groupBy("feature").agg(
+        F.sum(F.col("w") * F.col("value")).alias("weighted"), F.sum(F.col("w") * (0.5 - F.col("y")) * F.col("value")).alias("start"),
+        F.sum(F.col("w") * F.col("error") * F.col("value")).alias("slope"),
+    )
+    whole = sums.join(learning.coefficients(model, [], names), "feature")
+    slope = F.col("slope") + 0.5 * F.col("coefficient")
+    zero = F.greatest(F.abs(slope) - 0.5, F.lit(0.0))
+    off = F.when(F.col("coefficient") == 0, zero).otherwise(F.abs(slope + 0.5 * F.signum("coefficient")))
+    return whole.select(
+        "feature", F.round("weighted", 3).alias("weighted"), (F.round("start", 3) + 0.0).alias("start_slope"), F.round(off / (1 + F.col("weighted")), 6).alias("residual")
+    )
+
+
 def pooled_state(spark, sf):
     """Pooled neighbour means per region, wide."""
     cells = V.cells(spark, sf)
@@ -206,11 +252,44 @@ def pooled_state(spark, sf):
     return wide, [f"{n}_{s}" for n in STATE for s in stats]
 
 
+def family_heads(spark, sf):
+    """The feature table as heads: F0 alone, and F0 with F1 (loops included)."""
+    table = cut_lineage(P.feature_table(V.cells(spark, sf), V.regions(spark, sf)))
+    base = P.engineered_features(table.where("feature_family = 'F0'"))
+    full = P.engineered_features(table)
+    return table, {"f0_logistic": Head(*base), "f0f1_logistic": Head(*full)}
+
+
 @query("e23_cross_validated_study")
 def cross_validated_study(spark, sf):
-    heads = {"main": Head(*light_features(spark, sf)), "graph": Head(*pooled_state(spark, sf))}
-    result = cross_validate(V.used_regions(spark, sf), heads, "composition+graph", StudySettings(), n_boot=500)
-    return result.fold_metrics
+    """Full feature table as the main head, pooled neighbour means and F0 alone beside it."""
+    _, families = family_heads(spark, sf)
+    heads = {"main": families["f0f1_logistic"], "graph": Head(*pooled_state(spark, sf)), "engineered": families["f0_logistic"]}
+    result = cross_validate(V.used_regions(spark, sf), heads, "features+graph+f0", StudySettings())
+    return result.fold_metrics.unionByName(result.summary.select("run", F.lit(-1).cast("long").alias("fold"), "metric", F.col("mean").alias("value")))
+
+
+@query("e22_report")
+def report_query(spark, sf):
+    """All report tables of F0 against F0 with F1: (section, run, name, value)."""
+    table, families = family_heads(spark, sf)
+    results = compare_families(V.used_regions(spark, sf), families, StudySettings())
+    base, full = results["f0_logistic"], results["f0f1_logistic"]
+    summary = cut_lineage(base.summary.unionByName(full.summary))
+    models = base.models.unionByName(full.models)
+    shown = report.report_tables(summary, table.select("region_id", "name", "value"), base.summary, models)
+    metrics = [c for c in shown["runs"].columns if c != "run"]
+    none = F.lit(None).cast("string")
+    gain = report.added_value(base.fold_metrics, full.fold_metrics)
+    parts = [
+        shown["runs"].unpivot("run", metrics, "name", "value").select(F.lit("runs").alias("section"), "run", "name", "value"),
+        shown["best_run"].select(F.lit("best run").alias("section"), "run", none.alias("name"), F.col("score").alias("value")),
+        shown["auroc_delta"].select(F.lit("gain over f0_logistic").alias("section"), "run", F.col("metric").alias("name"), F.col("delta").alias("value")),
+        gain.select(F.lit("gain by fold").alias("section"), F.lit("f0f1_logistic").alias("run"), F.col("metric").alias("name"), F.col("mean").alias("value")),
+        shown["top_features"].select(F.lit("top features").alias("section"), "run", F.col("feature").alias("name"), F.col("score").alias("value")),
+        shown["cases"].select(F.lit("cases").alias("section"), F.col("case").alias("run"), F.col("region_id").cast("string").alias("name"), "value"),
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts).withColumn("value", F.round("value", 6))
 
 
 def scratch(spark) -> str:
