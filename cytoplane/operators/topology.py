@@ -5,13 +5,14 @@ A group is (region_id, scope, subset): scope ``region`` or a patch, subset a rol
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from heapq import heappop, heappush
 from operator import or_
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cytoplane.functions import columns as C
@@ -329,8 +330,9 @@ def _diagram_kernel(dims: tuple[int, ...]):
 def diagrams(points: DataFrame, dims: tuple[int, ...] = (0, 1), bounds: SizeBounds = BOUNDS) -> DataFrame:
     """Persistence bars (region_id, scope, subset, dim, birth, death) of the Rips filtration; death null = never.
 
-    One task holds one scope's subsets. Connected parts of larger subsets come from tiled Delaunay edges and joins. Loops
-    need the matrix of all distances, so their largest subset is checked first. Points are never thinned.
+    Small subsets of a scope share a task, a larger one has its own. Connected parts of larger subsets come from tiled
+    Delaunay edges and joins. Loops need the matrix of all distances, so their largest subset is checked first. Points are
+    never thinned.
     """
     biggest = largest_group(points, GROUP)
     if 1 in dims and biggest > bounds.diagram_points:
@@ -340,7 +342,12 @@ def diagrams(points: DataFrame, dims: tuple[int, ...] = (0, 1), bounds: SizeBoun
     rows = points.select(*GROUP, "cell_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
 
     def bounded(groups: DataFrame) -> DataFrame:
-        return spread_groups(groups, ["region_id", "scope"]).groupBy("region_id", "scope").applyInArrow(_diagram_kernel(dims), schema)
+        keys = ["region_id", "scope"]
+        if biggest > bounds.shared_points:
+            sizes = groups.groupBy(*GROUP).agg(F.count("*").alias("n")).where(F.col("n") > bounds.shared_points)
+            alone = sizes.select(*GROUP, F.col("subset").alias("alone"))
+            groups, keys = groups.join(alone, GROUP, "left"), [*keys, "alone"]
+        return spread_groups(groups, keys).groupBy(*keys).applyInArrow(_diagram_kernel(dims), schema)
 
     if biggest <= bounds.tree_points or dims != (0,):
         return bounded(rows)
@@ -376,35 +383,68 @@ def persistence_entropy(lives: DataFrame, totals: DataFrame) -> DataFrame:
 def curve_stats(lives: DataFrame, totals: DataFrame, grid_size: int = 32) -> DataFrame:
     """Betti curve (area, peak, mean), silhouette (mean, peak) on an even grid over the range, and the entropy.
 
-    Bars are spread over the grid and summed per grid point, so a diagram of any size aggregates map-side.
+    A bar changes the curves at three grid points only: where it begins, past its middle, and past its end. Between such
+    points the Betti number stays and the silhouette is a line in t, so prefix sums over the points give both, and runs
+    of grid points between them give areas, means and peaks. No bar is spread over the grid.
     """
+    last = grid_size - 1
     wide = totals.where(F.col("last_death") > F.col("first_birth"))
-    step = (F.col("last_death") - F.col("first_birth")) / F.lit(float(grid_size - 1))
-    on_grid = (
-        lives.join(wide.select(*DIAGRAM, "first_birth", "last_death", "total_persistence"), DIAGRAM)
-        .withColumn("step", step)
-        .withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(grid_size - 1))))
-        .withColumn(
-            "t",
-            F.when(F.col("i") == grid_size - 1, F.col("last_death")).otherwise(F.col("i") * F.col("step") + F.col("first_birth")),
-        )
+    step = (F.col("last_death") - F.col("first_birth")) / F.lit(float(last))
+    bars = lives.join(wide.select(*DIAGRAM, "first_birth", "last_death", "total_persistence"), DIAGRAM).withColumn("step", step)
+
+    def at(i: Column) -> Column:
+        return F.when(i >= last, F.col("last_death")).otherwise(i * F.col("step") + F.col("first_birth"))
+
+    def place(value: Column) -> Column:
+        return (value - F.col("first_birth")) / F.col("step")
+
+    def settled(guess: Column, ahead: Callable[[Column], Column]) -> Column:
+        """The first grid point that ``ahead`` holds for, from a guess that rounding may have moved by one."""
+        return F.when(ahead(guess - 1) & (guess > 0), guess - 1).when(~ahead(guess), guess + 1).otherwise(guess)
+
+    bars = bars.withColumns(
+        {
+            "low": settled(F.ceil(place(F.col("birth"))), lambda i: at(i) >= F.col("birth")),
+            "past": F.when(F.col("death") >= F.col("last_death"), F.lit(grid_size).cast("long")).otherwise(
+                settled(F.floor(place(F.col("death"))) + 1, lambda i: at(i) > F.col("death"))
+            ),
+            "middle": F.floor(place((F.col("birth") + F.col("death")) / 2)) + 1,
+            "weight": F.col("life") / F.greatest(F.col("total_persistence"), F.lit(1e-12)),
+            "share": C.entropy_term(F.col("life") / F.col("total_persistence")),
+        }
+    ).withColumn("middle", F.least(F.greatest("middle", "low"), "past"))
+    w, none = F.col("weight"), F.lit(0.0)
+
+    def event(i: str, alive: float, height: Column, slope: Column, share: Column) -> Column:
+        return F.struct(F.col(i).alias("i"), F.lit(alive).alias("alive"), height.alias("height"), slope.alias("slope"), share.alias("share"))
+
+    seen = F.array(
+        event("low", 1.0, -w * F.col("birth"), w, F.col("share")),
+        event("middle", 0.0, w * (F.col("birth") + F.col("death")), -2.0 * w, none),
+        event("past", -1.0, -w * F.col("death"), w, none),
+    )
+    unseen = F.array(F.struct(F.lit(0).cast("long").alias("i"), none.alias("alive"), none.alias("height"), none.alias("slope"), F.col("share").alias("share")))
+    events = bars.select(*DIAGRAM, "step", "first_birth", F.explode(F.when(F.col("low") < F.col("past"), seen).otherwise(unseen)).alias("e"))
+    summed = events.groupBy(*DIAGRAM, "e.i").agg(
+        F.first("step").alias("step"), F.first("first_birth").alias("origin"), *[F.sum(f"e.{c}").alias(c) for c in ("alive", "height", "slope", "share")]
     )
-    alive = (F.col("t") >= F.col("birth")) & (F.col("t") <= F.col("death"))
-    tent = F.greatest(F.lit(0.0), F.least(F.col("t") - F.col("birth"), F.col("death") - F.col("t")))
-    weight = F.col("life") / F.greatest(F.col("total_persistence"), F.lit(1e-12))
-    curve = on_grid.groupBy(*DIAGRAM, "i", "step").agg(
-        F.count_if(alive).cast("double").alias("betti"), F.sum(weight * tent).alias("silhouette"),
-        F.sum(F.when(F.col("i") == 0, C.entropy_term(F.col("life") / F.col("total_persistence")))).alias("entropy"),
+    along = Window.partitionBy(*DIAGRAM).orderBy("i")
+    so_far = along.rowsBetween(Window.unboundedPreceding, 0)
+    runs = summed.withColumns({c: F.sum(c).over(so_far) for c in ("alive", "height", "slope")}).withColumn(
+        "end", F.coalesce(F.lead("i").over(along), F.lit(grid_size).cast("long"))
     )
-    at_end = (F.col("i") == 0) | (F.col("i") == grid_size - 1)
-    trapezoid = F.col("betti") * F.col("step") * F.when(at_end, 0.5).otherwise(1.0)
-    return curve.groupBy(*DIAGRAM).agg(
-        F.sum(trapezoid).alias("betti_area"),
-        F.max("betti").alias("betti_peak"),
-        F.avg("betti").alias("betti_mean"),
-        F.avg("silhouette").alias("silhouette_mean"),
-        F.max("silhouette").alias("silhouette_peak"),
-        F.max("entropy").alias("entropy"),
+    points = F.greatest(F.least("end", F.lit(grid_size)) - F.col("i"), F.lit(0)).cast("double")
+    middle_t = F.col("origin") + F.col("step") * (F.col("i") + F.col("end") - 1) / 2.0
+    line = lambda i: F.when(points > 0, F.col("height") + F.col("slope") * (F.col("origin") + F.col("step") * i))
+    ends = F.when(F.col("i") == 0, 0.5).otherwise(0.0) + F.when((F.col("end") == grid_size) & (points > 0), 0.5).otherwise(0.0)
+    share_of = float(grid_size)
+    return runs.groupBy(*DIAGRAM).agg(
+        F.sum(F.col("alive") * (points - ends) * F.col("step")).alias("betti_area"),
+        F.greatest(F.max(F.when(points > 0, F.col("alive"))), F.lit(0.0)).alias("betti_peak"),
+        (F.sum(F.col("alive") * points) / share_of).alias("betti_mean"),
+        F.greatest(F.sum((F.col("height") + F.col("slope") * middle_t) * points) / share_of, F.lit(0.0)).alias("silhouette_mean"),
+        F.greatest(F.max(F.greatest(line(F.col("i")), line(F.col("end") - 1))), F.lit(0.0)).alias("silhouette_peak"),
+        F.sum("share").alias("entropy"),
     )
 
 

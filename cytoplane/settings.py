@@ -92,6 +92,7 @@ class SizeBounds:
     triangulation_cells: int = 100_000
     tree_points: int = 100_000
     diagram_points: int = 4096
+    shared_points: int = 512  # points of a subset that shares a diagram task with others of its scope
     largest_region: int | None = None  # cells in the biggest region, once measured
     largest_scores: int | None = None  # rows in the biggest score group, once measured
 

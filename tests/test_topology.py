@@ -111,3 +111,43 @@ def test_connected_parts_of_large_subsets(spark):
     large, whole = bars(400), bars(10_000)
     for name, p in sets.items():
         assert len(large[name]) == len(p) and large[name] == pytest.approx(whole[name])
+
+
+def test_curves_of_bars_against_every_grid_point(spark):
+    """Events at three grid points a bar give what counting every bar at every grid point gives."""
+    import numpy as np
+
+    from cytoplane.operators import topology
+
+    r = np.random.default_rng(5)
+    bars = []
+    for d in range(40):
+        n = int(r.integers(1, 30))
+        birth = r.choice([0.0, 1.0, 2.5], size=n) if d % 2 else r.uniform(0, 3, size=n)
+        length = r.choice([0.5, 1.0, 3.0], size=n) if d % 2 else r.exponential(0.3, size=n)
+        bars += [(d, "region", "tumor", d % 3 % 2, float(b), float(b + w)) for b, w in zip(birth, length)]
+    frame = spark.createDataFrame(bars, "region_id int, scope string, subset string, dim int, birth double, death double")
+    lives = topology.lifetimes(frame)
+    for size in (32, 5):
+        for row in topology.curve_stats(lives, topology.persistence_totals(lives), size).collect():
+            b, e = np.array([(x[4], x[5]) for x in bars if x[0] == row.region_id]).T
+            grid = np.linspace(b.min(), e.max(), size)
+            alive = ((grid >= b[:, None]) & (grid <= e[:, None])).sum(axis=0)
+            share = (e - b) / (e - b).sum()
+            tent = (share[:, None] * np.maximum(0, np.minimum(grid - b[:, None], e[:, None] - grid))).sum(axis=0)
+            got = [row.betti_area, row.betti_peak, row.betti_mean, row.silhouette_mean, row.silhouette_peak, row.entropy]
+            want = [np.trapezoid(alive, grid), alive.max(), alive.mean(), tent.mean(), tent.max(), -(share * np.log(share + 1e-12)).sum()]
+            assert np.allclose(got, want, atol=1e-9)
+
+
+def test_large_subsets_have_a_task_of_their_own(spark):
+    import random
+
+    from cytoplane.operators import topology
+    from cytoplane.settings import SizeBounds
+
+    r = random.Random(3)
+    points = [("a", "region", s, k, r.random(), r.random()) for s, n in (("tumor", 30), ("cd8", 5), ("treg", 2)) for k in range(n)]
+    frame = spark.createDataFrame(points, "region_id string, scope string, subset string, cell_id long, x double, y double")
+    whole = sorted(map(str, topology.diagrams(frame).collect()))
+    assert sorted(map(str, topology.diagrams(frame, bounds=SizeBounds(shared_points=4)).collect())) == whole
