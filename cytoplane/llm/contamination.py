@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cytoplane.llm.shared import WordHasher, stored, text_column, text_slices, word_bounds
+from cytoplane.llm.shared import NO_ID, WordHasher, stored, text_column, text_slices, word_bounds
 
 WINDOW = 13
 #: Test text sent to the executors at once; a larger benchmark is searched in several blocks of items.
@@ -282,9 +282,8 @@ class Blocks:
 
     def __init__(self, benchmark: DataFrame, item_col: str, text_col: str, window: int, most: int, cut: bool = True) -> None:
         self.window, self.most = window, most
-        rows = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).alias("text")).where(
-            "item_id is not null and text is not null"
-        )
+        item = F.coalesce(F.col(item_col).cast("long"), F.lit(NO_ID))
+        rows = benchmark.select(item.alias("item_id"), F.col(text_col).alias("text")).where("text is not null")
         size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         self.n = -(-size // most) if size else 1
         if self.n > 1:
@@ -409,9 +408,10 @@ def contamination(
 ) -> DataFrame:
     """Per row: doc_id, n_words, n_hit, n_items, item_ids (sorted), spans of hit words, contaminated.
 
-    A null text has no words. Items with a null id, a null text or no word match nothing; items with one id are one
-    item. An empty benchmark leaves every document clean. Rows with one id are judged each by itself (with several
-    blocks of items they are told apart by their text, rows equal in both are given back once for each). Texts of any
+    A null text has no words. Items with a null text or no word match nothing; items with one id are one item. Words in
+    items without an id are hit too, but such items are not among ``item_ids`` nor counted. An empty benchmark leaves
+    every document clean. Rows with one id are judged each by itself (with several blocks of items they are told apart by
+    their text, rows equal in both are given back once for each). Texts of any
     length are read whole; other columns are not read. A benchmark above ``most_test_bytes`` is searched block by block,
     one scan each when the plan is built.
     """
@@ -432,19 +432,20 @@ def contamination(
             "item_ids": F.coalesce("item_ids", F.expr("cast(array() as array<bigint>)")),
             "spans": F.coalesce("spans", F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")),
         })
-    return found.select("doc_id", "n_words", "n_hit", "n_items", "item_ids", "spans", is_contaminated().alias("contaminated"))
+    named = found.withColumn("item_ids", F.array_remove("item_ids", F.lit(NO_ID).cast("long"))).withColumn("n_items", F.size("item_ids").cast("long"))
+    return named.select("doc_id", "n_words", "n_hit", "n_items", "item_ids", "spans", is_contaminated().alias("contaminated"))
 
 
 def longest_matches(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_test_bytes: int = MOST_TEST_BYTES) -> DataFrame:
     """(item_id, item_word, words, doc_id, doc_word): each test suffix's longest verbatim match over all shards.
 
     Suffixes that match less than the shortest window are left out; the smallest (doc_id, doc_word) of a shard's
-    neighbours stands for equal lengths. Nulls are treated as in ``contamination``.
+    neighbours stands for equal lengths. Items without an id or a text are left out.
     """
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "item_id long, item_word long, doc_id long, doc_word long, words long"
     out = None
-    blocks = Blocks(benchmark, "item_id", "text", window, most_test_bytes, cut=False)
+    blocks = Blocks(benchmark.where("item_id is not null"), "item_id", "text", window, most_test_bytes, cut=False)
     for t in blocks:
 
         def kernel(batches: Iterator[pa.RecordBatch], t: Tests = t) -> Iterator[pa.RecordBatch]:

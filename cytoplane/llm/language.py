@@ -20,6 +20,8 @@ BUCKETS, GRAM = 1 << 16, 4
 WORDS = 1 << 14
 #: Bound of the training sample: expected number of documents of each language.
 MOST_DOCUMENTS = 1000
+#: One in so many sampled documents calibrates the penalty; the share of them that may get a second language.
+CALIBRATION, FALSE_SETS = 8, 0.02
 _WORDLIKE = re.compile(r"[^\W\d_]")  # letters, and numbers such as fractions
 
 
@@ -27,6 +29,7 @@ _WORDLIKE = re.compile(r"[^\W\d_]")  # letters, and numbers such as fractions
 class Model:
     languages: list[str]
     table: np.ndarray  # languages x buckets, log probability
+    rate: float = 0.0  # log likelihood a word that a further language must add, see train()
 
 
 def grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,7 +57,13 @@ def train(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Each language is sampled by a hash of the id at the rate that gives ``most_documents`` rows; smaller ones are read
     whole. Rows with a null language or text teach nothing. Without any row the model is empty and every text is
-    undetermined. Only n-gram counts (languages x buckets at most) come to the driver.
+    undetermined. Only n-gram counts (languages x buckets at most) come to the driver, and a number for each calibration
+    document.
+
+    One document in ``CALIBRATION`` of a language with enough of them is kept from the n-grams. On these, the log
+    likelihood a word that further languages add to a text of one language is measured, and the rate that all but
+    ``FALSE_SETS`` of them stay under becomes part of the penalty of a language: n-grams of a word, and words of a text,
+    are not independent, so a penalty for the number of words alone is too low.
     """
     rows = documents.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).cast("string").alias("lang"), F.pmod(F.xxhash64(F.col(id_col), F.lit("language")), F.lit(1 << 30)).alias("h"), F.col(text_col).alias("text")
@@ -63,7 +72,10 @@ def train(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if not sizes:
         return Model([], np.zeros((0, BUCKETS), np.float32))
     rates = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, int(min(1.0, most_documents / n) * (1 << 30)))])
-    picked = rows.where(F.col("h") < rates[F.col("lang")])
+    apart = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(n, most_documents) >= 8 * CALIBRATION)])
+    kept_back = apart[F.col("lang")] & (F.pmod(F.col("h"), F.lit(CALIBRATION)) == 0)
+    sampled = rows.where(F.col("h") < rates[F.col("lang")])
+    picked = sampled.where(~kept_back)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
@@ -88,7 +100,47 @@ def train(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     counts = np.zeros((len(languages), BUCKETS))
     counts[[languages.index(x) for x in table["lang"]], table["bucket"].to_numpy(int)] = table["n"]
     smooth = counts + 0.05
-    return Model(languages, np.log(smooth / smooth.sum(axis=1, keepdims=True)).astype(np.float32))
+    model = Model(languages, np.log(smooth / smooth.sum(axis=1, keepdims=True)).astype(np.float32))
+    if any(min(n, most_documents) >= 8 * CALIBRATION for n in sizes.values()) and len(languages) > 1:
+        model.rate = _false_rate(sampled.where(kept_back).select("text"), model)
+    return model
+
+
+def _word_scores(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, model: Model) -> np.ndarray:
+    """Log likelihood of each word in each language, n-grams formed in bounded runs of words."""
+    scores = np.empty((len(starts), len(model.languages)))
+    for a in range(0, len(starts), WORDS):
+        part = slice(a, a + WORDS)
+        bucket, word = grams(data, starts[part], ends[part])
+        for k in range(len(model.languages)):
+            scores[part, k] = np.bincount(word, model.table[k][bucket], minlength=len(starts[part]))
+    return scores
+
+
+def _false_rate(texts: DataFrame, model: Model) -> float:
+    """The rate that all but ``FALSE_SETS`` of the texts, taken as of one language each, stay under."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, bounds in text_slices(text_column(batch.column(0)), 1 << 18):
+                starts, ends, first = word_bounds(data, bounds, spaces())
+                if len(starts):
+                    gain, sizes = _gains(_word_scores(data, starts, ends, model), first)
+                    yield pa.RecordBatch.from_arrays([pa.array((gain - 0.5 * np.log(np.maximum(sizes, 2))) / sizes)], ["rate"])
+
+    rates = texts.mapInArrow(kernel, "rate double").toPandas()["rate"].to_numpy()  # a number for each calibration document
+    return float(max(0.0, np.quantile(rates, 1 - FALSE_SETS))) if len(rates) else 0.0
+
+
+def _gains(scores: np.ndarray, first: np.ndarray, steps: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """What all languages together add to the log likelihood of the best one, and the words, of each row with a word."""
+    full = np.flatnonzero(np.diff(first))
+    weight = np.exp(np.maximum(scores - scores.max(axis=1, keepdims=True), -60.0))
+    bounds = np.append(first[full], first[-1])
+    sizes = np.diff(bounds)
+    share, fit = _em(weight, bounds, np.full((len(full), scores.shape[1]), 1 / scores.shape[1]), steps)
+    alone = np.add.reduceat(np.log(weight[np.arange(len(weight)), np.repeat(share.argmax(axis=1), sizes)]), bounds[:-1])
+    return fit - alone, sizes
 
 
 def _em(weight: np.ndarray, first: np.ndarray, share: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
@@ -105,12 +157,12 @@ def _em(weight: np.ndarray, first: np.ndarray, share: np.ndarray, steps: int) ->
     return share, np.add.reduceat(np.log((weight * np.repeat(share, sizes, axis=0)).sum(axis=1)), first[:-1])
 
 
-def mixtures(scores: np.ndarray, first: np.ndarray, steps: int = 16, penalty: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+def mixtures(scores: np.ndarray, first: np.ndarray, steps: int = 16, penalty: float = 1.0, rate: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
     """Shares of each language in each row of words, and whether it is of the chosen set.
 
     ``scores``: log likelihood of each word in each language; row r holds words first[r] to first[r + 1]. EM finds the
     shares; then languages are dropped, smallest share first, and the set with the best log likelihood less ``penalty``
-    times half the logarithm of the number of words for each language is kept. Where all languages together gain less
+    times half the logarithm of the number of words, and ``rate`` a word, for each language is kept. Where all languages together gain less
     over the best one than one penalty, no larger set can win and the search is left out.
     """
     rows, n_langs = len(first) - 1, scores.shape[1]
@@ -122,7 +174,7 @@ def mixtures(scores: np.ndarray, first: np.ndarray, steps: int = 16, penalty: fl
     bounds = np.append(first[full], first[-1])  # rows without a word take no place
     sizes = np.diff(bounds)
     share, fit = _em(weight, bounds, np.full((len(full), n_langs), 1 / n_langs), steps)
-    cost = penalty * 0.5 * np.log(np.maximum(sizes, 2))
+    cost = penalty * 0.5 * np.log(np.maximum(sizes, 2)) + rate * sizes
     top = share.argmax(axis=1)
     alone = np.add.reduceat(np.log(weight[np.arange(len(weight)), np.repeat(top, sizes)]), bounds[:-1])
     mask = np.zeros_like(share, bool)
@@ -161,13 +213,7 @@ def _judge(column: pa.Array, model: Model) -> tuple[list[str], list[float], list
     for row, end, data, bounds in text_slices(texts, 1 << 18):
         starts, ends, first = word_bounds(data, bounds, spaces())
         if len(starts) and model.languages:
-            scores = np.empty((len(starts), len(model.languages)))
-            for a in range(0, len(starts), WORDS):
-                part = slice(a, a + WORDS)
-                bucket, word = grams(data, starts[part], ends[part])
-                for k in range(len(model.languages)):
-                    scores[part, k] = np.bincount(word, model.table[k][bucket], minlength=len(starts[part]))
-            shares, chosen = mixtures(scores, first)
+            shares, chosen = mixtures(_word_scores(data, starts, ends, model), first, rate=model.rate)
         else:
             shares = np.zeros((end - row, len(model.languages)))
             chosen = shares.astype(bool)

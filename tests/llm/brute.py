@@ -91,6 +91,7 @@ def contaminated(rows, items, window=13):
                 if (key := tuple(w[i : i + n])) in windows:
                     hit[i : i + n] = [True] * n
                     found |= windows[key]
+        found.discard(None)  # an item without an id hits words only
         digest = hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest()
         out.append((d, len(w), sum(hit), len(found), digest, sum(hit) > 0 and 20 * sum(hit) >= len(w)))
     return out

@@ -136,7 +136,7 @@ def test_contamination(spark, documents, texts, most):
     found = contamination.contamination(documents, bench, most_test_bytes=most)
     text = F.array_join(F.array_sort(F.transform("item_ids", lambda x: x.cast("string"))), ",")
     got = rows(found, "doc_id", "n_words", "n_hit", "n_items", F.sha2(text, 256), "contaminated")
-    want = Counter(brute.contaminated(texts, [x for x in items if x[0] is not None]))
+    want = Counter(brute.contaminated(texts, items))
     assert got == want
     kept = contamination.keep_clean(documents, bench, most_test_bytes=most)
     assert kept.columns == documents.columns
@@ -328,6 +328,23 @@ def test_documents_without_any_language_label_stay(spark):
         assert Counter(x.doc_id for x in kept.collect()) == Counter([1, None, *(x[0] for x in more)])
 
 
+def test_second_languages_are_found_in_mixed_texts_only(spark):
+    """Held-out documents of one language seldom get a second one; joined pairs nearly always get both."""
+    sf = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    training = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) != 2
+    model = language.train(sf.where(training))
+    assert model.rate > 0
+    held = sf.where(~training & (F.length("text") > 60)).select("doc_id", "text", "lang")
+    single = language.identify(held, model).join(held.select("doc_id", "lang"), "doc_id")
+    n, several, right = single.agg(F.count("*"), F.count_if(F.size("languages") > 1), F.count_if(F.col("lang_pred") == F.col("lang"))).first()
+    assert several < 0.05 * n and right > 0.995 * n
+    by = {x: [r.text for r in held.where((F.col("lang") == x) & F.length("text").between(300, 3000)).orderBy("doc_id").limit(60).collect()] for x in ("en", "fr", "de", "es")}
+    pairs = [(a, b, f"{x}\n{y}") for a, b in (("en", "fr"), ("de", "es"), ("fr", "es"), ("en", "de")) for x, y in zip(by[a], by[b])]
+    joined = spark.createDataFrame([(k, t) for k, (_, _, t) in enumerate(pairs)], "doc_id long, text string")
+    found = {x.doc_id: set(x.languages) for x in language.identify(joined, model).collect()}
+    assert sum(found[k] == {a, b} for k, (a, b, _) in enumerate(pairs)) > 0.95 * len(pairs)
+
+
 def test_mixture_shares_against_plain_em():
     r = np.random.default_rng(3)
     scores = np.log(r.dirichlet(np.ones(3), 50))
