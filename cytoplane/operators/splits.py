@@ -185,6 +185,18 @@ def usable_folds(assigned: DataFrame, y: str = "y", tested: bool = True) -> Data
     ).select("repeat", "fold")
 
 
+def usable_from_counts(regions: DataFrame, folds: DataFrame, y: str = "y", tested: bool = True) -> DataFrame:
+    """``usable_folds`` from counts per patient and class alone: a fold trains on what it does not test."""
+    known = regions.where(F.col(y).isNotNull())
+    counted = known.groupBy("patient_id", F.col(y).alias("y")).agg(F.count("*").alias("n"))
+    every = counted.groupBy("y").agg(F.sum("n").alias("whole"))
+    sides = folds.join(counted, "patient_id").groupBy("repeat", "fold", "y").agg(F.sum("n").alias("n")).join(every, "y")
+    seen = sides.groupBy("repeat", "fold").agg(F.count("*").alias("test"), F.count_if(F.col("n") == F.col("whole")).alias("gone"))
+    classes = F.broadcast(every.agg(F.count("*").alias("classes")))  # one row
+    usable = (F.col("classes") - F.col("gone") >= 2) & (F.col("test") >= (2 if tested else 1))
+    return seen.crossJoin(classes).where(usable).select("repeat", "fold")
+
+
 def bootstrap_means(
     values: DataFrame, keys: list[str], value: str = "value", order: str = "fold", n_boot: int = 2000, seed: int = 42
 ) -> DataFrame:

@@ -90,7 +90,7 @@ def fold_roles(spark, sf):
 )
 def usable_folds(spark, sf):
     regions = mixed_regions(spark, sf)
-    return splits.usable_folds(splits.assign_roles(regions, splits.grouped_splits(regions, 4)))
+    return splits.usable_from_counts(regions, splits.grouped_splits(regions, 4))
 
 
 INNER_SQL = """slots AS (SELECT DISTINCT fold FROM paired),
