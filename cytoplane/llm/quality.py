@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 BLOCK = 2048
 #: Bounds of the training sample: expected labelled documents of each class, and bytes of each dictionary.
 MOST_LABELLED, DICTIONARY_BYTES = 4000, 256 << 10
-#: A text gives this many stretches of so many bytes to its dictionary at most, spread evenly over the whole text.
-STRETCHES, STRETCH = 8, 512
+#: A text gives this many stretches to its dictionary at most, of the bytes that let every sampled text give one, though
+#: no fewer than the second figure and no more than the third.
+STRETCHES, SHORTEST, LONGEST = 8, 96, 512
 THRESHOLD = 0.7
 FEATURES = 7
 
@@ -63,14 +64,16 @@ def features(sizes: np.ndarray) -> np.ndarray:
     return np.concatenate([x, x**2, x[:, :1] * x[:, 1:2]], axis=1)
 
 
-def _stretches(text: bytes) -> list[bytes]:
-    n = max(1, -(-len(text) // STRETCH))
-    picked = sorted({k * n // STRETCHES for k in range(STRETCHES)}) if n > STRETCHES else range(n)
-    return [text[k * STRETCH : (k + 1) * STRETCH] for k in picked]
+def _stretches(text: bytes, length: int, h: int) -> list[bytes]:
+    """Stretches of ``length`` bytes spread evenly over the text, ``STRETCHES`` at most; the hash says which comes first."""
+    n = max(1, -(-len(text) // length))
+    picked = sorted({k * n // STRETCHES for k in range(STRETCHES)}) if n > STRETCHES else list(range(n))
+    turn = h % len(picked)
+    return [text[k * length : (k + 1) * length] for k in picked[turn:] + picked[:turn]]
 
 
 def _dictionary(rows: list[tuple[int, int, bytes]], size: int) -> bytes:
-    """Stretches in the order of their documents' hashes, each once, up to ``size`` bytes."""
+    """One stretch of every document, then a second of each and so on, each stretch once, up to ``size`` bytes."""
     out: list[bytes] = []
     seen: set[bytes] = set()
     total = 0
@@ -111,18 +114,20 @@ def train(
     picked = texts.join(F.broadcast(chosen), "id")  # about two classes of most_labelled ids
     half = F.pmod(F.xxhash64("h"), F.lit(2))
 
+    length = {y: min(LONGEST, max(SHORTEST, 2 * dictionary_bytes // min(n, most_labelled))) for y, n in counts.items()}
+
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(h, y, s) for h, y, t in zip(*(c.to_pylist() for c in batch.columns[:2]), batch.column(2).cast(pa.binary()).to_pylist()) for s in _stretches(t)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["h", "y", "stretch"]
-            )
+            of = zip(*(c.to_pylist() for c in batch.columns[:2]), batch.column(2).cast(pa.binary()).to_pylist())
+            rows = [(turn, h, y, s) for h, y, t in of for turn, s in enumerate(_stretches(t, length[y], h))]
+            kinds = zip(("turn", "h", "y", "stretch"), (pa.int64(), pa.int64(), pa.int32(), pa.binary()))
+            yield pa.RecordBatch.from_pydict({name: pa.array([r[k] for r in rows], kind) for k, (name, kind) in enumerate(kinds)})
 
     source = picked.select("h", F.col("y").cast("int").alias("y"), "text")
-    rows = [tuple(r) for r in source.where(half == 0).mapInArrow(stretches, "h long, y int, stretch binary").toLocalIterator()]
+    rows = [tuple(r) for r in source.where(half == 0).mapInArrow(stretches, "turn long, h long, y int, stretch binary").toLocalIterator()]
     model = Model(
-        _dictionary([(h, y, bytes(s)) for h, y, s in rows if y == 1], dictionary_bytes),
-        _dictionary([(h, y, bytes(s)) for h, y, s in rows if y == 0], dictionary_bytes),
+        _dictionary([(turn, h, bytes(s)) for turn, h, y, s in rows if y == 1], dictionary_bytes),
+        _dictionary([(turn, h, bytes(s)) for turn, h, y, s in rows if y == 0], dictionary_bytes),
     )
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

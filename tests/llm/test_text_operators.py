@@ -284,6 +284,21 @@ def test_network_tells_keys_from_plain_codes(spark):
     assert share(["{16:0}", "{12:a}{2:0}{5:a}", "/{6:a}/{8:a}/{4:0}/{6:a}"]) < 0.1
 
 
+def test_families_of_keys_and_codes(spark):
+    """The network at its production size, by family: figures of the README."""
+    network = secrets.train(spark.createDataFrame([], "doc_id long, text string"))
+    r = np.random.default_rng(9)
+
+    def share(family):
+        values = [secrets.made(family, r) for _ in range(200)]
+        return sum(bool(x) for x in secrets.all_spans([f"we use {v} here" for v in values], network)) / len(values)
+
+    for family, most in (("{8:h}-{4:h}-{4:h}-{4:h}-{12:h}", 0.15), ("{6:a}{1:A}{7:a}{1:A}{5:a}{1:0}", 0.25), ("{8:a}{8:A}{2:0}", 0.6)):
+        assert share(family) < most, family
+    for family in ("glpat-{20:aA0}", "AIza{35:aA0}", "npm_{36:aA0}", "{24:aA0}"):
+        assert share(family) > 0.8, family
+
+
 def test_keys_of_known_formats_do_not_count_as_plain_text(spark):
     r = np.random.default_rng(12)
     shapes = ["ghp_{36:aA0}", "sk-{40:aA0}", "{40:aA0+/}"]
@@ -356,6 +371,13 @@ def test_mixture_shares_against_plain_em():
     assert np.allclose(shares[1], share, atol=0.02) and not shares[0].any() and not chosen[2].any()
 
 
+def test_every_sampled_document_gives_to_the_dictionary():
+    rows = [(turn, h, s) for h in range(500) for turn, s in enumerate(quality._stretches(b"%05d " % h * 700, 100, h * 7919))]
+    content = quality._dictionary(rows, 256 << 10)
+    assert all(b"%05d " % h in content for h in range(500)) and len(content) <= 256 << 10
+    assert quality._stretches(b"", 100, 5) == [b""] and sorted(quality._stretches(b"a" * 100 + b"b" * 50, 100, 1)) == [b"a" * 100, b"b" * 50]
+
+
 def test_quality(spark):
     sf = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
@@ -369,6 +391,23 @@ def test_quality(spark):
     odd = spark.createDataFrame([(1, None), (1, ""), (None, "a b"), (3, "the " * 300_000)], "doc_id long, text string").withColumn("score", F.lit(1))
     got = quality.score_quality(odd, model).collect()
     assert len(got) == 4 and all(0 <= x.score <= 1 and x.predicted == int(x.score >= 0.7) for x in got)
+    # Scores are those of plain zstandard calls, block by block, and the fitted weights.
+    import zstandard as z
+
+    plain = {"level": 3, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
+    some = sf.where("doc_id % 200 = 3").collect()
+    told = {x.doc_id: x for x in quality.score_quality(sf.where("doc_id % 200 = 3"), model).collect()}
+    for x in some:
+        raw, want = (x.text or "").encode(), []
+        for content in (model.good, model.bad, None):
+            extra = {} if content is None else {"dict_data": z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)}
+            want.append(sum(len(z.ZstdCompressor(**plain, **extra).compress(raw[k : k + 2048])) for k in range(0, len(raw), 2048)))
+        got = told[x.doc_id]
+        assert [got.size_good, got.size_bad, got.size_plain] == want
+        gap, big = want[1] - want[0], max(want[0], want[1], 1)
+        base = [gap / big, gap / max(want[2], 1), want[2] / max(len(raw), 1)]
+        line = (np.array([*base, *(v * v for v in base), base[0] * base[1]]) - model.mean) / model.scale
+        assert abs(got.score - 1 / (1 + np.exp(-(line @ model.weights + model.bias)))) < 1e-9
     one = quality.train(sf, labels.where("quality = 1"))
     assert all(x.score > 0.9 for x in quality.score_quality(odd, one).collect())
     nothing = quality.train(sf.limit(0), labels.limit(0))
