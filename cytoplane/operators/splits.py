@@ -11,6 +11,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cytoplane.operators.balanced_folds import balanced_places
 from cytoplane.operators.quantiles import exact_percentiles
 from cytoplane.operators.ranking import positions
 from cytoplane.session import cut_lineage, largest_group
@@ -54,23 +55,26 @@ def leave_one_patient_out(regions: DataFrame, seed: int = 42) -> DataFrame:
 
 def grouped_splits(
     regions: DataFrame, n_splits: int | None = 4, n_repeats: int = 1, seed: int = 42, scope: list[str] | None = None,
-    bounds: SizeBounds = BOUNDS,
+    bounds: SizeBounds = BOUNDS, balance: bool = False,
 ) -> DataFrame:
     """Patient-grouped folds within each scope.
 
     As many splits as patients (or None): leave one patient out. Two labels and single-label patients: fold f tests
     the f-th shuffled patient of each label. Otherwise patients, ordered by label and shuffled, are dealt to the folds
-    back and forth. Each scope chooses for itself, so nested folds are one plan.
+    back and forth or, with ``balance``, allotted so that every fold gets about the same share of each label's regions.
+    Each scope chooses for itself, so nested folds are one plan.
     """
     scope = scope or []
-    return _folds(_counted(regions, scope), n_splits, n_repeats, seed, scope, bounds)
+    return _folds(_counted(regions, scope), n_splits, n_repeats, seed, scope, bounds, balance)
 
 
-def _folds(counted: DataFrame, n_splits: int | None, n_repeats: int, seed: int, scope: list[str], bounds: SizeBounds) -> DataFrame:
+def _folds(
+    counted: DataFrame, n_splits: int | None, n_repeats: int, seed: int, scope: list[str], bounds: SizeBounds, balance: bool = False
+) -> DataFrame:
     """Folds from patients and their labels. Seats of a label come from positions that split large groups; a patient's
     place among all labels follows from its seat and the number of patients of each label."""
     if not scope:
-        return _folds(counted.withColumn("study", F.lit(0)), n_splits, n_repeats, seed, ["study"], bounds).drop("study")
+        return _folds(counted.withColumn("study", F.lit(0)), n_splits, n_repeats, seed, ["study"], bounds, balance).drop("study")
     counted = cut_lineage(counted)
     bounds = replace(bounds, largest_scores=largest_group(counted, scope))
     patients = _labels_of(counted, scope)
@@ -99,6 +103,11 @@ def _folds(counted: DataFrame, n_splits: int | None, n_repeats: int, seed: int,
             "side": F.struct("label"),  # a missing label is a side too, also in joins
         }
     )
+    if balance:
+        general = shape.where(F.col("mode") == "dealt")
+        keys = planned.where(F.col("mode") == "dealt").select(*scope, "repeat", "patient_id", "lead", "tie")
+        balanced = balanced_places(counted.join(general.select(*scope), scope, "left_semi"), general, keys, scope, bounds)
+        planned = planned.join(balanced, [*scope, "repeat", "patient_id"], "left")
     planned = positions(planned, [*scope, "repeat", "side"], "lead", "tie", "seat", bounds)
     planned = positions(planned, [*scope, "repeat"], "lead", "tie", "shuffled", bounds)
     label = F.col("label")
@@ -113,7 +122,7 @@ def _folds(counted: DataFrame, n_splits: int | None, n_repeats: int, seed: int,
     around = total("sides", lambda s: F.least(s["n"], F.col("seat") + F.when(earlier(s), 1).otherwise(0)))
     planned = planned.withColumn("order", order).withColumn("single", F.when(F.col("all_pure") == 1, around).otherwise(F.col("shuffled")))
     turn, place = F.floor(F.col("order") / F.col("folds")), F.col("order") % F.col("folds")
-    dealt = F.when(turn % 2 == 0, place).otherwise(F.col("folds") - 1 - place)
+    dealt = F.col("balanced") if balance else F.when(turn % 2 == 0, place).otherwise(F.col("folds") - 1 - place)
     fold = (
         F.when(F.col("mode") == "single", F.col("single"))
         .when(F.col("mode") == "dealt", dealt)

@@ -1,12 +1,13 @@
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from cytoplane.functions import columns as C
-from cytoplane.operators import learning, quantiles, ranking, scoring, splits
+from cytoplane.operators import balanced_folds, learning, quantiles, ranking, scoring, splits
 from cytoplane.settings import SizeBounds, StudySettings
 
 TINY = SizeBounds(percentile_rows=3)
@@ -50,6 +51,89 @@ def test_folds_of_split_groups_are_the_same(spark, mixed, splits_asked):
         assert sorted(r[1] for r in whole) == list(range(23))
 
 
+def one_by_one(counts, folds):
+    """Fold of every patient, each given in turn to the best fold; counts are dicts of regions per label."""
+    totals = {label: sum(c.get(label, 0) for c in counts) for label in sorted({x for c in counts for x in c})}
+    weights = dict(zip(totals, balanced_folds.label_weights(list(totals.values())), strict=True))
+
+    def unevenness(c):
+        return len(totals) * sum(n * n for n in c.values()) - sum(c.values()) ** 2
+
+    order = sorted(counts, key=lambda c: (-unevenness(c), sorted(c.items())))
+    held = [dict.fromkeys(totals, 0) for _ in range(folds)]
+    placed = []
+    for c in order:
+        costs = [(sum(weights[x] * n * held[f][x] for x, n in c.items()), sum(held[f].values()), f) for f in range(folds)]
+        best = min(costs)[2]
+        for x, n in c.items():
+            held[best][x] += n
+        placed.append((tuple(sorted(c.items())), best))
+    return sorted(placed), held
+
+
+def distance(held):
+    totals = {x: sum(h[x] for h in held) for x in held[0]}
+    return sum((h[x] / totals[x] - 1 / len(held)) ** 2 for h in held for x in totals)
+
+
+MIXES = {
+    "rare": [{"A": 5}] * 30 + [{"B": 1}] * 4 + [{"A": 1, "B": 2}] * 3,
+    "giant": [{"A": 400, "B": 10}] + [{"A": 1}] * 60 + [{"B": 1}] * 9 + [{"A": 3, "B": 3}] * 5,
+    "three": [{"A": i % 4 + 1, "B": i % 3, "C": i % 5} for i in range(40)],
+}
+
+
+@pytest.mark.parametrize("mix", MIXES)
+def test_balanced_folds_are_those_of_one_patient_after_another(spark, mix):
+    counts = [{x: n for x, n in c.items() if n} for c in MIXES[mix]]
+    rows = [(f"{i}_{x}_{j}", f"p{i}", x) for i, c in enumerate(counts) for x, n in c.items() for j in range(n)]
+    frame = spark.createDataFrame(rows, "region_id string, patient_id string, label string")
+    wanted, held = one_by_one(counts, 4)
+    folds = splits.grouped_splits(frame, 4, 2, balance=True).collect()
+    for repeat in (0, 1):
+        got = {r.patient_id: r.fold for r in folds if r.repeat == repeat}
+        assert len(got) == len(counts)
+        assert sorted((tuple(sorted(c.items())), got[f"p{i}"]) for i, c in enumerate(counts)) == wanted
+    dominant = sorted(range(len(counts)), key=lambda i: (min(counts[i], key=lambda x: (-counts[i][x], x)), i))
+    dealt = [[counts[i] for n, i in enumerate(dominant) if (n % 4 if n // 4 % 2 == 0 else 3 - n % 4) == f] for f in range(4)]
+    other = [{x: sum(c.get(x, 0) for c in group) for x in held[0]} for group in dealt]
+    assert distance(held) <= distance(other) + 1e-12
+
+
+def test_balanced_folds_of_many_classes_missing_labels_and_scopes(spark):
+    rows = [(s, f"{i}_{j}", f"p{i}", (None, "A", "B")[(i * j) % 3]) for s in ("u", "v") for i in range(40) for j in range(i % 11 + 1)]
+    frame = spark.createDataFrame(rows, "study string, region_id string, patient_id string, label string")
+    counts = [Counter(("", "A", "B")[(i * j) % 3] for j in range(i % 11 + 1)) for i in range(40)]  # "" sorts first, as null does
+    wanted, held = one_by_one(counts, 4)
+    for bounds in (SizeBounds(), TINY):
+        folds = splits.grouped_splits(frame, 4, 1, scope=["study"], bounds=bounds, balance=True).collect()
+        assert len(folds) == 80
+        for study in ("u", "v"):
+            got = {r.patient_id: r.fold for r in folds if r.study == study}
+            assert len(got) == 40
+            placed = sorted((tuple(sorted(c.items())), got[f"p{i}"]) for i, c in enumerate(counts))
+            if bounds is not TINY:
+                assert placed == wanted
+            else:  # blocks of three classes
+                parts = [{x: sum(c[x] for i, c in enumerate(counts) if got[f"p{i}"] == f) for x in held[0]} for f in range(4)]
+                assert distance(parts) < 0.05
+
+
+def test_fill_takes_any_number_at_once():
+    rng = random.Random(5)
+    for _ in range(300):
+        k, step, size, many = rng.randint(2, 6), rng.randint(1, 5), rng.randint(1, 3), rng.randint(0, 40)
+        scores, sizes = [rng.randint(0, 30) for _ in range(k)], [rng.randint(0, 4) for _ in range(k)]
+        state, taken = [[s, z, f] for f, (s, z) in enumerate(zip(scores, sizes))], [0] * k
+        for _ in range(many):
+            best = min(state)
+            taken[best[2]] += 1
+            best[0] += step
+            best[1] += size
+        assert balanced_folds.fill(scores, sizes, step, size, many) == taken
+    assert sum(balanced_folds.fill([0, 7, 3], [0, 0, 0], 2, 1, 10**15)) == 10**15
+
+
 def test_nested_folds_stay_inside_training(spark):
     frame = regions(spark, {f"p{i}": "AB"[i % 2] for i in range(10)})
     outer, inner = splits.nested_splits(frame, 4, 3)

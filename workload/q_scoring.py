@@ -74,6 +74,33 @@ def dealt_folds(spark, sf):
     return splits.grouped_splits(mixed_regions(spark, sf), 4)
 
 
+BALANCED_SQL = """counted AS (SELECT patient_id, count(*) FILTER (y = 0) AS a, count(*) FILTER (y = 1) AS b FROM scores GROUP BY 1),
+totals AS (SELECT sum(a)::HUGEINT AS ta, sum(b)::HUGEINT AS tb, greatest(ta, tb) AS most FROM counted),
+queue AS (SELECT *, (1024 * most * most) // (ta * ta) AS wa, (1024 * most * most) // (tb * tb) AS wb,
+  row_number() OVER (ORDER BY -((a - b) * (a - b)), a = 0, CASE WHEN a > 0 THEN a ELSE b END, b) AS i FROM counted, totals),
+greedy AS (
+  SELECT 0::BIGINT AS i, [0, 0, 0, 0]::HUGEINT[] AS ha, [0, 0, 0, 0]::HUGEINT[] AS hb, 0 AS fold
+  UNION ALL
+  SELECT i, [ha[f] + CASE WHEN f = best THEN a ELSE 0 END for f in [1, 2, 3, 4]]::HUGEINT[],
+    [hb[f] + CASE WHEN f = best THEN b ELSE 0 END for f in [1, 2, 3, 4]]::HUGEINT[], best
+  FROM (SELECT q.i, q.a, q.b, g.ha, g.hb, list_sort([struct_pack(
+      score := g.ha[f] * q.a * q.wa + g.hb[f] * q.b * q.wb, size := g.ha[f] + g.hb[f], f := f) for f in [1, 2, 3, 4]])[1].f AS best
+    FROM greedy g JOIN queue q ON q.i = g.i + 1)),
+seats AS (SELECT a, b, fold - 1 AS fold, row_number() OVER (PARTITION BY a, b ORDER BY fold) AS place FROM greedy JOIN queue USING (i)),
+takers AS (SELECT patient_id, a, b, row_number() OVER (PARTITION BY a, b ORDER BY md5('42:' || patient_id), patient_id) AS place FROM counted)"""
+
+
+@query(
+    "v4_balanced_folds",
+    with_views(
+        V.SCORES_SQL, BALANCED_SQL,
+        "SELECT 0::INTEGER AS repeat, CAST(fold AS INTEGER) AS fold, patient_id FROM takers JOIN seats USING (a, b, place)",
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+)
+def balanced_folds(spark, sf):
+    return splits.grouped_splits(mixed_regions(spark, sf), 4, balance=True)
+
+
 @query("j11_fold_roles", with_views(V.SCORES_SQL, DEALT_SQL, "SELECT CAST(repeat AS INTEGER) AS repeat, fold, region_id, role FROM assigned"))
 def fold_roles(spark, sf):
     regions = mixed_regions(spark, sf)
