@@ -14,8 +14,7 @@ from cytoplane.functions import columns as C
 from cytoplane.operators import ingest
 from cytoplane.settings import PrepareSettings
 from cytoplane.sources import tables
-
-ROWS_PER_BATCH = 200_000
+from cytoplane.sources.image_folder import IMAGES, LABELS, MASKS, read_pixels
 
 # File names of the image folder layout.
 CHANNELS_FILE = "channels_codex_CRC_celltune.txt"
@@ -34,29 +33,6 @@ def _files(spark: SparkSession, folder: str, name: str) -> DataFrame:
     )
 
 
-def _pixel_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            mask = _array(batch["mask"][i].as_py())
-            image = _array(batch["image"][i].as_py())
-            channels = image.shape[-1]
-            step = max(1, ROWS_PER_BATCH // max(mask.shape[1], 1))
-            for top in range(0, mask.shape[0], step):
-                part = mask[top : top + step]
-                ys, xs = np.nonzero(part > 0)
-                values = image[top : top + step][ys, xs].astype(np.float64).reshape(-1)
-                offsets = np.arange(ys.size + 1, dtype=np.int32) * channels
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "sample_id": pa.repeat(batch["sample_id"][i], ys.size),
-                        "x": pa.array(xs.astype(np.float64)),
-                        "y": pa.array((ys + top).astype(np.float64)),
-                        "cell_no": pa.array(part[ys, xs].astype(np.int64)),
-                        "channels": pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
-                    }
-                )
-
-
 def _label_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
@@ -73,16 +49,12 @@ def _label_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def read_raster(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """(pixels, cell labels) of the samples that have all three files: mask, labels and image.
 
-    Files are matched by name; each sample's arrays are opened in one task and leave it in slices of rows. Pixels
-    outside every cell are not emitted.
+    Files are matched by name; images are read in bands of rows. Pixels outside every cell are not emitted.
     """
-    masks = _files(spark, f"{root}/cells", "mask")
-    labels = _files(spark, f"{root}/cells2labels", "labels")
-    images = _files(spark, f"{root}/data/antibodies", "image")
-    present = labels.select("sample_id")
-    pixels = masks.join(images, "sample_id").join(present, "sample_id", "left_semi").mapInArrow(
-        _pixel_batches, "sample_id string, x double, y double, cell_no long, channels array<double>"
-    )
+    masks = _files(spark, f"{root}/{MASKS}", "mask")
+    labels = _files(spark, f"{root}/{LABELS}", "labels")
+    images = _files(spark, f"{root}/{IMAGES}", "image")
+    pixels = read_pixels(spark, root)
     known = labels.join(masks.select("sample_id"), "sample_id", "left_semi").join(images.select("sample_id"), "sample_id", "left_semi")
     cell_labels = known.mapInArrow(_label_batches, "sample_id string, cell_no long, cell_type_id int")
     return pixels, cell_labels

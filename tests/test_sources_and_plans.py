@@ -9,7 +9,7 @@ from cytoplane.plans.examples import region_examples
 from cytoplane.plans.study import Head, cross_validate
 from cytoplane.plans import study
 from cytoplane.settings import BOUNDS, PrepareSettings, StudySettings
-from cytoplane.sources import raster, tables
+from cytoplane.sources import image_folder, raster, tables
 from tests import fixture
 
 
@@ -95,6 +95,49 @@ def test_raster_study(spark, tmp_path):
     assert {(r.label, r.label_mode) for r in named.regions.collect()} == {("DII", "clinical_patient_label")}
 
 
+def test_images_are_read_in_bands(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    for folder in ("cells", "cells2labels", "data/antibodies"):
+        (tmp_path / folder).mkdir(parents=True)
+    mask = rng.integers(0, 4, (37, 11))
+    mask[5:9] = 0
+    image = rng.random((37, 11, 3)).astype(np.float32)
+    savers = {"plain": (np.savez, "C"), "packed": (np.savez_compressed, "C"), "turned": (np.savez, "F"), "lone": (np.savez, "C")}
+    for stem, (save, order) in savers.items():
+        save(tmp_path / "cells" / f"{stem}.npz", data=np.asarray(mask, order=order))
+        save(tmp_path / "cells2labels" / f"{stem}.npz", data=np.array([-1, 0, 1, 2]))
+        if stem != "lone":
+            save(tmp_path / "data/antibodies" / f"{stem}.npz", data=np.asarray(image, order=order))
+    wanted = sorted((float(x), float(y), int(mask[y, x]), [float(v) for v in image[y, x]]) for y, x in zip(*np.nonzero(mask)))
+    for size in (700, 1 << 20):
+        found = image_folder.read_pixels(spark, str(tmp_path), bandBytes=str(size))
+        assert found.rdd.getNumPartitions() == 3 if size > 700 else found.rdd.getNumPartitions() > 12
+        for stem in ("plain", "packed", "turned"):
+            rows = found.where(F.col("sample_id") == stem).collect()
+            assert sorted((r.x, r.y, r.cell_no, r.channels) for r in rows) == wanted
+        assert found.select("sample_id").distinct().count() == 3
+    part = image_folder.read_pixels(spark, f"file:{tmp_path}", samples="packed", channels="2,0")
+    assert sorted((r.x, r.y, r.channels) for r in part.collect()) == [(x, y, [c[2], c[0]]) for x, y, _, c in wanted]
+    empty = tmp_path / "empty"
+    nothing = part.limit(0)
+    image_folder.write_images(nothing, nothing.withColumn("cell_type_id", F.lit(0)), str(empty))
+    assert image_folder.read_pixels(spark, str(empty)).isEmpty()
+
+
+def test_images_written_again_are_the_same(spark, tmp_path):
+    pixels = spark.createDataFrame(
+        [("a", 0.0, 2.0, 3, [1.0, 2.0]), ("a", 4.0, 0.0, 1, [0.5, 0.0]), ("b", 1.0, 1.0, 2, [7.0, 8.0])],
+        "sample_id string, x double, y double, cell_no long, channels array<double>",
+    )
+    labels = spark.createDataFrame([("a", 3, 5), ("b", 2, 0), ("c", 1, 1)], "sample_id string, cell_no long, cell_type_id int")
+    for _ in range(2):
+        image_folder.write_images(pixels, labels, str(tmp_path))
+        assert sorted(p.name for p in (tmp_path / "cells").iterdir()) == ["a.npz", "b.npz", "c.npz"]
+        found, types = raster.read_raster(spark, str(tmp_path))
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, pixels.collect()))
+        assert types.where("cell_type_id >= 0").count() == 3 and types.where("sample_id = 'a'").count() == 4
+
+
 def test_guard_is_not_turned_by_a_tied_row(spark):
     rows = [(0, "val", 1, 0.9, 0.1), (0, "val", 1, 0.8, 0.5), (0, "val", 0, 0.5, 0.5), (0, "val", 0, 0.2, 0.9), (0, "test", 1, 0.7, 0.3)]
     frame = spark.createDataFrame(rows, "fold int, role string, y int, main double, mix double")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -9,8 +10,9 @@ from pyspark.sql import functions as F
 
 from cytoplane.functions import columns as C
 from cytoplane.operators import composition, ingest
+from cytoplane.session import shared_folder
 from cytoplane.settings import IMMUNE_TYPES, PrepareSettings, ROLE_TERMS, TUMOR_STROMA_TYPES, VASCULAR_TYPES
-from cytoplane.sources import raster
+from cytoplane.sources import image_folder, raster
 from workload import views as V
 from workload.registry import query, with_views
 
@@ -203,6 +205,48 @@ def raster_cells(spark, sf):
     return cells.withColumns({c: F.round(c, 4 if c == "marker_price" else 6) for c in ("x", "y", *[f"marker_{c}" for c in channels])})
 
 
+def spots(spark, sf):
+    """Pixels with one row per spot, numbered from 1 (0 is outside), and the types of their cells."""
+    pixels = V.pixels(spark, sf).groupBy("sample_id", "x", "y").agg(
+        (F.max("cell_no") + 1).alias("cell_no"), F.array(*[F.max(c).cast("double") for c in ("price", "discount", "tax")]).alias("channels")
+    )
+    labels = pixels.select("sample_id", "cell_no").distinct().withColumn("cell_type_id", (F.col("cell_no") % 7 - 1).cast("int"))
+    return pixels, labels
+
+
+def written_images(spark, sf) -> str:
+    folder = f"{shared_folder(spark)}/images-{uuid.uuid4().hex}"
+    image_folder.write_images(*spots(spark, sf), folder)
+    return folder
+
+
+@query(
+    "s6_image_pixels",
+    with_views(
+        V.PIXELS_SQL,
+        "SELECT sample_id, x, y, max(cell_no) + 1 AS cell_no, max(tax) AS tax, max(price) AS price FROM pixels GROUP BY sample_id, x, y",
+    ),
+)
+def image_pixels(spark, sf):
+    """An image folder written and read in bands, two of its channels in another order."""
+    found = image_folder.read_pixels(spark, written_images(spark, sf), channels="2,0", bandBytes="8192")
+    return found.select("sample_id", "x", "y", "cell_no", F.get("channels", 0).alias("tax"), F.get("channels", 1).alias("price"))
+
+
+@query(
+    "s6_image_labels",
+    with_views(
+        V.PIXELS_SQL,
+        """spots AS (SELECT sample_id, x, y, max(cell_no) + 1 AS cell_no FROM pixels GROUP BY ALL)
+        SELECT sample_id, cell_no, count(*) AS n_pixels, CAST(cell_no % 7 - 1 AS INTEGER) AS cell_type_id FROM spots GROUP BY 1, 2""",
+    ),
+)
+def image_labels(spark, sf):
+    """Cells of an image folder by both of its readers."""
+    pixels, labels = raster.read_raster(spark, written_images(spark, sf))
+    return pixels.groupBy("sample_id", "cell_no").agg(F.count("*").alias("n_pixels")).join(labels, ["sample_id", "cell_no"])
+
+
 @query(
     "p7_drop_empty_cells",
     with_views(
