@@ -2,21 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cytoplane.session import group_size
 from cytoplane.settings import BOUNDS, SizeBounds
 
 SLICES = 512
+SAMPLED = 20  # rows of a slice that its split points are taken from
 
 
-def _slices(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Adds the slice number of ``value`` between approximate split points of its group."""
-    steps = F.lit([i / SLICES for i in range(1, SLICES)])
-    splits = rows.groupBy(*keys).agg(F.percentile_approx(value, steps, SLICES * 20).alias("splits"))
-    return rows.join(splits, keys).withColumn(
-        "slice", F.size(F.filter("splits", lambda s: s <= F.col(value)))
+def _splits(rows: DataFrame, keys: list[str], point: Column, largest: int, bounds: SizeBounds) -> DataFrame:
+    """Split points per group for slices of about half the bound, or of 1/512 of the largest group if that is more.
+
+    They are (value, tie) pairs of a hash sample, so equal values are split too. A group gives about 10,000 at most.
+    """
+    wanted = max(bounds.percentile_rows / 2, largest / SLICES)
+    share = min(1.0, SAMPLED / wanted)
+    picked = F.pmod(F.xxhash64(point), F.lit(1 << 31)) < F.lit(int(share * (1 << 31)))
+    step = max(1, round(share * wanted))
+    sample = rows.where(picked).groupBy(*keys).agg(F.sort_array(F.collect_list(point)).alias("sample"))
+    return sample.select(*keys, F.filter("sample", lambda _, i: (i + 1) % step == 0).alias("splits"))
+
+
+def _slices(
+    rows: DataFrame, keys: list[str], value: str, tie: str | None, largest: int, bounds: SizeBounds
+) -> DataFrame:
+    """Adds the slice number of (value, tie) between the split points of its group."""
+    point = F.struct(value) if tie is None else F.struct(value, tie)
+    splits = _splits(rows, keys, point, largest, bounds)
+    place = F.size(F.filter("splits", lambda s: s <= point))
+    return rows.join(splits, keys, "left").withColumn(
+        "slice", F.when(F.col("splits").isNull(), 0).otherwise(place)
     ).drop("splits")
 
 
@@ -30,19 +47,20 @@ def running_sums(
 ) -> DataFrame:
     """Adds, per entry name -> column, the sum over rows strictly before this one in (value, tie) order.
 
-    Groups within bounds are ordered whole. Otherwise each group is cut into slices of ``value``; slice totals give
-    every slice its offset and rows are ordered inside their slice only.
+    Groups within bounds are ordered whole. Otherwise each group is cut into slices of (value, tie); slice totals give
+    every slice its offset and rows are ordered inside their slice only. Without a tie, values must be distinct.
     """
     order = [value] if tie is None else [value, tie]
 
     def before(partition: list[str]):
         return Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
 
-    if group_size(rows, keys, bounds) <= bounds.percentile_rows:
+    largest = group_size(rows, keys, bounds)
+    if largest <= bounds.percentile_rows:
         return rows.withColumns(
             {name: F.coalesce(F.sum(c).over(before(keys)), F.lit(0)) for name, c in sums.items()}
         )
-    placed = _slices(rows, keys, value)
+    placed = _slices(rows, keys, value, tie, largest, bounds)
     totals = placed.groupBy(*keys, "slice").agg(*[F.sum(c).alias(f"total_{n}") for n, c in sums.items()])
     previous = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(

@@ -160,6 +160,17 @@ def test_percentiles_and_positions_of_split_groups(spark):
         assert [r.position for r in order] == list(range(len(order)))
 
 
+def test_equal_values_are_cut_by_their_ties(spark):
+    ring = spark.range(10_000).select(F.lit("r").alias("g"), F.lit(1.5).alias("v"), F.col("id").alias("i"))
+    other = spark.range(60).select(F.lit("s").alias("g"), (F.col("id") % 3).cast("double").alias("v"), F.col("id").alias("i"))
+    frame, bounds = ring.unionByName(other), SizeBounds(percentile_rows=100)
+    sizes = ranking._slices(frame, ["g"], "v", "i", 10_000, bounds).groupBy("g", "slice").count()
+    assert sizes.agg(F.max("count")).first()[0] <= 200
+    placed = ranking.positions(frame, ["g"], "v", "i", bounds=bounds)
+    assert placed.where("g = 'r' AND position != i").isEmpty()
+    assert [r.i for r in placed.where("g = 's'").orderBy("position").collect()] == sorted(range(60), key=lambda i: (i % 3, i))
+
+
 def fixture_scores(seed, aux_sign, n=60):
     """Literal-like seeded scores: a good main head and a second one of given sign."""
     rng = random.Random(seed)
