@@ -103,8 +103,9 @@ def _folds(
             "side": F.struct("label"),  # a missing label is a side too, also in joins
         }
     )
+    general = shape.where(F.col("mode") == "dealt")
+    balance = balance and not general.isEmpty()
     if balance:
-        general = shape.where(F.col("mode") == "dealt")
         keys = planned.where(F.col("mode") == "dealt").select(*scope, "repeat", "patient_id", "lead", "tie")
         balanced = balanced_places(counted.join(general.select(*scope), scope, "left_semi"), general, keys, scope, bounds)
         planned = planned.join(balanced, [*scope, "repeat", "patient_id"], "left")
