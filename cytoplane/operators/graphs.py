@@ -17,6 +17,12 @@ from cytoplane.session import cut_lineage, group_size
 from cytoplane.settings import BOUNDS, SizeBounds
 
 
+def by_merge(rows: DataFrame) -> DataFrame:
+    """Side of a join that grows with the cells. Spark guesses its size from compressed files, far too low, and would
+    pass it whole through the driver to broadcast it."""
+    return rows.hint("merge")
+
+
 def both_ways(edges: DataFrame) -> DataFrame:
     """Every undirected edge in both directions, from one pass."""
     ways = F.array(
@@ -30,7 +36,7 @@ def typed_edges(edges: DataFrame, cells: DataFrame) -> DataFrame:
     kinds = cells.select("region_id", "cell_id", "cell_type")
     a = kinds.select("region_id", F.col("cell_id").alias("src"), F.col("cell_type").alias("src_type"))
     b = kinds.select("region_id", F.col("cell_id").alias("dst"), F.col("cell_type").alias("dst_type"))
-    return edges.select("region_id", "src", "dst").join(a, ["region_id", "src"]).join(b, ["region_id", "dst"])
+    return edges.select("region_id", "src", "dst").join(by_merge(a), ["region_id", "src"]).join(by_merge(b), ["region_id", "dst"])
 
 
 def _type_pairs(typed: DataFrame) -> DataFrame:
@@ -61,7 +67,7 @@ def mixing_entropy(typed: DataFrame, cells: DataFrame) -> DataFrame:
 def degrees(edges: DataFrame, cells: DataFrame) -> DataFrame:
     """Degree of every cell, isolated ones included."""
     counted = both_ways(edges).groupBy("region_id", F.col("src").alias("cell_id")).agg(F.count("*").alias("degree"))
-    return cells.select("region_id", "cell_id").join(counted, ["region_id", "cell_id"], "left").fillna(0, ["degree"])
+    return cells.select("region_id", "cell_id").join(by_merge(counted), ["region_id", "cell_id"], "left").fillna(0, ["degree"])
 
 
 def degree_summary(edges: DataFrame, cells: DataFrame) -> DataFrame:
@@ -81,8 +87,8 @@ def triangles(edges: DataFrame) -> DataFrame:
     flat = edges.select("region_id", "src", "dst")
     count = both_ways(flat).groupBy("region_id", F.col("src").alias("node")).agg(F.count("*").alias("deg"))
     sized = flat.join(
-        count.select("region_id", F.col("node").alias("src"), F.col("deg").alias("deg_s")), ["region_id", "src"]
-    ).join(count.select("region_id", F.col("node").alias("dst"), F.col("deg").alias("deg_d")), ["region_id", "dst"])
+        by_merge(count.select("region_id", F.col("node").alias("src"), F.col("deg").alias("deg_s"))), ["region_id", "src"]
+    ).join(by_merge(count.select("region_id", F.col("node").alias("dst"), F.col("deg").alias("deg_d"))), ["region_id", "dst"])
     swap = (F.col("deg_s") > F.col("deg_d")) | ((F.col("deg_s") == F.col("deg_d")) & (F.col("src") > F.col("dst")))
     out = sized.select(
         "region_id",
@@ -91,11 +97,11 @@ def triangles(edges: DataFrame) -> DataFrame:
     )
     wedges = (
         out.select("region_id", "low", F.col("end").alias("p"))
-        .join(out.select("region_id", "low", F.col("end").alias("q")), ["region_id", "low"])
+        .join(by_merge(out.select("region_id", "low", F.col("end").alias("q"))), ["region_id", "low"])
         .where(F.col("p") < F.col("q"))
     )
     closed = wedges.join(
-        flat.select("region_id", F.col("src").alias("p"), F.col("dst").alias("q")), ["region_id", "p", "q"], "left_semi"
+        by_merge(flat.select("region_id", F.col("src").alias("p"), F.col("dst").alias("q"))), ["region_id", "p", "q"], "left_semi"
     )
     ordered = F.sort_array(F.array("low", "p", "q"))
     return closed.select("region_id", ordered.alias("t")).select(
@@ -110,7 +116,7 @@ def clustering(edges: DataFrame, cells: DataFrame) -> DataFrame:
     d = F.col("degree")
     own = F.when(d >= 2, 2.0 * F.coalesce("t", F.lit(0)) / (d * (d - 1))).otherwise(0.0)
     return (
-        degrees(edges, cells).join(closed, ["region_id", "cell_id"], "left")
+        degrees(edges, cells).join(by_merge(closed), ["region_id", "cell_id"], "left")
         .groupBy("region_id").agg(F.avg(own).alias("graph_clustering_mean"))
     )
 
@@ -180,7 +186,7 @@ def components(edges: DataFrame, cells: DataFrame, bounds: SizeBounds = BOUNDS)
         right = spread_groups(flat, ["region_id"]).groupBy("region_id")
         return left.cogroup(right).applyInArrow(_component_kernel, schema)
     stars = star_components(flat)
-    return nodes.join(stars, ["region_id", "cell_id"], "left").withColumn(
+    return nodes.join(by_merge(stars), ["region_id", "cell_id"], "left").withColumn(
         "component", F.coalesce("component", "cell_id")
     )
 
@@ -195,12 +201,12 @@ def star_components(edges: DataFrame) -> DataFrame:
         ways = both_ways(current)
         low = ways.groupBy("region_id", "src").agg(F.min("dst").alias("low"))
         low = low.withColumn("low", F.least("low", "src"))
-        large = ways.join(low, ["region_id", "src"]).where(F.col("dst") > F.col("src")).select(
+        large = ways.join(by_merge(low), ["region_id", "src"]).where(F.col("dst") > F.col("src")).select(
             "region_id", F.col("dst").alias("src"), F.col("low").alias("dst")
         ).distinct()
         high = large.select("region_id", F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
         floor = high.groupBy("region_id", "src").agg(F.min("dst").alias("low"))
-        inner = high.join(floor, ["region_id", "src"]).where(F.col("dst") != F.col("low")).select(
+        inner = high.join(by_merge(floor), ["region_id", "src"]).where(F.col("dst") != F.col("low")).select(
             "region_id", F.col("dst").alias("src"), F.col("low").alias("dst")
         )
         small = inner.unionByName(floor.withColumnRenamed("low", "dst"))
@@ -248,7 +254,7 @@ def multiply(left: DataFrame, right: DataFrame) -> DataFrame:
     """Sparse product of coordinate rows; zero sums are left out."""
     a = left.select("region_id", "row", F.col("col").alias("mid"), F.col("value").alias("va"))
     b = right.select("region_id", F.col("row").alias("mid"), "col", F.col("value").alias("vb"))
-    summed = a.join(b, ["region_id", "mid"]).groupBy("region_id", "row", "col").agg(F.sum(F.col("va") * F.col("vb")).alias("value"))
+    summed = a.join(by_merge(b), ["region_id", "mid"]).groupBy("region_id", "row", "col").agg(F.sum(F.col("va") * F.col("vb")).alias("value"))
     return summed.where(F.col("value") != 0)
 
 
@@ -265,7 +271,7 @@ def apply_matrix(matrix: DataFrame, signal: DataFrame, on: str = "col") -> DataF
     """Matrix (or with on="row" its transpose) times a signal (region_id, key, value)."""
     out = "row" if on == "col" else "col"
     s = signal.select("region_id", F.col("key").alias(on), F.col("value").alias("f"))
-    return matrix.join(s, ["region_id", on]).groupBy("region_id", F.col(out).alias("key")).agg(
+    return matrix.join(by_merge(s), ["region_id", on]).groupBy("region_id", F.col(out).alias("key")).agg(
         F.sum(F.col("value") * F.col("f")).alias("value")
     )
 
@@ -279,7 +285,7 @@ def polynomial_filter(boundary: DataFrame, signal: DataFrame, coefficients: list
     current = signal.select("region_id", "key", F.col("value").cast("double").alias("value"))
     terms = current.withColumn("value", F.col("value") * coefficients[0])
     for coefficient in coefficients[1:]:
-        current = apply_matrix(boundary, apply_matrix(boundary, current, first), second)
+        current = cut_lineage(apply_matrix(boundary, apply_matrix(boundary, current, first), second))
         terms = terms.unionByName(current.withColumn("value", F.col("value") * coefficient))
     return terms.groupBy("region_id", "key").agg(F.sum("value").alias("value"))
 
@@ -287,7 +293,7 @@ def polynomial_filter(boundary: DataFrame, signal: DataFrame, coefficients: list
 def gather(edges: DataFrame, state: DataFrame, names: list[str]) -> DataFrame:
     """Neighbour state beside each directed edge."""
     there = state.select("region_id", F.col("cell_id").alias("dst"), *names)
-    return edges.select("region_id", "src", "dst").join(there, ["region_id", "dst"])
+    return edges.select("region_id", "src", "dst").join(by_merge(there), ["region_id", "dst"])
 
 
 def _received(edges: DataFrame, state: DataFrame, names: list[str], aggregate) -> DataFrame:
@@ -297,7 +303,7 @@ def _received(edges: DataFrame, state: DataFrame, names: list[str], aggregate) -
 
 
 def _updated(state: DataFrame, got: DataFrame, names: list[str], rule) -> DataFrame:
-    joined = state.select("region_id", "cell_id", *names).join(got, ["region_id", "cell_id"], "left")
+    joined = state.select("region_id", "cell_id", *names).join(by_merge(got), ["region_id", "cell_id"], "left")
     zero = F.lit(0.0)
     return joined.select(
         "region_id", "cell_id",
@@ -324,10 +330,10 @@ def attention(edges: DataFrame, state: DataFrame, names: list[str]) -> DataFrame
     """
     own = state.select("region_id", F.col("cell_id").alias("src"), *[F.col(n).alias(f"own_{n}") for n in names])
     score = sum((F.col(f"own_{n}") * F.col(n) for n in names), F.lit(0.0)) / F.sqrt(F.lit(float(len(names))))
-    scored = gather(edges, state, names).join(own, ["region_id", "src"]).withColumn("score", score)
+    scored = gather(edges, state, names).join(by_merge(own), ["region_id", "src"]).withColumn("score", score)
     top = scored.groupBy("region_id", "src").agg(F.max("score").alias("top"))
     weight = F.exp(F.col("score") - F.col("top"))
-    got = scored.join(top, ["region_id", "src"]).groupBy("region_id", F.col("src").alias("cell_id")).agg(
+    got = scored.join(by_merge(top), ["region_id", "src"]).groupBy("region_id", F.col("src").alias("cell_id")).agg(
         *[(F.sum(weight * F.col(n)) / F.sum(weight)).alias(f"in_{n}") for n in names], F.count("*").alias("degree")
     )
     return _updated(state, got, names, lambda own_, got_, n: got_)

@@ -204,3 +204,19 @@ def test_drop_keeps_one_cell(spark):
     kept = region_graphs.drop_cells(cells, 0.999999, 1)
     assert {r.region_id for r in kept.collect()} == {"a", "b"}
     assert 120 < region_graphs.drop_cells(cells, 0.15, 1).count() < 195
+
+
+def test_no_table_of_cells_is_broadcast(spark):
+    _, edges, cells, _ = random_edges(spark)
+    cells = cells.withColumn("cell_type", F.lit("t"))
+    signal = cells.select("region_id", F.array("cell_id").alias("key"), F.lit(1.0).alias("value"))
+    tri = graphs.triangles(edges)
+    b1, b2 = graphs.node_boundary(edges), graphs.edge_boundary(tri)
+    state = cells.withColumn("v", F.lit(1.0))
+    frames = [
+        *graphs.hodge_laplacians(b1, b2).values(), tri, graphs.apply_matrix(b1, signal), graphs.polynomial_filter(b1, signal, [1.0, 1.0], "row"),
+        graphs.typed_edges(edges, cells), graphs.clustering(edges, cells), graphs.attention(edges, state, ["v"]),
+    ]
+    for frame in frames:
+        frame.collect()
+        assert "Broadcast" not in frame._jdf.queryExecution().executedPlan().toString()

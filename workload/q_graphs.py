@@ -363,7 +363,7 @@ b2 AS (SELECT region_id, b || '|' || c AS "row", a || '|' || b || '|' || c AS co
 
 def boundaries(spark, sf):
     edges = cut_lineage(undirected(spark, sf).select("region_id", "src", "dst"))
-    return graphs.node_boundary(edges), graphs.edge_boundary(graphs.triangles(edges))
+    return graphs.node_boundary(edges), graphs.edge_boundary(cut_lineage(graphs.triangles(edges)))
 
 
 @query("g13_boundary_matrices", with_views(*HODGE, B_SQL, """SELECT 'B1' AS matrix, * FROM b1 UNION ALL SELECT 'B2', * FROM b2"""))
