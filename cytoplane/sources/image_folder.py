@@ -2,6 +2,8 @@
 
 A folder holds ``cells/<sample>.npz`` (cell number of every pixel, 0 outside), ``cells2labels/<sample>.npz`` (type of
 every cell number) and ``data/antibodies/<sample>.npz`` (rows x columns x channels), each with one array ``data``.
+Where cell numbers are sparse, the labels file has a second array ``cell_no``: the numbers that ``data`` belongs to. Its
+size then follows the cells of the sample and not the largest number.
 """
 
 from __future__ import annotations
@@ -20,7 +22,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 MASKS, LABELS, IMAGES = "cells", "cells2labels", "data/antibodies"
 BAND_BYTES = 32 << 20
+DENSE_LABELS = 1024  # cell numbers up to here are written as one plain array, and above it if a quarter of them is used
 PIXELS_PER_BATCH = 200_000
+SINGLE_BANDS = 512  # up to so many bands each has a task of its own
 
 
 def _file_system(root: str) -> tuple[fs.FileSystem, str]:
@@ -59,9 +63,11 @@ def array_rows(system: fs.FileSystem, path: str) -> Iterator[ArrayRows]:
         yield ArrayRows(source)
 
 
-class Band(InputPartition):
-    def __init__(self, sample: str, part: int, parts: int) -> None:
-        self.sample, self.part, self.parts = sample, part, parts
+class Bands(InputPartition):
+    """Stretches of rows (sample, first band, end, bands of the sample) that one task reads one after the other."""
+
+    def __init__(self, stretches: list[tuple[str, int, int, int]]) -> None:
+        self.stretches = stretches
 
 
 class ImageReader(DataSourceReader):
@@ -71,8 +77,11 @@ class ImageReader(DataSourceReader):
         self.channels = [int(c) for c in options["channels"].split(",")] if options.get("channels") else None
         self.band_bytes = int(options.get("bandbytes", BAND_BYTES))
 
-    def partitions(self) -> list[Band]:
-        """Bands of about equal bytes, from file names and sizes alone; nothing is opened here."""
+    def partitions(self) -> list[Bands]:
+        """Bands of about equal bytes, from file names and sizes alone; nothing is opened here.
+
+        Many small bands share tasks of about equal bytes, so that the number of tasks follows the bytes, not the samples.
+        """
         system, root = _file_system(self.root)
         sizes = []
         for folder in (MASKS, LABELS, IMAGES):
@@ -82,21 +91,37 @@ class ImageReader(DataSourceReader):
         bands = []
         for sample in complete:
             if self.samples is None or sample in self.samples:
-                parts = max(1, -(-(sizes[0][sample] + sizes[2][sample]) // self.band_bytes))
-                bands.extend(Band(sample, part, parts) for part in range(parts))
-        return bands
-
-    def read(self, partition: Band | None) -> Iterator[pa.RecordBatch]:
+                size = sizes[0][sample] + sizes[2][sample]
+                parts = max(1, -(-size // self.band_bytes))
+                bands.extend((sample, part, parts, size / parts) for part in range(parts))
+        total = sum(b[3] for b in bands)
+        share = total / max(SINGLE_BANDS, -(-total // BAND_BYTES)) if len(bands) > SINGLE_BANDS else 0
+        tasks: list[list[tuple[str, int, int, int]]] = []
+        room = 0.0
+        for sample, part, parts, size in bands:
+            if room <= 0:
+                tasks.append([])
+                room = share
+            room -= size
+            now = tasks[-1]
+            if now and now[-1][0] == sample:
+                now[-1] = (sample, now[-1][1], part + 1, parts)
+            else:
+                now.append((sample, part, part + 1, parts))
+        return [Bands(stretches) for stretches in tasks]
+
+    def read(self, partition: Bands | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # a folder without samples
             return
         system, root = _file_system(self.root)
-        name = f"{partition.sample}.npz"
-        with array_rows(system, f"{root}/{MASKS}/{name}") as mask, array_rows(system, f"{root}/{IMAGES}/{name}") as image:
-            height, width = mask.shape
-            first, last = (height * p // partition.parts for p in (partition.part, partition.part + 1))
-            step = max(1, PIXELS_PER_BATCH // max(width, 1))
-            for top in range(first, last, step):
-                yield self._pixels(partition.sample, top, mask.rows(top, min(top + step, last)), image)
+        for sample, begin, end, parts in partition.stretches:
+            name = f"{sample}.npz"
+            with array_rows(system, f"{root}/{MASKS}/{name}") as mask, array_rows(system, f"{root}/{IMAGES}/{name}") as image:
+                height, width = mask.shape
+                first, last = (height * p // parts for p in (begin, end))
+                step = max(1, PIXELS_PER_BATCH // max(width, 1))
+                for top in range(first, last, step):
+                    yield self._pixels(sample, top, mask.rows(top, min(top + step, last)), image)
 
     def _pixels(self, sample: str, top: int, part: np.ndarray, image: ArrayRows) -> pa.RecordBatch:
         ys, xs = np.nonzero(part > 0)
@@ -122,8 +147,8 @@ class SegmentedImages(DataSource):
     """Pixels inside cells of all samples that have the three files.
 
     Options: ``samples`` (comma-separated names, default all), ``channels`` (comma-separated numbers, in the order
-    wanted, default all) and ``bandBytes``. A partition is a band of rows of one sample, so an image is never one row
-    and no image bytes are shuffled.
+    wanted, default all) and ``bandBytes``. A partition is a band of rows of one sample, or several small ones, so an
+    image is never one row and no image bytes are shuffled.
     """
 
     @classmethod
@@ -142,12 +167,23 @@ def read_pixels(spark: SparkSession, root: str, **options: str) -> DataFrame:
     return spark.read.format("segmented_images").options(**options).load(root)
 
 
-def _save(system: fs.FileSystem, path: str, array: np.ndarray) -> None:
+def label_arrays(numbers: np.ndarray, types: np.ndarray) -> dict[str, np.ndarray]:
+    """Arrays of a labels file: the type of every number from 0, -1 where unknown; of the known ones only if they are sparse."""
+    size = int(numbers.max(initial=-1)) + 1
+    if size > max(DENSE_LABELS, 4 * numbers.size):
+        return {"data": types.astype(np.int32), "cell_no": numbers}
+    dense = np.full(size, -1, dtype=np.int32)
+    dense[numbers] = types
+    return {"data": dense}
+
+
+def _save(system: fs.FileSystem, path: str, **arrays: np.ndarray) -> None:
     """Written beside its place and moved there, so that a repeated or doubled task leaves one whole file."""
     draft = f"{path}.{uuid4().hex}.draft"
     with system.open_output_stream(draft) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as archive:
-        with archive.open("data.npy", "w", force_zip64=True) as member:
-            np.lib.format.write_array(member, array, allow_pickle=False)
+        for name, array in arrays.items():
+            with archive.open(f"{name}.npy", "w", force_zip64=True) as member:
+                np.lib.format.write_array(member, array, allow_pickle=False)
     system.move(draft, path)
 
 
@@ -164,10 +200,9 @@ def _writer(root: str) -> Callable[[pa.Table, pa.Table], pa.Table]:
         image = np.zeros((*shape, values.shape[1]))
         image[ys, xs] = values
         known = labels["cell_no"].to_numpy().astype(np.int64)
-        types = np.full(int(known.max(initial=-1)) + 1, -1, dtype=np.int32)
-        types[known] = labels["cell_type_id"].to_numpy()
-        for part, array in ((MASKS, mask), (LABELS, types), (IMAGES, image)):
-            _save(system, f"{folder}/{part}/{sample}.npz", array)
+        types = label_arrays(known, labels["cell_type_id"].to_numpy())
+        for part, arrays in ((MASKS, {"data": mask}), (LABELS, types), (IMAGES, {"data": image})):
+            _save(system, f"{folder}/{part}/{sample}.npz", **arrays)
         return pa.table({"sample_id": [sample], "n_pixels": pa.array([len(xs)], pa.int64())})
 
     return kernel

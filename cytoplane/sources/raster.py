@@ -21,9 +21,11 @@ CHANNELS_FILE = "channels_codex_CRC_celltune.txt"
 DICTIONARY_FILE = "mapping_id_to_cell_type_name.txt"
 
 
-def _array(content: bytes) -> np.ndarray:
+def _labels(content: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Cell numbers and their types."""
     with np.load(io.BytesIO(content)) as archive:
-        return archive["data"]
+        types = archive["data"].reshape(-1)
+        return archive["cell_no"] if "cell_no" in archive else np.arange(types.size, dtype=np.int64), types
 
 
 def _files(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -36,11 +38,11 @@ def _files(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def _label_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
-            labels = _array(batch["labels"][i].as_py()).reshape(-1)
+            numbers, labels = _labels(batch["labels"][i].as_py())
             yield pa.RecordBatch.from_pydict(
                 {
                     "sample_id": pa.repeat(batch["sample_id"][i], labels.size),
-                    "cell_no": pa.array(np.arange(labels.size, dtype=np.int64)),
+                    "cell_no": pa.array(numbers),
                     "cell_type_id": pa.array(labels.astype(np.int32)),
                 }
             )

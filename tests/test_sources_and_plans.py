@@ -138,6 +138,33 @@ def test_images_written_again_are_the_same(spark, tmp_path):
         assert types.where("cell_type_id >= 0").count() == 3 and types.where("sample_id = 'a'").count() == 4
 
 
+def test_labels_of_sparse_cell_numbers_follow_the_cells(spark, tmp_path):
+    far = 50_000_000
+    pixels = spark.createDataFrame(
+        [("a", 0.0, 0.0, 3, [1.0]), ("a", 1.0, 0.0, far, [2.0])], "sample_id string, x double, y double, cell_no long, channels array<double>"
+    )
+    labels = spark.createDataFrame([("a", 3, 5), ("a", far, 6)], "sample_id string, cell_no long, cell_type_id int")
+    image_folder.write_images(pixels, labels, str(tmp_path))
+    assert (tmp_path / "cells2labels/a.npz").stat().st_size < 2000
+    found, types = raster.read_raster(spark, str(tmp_path))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, pixels.collect()))
+    assert sorted(map(tuple, types.collect())) == [("a", 3, 5), ("a", far, 6)]
+
+
+def test_many_small_images_share_tasks(spark, tmp_path):
+    for folder in ("cells", "cells2labels", "data/antibodies"):
+        (tmp_path / folder).mkdir(parents=True)
+    for k in range(700):
+        np.savez(tmp_path / "cells" / f"s{k}.npz", data=np.array([[k + 1], [0], [7]]))
+        np.savez(tmp_path / "cells2labels" / f"s{k}.npz", data=np.array([0]))
+        np.savez(tmp_path / "data/antibodies" / f"s{k}.npz", data=np.full((3, 1, 1), k / 2))
+    for size in (1 << 20, 300):
+        found = image_folder.read_pixels(spark, str(tmp_path), bandBytes=str(size))
+        assert found.rdd.getNumPartitions() <= image_folder.SINGLE_BANDS
+        rows = sorted((int(r.sample_id[1:]), r.y, r.cell_no, r.channels[0]) for r in found.collect())
+        assert rows == [(k, y, n, k / 2) for k in range(700) for y, n in ((0.0, k + 1), (2.0, 7))]
+
+
 def test_guard_is_not_turned_by_a_tied_row(spark):
     rows = [(0, "val", 1, 0.9, 0.1), (0, "val", 1, 0.8, 0.5), (0, "val", 0, 0.5, 0.5), (0, "val", 0, 0.2, 0.9), (0, "test", 1, 0.7, 0.3)]
     frame = spark.createDataFrame(rows, "fold int, role string, y int, main double, mix double")
