@@ -15,6 +15,8 @@ from cytoplane.operators.neighbors import _nearest_rows, knn, mutual, spread_gro
 from cytoplane.session import cut_lineage, group_size, largest_group
 from cytoplane.settings import BOUNDS, SizeBounds
 
+FRONT_ENTRIES = 100_000  # edges times points that are compared at once
+
 
 class _Buckets:
     """Points of one region in square buckets of about four, to look near a spot only."""
@@ -168,17 +170,48 @@ def delaunay_triangles(
             c, _, tied = best(a, b, within_circle(a, b, c))
         return fan(a, b, c, within_circle(a, b, c)) if tied else c
 
+    def thirds(edges: list[tuple[int, int]]) -> list[int]:
+        """``third`` of many edges at once; those that need an exact comparison are asked alone."""
+        if buckets is not None:
+            return [third(a, b) for a, b in edges]
+        out: list[int] = []
+        step = max(1, FRONT_ENTRIES // x.size)
+        for k in range(0, len(edges), step):
+            a, b = np.array(edges[k : k + step]).T
+            ax, ay, bx, by = x - x[a, None], y - y[a, None], x - x[b, None], y - y[b, None]
+            ex, ey = (x[b] - x[a])[:, None], (y[b] - y[a])[:, None]
+            u, v = ex * ay, ey * ax
+            left, slack = u - v, unit * (np.abs(u) + np.abs(v))
+            ahead = left > slack
+            narrow = (left <= 2 * slack) & (left >= -slack)
+            rows = np.arange(len(a))
+            narrow[rows, a] = narrow[rows, b] = False
+            area = np.where(ahead, left, 1.0)
+            p, q = ax * bx, ay * by
+            reach = (p + q) / area
+            error = (unit * (np.abs(p) + np.abs(q)) + np.abs(reach) * slack) / area * 2
+            high = np.where(ahead, reach + error, np.inf)
+            close = ahead & (reach - error <= high.min(axis=1)[:, None])
+            found = np.where(ahead.any(axis=1), high.argmin(axis=1), -1)
+            alone = narrow.any(axis=1) | (close.sum(axis=1) > 1)
+            out += [third(int(a[i]), int(b[i])) if alone[i] else int(found[i]) for i in rows]
+        return out
+
     near = (x[1:] - x[0]) ** 2 + (y[1:] - y[0]) ** 2
     start = (0, int(np.argmin(near)) + 1)
     waiting = deque([start, start[::-1]])
     closed: set[tuple[int, int]] = set()
     triangles: list[tuple[int, int, int]] = []
     hull: set[int] = set()
+    known: dict[tuple[int, int], int] = {}
     while waiting:
         a, b = waiting.popleft()
         if (a, b) in closed:
             continue
-        c = third(a, b)
+        if (a, b) not in known:  # the whole front is asked at once
+            front = [(a, b), *dict.fromkeys(e for e in waiting if e not in closed and e != (a, b))]
+            known = dict(zip(front, thirds(front), strict=True))
+        c = known[a, b]
         if c < 0:
             closed.add((a, b))
             hull.update((a, b))

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cytoplane.operators import graphs, region_graphs
+from cytoplane.operators import graphs, region_graphs, triangulation
 from cytoplane.operators import neighbors as N
 from cytoplane.operators.triangulation import delaunay_edges, delaunay_pairs
 from cytoplane.settings import RegionGraphSettings, SizeBounds
@@ -83,6 +83,20 @@ def test_delaunay_is_planar_and_full_on_difficult_points(below):
         assert {v for pair in pairs for v in pair} == set(range(len(points)))
 
 
+def test_fronts_of_the_triangulation_are_asked_at_once(monkeypatch):
+    rng = np.random.default_rng(4)
+    grid = rng.permutation(np.argwhere(np.ones((7, 8)))).astype(float)
+    for x, y in ((rng.random(90), rng.random(90)), (grid[:, 0], grid[:, 1])):
+        monkeypatch.setattr(triangulation, "FRONT_ENTRIES", 1)
+        alone = triangulation.delaunay_triangles(x, y)
+        monkeypatch.setattr(triangulation, "FRONT_ENTRIES", 100_000)
+        calls = []
+        monkeypatch.setattr(triangulation.np, "array", lambda *a, make=np.array, **k: calls.append(1) or make(*a, **k))
+        assert triangulation.delaunay_triangles(x, y) == alone
+        monkeypatch.undo()
+        assert 0 < len(calls) < len(alone[0]) / 3
+
+
 def test_delaunay_of_small_and_flat_regions(spark):
     rows = [("two", i, float(i), 0.0) for i in range(2)] + [("one", 5, 0.0, 0.0)]
     rows += [("line", 10 + i, float(i), 2.0 * i) for i in range(5)]
