@@ -5,13 +5,14 @@ A group is (region_id, scope, subset): scope ``region`` or a patch, subset a rol
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 from heapq import heappop, heappush
 from operator import or_
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +25,9 @@ from cytoplane.session import cut_lineage, largest_group, measured
 from cytoplane.settings import BOUNDS, ROLE_TERMS, SUBSET_ROLES, FeatureSettings, SizeBounds
 
 DENSE_POINTS = 2048
+ALIKE_POINTS = 128  # subsets of up to this size are solved together with others of their size
+ALIKE_ENTRIES = 2_000_000
+BATCH_ROWS = 50_000
 GROUP = ["region_id", "scope", "subset"]
 DIAGRAM = [*GROUP, "dim"]
 SUMMARY_STATS = (
@@ -213,15 +217,21 @@ def _loop_bars(dist: np.ndarray, i: np.ndarray, j: np.ndarray, lengths: np.ndarr
         return []
     rank = np.full((n, n), kept, np.int32)
     rank[i, j] = rank[j, i] = np.arange(kept, dtype=np.int32)
-    everyone = np.arange(n)
+    return _reduced(i, j, lengths, apex, rank, starts)
+
+
+def _reduced(
+    i: np.ndarray, j: np.ndarray, lengths: np.ndarray, apex: np.ndarray, rank: np.ndarray, starts: np.ndarray
+) -> list[tuple[float, float]]:
+    """Bars of the loops that the edges ``starts`` begin, by the reduction told of above."""
+    n, kept = len(rank), len(apex)
 
     def triangles_on(e: int) -> np.ndarray:
         a, b = i[e], j[e]
-        longest = np.maximum(np.maximum(rank[a], rank[b]), e)
-        opposite = np.where(longest == e, everyone, np.where(longest == rank[a], b, a))
-        usable = longest < kept
-        usable[a] = usable[b] = False
-        return np.sort(longest[usable].astype(np.int64) * n + opposite[usable])
+        v = np.flatnonzero(np.maximum(rank[a], rank[b]) < kept)  # neither a nor b: the rank of no edge is ``kept``
+        to_a, to_b = rank[a, v].astype(np.int64), rank[b, v]
+        longer = np.maximum(to_a, to_b)
+        return np.sort(np.where(longer < e, e * n + v, longer * n + np.where(to_a > to_b, b, a)))
 
     owner: dict[int, set[int]] = {}
     bars = []
@@ -327,10 +337,118 @@ def _diagram_kernel(dims: tuple[int, ...]):
     return run
 
 
+def _alike(px: np.ndarray, py: np.ndarray, dims: tuple[int, ...]) -> tuple[np.ndarray, list[tuple[int, float, float]]]:
+    """Tree lengths (a row for each subset) and loops (subset, birth, death) of subsets of the same size, a row each."""
+    count, n = px.shape
+    some, (i, j) = np.arange(count), np.triu_indices(n, 1)
+    dx, dy = px[:, i] - px[:, j], py[:, i] - py[:, j]
+    lengths = np.sqrt(dx * dx + dy * dy)
+    past = len(i)
+    order = np.argsort(lengths, axis=1, kind="stable")
+    lengths = np.take_along_axis(lengths, order, 1)
+    place = np.empty(order.shape, np.int32)
+    np.put_along_axis(place, order, np.arange(past, dtype=np.int32)[None, :], 1)
+    rank = np.full((count, n, n), past, np.int32)
+    rank[:, i, j] = place
+    rank[:, j, i] = place
+    tree = np.empty((count, n - 1), np.int64)
+    nearest, reached = rank[:, 0].copy(), np.zeros((count, n), bool)
+    reached[:, 0] = True
+    for k in range(n - 1):  # the part grows by its shortest way out
+        nearest[reached] = past
+        v = nearest.argmin(axis=1)
+        tree[:, k] = nearest[some, v]
+        reached[some, v] = True
+        nearest = np.minimum(nearest, rank[some, v])
+    loops: list[tuple[int, float, float]] = []
+    if 1 in dims and n >= 4:
+        farthest = np.where(rank == past, -1, rank).max(axis=2).min(axis=1)
+        kept = (lengths <= lengths[some, farthest][:, None]).sum(axis=1)
+        i, j = i[order].astype(np.int32), j[order].astype(np.int32)
+        earlier = np.maximum(rank[some[:, None], i], rank[some[:, None], j]) < np.arange(past)[None, :, None]
+        apex = np.where(earlier.any(axis=2), earlier.argmax(axis=2), -1)
+        starting = (apex < 0) & (np.arange(past)[None, :] < kept[:, None])
+        np.put_along_axis(starting, tree, False, 1)
+        for g in np.flatnonzero(starting.any(axis=1)).tolist():
+            m = int(kept[g])
+            found = _reduced(i[g, :m], j[g, :m], lengths[g], apex[g, :m], np.minimum(rank[g], m), np.flatnonzero(starting[g]))
+            loops += [(g, birth, death) for birth, death in found]
+    return np.take_along_axis(lengths, tree, 1), loops
+
+
+def _diagrams_of(table: pa.Table, starts: np.ndarray, dims: tuple[int, ...]) -> pa.Table:
+    """Bars of all subsets of a table in (group, cell id) order; ``starts`` are the first rows of the subsets."""
+    x, y = table["x"].to_numpy(), table["y"].to_numpy()
+    sizes = np.diff(np.append(starts, len(x)))
+    rows, dim, birth, death = [], [], [], []
+
+    def add(at: np.ndarray, of: int, births: np.ndarray, deaths: np.ndarray) -> None:
+        rows.append(at)
+        dim.append(np.full(len(at), of, np.int32))
+        birth.append(births)
+        death.append(deaths)
+
+    for n in np.unique(sizes[sizes > 1]).tolist():
+        same = starts[sizes == n]
+        step = max(1, ALIKE_ENTRIES // (n * n * (n if 1 in dims else 2))) if n <= ALIKE_POINTS else 1
+        for at in range(0, len(same), step):
+            part = same[at : at + step]
+            px, py = (v[part[:, None] + np.arange(n)] for v in (x, y))
+            if n <= ALIKE_POINTS:
+                lengths, loops = _alike(px, py, dims)
+            else:
+                dx, dy = px[0][:, None] - px[0][None, :], py[0][:, None] - py[0][None, :]
+                dist = np.sqrt(dx * dx + dy * dy)
+                ends = _edge_ranks(dist)
+                tree = _tree_edges(n, ends[0], ends[1])
+                lengths = ends[2][tree][None, :]
+                loops = [(0, b, d) for b, d in _loop_bars(dist, *ends, tree)] if 1 in dims else []
+            if 0 in dims:
+                add(np.repeat(part, n - 1), 0, np.zeros(lengths.size), lengths.ravel())
+                add(part, 0, np.zeros(len(part)), np.full(len(part), np.nan))
+            if loops:
+                group, births, deaths = (np.array(v) for v in zip(*loops))
+                add(part[group], 1, births, deaths)
+    if not rows:
+        rows, dim, birth, death = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0)], [np.zeros(0)]
+    first = pa.array(np.concatenate(rows))
+    columns = {k: table[k].combine_chunks().take(first) for k in GROUP}
+    columns |= {"dim": pa.array(np.concatenate(dim)), "birth": pa.array(np.concatenate(birth))}
+    return pa.table(columns | {"death": pa.array(np.concatenate(death), from_pandas=True)})
+
+
+def _group_starts(table: pa.Table) -> np.ndarray:
+    changed = np.zeros(len(table), bool)
+    changed[:1] = True
+    for k in GROUP:
+        code = pc.dictionary_encode(table[k].combine_chunks(), null_encoding="encode").indices.to_numpy()
+        changed[1:] |= code[1:] != code[:-1]
+    return np.flatnonzero(changed)
+
+
+def _batch_kernel(dims: tuple[int, ...]):
+    """Kernel over rows in (group, cell id) order: whole subsets of many rows at a time, the last one waits for the next."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= BATCH_ROWS:
+                table = pa.Table.from_batches(held)
+                starts = _group_starts(table)
+                yield from _diagrams_of(table.slice(0, starts[-1]), starts[:-1], dims).to_batches()
+                held = table.slice(starts[-1]).to_batches()
+        if sum(b.num_rows for b in held):
+            table = pa.Table.from_batches(held)
+            yield from _diagrams_of(table, _group_starts(table), dims).to_batches()
+
+    return run
+
+
 def diagrams(points: DataFrame, dims: tuple[int, ...] = (0, 1), bounds: SizeBounds = BOUNDS) -> DataFrame:
     """Persistence bars (region_id, scope, subset, dim, birth, death) of the Rips filtration; death null = never.
 
-    Small subsets of a scope share a task, a larger one has its own. Connected parts of larger subsets come from tiled
+    Small subsets are solved many at a time, those of equal size together; a larger one has its own task. Connected parts of larger subsets come from tiled
     Delaunay edges and joins. Loops need the matrix of all distances, so their largest subset is checked first. Points are
     never thinned.
     """
@@ -342,12 +460,15 @@ def diagrams(points: DataFrame, dims: tuple[int, ...] = (0, 1), bounds: SizeBoun
     rows = points.select(*GROUP, "cell_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
 
     def bounded(groups: DataFrame) -> DataFrame:
-        keys = ["region_id", "scope"]
+        few, alone = groups, None
         if biggest > bounds.shared_points:
-            sizes = groups.groupBy(*GROUP).agg(F.count("*").alias("n")).where(F.col("n") > bounds.shared_points)
-            alone = sizes.select(*GROUP, F.col("subset").alias("alone"))
-            groups, keys = groups.join(alone, GROUP, "left"), [*keys, "alone"]
-        return spread_groups(groups, keys).groupBy(*keys).applyInArrow(_diagram_kernel(dims), schema)
+            sizes = groups.groupBy(*GROUP).agg((F.count("*") > bounds.shared_points).alias("is_alone"))
+            sized = groups.join(sizes, GROUP)
+            few, alone = sized.where(~F.col("is_alone")).drop("is_alone"), sized.where("is_alone").drop("is_alone")
+        found = spread_groups(few, GROUP).sortWithinPartitions(*GROUP, "cell_id").mapInArrow(_batch_kernel(dims), schema)
+        if alone is None:
+            return found
+        return found.unionByName(spread_groups(alone, GROUP).groupBy(*GROUP).applyInArrow(_diagram_kernel(dims), schema))
 
     if biggest <= bounds.tree_points or dims != (0,):
         return bounded(rows)

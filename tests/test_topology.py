@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cytoplane.operators import topology
@@ -151,3 +152,20 @@ def test_large_subsets_have_a_task_of_their_own(spark):
     frame = spark.createDataFrame(points, "region_id string, scope string, subset string, cell_id long, x double, y double")
     whole = sorted(map(str, topology.diagrams(frame).collect()))
     assert sorted(map(str, topology.diagrams(frame, bounds=SizeBounds(shared_points=4)).collect())) == whole
+
+
+@pytest.mark.parametrize("dims", [(0,), (0, 1), (1,)])
+def test_many_small_subsets_at_a_time_give_the_bars_of_each_alone(monkeypatch, dims):
+    r = np.random.default_rng(1)
+    parts = []
+    for g in range(80):
+        n = int(r.integers(1, 40)) if g else 140
+        spots = r.random((n, 2)) * 10 if g % 3 else np.round(r.random((n, 2)) * 10)  # ties and copies too
+        names = {"region_id": [g // 4] * n, "scope": ["region"] * n, "subset": [f"s{g % 4}"] * n, "cell_id": list(range(n))}
+        parts.append(pa.table(names | {"x": spots[:, 0], "y": spots[:, 1]}))
+    whole = pa.concat_tables(parts).combine_chunks()
+    monkeypatch.setattr(topology, "BATCH_ROWS", 100)
+    found = [row for b in topology._batch_kernel(dims)(iter(whole.to_batches(max_chunksize=33))) for row in b.to_pylist()]
+    alone = [row for part in parts for row in topology._diagram_kernel(dims)(part).to_pylist()]
+    order = lambda d: (d["region_id"], d["subset"], d["dim"], d["birth"], d["death"] is None, d["death"] or 0.0)
+    assert sorted(found, key=order) == sorted(alone, key=order)
