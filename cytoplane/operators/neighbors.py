@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +15,8 @@ from cytoplane.session import cut_lineage, group_size
 from cytoplane.settings import BOUNDS, SizeBounds
 
 MATRIX_ENTRIES = 2_000_000
+ALIKE_CELLS = 256  # groups of up to this size are solved together with others of their size
+BATCH_ROWS = 50_000
 
 
 def _nearest_rows(dist: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -66,6 +71,78 @@ def _list_kernel(keys: list[str], k: int, with_self: bool = False):
     return run
 
 
+def _alike_lists(table: pa.Table, starts: np.ndarray, n: int, keys: list[str], k: int, with_self: bool) -> Iterator[pa.Table]:
+    """Neighbour lists of groups of n rows each, in id order from the rows ``starts`` on."""
+    x, y, is_query, is_target = (table[c].to_numpy() for c in ("x", "y", "is_query", "is_target"))
+    step = max(1, MATRIX_ENTRIES // (n * n))
+    for first in range(0, len(starts), step):
+        rows = starts[first : first + step, None] + np.arange(n)
+        asks, targets = is_query[rows], is_target[rows]
+        group, own = np.nonzero(asks)
+        at = rows[group]
+        src = rows[asks]
+        dx, dy = x[src][:, None] - x[at], y[src][:, None] - y[at]
+        dist = np.sqrt(dx * dx + dy * dy)
+        dist[~targets[group]] = np.inf
+        if not with_self:
+            dist[np.arange(len(src)), own] = np.inf
+        order = np.argsort(dist, axis=1, kind="stable")[:, :k]
+        dist = np.take_along_axis(dist, order, 1)
+        found = np.isfinite(dist)
+        offsets = pa.array(np.concatenate([[0], np.cumsum(found.sum(axis=1))]).astype(np.int32))
+        ids, src = table["cell_id"].combine_chunks(), pa.array(src)
+        columns = {key: table[key].combine_chunks().take(src) for key in keys}
+        columns["src"] = ids.take(src)
+        columns["dst"] = pa.ListArray.from_arrays(offsets, ids.take(pa.array(np.take_along_axis(at, order, 1)[found])))
+        columns["dist"] = pa.ListArray.from_arrays(offsets, pa.array(dist[found]))
+        yield pa.table(columns)
+
+
+def _lists_of(keys: list[str], k: int, with_self: bool) -> Callable[[pa.Table, np.ndarray], Iterator[pa.Table]]:
+    """Neighbour lists of all groups of a table; small ones of equal size together, larger ones each alone."""
+    alone = _list_kernel(keys, k, with_self)
+
+    def run(table: pa.Table, starts: np.ndarray) -> Iterator[pa.Table]:
+        sizes = np.diff(np.append(starts, len(table)))
+        for n in np.unique(sizes[sizes <= ALIKE_CELLS]).tolist():
+            yield from _alike_lists(table, starts[sizes == n], n, keys, k, with_self)
+        for at in np.flatnonzero(sizes > ALIKE_CELLS).tolist():
+            yield alone(table.slice(starts[at], sizes[at]))
+
+    return run
+
+
+def group_starts(table: pa.Table, keys: list[str]) -> np.ndarray:
+    """First rows of the groups of a table in which these lie together."""
+    changed = np.zeros(len(table), bool)
+    changed[:1] = True
+    for k in keys:
+        code = pc.dictionary_encode(table[k].combine_chunks(), null_encoding="encode").indices.to_numpy()
+        changed[1:] |= code[1:] != code[:-1]
+    return np.flatnonzero(changed)
+
+
+def many_groups(keys: list[str], solve: Callable[[pa.Table, np.ndarray], Iterator[pa.Table]], rows: int = BATCH_ROWS):
+    """Kernel over rows sorted by group: ``solve`` gets whole groups of about so many rows, the last one waits for the next."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= rows:
+                table = pa.Table.from_batches(held)
+                starts = group_starts(table, keys)
+                for found in solve(table.slice(0, starts[-1]), starts[:-1]):
+                    yield from found.to_batches()
+                held = table.slice(starts[-1]).to_batches()
+        if sum(b.num_rows for b in held):
+            table = pa.Table.from_batches(held)
+            for found in solve(table, group_starts(table, keys)):
+                yield from found.to_batches()
+
+    return run
+
+
 def _schema(points: DataFrame, keys: list[str]) -> str:
     types = dict(points.dtypes)
     head = ", ".join(f"{key} {types[key]}" for key in keys)
@@ -103,12 +180,16 @@ def neighbour_lists(
     """
     keys = keys or ["region_id"]
     marked = _flagged(points, keys)
-    kernel, schema = _list_kernel(keys, k, with_self), _schema(points, keys)
+
+    def solved(rows: DataFrame) -> DataFrame:
+        ordered = spread_groups(rows, keys).sortWithinPartitions(*keys, "cell_id")
+        return ordered.mapInArrow(many_groups(keys, _lists_of(keys, k, with_self)), _schema(points, keys))
+
     if group_size(points, keys, bounds) <= bounds.tile_cells:
-        return spread_groups(marked, keys).groupBy(*keys).applyInArrow(kernel, schema)
+        return solved(marked)
     sizes = marked.groupBy(*keys).agg((F.count("*") > bounds.tile_cells).alias("is_large"))
     sized = marked.join(sizes, keys)
-    small = sized.where(~F.col("is_large")).drop("is_large").groupBy(*keys).applyInArrow(kernel, schema)
+    small = solved(sized.where(~F.col("is_large")).drop("is_large"))
     large = _tiled_lists(sized.where("is_large").drop("is_large"), k, keys, bounds, with_self)
     return small.unionByName(large)
 

@@ -5,21 +5,20 @@ A group is (region_id, scope, subset): scope ``region`` or a patch, subset a rol
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from functools import reduce
 from heapq import heappop, heappush
 from operator import or_
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cytoplane.functions import columns as C
 from cytoplane.operators.composition import patch_rollup
 from cytoplane.operators.graphs import star_components
-from cytoplane.operators.neighbors import spread_groups
+from cytoplane.operators.neighbors import many_groups, spread_groups
 from cytoplane.operators.triangulation import delaunay_pairs, spots_of, tiled_edges
 from cytoplane.session import cut_lineage, largest_group, measured
 from cytoplane.settings import BOUNDS, ROLE_TERMS, SUBSET_ROLES, FeatureSettings, SizeBounds
@@ -27,7 +26,6 @@ from cytoplane.settings import BOUNDS, ROLE_TERMS, SUBSET_ROLES, FeatureSettings
 DENSE_POINTS = 2048
 ALIKE_POINTS = 128  # subsets of up to this size are solved together with others of their size
 ALIKE_ENTRIES = 2_000_000
-BATCH_ROWS = 50_000
 GROUP = ["region_id", "scope", "subset"]
 DIAGRAM = [*GROUP, "dim"]
 SUMMARY_STATS = (
@@ -417,34 +415,6 @@ def _diagrams_of(table: pa.Table, starts: np.ndarray, dims: tuple[int, ...]) ->
     return pa.table(columns | {"death": pa.array(np.concatenate(death), from_pandas=True)})
 
 
-def _group_starts(table: pa.Table) -> np.ndarray:
-    changed = np.zeros(len(table), bool)
-    changed[:1] = True
-    for k in GROUP:
-        code = pc.dictionary_encode(table[k].combine_chunks(), null_encoding="encode").indices.to_numpy()
-        changed[1:] |= code[1:] != code[:-1]
-    return np.flatnonzero(changed)
-
-
-def _batch_kernel(dims: tuple[int, ...]):
-    """Kernel over rows in (group, cell id) order: whole subsets of many rows at a time, the last one waits for the next."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            held.append(batch)
-            if sum(b.num_rows for b in held) >= BATCH_ROWS:
-                table = pa.Table.from_batches(held)
-                starts = _group_starts(table)
-                yield from _diagrams_of(table.slice(0, starts[-1]), starts[:-1], dims).to_batches()
-                held = table.slice(starts[-1]).to_batches()
-        if sum(b.num_rows for b in held):
-            table = pa.Table.from_batches(held)
-            yield from _diagrams_of(table, _group_starts(table), dims).to_batches()
-
-    return run
-
-
 def diagrams(points: DataFrame, dims: tuple[int, ...] = (0, 1), bounds: SizeBounds = BOUNDS) -> DataFrame:
     """Persistence bars (region_id, scope, subset, dim, birth, death) of the Rips filtration; death null = never.
 
@@ -465,7 +435,9 @@ def diagrams(points: DataFrame, dims: tuple[int, ...] = (0, 1), bounds: SizeBoun
             sizes = groups.groupBy(*GROUP).agg((F.count("*") > bounds.shared_points).alias("is_alone"))
             sized = groups.join(sizes, GROUP)
             few, alone = sized.where(~F.col("is_alone")).drop("is_alone"), sized.where("is_alone").drop("is_alone")
-        found = spread_groups(few, GROUP).sortWithinPartitions(*GROUP, "cell_id").mapInArrow(_batch_kernel(dims), schema)
+        found = spread_groups(few, GROUP).sortWithinPartitions(*GROUP, "cell_id").mapInArrow(
+            many_groups(GROUP, lambda table, starts: iter([_diagrams_of(table, starts, dims)])), schema
+        )
         if alone is None:
             return found
         return found.unionByName(spread_groups(alone, GROUP).groupBy(*GROUP).applyInArrow(_diagram_kernel(dims), schema))

@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,3 +145,23 @@ def test_within_radius(spark):
         if r == s and i != j and math.sqrt((x - u) * (x - u) + (y - v) * (y - v)) <= 0.5 + i % 7
     }
     assert got == want
+
+
+@pytest.mark.parametrize("with_self", [False, True])
+def test_many_small_groups_at_a_time_give_the_lists_of_each_alone(with_self):
+    r = np.random.default_rng(4)
+    parts = []
+    for g in range(40):
+        n = int(r.integers(1, 30)) if g else 300
+        spots = r.random((n, 2)) * 9 if g % 3 else np.round(r.random((n, 2)) * 9)  # ties and copies too
+        flags = {"is_query": r.random(n) < 0.7, "is_target": r.random(n) < 0.6}
+        names = {"region_id": pa.array([g // 2] * n), "pair": [None if g % 2 else "b"] * n, "cell_id": [f"{i:04}" for i in range(n)]}
+        parts.append(pa.table(names | {"x": spots[:, 0], "y": spots[:, 1]} | flags).cast(
+            pa.schema([("region_id", pa.int64()), ("pair", pa.string()), ("cell_id", pa.string()), ("x", pa.float64()), ("y", pa.float64()), ("is_query", pa.bool_()), ("is_target", pa.bool_())])
+        ))
+    whole, keys = pa.concat_tables(parts).combine_chunks(), ["region_id", "pair"]
+    kernel = neighbors.many_groups(keys, neighbors._lists_of(keys, 4, with_self), rows=100)
+    found = [row for b in kernel(iter(whole.to_batches(max_chunksize=33))) for row in b.to_pylist()]
+    alone = [row for part in parts for row in neighbors._list_kernel(keys, 4, with_self)(part).to_pylist()]
+    order = lambda d: (d["region_id"], d["pair"] or "", d["src"])
+    assert sorted(found, key=order) == sorted(alone, key=order)

@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from cytoplane.operators import topology
+from cytoplane.operators import neighbors, topology
 from cytoplane.settings import SizeBounds
 
 
@@ -118,7 +118,7 @@ def test_curves_of_bars_against_every_grid_point(spark):
     """Events at three grid points a bar give what counting every bar at every grid point gives."""
     import numpy as np
 
-    from cytoplane.operators import topology
+    from cytoplane.operators import neighbors, topology
 
     r = np.random.default_rng(5)
     bars = []
@@ -144,7 +144,7 @@ def test_curves_of_bars_against_every_grid_point(spark):
 def test_large_subsets_have_a_task_of_their_own(spark):
     import random
 
-    from cytoplane.operators import topology
+    from cytoplane.operators import neighbors, topology
     from cytoplane.settings import SizeBounds
 
     r = random.Random(3)
@@ -155,7 +155,7 @@ def test_large_subsets_have_a_task_of_their_own(spark):
 
 
 @pytest.mark.parametrize("dims", [(0,), (0, 1), (1,)])
-def test_many_small_subsets_at_a_time_give_the_bars_of_each_alone(monkeypatch, dims):
+def test_many_small_subsets_at_a_time_give_the_bars_of_each_alone(dims):
     r = np.random.default_rng(1)
     parts = []
     for g in range(80):
@@ -164,8 +164,8 @@ def test_many_small_subsets_at_a_time_give_the_bars_of_each_alone(monkeypatch, d
         names = {"region_id": [g // 4] * n, "scope": ["region"] * n, "subset": [f"s{g % 4}"] * n, "cell_id": list(range(n))}
         parts.append(pa.table(names | {"x": spots[:, 0], "y": spots[:, 1]}))
     whole = pa.concat_tables(parts).combine_chunks()
-    monkeypatch.setattr(topology, "BATCH_ROWS", 100)
-    found = [row for b in topology._batch_kernel(dims)(iter(whole.to_batches(max_chunksize=33))) for row in b.to_pylist()]
+    kernel = neighbors.many_groups(topology.GROUP, lambda table, starts: iter([topology._diagrams_of(table, starts, dims)]), rows=100)
+    found = [row for b in kernel(iter(whole.to_batches(max_chunksize=33))) for row in b.to_pylist()]
     alone = [row for part in parts for row in topology._diagram_kernel(dims)(part).to_pylist()]
     order = lambda d: (d["region_id"], d["subset"], d["dim"], d["birth"], d["death"] is None, d["death"] or 0.0)
     assert sorted(found, key=order) == sorted(alone, key=order)
