@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -78,6 +78,9 @@ def encoded(rows: list[str]) -> np.ndarray:
     return np.where(points < 128, points, 1).astype(np.int64)
 
 
+WEIGHTS = ("embed", "filters", "bias", "out", "spread")
+
+
 @dataclass
 class Network:
     """Character embedding, one convolution, maximum and mean over places, logistic output; all numpy.
@@ -96,6 +99,7 @@ class Network:
     threshold: float = 1.1
     held_recall: float = float("nan")  # of the calibration rows at the threshold
     held_precision: float = float("nan")
+    windows: tuple[int, int] = (0, 0)  # of the corpus: learned from, held out for calibration and threshold
 
     @staticmethod
     def new(seed: int = 7, size: int = 12, width: int = 5, filters: int = 24) -> Network:
@@ -122,60 +126,75 @@ class Network:
     def probability(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.logits(x) + self.shift, -40, 40)))
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 12, rate: float = 0.01, seed: int = 11) -> None:
-        """Adam on the logistic loss, classes weighed alike; the embedding learns through the maxima only."""
-        r = np.random.default_rng(seed)
+    def packed(self) -> np.ndarray:
+        return np.concatenate([*(getattr(self, k).ravel() for k in WEIGHTS), [self.out_bias]])
+
+    def unpack(self, values: np.ndarray) -> None:
+        at = 0
+        for k in WEIGHTS:
+            old = getattr(self, k)
+            setattr(self, k, values[at : at + old.size].reshape(old.shape))
+            at += old.size
+        self.out_bias = float(values[at])
+
+    def learn(self, x: np.ndarray, y: np.ndarray, moments: np.ndarray, step: float, r: np.random.Generator, rate: float) -> tuple[np.ndarray, float]:
+        """One pass of Adam on the logistic loss over the rows, classes weighed alike; the embedding learns through the maxima only.
+
+        ``moments`` are the two running means of the gradient (rows) for all weights but the last; both and the steps are returned.
+        """
         weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
-        names = ("embed", "filters", "bias", "out", "spread")
-        state = {k: [np.zeros_like(getattr(self, k)), np.zeros_like(getattr(self, k))] for k in names}
-        step, size = 0, self.embed.shape[1]
+        size = self.embed.shape[1]
         width = len(self.filters) // size
-        for _ in range(epochs):
-            for rows in np.array_split(r.permutation(len(x)), max(1, len(x) // 64)):
-                xs, ys, ws = x[rows], y[rows], weight[rows]
-                cols, at, top, above, z = self.forward(xs)
-                d = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - ys) * ws / len(rows)
-                g = {"out": np.maximum(top, 0).T @ d, "spread": above.mean(axis=1).T @ d}
-                wide = (above > 0) * (d[:, None] * self.spread / above.shape[1])[:, None, :]
-                dtop = d[:, None] * self.out * (top > 0)
-                picked = np.take_along_axis(cols, at[:, :, None], 1)
-                g["filters"] = np.einsum("bf,bfc->cf", dtop, picked) + cols.reshape(-1, cols.shape[2]).T @ wide.reshape(-1, wide.shape[2])
-                g["bias"] = dtop.sum(axis=0) + wide.sum(axis=(0, 1))
-                g["embed"] = np.zeros_like(self.embed)
-                back = np.einsum("bf,cf->bfc", dtop, self.filters).reshape(len(rows), -1, width, size)
-                for k in range(width):
-                    np.add.at(g["embed"], np.take_along_axis(xs, at + k, 1), back[:, :, k])
-                step += 1
-                self.out_bias -= rate * d.sum()
-                for k in names:
-                    m, v = state[k]
-                    m += 0.1 * (g[k] - m)
-                    v += 0.001 * (g[k] ** 2 - v)
-                    setattr(self, k, getattr(self, k) - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8))
-
-    def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float) -> None:
-        """Platt scaling on held-out rows, and the highest threshold that finds at least ``recall`` of their secrets."""
-        z = self.logits(x)
-        target = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
+        for rows in np.array_split(r.permutation(len(x)), max(1, len(x) // 64)):
+            xs, ys, ws = x[rows], y[rows], weight[rows]
+            cols, at, top, above, z = self.forward(xs)
+            d = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - ys) * ws / len(rows)
+            g = {"out": np.maximum(top, 0).T @ d, "spread": above.mean(axis=1).T @ d}
+            wide = (above > 0) * (d[:, None] * self.spread / above.shape[1])[:, None, :]
+            dtop = d[:, None] * self.out * (top > 0)
+            picked = np.take_along_axis(cols, at[:, :, None], 1)
+            g["filters"] = np.einsum("bf,bfc->cf", dtop, picked) + cols.reshape(-1, cols.shape[2]).T @ wide.reshape(-1, wide.shape[2])
+            g["bias"] = dtop.sum(axis=0) + wide.sum(axis=(0, 1))
+            g["embed"] = np.zeros_like(self.embed)
+            back = np.einsum("bf,cf->bfc", dtop, self.filters).reshape(len(rows), -1, width, size)
+            for k in range(width):
+                np.add.at(g["embed"], np.take_along_axis(xs, at + k, 1), back[:, :, k])
+            step += 1
+            slope = np.concatenate([g[k].ravel() for k in WEIGHTS])
+            moments = moments + np.array([[0.1], [0.001]]) * (np.stack([slope, slope**2]) - moments)
+            move = moments[0] / (1 - 0.9**step) / (np.sqrt(moments[1] / (1 - 0.999**step)) + 1e-8)
+            self.unpack(self.packed() - rate * np.append(move, d.sum()))
+        return moments, step
+
+    def calibrate(self, z: np.ndarray, y: np.ndarray, n: np.ndarray, recall: float) -> None:
+        """Platt scaling on held-out logits with their counts, and the highest threshold that finds at least ``recall`` of their secrets."""
+        positives, negatives = float(n[y == 1].sum()), float(n[y == 0].sum())
+        target = np.where(y == 1, (positives + 1) / (positives + 2), 1 / (negatives + 2))
 
         def loss(slope: float, shift: float) -> float:
-            return float((np.logaddexp(0, slope * z + shift) - target * (slope * z + shift)).sum())
+            return float((n * (np.logaddexp(0, slope * z + shift) - target * (slope * z + shift))).sum())
+
+        def probability() -> np.ndarray:
+            return 1 / (1 + np.exp(-np.clip(self.slope * z + self.shift, -40, 40)))
 
         for _ in range(50):
-            p = 1 / (1 + np.exp(-np.clip(self.slope * z + self.shift, -40, 40)))
-            w = np.maximum(p * (1 - p), 1e-9)
+            p = probability()
+            w = n * np.maximum(p * (1 - p), 1e-9)
             h = np.array([[(w * z * z).sum() + 1e-6, (w * z).sum()], [(w * z).sum(), w.sum() + 1e-6]])
-            step = np.linalg.solve(h, np.array([((p - target) * z).sum(), (p - target).sum()]))
+            step = np.linalg.solve(h, np.array([(n * (p - target) * z).sum(), (n * (p - target)).sum()]))
             while np.abs(step).max() >= 1e-8 and loss(self.slope - step[0], self.shift - step[1]) > loss(self.slope, self.shift):
                 step = step / 2  # a whole step can leave the range where the loss falls
             self.slope, self.shift = self.slope - step[0], self.shift - step[1]
             if np.abs(step).max() < 1e-8:
                 break
-        p = np.sort(self.probability(x[y == 1]))
-        self.threshold = float(p[int((1 - recall) * len(p))]) if len(p) else 1.1
-        found = self.probability(x) >= self.threshold
+        p = probability()
+        order = np.flatnonzero(y == 1)
+        order = order[np.argsort(p[order], kind="stable")]
+        lost = np.cumsum(n[order]) > (1 - recall) * positives  # from here on the secrets found are enough
+        self.threshold = float(p[order[lost.argmax()]]) if len(order) else 1.1
+        found = p >= self.threshold
         if found.any():
-            self.held_recall, self.held_precision = float(found[y == 1].mean()), float((y[found] == 1).mean())
+            self.held_recall, self.held_precision = float(n[found & (y == 1)].sum() / positives), float(n[found & (y == 1)].sum() / n[found].sum())
 
 
 SHAPES = ("AKIA{16:ABCDEFGHIJKLMNOPQRSTUVWXYZ234567}", "ghp_{36:aA0}", "sk-{40:aA0}", "xoxb-{12:0}-{24:aA0}", "eyJ{40:aA0}", "{40:aA0+/}", "{32:h}", "{40:h}", "glpat-{20:aA0}", "npm_{36:aA0}")
@@ -201,15 +220,28 @@ def key_shaped(value: str) -> bool:
     return bool(KEY.search(value)) or any(all(re.search(c, m[0]) for c in ("[a-z]", "[A-Z]", "[0-9]")) for m in RUN.finditer(value))
 
 
+#: Corpus windows of a shard, about: what one task learns from at a time.
+SHARD = 4096
+EPOCHS = 12
+
+
+def rate(epoch: int) -> float:
+    """Of learning; it falls, so that the shards' weights come together and the last rows seen do not weigh most."""
+    return 0.01 * (1 - epoch / EPOCHS)
+
+
 def train(documents: DataFrame, text_col: str = "text", most: int = 2000, recall: float = 0.98) -> Network:
-    """Fits the network on labelled windows of candidates: at most ``2 * most`` of the corpus and as many written by shape.
-
-    Every window of a candidate may be picked. One whose part of the candidate touches an exact finding is a secret, any
-    other of the corpus is not, save that candidates of a known key format teach nothing; the written ones follow published
-    key formats or everyday numbers, codes, identifiers, names and paths. The corpus sample is the smallest hashes of the
-    windows' text; each distinct window counts once. Every fifth row sets calibration and threshold. A candidate is judged
-    by its most suspicious window, so the recall of whole candidates is that of windows at least. Null and empty texts
-    have no candidate; an empty table leaves the written shapes to learn from.
+    """Fits the network on the labelled windows of all candidates, and on ``most`` windows written by shape.
+
+    A window whose part of the candidate touches an exact finding is a secret, any other of the corpus is not, save that
+    candidates of a known key format teach nothing; the written ones follow published key formats or everyday numbers,
+    codes, identifiers, names and paths, set between the surroundings of some corpus windows. Each distinct window counts
+    once. Four of five windows are learned from: they are dealt by hash into shards, each pass goes over every shard (the
+    written ones are in each) from the same weights, and the mean of the weights it ends with starts the next pass. The
+    fifth ones set calibration and threshold, by counts of their logits in steps of a thousandth; the written ones weigh at least
+    half as much as the corpus there, class by class. A candidate is judged by its most suspicious window, so the recall
+    of whole candidates is that of windows at least. Null and empty texts have no candidate; an empty table leaves the
+    written shapes to learn from.
     """
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,24 +261,91 @@ def train(documents: DataFrame, text_col: str = "text", most: int = 2000, recall
             )
 
     found = documents.select(text_col).mapInArrow(kernel, "window string, secret int")
+    order, place = F.xxhash64("window"), F.xxhash64("window", F.lit(1))
     distinct = stored(found.groupBy("window").agg(F.max("secret").alias("secret")))
-    order = F.xxhash64("window")
-    sample = [distinct.where(F.col("secret") == s).orderBy(order, "window").limit(most) for s in (0, 1)]
-    rows = [(r.window, r.secret) for r in sample[0].unionByName(sample[1]).collect()]
+    rows = distinct.select((F.pmod(order, F.lit(5)) == 4).alias("held"), "secret", place.alias("place"), "window")
+    counts = {(x.held, x.secret): x.n for x in rows.groupBy("held", "secret").agg(F.count("*").alias("n")).collect()}
+    n_shards = max(1, -(-sum(counts.values()) // SHARD))
+    tasks = min(n_shards, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = rows.withColumn("shard", F.pmod("place", F.lit(n_shards))).repartition(tasks, "shard")
+    dealt = dealt.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("place", "window", "secret", "held"))).alias("rows"))
+    shards = stored(dealt.select("shard", "rows.window", "rows.secret", "rows.held"))
+    some = [distinct.where(F.col("secret") == s).orderBy(order, "window").limit(most).select("window") for s in (0, 1)]
+    written, labels, aside = written_windows([x.window for x in some[0].unionByName(some[1]).collect()], most)
+    network = Network.new()
+    moments, step = np.zeros((2, len(network.packed()) - 1)), 0.0
+    for epoch in range(EPOCHS):
+        if not counts:
+            moments, step = network.learn(written[~aside].astype(np.int64), labels[~aside], moments, step, np.random.default_rng([11, epoch]), rate(epoch))
+            continue
+        ends = shards.mapInArrow(_pass(network, moments, step, written[~aside], labels[~aside], epoch), "place int, value double")
+        values = F.array_sort(F.collect_list("value"))  # one from each shard; added in order, so that every run gives the same
+        mean = F.aggregate(values, F.lit(0.0), lambda a, b: a + b) / F.size(values)
+        ended = np.array([x.value for x in ends.groupBy("place").agg(mean.alias("value")).orderBy("place").collect()])
+        size = len(network.packed())
+        network.unpack(ended[:size])
+        moments, step = ended[size:-1].reshape(2, -1), float(ended[-1])
+    seen = shards.mapInArrow(_held_logits(network), "at long, secret int").groupBy("at", "secret").agg(F.count("*").alias("n"))
+    rows = [(x["at"] / 1000, x.secret, x.n) for x in seen.orderBy("at", "secret").collect()]
+    z = network.logits(written[aside].astype(np.int64))
+    for label in (0, 1):
+        own = z[labels[aside] == label]
+        rows += [(v, label, max(1.0, counts.get((True, label), 0) / 2 / max(len(own), 1))) for v in own]
+    network.calibrate(*(np.array(v, float) for v in zip(*rows)), recall)
+    network.windows = tuple(sum(n for (held, _), n in counts.items() if held == kept) for kept in (False, True))
+    return network
+
+
+def written_windows(around: list[str], most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Encoded windows of published key formats (1) and of everyday strings (0), alone or between surroundings of ``around``.
+
+    The third array tells which are held out: every fifth of each shape.
+    """
     r = np.random.default_rng(5)
-    around = [w for w, _ in rows] or ["\0" * (2 * CONTEXT + VALUE)]
+    around = around or ["\0" * (2 * CONTEXT + VALUE)]
+    rows = []
     for shapes, label in ((SHAPES, 1), (PLAIN, 0)):
         for k in range(most // 2):
             value = made(shapes[k % len(shapes)], r)
             other = around[int(r.integers(len(around)))]
             before, after = (" " * CONTEXT, " " * CONTEXT) if k % 3 == 0 else (re.sub(r"\S*$", "", other[:CONTEXT]).rjust(CONTEXT), " " + other[-CONTEXT + 1 :])
-            rows += [(w, label) for w in windows(before + value + after, CONTEXT, CONTEXT + len(value))]
-    x, y = encoded([w for w, _ in rows]), np.array([s for _, s in rows], float)
-    held = np.arange(len(x)) % 5 == 4
-    network = Network.new()
-    network.fit(x[~held], y[~held])
-    network.calibrate(x[held], y[held], recall)
-    return network
+            rows += [(w, label, k // len(shapes) % 5 == 4) for w in windows(before + value + after, CONTEXT, CONTEXT + len(value))]
+    text, labels, aside = zip(*rows)
+    return encoded([*text]).astype(np.uint8), np.array(labels, float), np.array(aside)
+
+
+def _pass(network: Network, moments: np.ndarray, step: float, written: np.ndarray, labels: np.ndarray, epoch: int):
+    """Kernel over shards: the weights, moments and steps after one pass over each, by place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard in batch.to_pylist():
+                own = [k for k, held in enumerate(shard["held"]) if not held]
+                x = written.astype(np.int64)
+                if own:
+                    x = np.concatenate([encoded([shard["window"][k] for k in own]), x])
+                y = np.concatenate([[float(shard["secret"][k]) for k in own], labels])
+                after = replace(network)
+                ended = after.learn(x, y, moments, step, np.random.default_rng([11, epoch, shard["shard"]]), rate(epoch))
+                values = np.concatenate([after.packed(), ended[0].ravel(), [ended[1]]])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values)], ["place", "value"])
+
+    return run
+
+
+def _held_logits(network: Network):
+    """Kernel over shards: logits of the windows held out, rounded down to a thousandth, and their labels."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard in batch.to_pylist():
+                held = [k for k, held in enumerate(shard["held"]) if held]
+                if held:
+                    z = network.logits(encoded([shard["window"][k] for k in held]))
+                    at = np.floor(np.clip(z, -40, 40) * 1000).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array([shard["secret"][k] for k in held], pa.int32())], ["at", "secret"])
+
+    return run
 
 
 def all_spans(texts: list[str], network: Network | None) -> list[list[Span]]:

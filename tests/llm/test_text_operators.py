@@ -311,6 +311,21 @@ def test_keys_of_known_formats_do_not_count_as_plain_text(spark):
     assert sum(found[k] for k in range(900)) > 850 and sum(found[k] for k in range(900, 1000)) < 10
 
 
+def test_network_learns_from_every_window(spark, monkeypatch):
+    """Two families that no written window follows, of many more windows than ``most``, in one shard and in many."""
+    r = np.random.default_rng(14)
+    lines = [f"part {secrets.made('{8:A}{8:0}', r)} was sent" for _ in range(700)] + [f"key {secrets.made('{32:h}', r)} it is" for _ in range(300)]
+    docs = spark.createDataFrame([*enumerate(lines)], "doc_id long, text string")
+    asked = [f"part {secrets.made('{8:A}{8:0}', r)} was sent" for _ in range(200)]
+    for size in (4096, 150):
+        monkeypatch.setattr(secrets, "SHARD", size)
+        network = secrets.train(docs, most=100)
+        assert sum(network.windows) == 1000 and 130 < network.windows[1] < 270
+        assert sum(bool(x) for x in secrets.all_spans(asked, network)) < 4
+        again = secrets.train(docs.repartition(5), most=100)
+        assert np.array_equal(network.packed(), again.packed()) and network.threshold == again.threshold
+
+
 def test_language(spark):
     sf = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows_ = sf.select("doc_id", "text", "lang").collect()
