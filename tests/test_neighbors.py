@@ -134,6 +134,24 @@ def test_dense_squares_are_compared_in_blocks(spark):
         assert side.groupBy(*square, "block_a", "block_b").count().agg(F.max("count")).first()[0] <= 100
 
 
+@pytest.mark.parametrize("tile", [1, 16])
+def test_pairs_of_large_groups_send_a_query_to_few_tiles(spark, monkeypatch, tile):
+    """Radii of all sizes, copies at one spot beyond a tile, ids as text; groups are counted as they reach the kernel."""
+    monkeypatch.setattr(neighbors, "RADIUS_TILE", tile)
+    kept, sent = neighbors.spread_groups, []
+    monkeypatch.setattr(neighbors, "spread_groups", lambda df, keys: sent.append(df) or kept(df, keys))
+    rows = [(r, f"c{i}", x, y, (0.3, 1.0, 5.0, 400.0, 0.0)[i % 5] if i % 3 else 0.4) for r, i, x, y in clumpy(9)]
+    points = spark.createDataFrame(rows, "region_id string, cell_id string, x double, y double, own double")
+    got = sorted((e.src, e.dst, e.dist) for e in neighbors.within_radius(points, F.col("own"), bounds=SizeBounds(tile_cells=16)).collect())
+    want = []
+    for r, i, x, y, radius in rows:
+        near = [(i, j, math.sqrt((x - u) * (x - u) + (y - v) * (y - v))) for s, j, u, v, _ in rows if r == s and i != j]
+        want += [p for p in near if p[2] <= radius]
+    assert got == sorted(want)
+    if tile == 16:
+        assert sent and sent[-1].where("is_query").count() < 2 * len(rows)
+
+
 def test_within_radius(spark):
     rows = clumpy(7)
     points = spark.createDataFrame(rows, "region_id string, cell_id long, x double, y double")
