@@ -24,6 +24,7 @@ from cytoplane.session import cut_lineage, largest_group, measured
 from cytoplane.settings import BOUNDS, ROLE_TERMS, SUBSET_ROLES, FeatureSettings, SizeBounds
 
 DENSE_POINTS = 2048
+SEARCHED_POINTS = 50_000  # up to here a tree grown point by point takes less time than the Delaunay edges
 ALIKE_POINTS = 128  # subsets of up to this size are solved together with others of their size
 ALIKE_ENTRIES = 2_000_000
 GROUP = ["region_id", "scope", "subset"]
@@ -87,6 +88,22 @@ def _tree_edges(n: int, i: np.ndarray, j: np.ndarray) -> list[int]:
     return tree
 
 
+def _tree_lengths(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Spanning-tree lengths of finite points, shortest first. The part grows by its shortest way out; of all distances only the
+    shortest into the part is held for each point left, so memory follows the points."""
+    x, y, near = x[::-1].copy(), y[::-1].copy(), np.full(len(x), np.inf)
+    lengths = np.empty(len(x) - 1)
+    at = len(x) - 1
+    for left in range(len(x) - 1, 0, -1):
+        here_x, here_y = x[at], y[at]
+        x[at], y[at], near[at] = x[left], y[left], near[left]  # the last takes the place of the joined one
+        dx, dy = x[:left] - here_x, y[:left] - here_y
+        np.minimum(near[:left], np.sqrt(dx * dx + dy * dy), out=near[:left])
+        at = int(near[:left].argmin())
+        lengths[left - 1] = near[at]
+    return np.sort(lengths)
+
+
 def _sparse_tree_lengths(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Spanning-tree lengths of many points: the tree lies inside the Delaunay edges, so only those are joined."""
     spots = np.unique(np.stack([x, y], axis=1), axis=0)
@@ -300,8 +317,9 @@ def _diagram_kernel(dims: tuple[int, ...]):
             if rows.size < 2:
                 continue
             rows = rows[np.argsort(ids[rows], kind="stable")]
-            if dims == (0,) and rows.size > DENSE_POINTS:
-                deaths = [*_sparse_tree_lengths(x[rows], y[rows]).tolist(), None]
+            grown = rows.size <= SEARCHED_POINTS and bool(np.isfinite(x[rows]).all() and np.isfinite(y[rows]).all())
+            if dims == (0,) and (grown or rows.size > DENSE_POINTS):
+                deaths = [*(_tree_lengths if grown else _sparse_tree_lengths)(x[rows], y[rows]).tolist(), None]
                 subset += [name] * len(deaths)
                 dim += [0] * len(deaths)
                 birth += [0.0] * len(deaths)

@@ -92,6 +92,31 @@ def test_tree_of_many_points_from_delaunay_edges():
     assert topology._sparse_tree_lengths(line, 2 * line) == pytest.approx(np.full(19, math.sqrt(5)))
 
 
+def test_connected_parts_hold_no_matrix_of_distances(monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    points = np.concatenate([rng.normal(0, 1e-3, (800, 2)), rng.uniform(-0.5, 0.5, (800, 2)), np.full((60, 2), 0.25), rng.integers(0, 9, (240, 2))])
+    n = len(points)
+    table = pa.table({"region_id": [1] * n, "scope": ["region"] * n, "subset": ["a"] * n, "cell_id": np.arange(n), "x": points[:, 0], "y": points[:, 1]})
+    tracemalloc.start()
+    found = topology._diagram_kernel((0,))(table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    dist = np.sqrt(((points[:, None] - points[None]) ** 2).sum(-1))
+    ends = topology._edge_ranks(dist)
+    want = np.sort(ends[2][topology._tree_edges(n, ends[0], ends[1])])
+    deaths = found["death"].to_pylist()
+    assert deaths.count(None) == 1 and sorted(d for d in deaths if d is not None) == pytest.approx(want, abs=0)
+    assert peak < 4e6
+    monkeypatch.setattr(topology, "SEARCHED_POINTS", 0)
+    monkeypatch.setattr(topology, "DENSE_POINTS", 100)
+    delaunay = topology._diagram_kernel((0,))(table)["death"].to_pylist()
+    assert sorted(d for d in delaunay if d is not None) == pytest.approx(want)
+
+
 def test_connected_parts_of_large_subsets(spark):
     """The same bars where subsets count as large: tiled edges and a tree by joins against one task."""
     rng = np.random.default_rng(8)
