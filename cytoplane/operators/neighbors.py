@@ -18,6 +18,7 @@ MATRIX_ENTRIES = 2_000_000
 RADIUS_TILE = 16  # times the bound of cells of a task: targets of a tile that a search by radius holds
 ALIKE_CELLS = 256  # groups of up to this size are solved together with others of their size
 BATCH_ROWS = 50_000
+PATCH = 64  # queries, and targets, that a search inside a task takes together
 
 
 def _nearest_rows(dist: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -34,6 +35,43 @@ def _nearest_rows(dist: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.
     return rows[keep], cols[keep], values[keep]
 
 
+def _patches(x: np.ndarray, y: np.ndarray, size: int) -> list[np.ndarray]:
+    """Positions of points that lie near each other, about so many a patch: strips of x, cut along y."""
+    strips = max(1, round(np.sqrt(len(x) / size)))
+    strip = np.empty(len(x), np.int64)
+    strip[np.argsort(x, kind="stable")] = np.arange(len(x)) * strips // len(x)
+    order = np.lexsort((y, strip))
+    ends = np.flatnonzero(np.diff(strip[order])) + 1
+    return [part for of in np.split(order, ends) for part in np.array_split(of, max(1, len(of) // size))]
+
+
+def _searches(x: np.ndarray, y: np.ndarray, asks: np.ndarray, offered: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Queries (places in ``asks``) with the targets, in order, among which their k nearest surely are.
+
+    Patches of queries first look at one patch of targets; the farthest k-th distance found there tells which others they need.
+    """
+    size = max(PATCH, 2 * (k + 1))
+    if not (asks.size and offered.size):
+        return
+    if offered.size < 8 * size or not (np.isfinite(x).all() and np.isfinite(y).all()):
+        step = max(1, MATRIX_ENTRIES // offered.size)
+        for start in range(0, asks.size, step):
+            yield np.arange(start, min(start + step, asks.size)), offered
+        return
+    patches = [offered[p] for p in _patches(x[offered], y[offered], size)]
+    low_x, high_x, low_y, high_y = (np.array([f(v[p]) for p in patches]) for v in (x, y) for f in (np.min, np.max))
+    for part in _patches(x[asks], y[asks], size):
+        px, py = x[asks[part]], y[asks[part]]
+        gap_x = np.maximum(np.maximum(low_x - px.max(), px.min() - high_x), 0.0)
+        gap_y = np.maximum(np.maximum(low_y - py.max(), py.min() - high_y), 0.0)
+        far_x, far_y = np.maximum(high_x, px.max()) - np.minimum(low_x, px.min()), np.maximum(high_y, py.max()) - np.minimum(low_y, py.min())
+        first = patches[int(np.argmin(far_x * far_x + far_y * far_y))]
+        dx, dy = px[:, None] - x[None, first], py[:, None] - y[None, first]
+        reach = np.sqrt(np.partition(dx * dx + dy * dy, k, axis=1)[:, k].max()) * (1 + 1e-9) + 1e-300  # one of them may be the query
+        met = np.flatnonzero(gap_x * gap_x + gap_y * gap_y <= reach * reach)
+        yield part, np.sort(np.concatenate([patches[m] for m in met]))
+
+
 def _list_kernel(keys: list[str], k: int, with_self: bool = False):
     """Arrow kernel for one bounded group: neighbour lists of its query points."""
 
@@ -44,23 +82,21 @@ def _list_kernel(keys: list[str], k: int, with_self: bool = False):
         asks = np.flatnonzero(table["is_query"].to_numpy()[order])
         offered = np.flatnonzero(table["is_target"].to_numpy()[order])
         found_rows, found_cols, found_dist = [], [], []
-        step = max(1, MATRIX_ENTRIES // max(offered.size, 1))
-        for start in range(0, asks.size, step):
-            part = asks[start : start + step]
-            if offered.size == 0:
-                break
-            dx = x[part, None] - x[None, offered]
-            dy = y[part, None] - y[None, offered]
+        for part, near in _searches(x, y, asks, offered, k):
+            dx = x[asks[part], None] - x[None, near]
+            dy = y[asks[part], None] - y[None, near]
             dist = np.sqrt(dx * dx + dy * dy)
             if not with_self:
-                dist[part[:, None] == offered[None, :]] = np.inf
+                dist[asks[part][:, None] == near[None, :]] = np.inf
             rows, cols, values = _nearest_rows(dist, k)
-            found_rows.append(rows + start)
-            found_cols.append(offered[cols])
+            found_rows.append(part[rows])
+            found_cols.append(near[cols])
             found_dist.append(values)
         rows = np.concatenate(found_rows) if found_rows else np.zeros(0, dtype=np.int64)
         cols = np.concatenate(found_cols) if found_cols else np.zeros(0, dtype=np.int64)
         dist = np.concatenate(found_dist) if found_dist else np.zeros(0)
+        back = np.argsort(rows, kind="stable")
+        rows, cols, dist = rows[back], cols[back], dist[back]
         offsets = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=asks.size))]).astype(np.int32)
         id_column = table["cell_id"].combine_chunks()
         columns = {key: pa.repeat(table[key][0], asks.size) for key in keys}
@@ -207,33 +243,18 @@ def _tiled_lists(
     targets, so only the other tiles that it meets are asked, and the lists are merged.
     """
     spot = [*keys, "x", "y"]
-    first = F.row_number().over(Window.partitionBy(*spot).orderBy("cell_id"))
-
-    def leading(rows: DataFrame, count: int) -> DataFrame:
-        return rows.withColumn("seat", first).where(F.col("seat") <= count)
-
-    crowded = points.groupBy(*spot).agg(F.count("*").alias("copies")).where(F.col("copies") > k + 1)
-    seated = leading(points.where("is_target"), k + 1).select(*keys, "cell_id")
-    asking = points.join(seated.withColumn("seated", F.lit(True)), [*keys, "cell_id"], "left").withColumn(
-        "seated", F.coalesce("seated", F.lit(False))
-    )
-    asking = asking.withColumn("is_target", F.col("seated")).drop("seated")
-    first_targets = leading(points.where("is_target"), k + 1).groupBy(*spot).agg(
-        F.count("*").alias("target_copies"), F.sort_array(F.collect_list("cell_id")).alias("front")
+    seat = F.row_number().over(Window.partitionBy(*spot).orderBy(F.desc("is_target"), "cell_id"))
+    ranked = cut_lineage(points.withColumn("is_seated", F.col("is_target") & (seat <= k + 1)))
+    # A spot with more targets than k answers for its surplus copies without any search.
+    full_spots = cut_lineage(
+        ranked.where("is_seated").groupBy(*spot).agg(F.sort_array(F.collect_list("cell_id")).alias("front")).where(F.size("front") > k)
     )
-    # A spot with more targets than k + 1 answers for its surplus copies without any search.
-    full_spots = crowded.join(first_targets.where(F.col("target_copies") > k), spot).select(*spot, "front")
-    surplus = (
-        asking.where(F.col("is_query") & ~F.col("is_target"))
-        .join(full_spots, spot)
-        .select(
-            *keys, F.col("cell_id").alias("src"), F.slice("front", 1, k).alias("dst"),
-            F.array_repeat(F.lit(0.0), k).alias("dist"),
-        )
+    others = ranked.where(F.col("is_query") & ~F.col("is_seated"))
+    surplus = others.join(full_spots, spot).select(
+        *keys, F.col("cell_id").alias("src"), F.slice("front", 1, k).alias("dst"), F.array_repeat(F.lit(0.0), k).alias("dist")
     )
-    searching = asking.join(full_spots.select(*spot, F.lit(True).alias("full")), spot, "left").where(
-        F.col("is_target") | (F.col("is_query") & F.col("full").isNull())
-    ).drop("full")
+    lone = others.join(full_spots.select(*spot), spot, "left_anti")
+    searching = ranked.where("is_seated").unionByName(lone).withColumn("is_target", F.col("is_seated"))
     most = max(bounds.tile_cells, 2 * (k + 2))
     cells = cut_lineage(searching.select(*keys, "cell_id", "x", "y", "is_query", "is_target"))
     levels = cuts(cells, keys, most)
@@ -241,7 +262,7 @@ def _tiled_lists(
     tile_keys = [*keys, "tile", "block"]
 
     def lists(rows: DataFrame) -> DataFrame:
-        groups = dealt(rows, keys, most)
+        groups = spread_groups(dealt(rows, keys, most), tile_keys)
         return groups.groupBy(*tile_keys).applyInArrow(_list_kernel(tile_keys, k, with_self), _schema(groups, tile_keys))
 
     near = cut_lineage(lists(placed))

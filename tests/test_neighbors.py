@@ -183,3 +183,22 @@ def test_many_small_groups_at_a_time_give_the_lists_of_each_alone(with_self):
     alone = [row for part in parts for row in neighbors._list_kernel(keys, 4, with_self)(part).to_pylist()]
     order = lambda d: (d["region_id"], d["pair"] or "", d["src"])
     assert sorted(found, key=order) == sorted(alone, key=order)
+
+
+def test_patches_of_a_group_give_the_lists_of_all_pairs(monkeypatch):
+    r = np.random.default_rng(6)
+    spots = np.concatenate([r.normal(0, 1e-3, (500, 2)), r.random((700, 2)), r.integers(0, 9, (400, 2)), np.full((6, 2), 3.0), [[1e6, 0.0], [0.0, -1e7]]])
+    n = len(spots)
+    flags = r.random((2, n)) < [[0.9], [0.8]]
+    table = pa.table({"g": [1] * n, "cell_id": r.permutation(n), "x": spots[:, 0], "y": spots[:, 1], "is_query": flags[0], "is_target": flags[1]})
+    compared, nearest = [], neighbors._nearest_rows
+    monkeypatch.setattr(neighbors, "_nearest_rows", lambda dist, k: compared.append(dist.size) or nearest(dist, k))
+    for k, with_self in ((1, False), (5, False), (5, True), (40, False)):
+        compared.clear()
+        found = neighbors._list_kernel(["g"], k, with_self)(table)
+        few = sum(compared)
+        monkeypatch.setattr(neighbors, "PATCH", n)
+        compared.clear()
+        assert found.equals(neighbors._list_kernel(["g"], k, with_self)(table))
+        assert few < sum(compared) / (1 if k == 40 else 2)
+        monkeypatch.setattr(neighbors, "PATCH", 64)
