@@ -202,3 +202,27 @@ def test_patches_of_a_group_give_the_lists_of_all_pairs(monkeypatch):
         assert found.equals(neighbors._list_kernel(["g"], k, with_self)(table))
         assert few < sum(compared) / (1 if k == 40 else 2)
         monkeypatch.setattr(neighbors, "PATCH", 64)
+
+
+@pytest.fixture
+def late_broadcast(spark):
+    """Joins are planned as merges and turn into broadcasts while they run; small partitions are not merged."""
+    names = {"autoBroadcastJoinThreshold": "-1", "adaptive.autoBroadcastJoinThreshold": "2KB", "adaptive.coalescePartitions.enabled": "false"}
+    for name, value in names.items():
+        spark.conf.set(f"spark.sql.{name}", value)
+    yield
+    for name in names:
+        spark.conf.unset(f"spark.sql.{name}")
+
+
+def test_groups_stay_whole_after_a_join_that_turns_into_a_broadcast(spark, late_broadcast):
+    rng = random.Random(11)
+    rows = [(i % 12, i, rng.uniform(0, 50), rng.uniform(0, 50)) for i in range(480)]
+    points = spark.createDataFrame(rows, "region_id long, cell_id long, x double, y double").repartition(7).localCheckpoint()
+    scales = spark.createDataFrame([(r, 2.0) for r in range(12)], "region_id long, scale double")
+    joined = points.join(scales, "region_id").withColumns({a: F.col(a) / F.col("scale") for a in "xy"})
+    want = brute([(r, i, x / 2, y / 2) for r, i, x, y in rows], 4)
+    got = {}
+    for e in neighbors.knn(joined, 4).collect():
+        got.setdefault((e.region_id, e.src), []).append((e.dist, e.dst))
+    assert {key: sorted(value) for key, value in got.items()} == want
