@@ -1,12 +1,13 @@
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from cytoplane.operators import kd_tiles, neighbors
+from cytoplane.operators import graphs, kd_tiles, neighbors
 from cytoplane.settings import SizeBounds
 
 
@@ -226,3 +227,19 @@ def test_groups_stay_whole_after_a_join_that_turns_into_a_broadcast(spark, late_
     for e in neighbors.knn(joined, 4).collect():
         got.setdefault((e.region_id, e.src), []).append((e.dist, e.dst))
     assert {key: sorted(value) for key, value in got.items()} == want
+
+
+def test_pair_shares_after_a_join_that_turns_into_a_broadcast(spark, late_broadcast):
+    rng = random.Random(12)
+    rows = [(i % 6, i, rng.uniform(0, 50), rng.uniform(0, 50), rng.choice("ab")) for i in range(240)]
+    points = spark.createDataFrame(rows, "region_id long, cell_id long, x double, y double, cell_type string").repartition(7).localCheckpoint()
+    scales = spark.createDataFrame([(r, 2.0) for r in range(6)], "region_id long, scale double")
+    joined = points.join(scales, "region_id").withColumns({a: F.col(a) / F.col("scale") for a in "xy"})
+    lists = {key: {j for _, j in near} for key, near in brute([(r, i, x / 2, y / 2) for r, i, x, y, _ in rows], 4).items()}
+    kind = {i: t for _, i, _, _, t in rows}
+    pairs = [(r, "__".join(sorted(kind[i] + kind[j]))) for (r, i), near in lists.items() for j in near if i < j and i in lists[(r, j)]]
+    counted = Counter(pairs)
+    totals = Counter(r for r, _ in pairs)
+    want = {(r, f"knn_pair_{name}"): n / totals[r] for (r, name), n in counted.items()}
+    shares = graphs.pair_fractions(graphs.typed_edges(neighbors.mutual(neighbors.knn(joined, 4)), joined))
+    assert {(e.region_id, e["name"]): e.value for e in shares.collect()} == pytest.approx(want)
