@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from cytoplane.functions import columns as C
 from cytoplane.operators.composition import feature
 from cytoplane.operators.neighbors import spread_groups
-from cytoplane.session import cut_lineage, group_size
+from cytoplane.session import cut_lineage, group_size, largest_group
 from cytoplane.settings import BOUNDS, SizeBounds
 
 
@@ -258,13 +258,41 @@ def multiply(left: DataFrame, right: DataFrame) -> DataFrame:
     return summed.where(F.col("value") != 0)
 
 
-def hodge_laplacians(b1: DataFrame, b2: DataFrame) -> dict[str, DataFrame]:
-    return {
-        "L0": multiply(b1, transpose(b1)),
-        "L1_down": multiply(transpose(b1), b1),
-        "L1_up": multiply(b2, transpose(b2)),
-        "L2": multiply(transpose(b2), b2),
-    }
+def _products_in_regions(matrix: DataFrame, side: str) -> DataFrame:
+    """Matrix times its transpose (side="row") or the transpose times the matrix (side="col"), each region in one task.
+
+    Rows stay where one shuffle of the entries by region put them: neither the pairs nor their sums are shuffled. The
+    product is symmetric, so each pair is summed once and then set at both places.
+    """
+    mid = "col" if side == "row" else "row"
+    entries = spread_groups(matrix.where(F.col("region_id").isNotNull()).select("region_id", "row", "col", "value"), ["region_id"])
+    of = F.sort_array(F.collect_list(F.struct(F.col(side).alias("key"), "value"))).alias("of")
+    firsts = entries.groupBy("region_id", mid).agg(of).select("region_id", "of", F.posexplode("of").alias("at", "a"))
+    pairs = firsts.select("region_id", "a", F.explode(F.slice("of", F.col("at") + 1, F.size("of"))).alias("b"))
+    summed = pairs.groupBy("region_id", F.col("a.key").alias("u"), F.col("b.key").alias("v")).agg(F.sum(F.col("a.value") * F.col("b.value")).alias("value"))
+    place = lambda row, col: F.struct(F.col(row).alias("row"), F.col(col).alias("col"), "value")
+    places = F.when(F.col("u") == F.col("v"), F.array(place("u", "v"))).otherwise(F.array(place("u", "v"), place("v", "u")))
+    return summed.where(F.col("value") != 0).select("region_id", F.inline(places))
+
+
+def hodge_laplacians(b1: DataFrame, b2: DataFrame, bounds: SizeBounds = BOUNDS) -> dict[str, DataFrame]:
+    """L0, both parts of L1, and L2 of boundary matrices with one row an entry.
+
+    Regions with at most ``bounds.percentile_rows`` entries are multiplied in one task each, larger ones by joins.
+    """
+    found = {}
+    for matrix, names in ((b1, ("L0", "L1_down")), (b2, ("L1_up", "L2"))):
+        small, large = matrix, None
+        if largest_group(matrix, ["region_id"]) > bounds.percentile_rows:
+            sizes = matrix.groupBy("region_id").agg((F.count("*") > bounds.percentile_rows).alias("is_large"))
+            sized = matrix.join(sizes, "region_id")
+            small, large = sized.where(~F.col("is_large")).drop("is_large"), sized.where("is_large").drop("is_large")
+        for name, side in zip(names, ("row", "col")):
+            found[name] = _products_in_regions(small, side)
+            if large is not None:
+                ends = (large, transpose(large)) if side == "row" else (transpose(large), large)
+                found[name] = found[name].unionByName(multiply(*ends))
+    return found
 
 
 def apply_matrix(matrix: DataFrame, signal: DataFrame, on: str = "col") -> DataFrame:

@@ -167,6 +167,21 @@ def test_triangles_with_a_hub_and_boundaries(spark):
     assert {k: v for k, v in same.items() if v} == {k: v for k, v in once.items() if v}
 
 
+def test_laplacians_shuffle_entries_only(spark):
+    pairs, edges, cells, n = random_edges(spark, 3, 30, 90)
+    far = edges.select(F.concat("region_id", F.lit("-far")).alias("region_id"), "src", "dst").where("src < 9 and dst < 9")
+    edges = edges.select("region_id", "src", "dst").unionByName(far).localCheckpoint()
+    b1, b2 = graphs.node_boundary(edges), graphs.edge_boundary(graphs.triangles(edges).localCheckpoint())
+    rows_of = lambda frame: sorted((r.region_id, tuple(r["row"]), tuple(r["col"]), r.value) for r in frame.collect())
+    whole = graphs.hodge_laplacians(b1, b2)
+    mixed = graphs.hodge_laplacians(b1, b2, SizeBounds(percentile_rows=60))
+    ends = {"L0": (b1, graphs.transpose(b1)), "L1_down": (graphs.transpose(b1), b1), "L1_up": (b2, graphs.transpose(b2)), "L2": (graphs.transpose(b2), b2)}
+    for name, (left, right) in ends.items():
+        want = rows_of(graphs.multiply(left, right))
+        assert want and rows_of(whole[name]) == want and rows_of(mixed[name]) == want
+        assert whole[name]._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning") <= 1
+
+
 def graph_by_hand(points, s):
     """Three scales of one region with plain numpy, neighbours in (distance, id) order."""
     n = len(points)
